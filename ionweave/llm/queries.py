@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import token_counts
+from ionweave.llm import quality_rules, token_counts, url_filter
 from ionweave.llm.common import table
 
 #: A document with more tokens than this doesn't fit a training window.
@@ -19,7 +19,57 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition figures and the verdict of every document."""
+    return quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
+
+
+#: A page is listed if a label of its host is one of these.
+LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The block list of op10: the URLs of all pages on hosts with a listed label."""
+    labels = F.array(*map(F.lit, LISTED_LABELS))
+    return pages.where(F.arrays_overlap(F.split(url_filter.host(F.col("url")), r"\."), labels)).select("url")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, listed_urls(pages))
+
+
+OP10_SQL = r"""
+WITH seen AS (
+    SELECT page_id, url,
+        translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+        list_filter(list_sort(string_split(coalesce(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), ''), '&')),
+            lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')) AS asked
+    FROM pages
+), named AS (
+    SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+        || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS canon,
+        CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+             WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM seen
+), listed AS (
+    SELECT DISTINCT canon AS listed_url FROM named
+    WHERE list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
+)
+SELECT page_id, host, path, rule,
+    CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+         WHEN listed_url IS NOT NULL AND contains(url, '://') THEN 'block' ELSE 'allow' END AS verdict,
+    rule IS NULL AND listed_url IS NOT NULL AND coalesce(contains(url, '://'), false) AS listed
+FROM named LEFT JOIN listed ON canon = listed_url
+"""
+
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op6_quality_rules": op6_quality_rules,
+    "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
