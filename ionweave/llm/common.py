@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -94,3 +95,28 @@ def blocks(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[tuple[int, int
 def held_out(doc_id="doc_id"):
     """Whether a row is held out: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+#: Unicode's White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@lru_cache(4)
+def code_points(major: str) -> list[tuple[int, int]]:
+    """Ranges of the code points of a major category such as L or N, ends included.
+
+    The tokenizers library is asked, because its Unicode tables are newer than Python's.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
+    split = pre_tokenizers.Split(Regex(rf"\p{{{major}}}+"), "removed", invert=True)
+    parts = [range(0xD800), range(0xE000, 0x110000)]
+    return [
+        (r[a], r[b - 1]) for r in parts for _, (a, b) in split.pre_tokenize_str("".join(map(chr, r)))
+    ]
+
+
+@lru_cache(4)
+def char_set(major: str) -> str:
+    """The inside of a character set of ``re`` that holds a major category."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in code_points(major))

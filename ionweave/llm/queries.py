@@ -6,13 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import quality_rules, token_counts, url_filter
+from ionweave.llm import bpe, quality_rules, token_counts, url_filter
 from ionweave.llm.common import table
 
 #: A document with more tokens than this doesn't fit a training window.
 TOKEN_LIMIT = 1024
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of the text that they decode to."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is over the limit."""
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -68,6 +80,7 @@ FROM named LEFT JOIN listed ON canon = listed_url
 """
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op10_url_filter": op10_url_filter,

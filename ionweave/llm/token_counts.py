@@ -19,13 +19,14 @@ building them:
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ionweave.llm.common import blocks, by_batch, texts_of
+from ionweave.llm.common import WHITE_SPACE, blocks, by_batch, code_points, texts_of
 
 # --- the splitter ---------------------------------------------------------------------
 
@@ -90,13 +91,13 @@ def twice() -> np.ndarray:
 @lru_cache(1)
 def classes() -> np.ndarray:
     """The class of every code point."""
-    import regex
-
     kinds = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
-        for m in regex.finditer(pattern, every):
-            kinds[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+    for major, kind in (("L", LETTER), ("N", NUMBER)):
+        for first, last in code_points(major):
+            kinds[first : last + 1] = kind
+    for c in range(0x3001):
+        if re.match(f"[{WHITE_SPACE}]", chr(c)):
+            kinds[c] = BLANK
     for letters, kind in (("stmd", TAIL), ("rv", R_OR_V), ("l", ELL), ("e", EE), ("'", QUOTE), (" ", SPACE)):
         kinds[[ord(x) for x in letters]] = kind
     return kinds
