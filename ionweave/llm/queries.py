@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import bpe, quality_rules, token_counts, url_filter
-from ionweave.llm.common import table
+from ionweave.llm import bpe, quality_rules, simhash, token_counts, token_files, url_filter
+from ionweave.llm.common import fresh_folder, table
 
 #: A document with more tokens than this doesn't fit a training window.
 TOKEN_LIMIT = 1024
@@ -36,6 +36,24 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint of three-word shingles and the least id of its component."""
+    found = simhash.classes(table(spark, sf_dir, "documents"), size=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The id after each document.
+END_ID = 2
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document lies in the token files, and the checksum of its ids as read back."""
+    docs = table(spark, sf_dir, "documents")
+    shards = token_files.shard_count(docs)
+    folder = fresh_folder(spark, "tokens")
+    return token_files.read(token_files.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), END_ID, shards))
+
+
 #: A page is listed if a label of its host is one of these.
 LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
@@ -83,6 +101,8 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op8_simhash": op8_simhash,
+    "op9_token_files": op9_token_files,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -245,7 +246,7 @@ class CountTransducer:
 
     def count(self, piece: str) -> int:
         """The number of tokens of a pre-token."""
-        total = self.words.get(piece) or self.older.get(piece)
+        total = 1 if piece in self.specials else self.words.get(piece) or self.older.get(piece)
         if total is None:
             if len(self.step) > self.MOST_STEPS:
                 self._clear()
@@ -259,34 +260,44 @@ class CountTransducer:
         self.words[piece] = total
         return total
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """The number of tokens of each text; strings of special tokens count as one."""
-        totals, parts = [0] * len(texts), []
+    def pieces(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """The pre-tokens of the texts in order, some at a time, and the text that each is of.
+
+        A string of a special token is a piece of its own.
+        """
+        parts: list[tuple[int, str]] = []
         for i, text in enumerate(texts):
             rest = [text]
             for special in self.specials:
                 if special in text:
-                    rest = [p for x in rest for p in x.split(special)]
-            totals[i] = len(rest) - 1
+                    rest = [p for x in rest for p in (x.split(special) if x not in self.specials else [x])]
+                    rest = [p for x in rest for p in (special, x)][1:]
             parts += [(i, p) for p in rest if p]
         for a, b in blocks([len(p) for _, p in parts], 1 << 20):
             joined = "\0".join(p for _, p in parts[a:b])
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-            lengths = np.array([len(p) for _, p in parts[a:b]])
-            ends = np.cumsum(lengths + 1) - 1
+            ends = np.cumsum([len(p) + 1 for _, p in parts[a:b]]) - 1
+            firsts = np.concatenate([[0], ends[:-1] + 1])
             kinds = classes()[codes]
             kinds[ends[:-1]] = RESET
+            whole = [k for k in range(b - a) if parts[a + k][1] in self.specials]
+            for k in whole:  # one letter after another has no boundary inside
+                kinds[firsts[k] : ends[k]] = LETTER
             begins = marks(kinds)
-            stops = np.append(begins[1:], len(codes))
             owner = np.searchsorted(ends, begins)
-            stops = np.minimum(stops, ends[owner])
+            stops = np.minimum(np.append(begins[1:], len(codes)), ends[owner])
             words = list(map(joined.__getitem__, map(slice, begins.tolist(), stops.tolist())))
+            yield words, np.array([i for i, _ in parts[a:b]])[owner]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text; a string of a special token counts as one."""
+        totals = np.zeros(len(texts), np.int64)
+        for words, owners in self.pieces(texts):
             found = list(map(self.words.get, words))
             if None in found:
                 found = [self.count(w) if n is None else n for w, n in zip(words, found, strict=True)]
-            for k, n in enumerate(np.bincount(owner, found, b - a).astype(np.int64).tolist()):
-                totals[parts[a + k][0]] += n
-        return totals
+            totals += np.bincount(owners, found, len(texts)).astype(np.int64)
+        return totals.tolist()
 
 
 @lru_cache(2)
