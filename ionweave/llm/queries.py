@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import bpe, quality_rules, simhash, token_counts, token_files, url_filter
-from ionweave.llm.common import fresh_folder, table
+from ionweave.llm import bpe, quality_model, quality_rules, simhash, token_counts, token_files, url_filter
+from ionweave.llm.common import fresh_folder, held_out, table
 
 #: A document with more tokens than this doesn't fit a training window.
 TOKEN_LIMIT = 1024
@@ -25,6 +25,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; labels of held-out rows are not learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    vectors, network = quality_model.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    predicted = (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted")
+    return quality_model.score(docs, vectors, network).select("doc_id", held_out().alias("held_out"), "score", predicted)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is over the limit."""
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -99,6 +107,7 @@ FROM named LEFT JOIN listed ON canon = listed_url
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
