@@ -43,7 +43,8 @@ class Bpe:
         if split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("the pre-tokenizer has to keep the matches of its pattern and nothing else")
         # the same pattern for the standard library's engine, which is faster; and for ASCII texts
-        pattern = split["pattern"]["Regex"]
+        # runs of letters go first: they are the most frequent, and no other alternative begins with a letter
+        pattern = "|".join(sorted(split["pattern"]["Regex"].split("|"), key=lambda p: p != r"[\p{L}]+"))
         self.find = re.compile(self._spelled(pattern, char_set("L"), char_set("N"), WHITE_SPACE)).findall
         self.find_ascii = re.compile(self._spelled(pattern, "A-Za-z", "0-9", ASCII_SPACE)).findall
         new = [c for a, b in code_points("L") for c in range(a, b + 1) if unicodedata.category(chr(c)) == "Cn"]
@@ -59,7 +60,8 @@ class Bpe:
         self.letters = byte_letters()
         self.specials = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
-        self.strings = {i: s for s, i in [*self.vocab.items(), *self.specials.items()]}
+        strings = {i: s for s, i in [*self.vocab.items(), *self.specials.items()]}
+        self.strings = pa.array([strings.get(i) for i in range(max(strings) + 1)])
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -93,15 +95,6 @@ class Bpe:
                 heapq.heappush(queue, (m[0], k, m[1]))
         return [i for i in ids if i >= 0]
 
-    def _word(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = np.array(self.merge(word), np.int32).tobytes()
-        if len(self.words) >= self.MOST_WORDS:
-            self.older, self.words = self.words, {}
-        self.words[word] = found
-        return found
-
     def _plain(self, text: str) -> bytes:
         if text.isascii():
             words = self.find_ascii(text.lower() if self.small else text)
@@ -115,10 +108,14 @@ class Bpe:
             if self.small:  # letter by letter: no rule for a sigma at a word's end
                 text = text.replace("Σ", "σ").lower()
             words = self.find(text)
-        found = list(map(self.words.get, words))
-        if None in found:
-            found = [f if f is not None else self.words.get(w) or self._word(w) for f, w in zip(found, words, strict=True)]
-        return b"".join(found)
+        known = self.words
+        if len(known) >= self.MOST_WORDS:
+            self.older, self.words = known, {}
+            known = self.words
+        for word in set(words).difference(known):
+            found = self.older.get(word)
+            known[word] = np.array(self.merge(word), np.int32).tobytes() if found is None else found
+        return b"".join(map(known.__getitem__, words))
 
     def encode(self, text: str) -> np.ndarray:
         """The token ids of a text."""
@@ -129,9 +126,11 @@ class Bpe:
         parts.append(self._plain(text[at:] if at else text))
         return np.frombuffer(b"".join(parts), np.int32)
 
-    def decode(self, ids) -> str:
-        """The vocabulary strings of token ids, a blank between them."""
-        return " ".join(map(self.strings.__getitem__, ids))
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The vocabulary strings of each list of token ids, a blank between them."""
+        flat = ids.flatten()
+        offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), self.strings.take(flat)), " ")
 
 
 @lru_cache(2)
@@ -180,8 +179,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             sizes = [4 * (n or 0) + 50 for n in pc.list_value_length(column).to_pylist()]
             for a, b in blocks([3 * n for n in sizes]):
                 part = column.slice(a, b - a)
-                texts = map(bpe.decode, (x or () for x in part.to_pylist()))
-                yield [batch.column("doc_id").slice(a, b - a), part, list(texts)]
+                yield [batch.column("doc_id").slice(a, b - a), part, bpe.decode(part)]
 
         return apply
 

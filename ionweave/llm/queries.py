@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import bpe, quality_model, quality_rules, simhash, token_counts, token_files, url_filter
+from ionweave.llm import bpe, pii, quality_model, quality_rules, simhash, token_counts, token_files, url_filter
 from ionweave.llm.common import fresh_folder, held_out, table
 
 #: A document with more tokens than this doesn't fit a training window.
@@ -44,6 +44,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates, and how many entities were replaced."""
+    replaced = pii.replace(table(spark, sf_dir, "documents"))
+    return replaced.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint of three-word shingles and the least id of its component."""
     found = simhash.classes(table(spark, sf_dir, "documents"), size=3)
@@ -110,6 +116,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
     "op10_url_filter": op10_url_filter,
