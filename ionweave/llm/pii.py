@@ -276,3 +276,23 @@ def collisions(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     found = by_batch(docs, ["text"], out, "type string, entity string, surrogate string", make)
     grouped = found.distinct().groupBy("type", "surrogate").agg(F.count_distinct("entity").alias("entities"))
     return grouped.where("entities > 1")
+
+
+def replace_in(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+    """The rows of ``docs`` with all their columns; texts, and ``n_chars`` where it is there, are new."""
+    counted = "n_chars" in docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surrogates = Surrogates(key)
+        for batch in batches:
+            texts = [None if t is None else rewrite(t, surrogates)[0] for t in batch.column("text").to_pylist()]
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            if counted:  # null stays null; a count that is there is the new text's
+                at = batch.schema.get_field_index("n_chars")
+                field, old = batch.schema.field(at), batch.column("n_chars").to_pylist()
+                new = [o if o is None or t is None else len(t) for o, t in zip(old, texts, strict=True)]
+                batch = batch.set_column(at, field, pa.array(new, field.type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -250,3 +250,15 @@ def score(docs: DataFrame, table: np.ndarray, network: Network) -> DataFrame:
         return apply
 
     return by_batch(docs, ["doc_id", "text"], out, "doc_id long, score double", make)
+
+
+def keep_good(docs: DataFrame, table: np.ndarray, network: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast((table, network))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, net = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(net.score(pool(texts_of(batch), vectors)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import bpe, pii, quality_model, quality_rules, simhash, token_counts, token_files, url_filter
+from ionweave.llm import bpe, decontaminate, lm_score, pii, quality_model, quality_rules, simhash, token_counts, token_files, url_filter
 from ionweave.llm.common import fresh_folder, held_out, table
 
 #: A document with more tokens than this doesn't fit a training window.
@@ -33,12 +33,25 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, vectors, network).select("doc_id", held_out().alias("held_out"), "score", predicted)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's losses under the models of good documents and of all, and their difference."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    marked = docs.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("target", F.col("good_id").isNotNull())
+    return lm_score.score(docs, lm_score.train(marked))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is over the limit."""
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that holds a benchmark item, with the item and what shows it."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition figures and the verdict of every document."""
     return quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
@@ -114,7 +127,9 @@ FROM named LEFT JOIN listed ON canon = listed_url
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_lm_score": op3_lm_score,
     "op4_token_counts": op4_token_counts,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
