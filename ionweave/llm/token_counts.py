@@ -286,7 +286,7 @@ class CountTransducer:
             begins = marks(kinds)
             owner = np.searchsorted(ends, begins)
             stops = np.minimum(np.append(begins[1:], len(codes)), ends[owner])
-            words = list(map(joined.__getitem__, map(slice, begins.tolist(), stops.tolist())))
+            words = [joined[x:y] for x, y in zip(begins.tolist(), stops.tolist())]
             yield words, np.array([i for i, _ in parts[a:b]])[owner]
 
     def counts(self, texts: list[str]) -> list[int]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -38,7 +39,8 @@ SHARD_BYTES, SHARD_ROWS = 256 << 20, 512
 class Encoder:
     """Ids by the tokenizers library, which is asked once for each pre-token that is new to it."""
 
-    MOST_WORDS = 250_000
+    #: Words in each of the two generations that a worker remembers.
+    MOST_WORDS = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,21 +49,36 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = {2: "H", 4: "I"}[np.dtype(self.type).itemsize]
         self.splitter = token_counts.transducer(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Put words into the young generation, by the old one or by the library."""
+        if len(self.words) > self.MOST_WORDS:
+            self.older, self.words = self.words, {}
+        old, young = self.older, self.words
+        new = []
+        for w in words:
+            if (ids := old.get(w)) is None:
+                new.append(w)
+            else:
+                young[w] = ids
+        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            young[w] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
         """All ids one after the other, and how many each text has."""
         parts, totals = [], np.zeros(len(texts), np.int64)
         width = np.dtype(self.type).itemsize
         for words, owners in self.splitter.pieces(texts):
-            if len(self.words) > self.MOST_WORDS:
-                self.words.clear()
-            known = self.words
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.type).tobytes()
-            found = list(map(known.__getitem__, words))
+            found = list(map(self.words.get, words))
+            if None in found:
+                self._learn(list({w for w, ids in zip(words, found, strict=True) if ids is None}))
+                # where the generation has just turned, words of this block may be in the old one
+                young, old = self.words, self.older
+                found = [ids if ids is not None else young.get(w) or old[w] for w, ids in zip(words, found, strict=True)]
             totals += np.bincount(owners, list(map(len, found)), len(texts)).astype(np.int64) // width
             parts += found
         return np.frombuffer(b"".join(parts), self.type), totals.tolist()
