@@ -2,10 +2,354 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ionweave import constants as K
+from ionweave.functions import peptide as P
+from ionweave.functions import spectrum as S
+from ionweave.operators import evolve, graph, model
+from ionweave.operators import relational as R
+from ionweave.plans.rescoring import valid
+from ionweave.plans.views import peaks, psms, slots, sql, table, vector_pairs, word_peptides
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+#: Wide enough that the views, which are not spectra, have matches.
+VIEW_PPM = 2000.0
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums may differ in their last digits; ``+ 0.0`` makes -0 to 0."""
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})
 
 
 def flagship(spark, sf_dir):
     """The query that ``entry`` runs."""
-    return QUERIES["nearest_peak_join"](spark, sf_dir)
+    return nearest_peak_join(spark, sf_dir)
+
+
+@query(sql("SELECT psm, raw, peptide FROM psms"))
+def peptide_normalize(spark, d):
+    return psms(spark, d).select("psm", "raw", "peptide")
+
+
+_WORDS = """words AS (SELECT DISTINCT unnest(regexp_extract_all(upper(regexp_replace(text, '[^A-Za-z ]', '', 'g')), '[ADEFGHIKMNPQRSTVWY]{2,30}')) AS peptide FROM documents),
+coded AS (SELECT peptide, i, code, mass FROM (SELECT peptide, unnest(t) AS residue, unnest(range(1, len(t) + 1)) AS i FROM (SELECT peptide, string_split(peptide, '') AS t FROM words)) JOIN residues USING (residue))"""
+
+
+@query(sql("SELECT peptide, count(*) AS n_residues, string_agg(code::VARCHAR, ' ' ORDER BY i) AS codes, peptide AS spelled FROM coded GROUP BY peptide", _WORDS))
+def peptide_tokenize(spark, d):
+    coded = word_peptides(spark, d).withColumn("c", P.codes(F.col("peptide")))
+    return coded.select("peptide", F.size("c").cast("long").alias("n_residues"), F.array_join(F.col("c").cast("array<string>"), " ").alias("codes"), P.spell(F.col("c")).alias("spelled"))
+
+
+@query(sql(f"SELECT peptide, round(sum(mass) + {K.WATER!r}, 6) AS mass FROM coded GROUP BY peptide", _WORDS))
+def peptide_mass(spark, d):
+    return rounded(word_peptides(spark, d).select("peptide", P.mass(F.col("peptide")).alias("mass")), "mass")
+
+
+_VALID = rf"""SELECT psm, coalesce(n_residues, 31) AS n_residues, n_residues IS NOT NULL AND charge <= 6 AND n_residues <= 30 AS mgf_valid,
+    n_residues IS NOT NULL AND charge <= 6 AND n_residues > 1 AND n_residues <= 30 AS csv_valid,
+    CASE WHEN n_residues IS NOT NULL AND charge <= 6 AND n_residues <= 30 THEN 0.0::DOUBLE ELSE '-infinity'::DOUBLE END AS score
+FROM (SELECT psm, charge, CASE WHEN regexp_matches(replace(raw, 'L', 'I'), '^[ACDEFGHIKMNPQRSTVWYZ]*$') THEN CAST(length(raw) AS INTEGER) END AS n_residues FROM psms)"""
+
+
+@query(sql(_VALID))
+def psm_validity(spark, d):
+    n = F.size(P.codes(P.normalize(F.col("raw"))))
+    made = psms(spark, d).withColumn("n_residues", F.when(n >= 0, n))
+    mgf, csv = (valid(F.col("n_residues"), F.col("charge"), style) for style in ("mgf", "csv"))
+    length = F.coalesce("n_residues", F.lit(K.MAX_LENGTH + 1)).alias("n_residues")  # unreadable peptides count as too long
+    return made.select("psm", length, mgf.alias("mgf_valid"), csv.alias("csv_valid"), F.when(mgf, 0.0).otherwise(float("-inf")).alias("score"))
+
+
+@query(sql("SELECT psm, slot, round(tmz, 6) AS mz FROM slots"))
+def fragment_ladder(spark, d):
+    return rounded(slots(spark, d).select("psm", "slot", F.col("tmz").alias("mz")), "mz")
+
+
+@query(sql("SELECT scan, bin, intensity FROM (SELECT scan, bin, sum(intensity) AS intensity, max(bin) OVER (PARTITION BY scan) AS top FROM (SELECT scan, CAST(least(floor(mz), 2001) AS INTEGER) AS bin, intensity FROM peaks) GROUP BY scan, bin) WHERE bin < top AND bin < 2000"))
+def peak_binning(spark, d):
+    return R.histogram(peaks(spark, d))
+
+
+_SPECTRA = "spectra AS (SELECT *, max(intensity) OVER (PARTITION BY scan) AS top, avg(mz) OVER (PARTITION BY scan) AS center FROM peaks)"
+
+
+def _spectra(spark, d):
+    p = peaks(spark, d).groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("pos", "mz", "intensity"))).alias("p"))
+    return p.select("scan", F.transform("p", lambda x: F.struct(x["mz"].alias("mz"), x["intensity"].alias("intensity"))).alias("s"))
+
+
+@query(sql("SELECT scan, count(*) AS n, round(sum(mz * intensity / top), 4) AS moment, round(sum(intensity / top), 6) AS total FROM spectra WHERE intensity / top >= 0.02 GROUP BY scan", _SPECTRA))
+def max_normalize(spark, d):
+    kept = _spectra(spark, d).withColumn("s", S.at_least(S.max_normalize(F.col("s")), 0.02)).select("scan", F.inline("s"))
+    return kept.groupBy("scan").agg(F.count("*").alias("n"), F.round(F.sum(F.col("mz") * F.col("intensity")), 4).alias("moment"), F.round(F.sum("intensity"), 6).alias("total"))
+
+
+@query(sql("SELECT scan, count(*) AS n FROM peaks WHERE NOT abs(mz - 400.0::DOUBLE) <= 20000.0::DOUBLE * 1e-6::DOUBLE * 400.0::DOUBLE GROUP BY scan"))
+def precursor_filter(spark, d):
+    kept = S.remove_precursor(F.col("s"), F.lit(400.0), 20000.0)
+    return _spectra(spark, d).select("scan", F.size(kept).cast("long").alias("n")).where("n > 0")
+
+
+_OCC = f"""ions AS (SELECT psm, 'b' AS ion, tmz AS mz FROM slots WHERE slot % 6 = 3 UNION ALL SELECT psm, 'y', tmz FROM slots WHERE slot % 6 = 0
+ UNION ALL SELECT psm, unnest(['b', 'b', 'y', 'y']), unnest([1.0::DOUBLE, m - 17, 19.0::DOUBLE, m + 1]) FROM (SELECT DISTINCT psm, whole + {K.WATER!r} AS m FROM sums))"""
+
+
+@query(sql("SELECT DISTINCT psm, ion, CAST(least(floor(mz), 2001) AS INTEGER) AS bin FROM ions WHERE floor(mz) > 0 AND floor(mz) < 2000", _OCC))
+def occupancy_profile(spark, d):
+    p = psms(spark, d).withColumns({"l": P.ladder(F.col("peptide"), F.col("charge")), "m": P.mass(F.col("peptide"))}).where(F.size(P.tokens(F.col("peptide"))) > 0)
+    parts = [p.select("psm", F.lit(i).alias("ion"), F.explode(S.occupied_bins(F.col("l"), i, F.col("m"))).alias("bin")) for i in ("b", "y")]
+    return parts[0].unionByName(parts[1])
+
+
+_J1 = f"""near AS (SELECT scan, psm, slot, mz, intensity, row_number() OVER (PARTITION BY psm, slot ORDER BY abs(tmz - mz), pos) AS r
+ FROM slots JOIN peaks USING (scan) WHERE 1e6 * abs(tmz - mz) <= {VIEW_PPM} * tmz),
+common AS (SELECT s.scan, s.psm, s.slot, s.tmz, s.tint, coalesce(n.mz, 0) AS emz, coalesce(n.intensity, 0) AS eint FROM slots s LEFT JOIN near n ON s.psm = n.psm AND s.slot = n.slot AND n.r = 1)"""
+
+
+@query(sql("SELECT psm, slot, round(tmz, 6) AS tmz, tint, round(emz, 6) AS emz, eint FROM common", _J1))
+def nearest_peak_join(spark, d):
+    return rounded(R.nearest_peaks(slots(spark, d), peaks(spark, d), ["psm"], VIEW_PPM).drop("scan"), "tmz", "emz")
+
+
+def _counting_sql() -> str:
+    ions = {"": "true", "_b": "slot % 6 > 2", "_y": "slot % 6 <= 2"}
+    t, e = "tint > 0", "eint > 0"
+    groups = {"exp_theo": f"{t} AND {e}", "exp_notTheo": f"tmz > 0 AND NOT {t} AND {e}", "notExp_theo": f"{t} AND NOT {e}", "exp": e}
+    out = []
+    for g, p in groups.items():
+        for k, i in ions.items():
+            n = f"count(*) FILTER ({p} AND {i})::DOUBLE"
+            out.append(f"{n} AS num_{g}{k}")
+            out.append(f"round(coalesce({n} * {2 if k else 1} / nullif(count(*) FILTER (tmz > 0), 0), 0), 6) AS rel_{g}{k}")
+            if g != "exp":
+                out.append(f"round(coalesce({n} / nullif(count(*) FILTER ({t} AND {i}), 0), 0), 6) AS rel2theo_{g}{k}")
+    return f"SELECT psm, {', '.join(out)} FROM common GROUP BY psm"
+
+
+@query(sql(_counting_sql(), _J1))
+def counting_features(spark, d):
+    found = R.counting_features(R.nearest_peaks(slots(spark, d), peaks(spark, d), ["psm"], VIEW_PPM), ["psm"])
+    return rounded(found, *(c for c in found.columns if c.startswith("rel")))
+
+
+@query(sql("""SELECT vec_id, round(1 - 2 * acos(least(coalesce(sum(raw_obs * raw_pred) FILTER ("case" = 'all') / nullif(nn, 0), 0), 1)) / pi(), 6) AS sa_all,
+ round(1 - 2 * acos(least(coalesce(sum(raw_obs * raw_pred) FILTER ("case" = 'b') / nullif(nn, 0), 0), 1)) / pi(), 6) AS sa_b,
+ round(1 - 2 * acos(least(coalesce(sum(raw_obs * raw_pred) FILTER ("case" = 'y') / nullif(nn, 0), 0), 1)) / pi(), 6) AS sa_y
+FROM cases JOIN (SELECT vec_id, sqrt(sum(raw_obs ** 2)) * sqrt(sum(raw_pred ** 2)) AS nn FROM cases WHERE "case" = 'all' GROUP BY vec_id) USING (vec_id) GROUP BY vec_id, nn"""))
+def spectral_angle(spark, d):
+    return rounded(R.spectral_angle(vector_pairs(spark, d), "vec_id"), "sa_all", "sa_b", "sa_y")
+
+
+def _corr(x: str, y: str) -> str:
+    return f"CASE WHEN count(*) > 2 AND var_pop({x}) > 1e-14 AND var_pop({y}) > 1e-14 THEN round(corr({x}, {y}), 6) ELSE 0 END"
+
+
+@query(sql(f"""SELECT vec_id, "case", {_corr('raw_obs', 'raw_pred')} AS pearson, {_corr('log2(raw_obs + 1e-7)', 'log2(raw_pred + 1e-7)')} AS pearson_log FROM cases GROUP BY vec_id, "case" """))
+def pearson(spark, d):
+    return rounded(R.pearson(vector_pairs(spark, d), "vec_id"), "pearson", "pearson_log")
+
+
+@query(sql(f"""SELECT vec_id, "case", {_corr('ro', 'rp')} AS spearman FROM (SELECT vec_id, "case",
+ rank() OVER (PARTITION BY vec_id, "case" ORDER BY raw_obs) + (count(*) OVER (PARTITION BY vec_id, "case", raw_obs) - 1) / 2.0::DOUBLE AS ro,
+ rank() OVER (PARTITION BY vec_id, "case" ORDER BY raw_pred) + (count(*) OVER (PARTITION BY vec_id, "case", raw_pred) - 1) / 2.0::DOUBLE AS rp FROM cases) GROUP BY vec_id, "case" """))
+def spearman(spark, d):
+    return rounded(R.spearman(vector_pairs(spark, d), "vec_id"), "spearman")
+
+
+@query(sql("""SELECT vec_id, "case", round(coalesce(sum(obs * pred) / nullif(sqrt(sum(obs * obs)) * sqrt(sum(pred * pred)), 0), 0), 6) AS cos,
+ CASE WHEN min(obs) <= 0 THEN 0 ELSE round(coalesce(sum(log2(nullif(obs, 0)) * log2(pred)) / nullif(sqrt(sum(log2(nullif(obs, 0)) ** 2)) * sqrt(sum(log2(pred) ** 2)), 0), 0), 6) END AS cos_log
+FROM cases GROUP BY vec_id, "case" """))
+def cosine(spark, d):
+    return rounded(R.cosine(vector_pairs(spark, d), "vec_id"), "cos", "cos_log")
+
+
+@query(sql("""SELECT vec_id, "case", round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std, round(quantile_cont(r, 0.75), 6) AS q75, round(quantile_cont(r, 0.5), 6) AS q50,
+ round(quantile_cont(r, 0.25), 6) AS q25, round(min(r), 6) AS min, round(max(r), 6) AS max, round(avg((obs - pred) ** 2), 6) AS mse, round(sum(obs * pred), 6) AS dot
+FROM (SELECT *, abs(obs - avg(pred) OVER (PARTITION BY vec_id, "case")) AS r FROM cases) GROUP BY vec_id, "case" """))
+def residual_stats(spark, d):
+    return rounded(R.residual_stats(vector_pairs(spark, d), "vec_id"), *K.STATS)
+
+
+_CHANGES = "changes AS (SELECT vec_id, slot, p, CASE WHEN slot % 2 = 1 THEN 1 - p ELSE p END AS c FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS slot, 1 / (1 + exp(-10 * unnest(embedding)::DOUBLE)) AS p FROM embeddings))"
+
+
+@query(sql(f"SELECT vec_id, {', '.join(f'count(*) FILTER (c > {t}::DOUBLE) AS gt_{int(t * 100)}' for t in K.CHANGE_THRESHOLDS)}, count(*) FILTER (p > 0.35::DOUBLE) AS kept FROM changes GROUP BY vec_id", _CHANGES))
+def change_counts(spark, d):
+    p = F.transform("embedding", lambda x: S.sigmoid(x.cast("double") * 10))
+    made = table(spark, d, "embeddings").withColumn("p", p).withColumn("c", F.transform("p", lambda x, i: S.change(x, i % 2 == 1)))
+    over = lambda c, t: F.size(F.filter(c, lambda x: x > t)).cast("long")
+    return made.select("vec_id", *(over("c", t).alias(f"gt_{int(t * 100)}") for t in K.CHANGE_THRESHOLDS), over("p", 0.35).alias("kept"))
+
+
+_BINS = """bins AS (SELECT scan, CAST(least(floor(mz), 2001) AS INTEGER) AS bin, pos % 2 AS ion, intensity / 100 AS p, 2001 AS target FROM peaks),
+merged AS (SELECT scan, bin, p FROM bins WHERE ion = 0 UNION ALL SELECT scan, target - bin + 1, p FROM bins WHERE ion = 1)"""
+
+
+def _merged(spark, d, how):
+    b = peaks(spark, d).select("scan", S.bin_of(F.col("mz")).alias("bin"), "pos", (F.col("intensity") / 100).alias("p"), F.lit(2001).alias("target"))
+    return R.merge_bins(b.where("pos % 2 = 0"), b.where("pos % 2 = 1"), how)
+
+
+@query(sql("SELECT scan, bin, round(avg(p), 6) AS p FROM merged GROUP BY scan, bin", _BINS))
+def bin_merge_mean(spark, d):
+    return rounded(_merged(spark, d, "mean"), "p")
+
+
+@query(sql("SELECT scan, bin, round(max(p), 6) AS p FROM merged GROUP BY scan, bin", _BINS))
+def bin_merge_max(spark, d):
+    return rounded(_merged(spark, d, "max"), "p")
+
+
+_STEPS = list(K.residue_bins())
+_EDGES = f"nodes AS (SELECT DISTINCT scan, CAST(least(floor(mz), 2001) AS INTEGER) AS bin FROM peaks), edges AS (SELECT a.scan, a.bin AS u, b.bin AS v, b.bin - a.bin AS step FROM nodes a JOIN nodes b ON a.scan = b.scan AND b.bin - a.bin IN ({', '.join(map(str, _STEPS))}))"
+
+
+def _nodes(spark, d):
+    return peaks(spark, d).select("scan", S.bin_of(F.col("mz")).alias("bin")).distinct()
+
+
+@query(sql("SELECT scan, u, v, step FROM edges", _EDGES))
+def graph_edges(spark, d):
+    return R.graph_edges(_nodes(spark, d), _STEPS)
+
+
+@query(sql("SELECT scan, bin FROM reach", _EDGES + ", reach AS (SELECT scan, max(bin) AS bin FROM nodes GROUP BY scan UNION SELECT e.scan, e.u FROM reach r JOIN edges e ON e.scan = r.scan AND e.v = r.bin)"))
+def graph_reachability(spark, d):
+    return graph.reachable(_nodes(spark, d), _STEPS)
+
+
+@query()
+def longest_path(spark, d):
+    weighted = peaks(spark, d).select("scan", S.bin_of(F.col("mz")).alias("bin"), (F.col("intensity") / 100).alias("p"))
+    return graph.longest_paths(weighted.groupBy("scan", "bin").agg(F.max("p").alias("p")), _STEPS, source=None)
+
+
+@query()
+def graph_walk(spark, d):
+    weighted = peaks(spark, d).select("scan", S.bin_of(F.col("mz")).alias("bin"), (F.col("intensity") / 100).alias("p"))
+    return graph.walks(weighted.groupBy("scan", "bin").agg(F.max("p").alias("p")), _STEPS, paths=5, source=None)
+
+
+def _scores(spark, d):
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("scan"), F.col("o_orderkey").alias("candidate"), F.col("o_totalprice").alias("score"))
+
+
+_SCORES = "scores AS (SELECT o_custkey AS scan, o_orderkey AS candidate, o_totalprice AS score FROM orders)"
+
+
+@query(sql("SELECT scan, candidate, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scan ORDER BY score DESC, candidate) AS INTEGER) AS rank FROM scores) WHERE rank <= 19", _SCORES))
+def elite_topk(spark, d):
+    return R.top_k(_scores(spark, d), "scan", [F.desc("score"), F.asc("candidate")], 19)
+
+
+_BEST = _SCORES + ", best AS (SELECT scan, candidate, score FROM scores QUALIFY row_number() OVER (PARTITION BY scan ORDER BY score DESC, candidate) = 1)"
+
+
+@query(sql("SELECT scan, candidate, score FROM best", _BEST))
+def best_per_scan(spark, d):
+    return R.best_by(_scores(spark, d), "scan", "score", "candidate")
+
+
+@query(sql("SELECT scan, candidate, round(e / sum(e) OVER (PARTITION BY scan), 6) AS weight FROM (SELECT *, exp((score - max(score) OVER (PARTITION BY scan)) / 10000) AS e FROM scores)", _SCORES))
+def softmax_weights(spark, d):
+    return rounded(R.softmax(_scores(spark, d), "scan", "score", 10000.0).select("scan", "candidate", "weight"), "weight")
+
+
+@query(sql("SELECT c_custkey AS scan, coalesce(candidate, -1) AS candidate, coalesce(score, c_acctbal) AS score FROM customer LEFT JOIN best ON scan = c_custkey", _BEST))
+def ea_result_coalesce(spark, d):
+    init = table(spark, d, "customer").select(F.col("c_custkey").alias("scan"), F.lit(-1).cast("long").alias("candidate"), F.col("c_acctbal").alias("score"))
+    return evolve.with_initial(R.best_by(_scores(spark, d), "scan", "score", "candidate"), init)
+
+
+@query(sql("SELECT scan, candidate, score FROM scores s WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = s.candidate)", _SCORES))
+def cache_misses(spark, d):
+    known = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("candidate"))
+    return _scores(spark, d).join(known, "candidate", "left_anti")
+
+
+_NAMES = [r for r in K.RESIDUES if r != "L"]
+_LOOKUP = """names AS (SELECT residue AS r, mass AS m, code AS c FROM residues WHERE residue <> 'L'),
+lookup AS (SELECT r AS candidate, m AS mass FROM names UNION ALL SELECT a.r || b.r, a.m + b.m FROM names a JOIN names b ON a.c <= b.c
+ UNION ALL SELECT a.r || b.r || c.r, a.m + b.m + c.m FROM names a JOIN names b ON a.c <= b.c JOIN names c ON b.c <= c.c),
+firsts AS (SELECT psm, any_value(r1) || any_value(r2) AS own, sum(mass) AS m FROM (SELECT psm, mass, min(code) OVER (PARTITION BY psm) AS lo, max(code) OVER (PARTITION BY psm) AS hi FROM toks JOIN residues USING (residue) WHERE i <= 2 AND n >= 2)
+ JOIN (SELECT code AS lo, residue AS r1 FROM residues) USING (lo) JOIN (SELECT code AS hi, residue AS r2 FROM residues) USING (hi) GROUP BY psm)"""
+
+
+@query(sql("SELECT psm, own, candidate, round(mass, 6) AS mass FROM firsts, lookup WHERE mass BETWEEN m - 0.02::DOUBLE AND m + 0.02::DOUBLE AND candidate <> own", _LOOKUP))
+def mass_range_join(spark, d):
+    two = F.slice(P.codes(F.col("peptide")), 1, 2)
+    chosen = psms(spark, d).where(F.size(two) == 2).select("psm", P.spell(F.array_sort(two)).alias("own"), P.total(P.residue_masses(P.spell(two))).alias("m"))
+    found = R.mass_range_join(chosen.select("psm", "own", (F.col("m") - 0.02).alias("low"), (F.col("m") + 0.02).alias("high")), R.lookup_table(spark), "m")
+    return rounded(found.select("psm", "own", "candidate", "mass"), "mass")
+
+
+@query("SELECT l_suppkey AS scan, l_partkey AS candidate, count(*) AS n FROM lineitem GROUP BY ALL")
+def population_unique_count(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("scan"), F.col("l_partkey").alias("candidate")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey AS scan, l_linenumber AS candidate, CAST(unnest(range(1, CAST(l_quantity AS INTEGER) + 1)) AS INTEGER) AS copy FROM lineitem")
+def expand_by_count(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scan"), F.col("l_linenumber").alias("candidate"), "l_quantity")
+    return R.expand(rows, "l_quantity").select("scan", "candidate", "copy")
+
+
+@query("SELECT o_orderstatus, round(1 - sum((y - p) ** 2) / sum((y - m) ** 2), 6) AS r2, round(avg((y - p) ** 2) / 1e6, 3) AS mse FROM (SELECT o_orderstatus, o_totalprice AS y, o_orderkey::DOUBLE AS p, avg(o_totalprice) OVER (PARTITION BY o_orderstatus) AS m FROM orders) GROUP BY o_orderstatus")
+def regression_metrics(spark, d):
+    rows = table(spark, d, "orders").select("o_orderstatus", F.col("o_totalprice").alias("y"), F.col("o_orderkey").cast("double").alias("p"))
+    return model.metrics(rows, "y", "p", ["o_orderstatus"]).select("o_orderstatus", F.round("r2", 6).alias("r2"), F.round(F.col("mse") / 1e6, 3).alias("mse"))
+
+
+@query(sql("SELECT a.psm, b.psm AS other, levenshtein(replace(a.peptide, 'C[UNIMOD:4]', 'C'), replace(b.peptide, 'C[UNIMOD:4]', 'C'))::INTEGER AS distance FROM psms a JOIN psms b ON b.psm = a.psm + 1"))
+def residue_distance(spark, d):
+    a = psms(spark, d).select("psm", "peptide")
+    b = a.select((F.col("psm") - 1).alias("psm"), F.col("psm").alias("other"), F.col("peptide").alias("next"))
+    return a.join(b, "psm").select("psm", "other", P.residue_distance(F.col("peptide"), F.col("next")).alias("distance"))
+
+
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 3)))::DECIMAL(12,3)::DOUBLE AS total, len(embedding)::INTEGER AS n FROM embeddings")
+def float_list_parse(spark, d):
+    text = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: F.format_string("%.3f", F.round(x.cast("double"), 3))), ", "), F.lit("]"))
+    made = table(spark, d, "embeddings").select("vec_id", P.float_list(text).alias("x"))
+    return made.select("vec_id", F.round(P.total(F.col("x")), 3).alias("total"), F.size("x").alias("n"))
+
+
+@query()
+def random_subset(spark, d):
+    return evolve.random_subset(psms(spark, d), "psm", 200)
+
+
+@query()
+def mutation_population(spark, d):
+    p = psms(spark, d).select(F.col("psm").cast("string").alias("scan"), "peptide", F.lit(1500.0).alias("precursor"))
+    return evolve.initial_population(p, R.lookup_table(spark), size=64)
+
+
+@query()
+def scorer_train(spark, d):
+    features = R.counting_features(R.nearest_peaks(slots(spark, d), peaks(spark, d), ["psm"], VIEW_PPM), ["psm"])
+    names = [c for c in features.columns if c != "psm"]
+    rows = features.withColumn("target", F.ln(F.lit(1.0) + F.col("num_exp")))
+    return model.Scorer.train(rows, names, "target", kind="forest", trees=10, depth=5).predict(rows).select("psm", "score")
+
+
+@query()
+def binreclass_infer(spark, d):
+    p = psms(spark, d).withColumns({"l": P.ladder(F.col("peptide"), F.col("charge")), "m": P.mass(F.col("peptide"))})
+    p = p.select(F.col("psm").alias("scan"), S.occupied_bins(F.col("l"), "y", F.col("m")).alias("y_bins"), S.occupied_bins(F.col("l"), "b", F.col("m")).alias("b_bins"), F.col("l"))
+    rows = p.withColumn("mzs", F.transform("l", lambda s: s["mz"])).withColumn("ints", F.transform("l", lambda s: F.lit(1.0)))
+    return model.reclassify(rows.drop("l").repartition(8), model.Network.random(channels=4, width=4, convs=1))
