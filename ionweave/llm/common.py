@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,8 +20,20 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
 
 
+#: Bytes of an Arrow batch that Spark sends to Python: with long texts ten thousand rows would be too many.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, whatever the length of the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key))) != ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, by any path that Spark can read."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -72,6 +85,7 @@ def by_batch(
                     [a if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(arrays, out, strict=True)], schema=out
                 )
 
+    small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, ddl)
 
 

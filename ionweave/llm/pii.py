@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import blocks, by_batch, texts_of
+from ionweave.llm.common import blocks, by_batch, small_batches, texts_of
 
 #: Given names by gender, titles by gender.
 MALE = ("Adam", "Carlos", "David", "Erik", "Hans", "Jean", "John", "Luis", "Marc", "Paul", "Peter", "Thomas")
@@ -280,6 +280,7 @@ def collisions(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
 
 def replace_in(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """The rows of ``docs`` with all their columns; texts, and ``n_chars`` where it is there, are new."""
+    small_batches(docs.sparkSession)
     counted = "n_chars" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
         return found
@@ -211,22 +211,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABEL_ROWS) -> tuple[n
     named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     sample = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    out = pa.schema([("doc_id", pa.int64()), ("quality", pa.float64()), ("x", pa.list_(pa.float64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("quality", pa.float64()), ("x", pa.binary())])
 
     def make():
         def apply(batch):
             texts = texts_of(batch)
             for a, b in blocks([len(t) + 2000 for t in texts]):
-                x = list(pool(texts[a:b], shared.value))
+                x = [row.astype(np.float32).tobytes() for row in pool(texts[a:b], shared.value)]
                 yield [batch.column("doc_id").slice(a, b - a), batch.column("quality").slice(a, b - a), x]
 
         return apply
 
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # `most` rows at most
-    pooled = by_batch(known, ["doc_id", "text", "quality"], out, "doc_id long, quality double, x array<double>", make)
+    pooled = by_batch(known, ["doc_id", "text", "quality"], out, "doc_id long, quality double, x binary", make)
     first = pooled.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r"))  # repeated rows of an id: one
     rows = sorted((r.doc_id, r.r.x, r.r.quality) for r in first.collect())
-    x = np.array([r[1] for r in rows]).reshape(-1, 2 * DIM + 3)
+    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float32).reshape(-1, 2 * DIM + 3).astype(float)
     return table, fit(x, np.array([r[2] for r in rows]) >= 0.5)
 
 
