@@ -143,9 +143,9 @@ def test_graph_path_and_fallback():
     bins = np.array([19, 19 + 57, 19 + 57 + 71, 400])
     kept, edges = graph.transitions(bins[:3], np.ones(3), steps)
     path, score = graph.best_path(kept, edges)
-    assert path == [19, 76, 147] and score == pytest.approx(2.0) and graph.spell(path) == "AG"
+    assert path == [19, 76, 147] and score == pytest.approx(1.5) and graph.spell(path) == "AG"
     assert list(graph.transitions(bins, np.ones(4), steps)[0]) == [400]
-    assert graph.random_walks(kept, edges, 3, np.random.default_rng(0)) == [path] * 3
+    assert all(w in ([19, 147], path) for w in graph.random_walks(kept, edges, 9, np.random.default_rng(0)))
     assert K.residue_bins()[128] == ["K", "Q"] and K.residue_bins()[147] == ["F", "M[UNIMOD:35]"]
 
 
