@@ -6,7 +6,8 @@ some segment differs in fewer, so that one fingerprint's table entry lies in a s
 ball around the other's segment. Of two segments that differ in one bit one has a 0 there and
 the other a 1, so it is enough to enumerate the flips from 0 to 1.
 
-``links`` is exact. ``near_pairs`` looks for looser neighbours, whose texts are compared then.
+``links`` is exact. ``near_groups`` is exact too: it finds texts whose shingles are similar by the
+rarest of their shingles, without fingerprints.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import blocks, by_batch, cut, texts_of
+from ionweave.llm.common import blocks, by_batch, cut, row_of, small_batches, summed, texts_of
 
 SEED = 42
 #: Features of a text whose bits are counted at a time.
@@ -166,115 +167,195 @@ def classes(docs: DataFrame, size: int = 3) -> DataFrame:
 
 #: Words of a shingle and least Jaccard similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Segments of the 128-bit fingerprint, and the most differing bits of a candidate pair.
-SEGMENTS, MOST_BITS = 4, 24
+#: Cells in which shingles are counted to set their order. Any order gives the same pairs; with more cells there are fewer candidates.
+ORDER_CELLS, ORDER_CHUNK = 1 << 20, 1 << 16
+#: Candidate pairs of an output batch.
+PAIRS = 1 << 16
 
 
-def wide_fingerprint(text: str) -> tuple[int, int]:
-    """The majority of the 128-bit hashes of a text's different words, as two signed longs.
+def shingle_set(text: str) -> np.ndarray:
+    """The different shingles of a text as sorted 64-bit hashes."""
+    return np.unique(shingle_hashes(text, SHINGLE))
 
-    Words, not shingles: at a shingle similarity of 0.8 the sets of words still agree so well
-    that 6 or 7 of 100 bits differ, against 15 for shingles, which no small ball would reach.
+
+def shingle_order(docs: DataFrame) -> np.ndarray:
+    """How often the shingles of each cell occur, over all texts."""
+
+    def count(batches):
+        sums = np.zeros(ORDER_CELLS, np.int64)
+        for batch in batches:
+            for text in texts_of(batch):
+                np.add.at(sums, (shingle_set(text) % ORDER_CELLS).astype(np.int64), 1)
+        for chunk in range(0, ORDER_CELLS, ORDER_CHUNK):
+            yield row_of(chunk, np.minimum(sums[chunk : chunk + ORDER_CHUNK], 1 << 30).astype(np.int32))
+
+    small_batches(docs.sparkSession)
+    parts = docs.select("text").mapInArrow(count, "chunk int, sums binary")
+    found = np.zeros(ORDER_CELLS, np.int32)
+    for r in summed(parts, np.int32, ORDER_CELLS // ORDER_CHUNK).toLocalIterator():
+        found[r.chunk : r.chunk + ORDER_CHUNK] = np.frombuffer(r.sums, np.int32)
+    return found
+
+
+def prefix(tokens: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a text's shingles, so many that texts at ``similarity`` have one of them in common.
+
+    Two sets that agree that well share at least similarity * n of the n shingles of either, so
+    not all of the first n - ceil(similarity * n) + 1 of each, in one order, can be missing in the other.
     """
-    words = set(text.encode("utf-8", "surrogatepass").lower().split())
-    data = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
-    counts = np.zeros(128, np.int64)
-    for i in range(0, len(data), CHUNK):
-        counts += np.unpackbits(data[i : i + CHUNK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    a, b = np.packbits(2 * counts > len(data), bitorder="little").view(np.int64).tolist()
-    return a, b
+    n = len(tokens)
+    size = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    return tokens[np.lexsort((tokens, order[(tokens % ORDER_CELLS).astype(np.int64)]))[:size]]
+
+
+def _close(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can be so similar."""
+    return np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
 
 
-def _tagged(tag: int):
-    return lambda v: v.bitwiseOR(F.lit(tag))
+def _columns(x: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in x.T], names)
 
 
-def candidate_pairs(fps: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of handles of ``fps`` (``h, f0, f1``) that share a bucket and differ in few bits.
+def shared_tokens(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows (``token, h, n, pos``) whose token another row has, with the ``first`` and the ``previous`` handle of it.
 
-    Each segment's value and the values with one bit more are the buckets, dealt out and sorted
-    by bucket and handle. A row meets the first of its bucket and the one before it, so a
-    bucket of n gives fewer than 2n pairs, and a large bucket may be cut anywhere: members of
-    a large group share many buckets, which link its parts.
+    Where the sizes of the two sets are too different, the row's own handle stands there.
     """
-    arrays = []
-    for i in range(SEGMENTS):
-        value = _part(F.col("f0" if i < 2 else "f1"), 32 * (i % 2), 32)
-        own = F.concat(F.array(value), _ball(value, 32))
-        arrays.append(F.transform(own, _tagged(i << 32)))
-    rows = fps.select(F.explode(F.concat(*arrays)).alias("key"), "h", "f0", "f1")
+    names = ["token", "h", "n", "pos", "first", "previous"]
 
     def run(batches):
-        held = None  # the bucket's first row and the last row, from the batch before
+        held = None  # the last row, not yet put out; the first of its token; whether it is not the first
         for batch in batches:
             x = np.column_stack([c.to_numpy() for c in batch.columns])
             if not len(x):
                 continue
+            head = None
             if held is not None:
-                x = np.vstack([held, x])
-            new = np.concatenate([[True], x[1:, 0] != x[:-1, 0]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-            at = np.arange(len(x))
-            pairs = np.vstack([np.column_stack([first, at]), np.column_stack([at[:-1], at[1:]])[~new[1:]]])
-            a, b = x[pairs[:, 0]], x[pairs[:, 1]]
-            bits = np.bitwise_count((a[:, 2:] ^ b[:, 2:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            ok = (bits <= MOST_BITS) & (a[:, 1] != b[:, 1])
-            found = np.unique(np.sort(np.column_stack([a[ok, 1], b[ok, 1]]), axis=1), axis=0)
-            held = x[[first[-1], len(x) - 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "key", "h").sortWithinPartitions("key", "h")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+                x, head = np.vstack([held[0], x]), held
+            same = np.concatenate([[False], x[1:, 0] == x[:-1, 0]])
+            at = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
+            first, previous = x[at], np.vstack([x[:1], x[:-1]])
+            if head is not None:
+                first[at == 0] = head[1]
+                same[0] = head[2]
+                previous[0] = x[0]
+                if head[2]:
+                    previous[0] = head[3]
+            held = x[-1], first[-1], bool(same[-1]), previous[-1]
+            take = np.flatnonzero(same[:-1] | (x[1:, 0] == x[:-1, 0]))
+            yield put(x[take], first[take], previous[take], same[take])
+        if held is not None and held[2]:
+            yield put(*(np.array([v]) for v in (held[0], held[1], held[3], held[2])))
+
+    def put(x, first, previous, same):
+        own = x[:, 1]
+        others = [np.where(same & _close(x[:, 2], y[:, 2], similarity), y[:, 1], own) for y in (first, previous)]
+        return _columns(np.column_stack([x, *others]), names)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "token").sortWithinPartitions("token", "h")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``a < b`` of handles of ``rows`` (``token, c, h, n, pos``) with a token in common and different ``c``.
+
+    Left out are pairs whose sizes, or places of the token, show that they are less similar; the
+    first token that a pair has in common shows that of no pair that is similar enough.
+    """
+
+    def cross(x):
+        stops = np.flatnonzero(np.concatenate([x[1:, 0] != x[:-1, 0], [True]])) + 1
+        end = stops[np.searchsorted(stops, np.arange(len(x)), "right")]
+        runs = np.flatnonzero(np.concatenate([(x[1:, :2] != x[:-1, :2]).any(axis=1), [True]])) + 1
+        to = runs[np.searchsorted(runs, np.arange(len(x)), "right")]  # the first row with another c
+        i, j, found, total = np.arange(len(x)), to, [], 0
+        while True:
+            alive = j < end[i]
+            i, j = i[alive], j[alive]
+            if not len(i):
+                break
+            n, m = x[i, 3], x[j, 3]
+            least = similarity / (1 + similarity) * (n + m) - 1e-9
+            ok = _close(n, m, similarity) & (np.minimum(n - x[i, 4], m - x[j, 4]) >= least)
+            found.append(np.sort(np.column_stack([x[i[ok], 2], x[j[ok], 2]]), axis=1))
+            total += len(found[-1])
+            if total > PAIRS:
+                yield np.unique(np.vstack(found), axis=0)
+                found, total = [], 0
+            j = j + 1
+        if total:
+            yield np.unique(np.vstack(found), axis=0)
+
+    def run(batches):
+        held = []  # rows of the token that is not complete
+        for batch in batches:
+            x = np.column_stack([c.to_numpy() for c in batch.columns])
+            if not len(x):
+                continue
+            last = int(np.searchsorted(x[:, 0], x[-1, 0]))
+            if last or (held and held[-1][-1, 0] != x[0, 0]):
+                for pairs in cross(np.vstack([*held, x[:last]])):
+                    yield _columns(pairs, ["a", "b"])
+                held = []
+            held.append(x[last:])
+        if held:
+            for pairs in cross(np.vstack(held)):
+                yield _columns(pairs, ["a", "b"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("token", "c", "h", "n", "pos").repartition(n, "token").sortWithinPartitions("token", "c")
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _digest():
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("digest")
 
 
-def _shingle_set(texts: DataFrame) -> DataFrame:
-    """``digest, shingles``: the different shingles of a text as sorted 32-bit hashes."""
-    out = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
+def _prefixes(docs: DataFrame, similarity: float) -> DataFrame:
+    """``digest, doc_id, n, tokens``: how many different shingles a text has, and its prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_order(docs))  # of fixed size
+    out = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def make():
+        order = shared.value
+
         def apply(batch):
-            texts_ = texts_of(batch)
-            for a, b in blocks([len(t) + 50 for t in texts_]):
-                sets = [np.unique(shingle_hashes(t, SHINGLE).astype(np.uint32)).tobytes() for t in texts_[a:b]]
-                yield [batch.column("digest").slice(a, b - a), sets]
+            texts = texts_of(batch)
+            for a, b in blocks([2 * len(t) + 50 for t in texts]):
+                sets = [shingle_set(t) for t in texts[a:b]]
+                tokens = [prefix(s, order, similarity).view(np.int64) for s in sets]
+                yield [batch.column("digest").slice(a, b - a), batch.column("doc_id").slice(a, b - a), [len(s) for s in sets], tokens]
 
         return apply
 
-    return by_batch(texts, ["digest", "text"], out, "digest binary, shingles binary", make)
-
+    marked = docs.select("doc_id", "text", _digest())
+    return by_batch(marked, ["digest", "doc_id", "text"], out, "digest binary, doc_id long, n long, tokens array<long>", make)
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``digest, doc_id, keep``: one row for each different text, with the least id that has it.
 
-    ``keep`` is false for a text that is linked to one with a smaller id, over pairs whose
-    five-word shingles have a Jaccard similarity of at least ``similarity``. Exact copies are
-    one text. A null text counts as empty; an id that is null comes after all others.
-    """
-    out = pa.schema([("doc_id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64())])
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """``digest, shingles``: the different shingles of a text."""
+    out = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
 
     def make():
         def apply(batch):
-            found = [wide_fingerprint(t) for t in texts_of(batch)]
-            yield [batch.column("digest"), batch.column("doc_id"), [f[0] for f in found], [f[1] for f in found]]
+            texts_ = texts_of(batch)
+            for a, b in blocks([2 * len(t) + 50 for t in texts_]):
+                yield [batch.column("digest").slice(a, b - a), [shingle_set(t).tobytes() for t in texts_[a:b]]]
 
         return apply
 
-    out = out.insert(0, pa.field("digest", pa.binary()))
-    marked = by_batch(
-        docs.select("doc_id", "text", _digest()), ["digest", "doc_id", "text"], out, "digest binary, doc_id long, f0 long, f1 long", make
-    )
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "f0", "f1")).alias("r")
-    reps = cut(marked.groupBy("digest").agg(least).select("digest", "r.doc_id", "r.f0", "r.f1", F.xxhash64("digest").alias("h")))
-    pairs = cut(candidate_pairs(reps.select("h", "f0", "f1")))
+    return by_batch(texts, ["digest", "text"], out, "digest binary, shingles binary", make)
+
+
+def similar(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: the digests of those ``pairs`` of handles whose shingles are so similar."""
     handles = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    asked = reps.join(handles, "h", "left_semi").select("digest", F.col("doc_id").alias("id"), "h")
-    texts = docs.select("doc_id", "text", _digest()).join(asked, "digest").where(F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = _shingle_set(texts).groupBy("digest").agg(F.min("shingles").alias("shingles"))
+    asked = reps.join(handles, "h", "left_semi").select(F.col("digest").alias("own"), F.col("doc_id").alias("id"))
+    match = (F.col("digest") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    texts = docs.select("doc_id", "text", _digest()).join(asked, match).select("digest", "text")
+    sets = _shingle_sets(texts).groupBy("digest").agg(F.min("shingles").alias("shingles"))
     sets = cut(sets.select("digest", "shingles", F.xxhash64("digest").alias("h")))
     left = sets.select(F.col("h").alias("a"), F.col("digest").alias("x"), F.col("shingles").alias("s"))
     right = sets.select(F.col("h").alias("b"), F.col("digest").alias("y"), F.col("shingles").alias("t"))
@@ -284,13 +365,39 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             x, y, s, t = (batch.column(c).to_pylist() for c in ("x", "y", "s", "t"))
             good = []
             for i, (p, q) in enumerate(zip(s, t, strict=True)):
-                p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 if both and both >= similarity * (len(p) + len(q) - both):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in good], pa.binary()), pa.array([y[i] for i in good], pa.binary())], ["a", "b"])
 
-    edges = cut(pairs.join(left, "a").join(right, "b").select("x", "y", "s", "t").mapInArrow(compare, "a binary, b binary"))
+    return cut(pairs.join(left, "a").join(right, "b").select("x", "y", "s", "t").mapInArrow(compare, "a binary, b binary"))
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``digest, doc_id, keep``: one row for each different text, with the least id that has it.
+
+    ``keep`` is false for a text that is linked to one with a smaller id, over pairs whose
+    five-word shingles have a Jaccard similarity of at least ``similarity``. Exact copies are
+    one text. A null text counts as empty; an id that is null comes after all others.
+
+    The links are exact. Texts that have a shingle of their prefixes in common are candidates: first
+    each with the first and the previous one, so that a large group is joined by few pairs, and
+    then all pairs that these links have not joined.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r")
+    found = _prefixes(docs, similarity).groupBy("digest").agg(least, F.min("n").alias("n"), F.min("tokens").alias("tokens"))
+    found = cut(found.select("digest", "r.doc_id", "n", "tokens", F.xxhash64("digest").alias("h")))
+    reps = found.select("digest", "doc_id", "h")
+    rows = found.select("h", "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = cut(shared_tokens(rows.select("token", "h", "n", F.col("pos").cast("long").alias("pos")), similarity))
+    met = shared.select("h", F.explode(F.array("first", "previous")).alias("o")).where("h <> o")
+    near = cut(met.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct())
+    edges = similar(docs, reps, near, similarity)
+    joined = components(edges).select(F.xxhash64("node").alias("h"), F.xxhash64("root").alias("c"))
+    rest = shared.join(joined, "h", "left").withColumn("c", F.coalesce("c", "h"))
+    rest = cut(pairs_between(rest, similarity).join(near, ["a", "b"], "left_anti"))
+    edges = edges.unionByName(similar(docs, reps, rest, similarity))
     rooted = components(edges).withColumnRenamed("node", "digest")
     named = reps.select("digest", "doc_id").join(rooted, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("r"))

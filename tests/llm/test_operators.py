@@ -183,6 +183,44 @@ def test_near_copies(spark, edges, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def near_copies_by_force(docs):
+    """The ids that stay, from all pairs."""
+    sets = {}
+    for i, t in docs:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j]) if i < j else 0
+            if both and both >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i for i in root if root[i] == i}
+
+
+def test_near_copies_in_crowded_buckets(spark):
+    """Texts of the same words in other orders lie between the copies, whatever a bucket is sorted by."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(60):
+        rng.shuffle(words)
+        docs.append((2 * i, " ".join(words)))
+        docs.append((2 * i + 1, " ".join([*words[:-4], "a", "b", "c", "d"] if i % 2 else [*words, "end"])))
+    template = [" ".join(f"t{rng.randrange(300)}" for _ in range(60)) for _ in range(2)]
+    docs += [(1000 + i, f"{template[i % 2]} {' '.join(f'u{rng.randrange(9)}' for _ in range(8 + i % 9))}") for i in range(80)]
+    rng.shuffle(docs)
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert kept == near_copies_by_force(docs)
+
+
 def test_quality_model(spark, edges, empty):
     rng = random.Random(6)
     good = [" ".join(rng.choice(["the", "of", "and", "river", "stone"]) for _ in range(40)) for _ in range(60)]
