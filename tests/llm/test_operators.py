@@ -221,6 +221,26 @@ def test_near_copies_in_crowded_buckets(spark):
     assert kept == near_copies_by_force(docs)
 
 
+def test_near_copies_of_short_texts(spark):
+    """Texts of 1 to 30 words with a word more or another one, and copies just at 0.8."""
+    rng = random.Random(12)
+    docs = []
+    for size in (1, 3, 5, 8, 10, 20, 30):
+        for _ in range(12):
+            base = [f"s{rng.randrange(10**6)}" for _ in range(size)]
+            other = list(base)
+            other[rng.randrange(size)] = "other"
+            docs += [" ".join(base), " ".join([*base, "more"]), " ".join(["more", *base]), " ".join(other), " ".join(base).upper()]
+    for n in (8, 9, 44):  # shingles of the shorter text, of n / 0.8 of the longer one
+        base = [f"l{rng.randrange(10**6)}" for _ in range(n + 4)]
+        for k in (n // 4, n // 4 + 1):
+            docs += [" ".join(base), " ".join([*base, *(f"m{rng.randrange(10**6)}" for _ in range(k))])]
+    docs = list(enumerate(docs))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_copies(frame).collect()}
+    assert kept == near_copies_by_force(docs)
+
+
 def test_quality_model(spark, edges, empty):
     rng = random.Random(6)
     good = [" ".join(rng.choice(["the", "of", "and", "river", "stone"]) for _ in range(40)) for _ in range(60)]
