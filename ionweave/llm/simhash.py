@@ -169,6 +169,8 @@ def classes(docs: DataFrame, size: int = 3) -> DataFrame:
 SHINGLE, SIMILARITY = 5, 0.8
 #: Cells in which shingles are counted to set their order. Any order gives the same pairs; with more cells there are fewer candidates.
 ORDER_CELLS, ORDER_CHUNK = 1 << 20, 1 << 16
+#: Longs of a text's parities: in each bit, whether an odd number of its shingles fall there.
+PARITIES = 8
 #: Candidate pairs of an output batch.
 PAIRS = 1 << 16
 
@@ -208,6 +210,17 @@ def prefix(tokens: np.ndarray, order: np.ndarray, similarity: float) -> np.ndarr
     return tokens[np.lexsort((tokens, order[(tokens % ORDER_CELLS).astype(np.int64)]))[:size]]
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """The parities of a text. Two texts' differ in no more bits than there are shingles that only one of them has."""
+    found = np.bincount((tokens >> np.uint64(32)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(found.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(n, m, similarity: float):
+    """How many shingles only one of two texts may have, at most, if they are so similar."""
+    return (n + m) * (1 - similarity) / (1 + similarity) + 1e-9
+
+
 def _close(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of these sizes can be so similar."""
     return np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
@@ -259,9 +272,9 @@ def shared_tokens(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``a < b`` of handles of ``rows`` (``token, c, h, n, pos``) with a token in common and different ``c``.
+    """All pairs ``a < b`` of handles of ``rows`` (``token, c, h, n, pos, bits``) with a token in common and different ``c``.
 
-    Left out are pairs whose sizes, or places of the token, show that they are less similar; the
+    Left out are pairs whose sizes, parities or places of the token show that they are less similar; the
     first token that a pair has in common shows that of no pair that is similar enough.
     """
 
@@ -279,7 +292,10 @@ def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
             n, m = x[i, 3], x[j, 3]
             least = similarity / (1 + similarity) * (n + m) - 1e-9
             ok = _close(n, m, similarity) & (np.minimum(n - x[i, 4], m - x[j, 4]) >= least)
-            found.append(np.sort(np.column_stack([x[i[ok], 2], x[j[ok], 2]]), axis=1))
+            p, q = i[ok], j[ok]
+            differ = np.bitwise_count((x[p, 5:] ^ x[q, 5:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            ok = differ <= _apart(n[ok], m[ok], similarity)
+            found.append(np.sort(np.column_stack([x[p[ok], 2], x[q[ok], 2]]), axis=1))
             total += len(found[-1])
             if total > PAIRS:
                 yield np.unique(np.vstack(found), axis=0)
@@ -305,7 +321,8 @@ def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
                 yield _columns(pairs, ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("token", "c", "h", "n", "pos").repartition(n, "token").sortWithinPartitions("token", "c")
+    bits = [F.col("bits")[k].alias(f"b{k}") for k in range(PARITIES)]
+    dealt = rows.select("token", "c", "h", "n", "pos", *bits).repartition(n, "token").sortWithinPartitions("token", "c")
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
@@ -314,9 +331,10 @@ def _digest():
 
 
 def _prefixes(docs: DataFrame, similarity: float) -> DataFrame:
-    """``digest, doc_id, n, tokens``: how many different shingles a text has, and its prefix."""
+    """``digest, doc_id, n, tokens, bits``: how many different shingles a text has, its prefix and its parities."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_order(docs))  # of fixed size
-    out = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    longs = pa.list_(pa.int64())
+    out = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", longs), ("bits", longs)])
 
     def make():
         order = shared.value
@@ -326,12 +344,14 @@ def _prefixes(docs: DataFrame, similarity: float) -> DataFrame:
             for a, b in blocks([2 * len(t) + 50 for t in texts]):
                 sets = [shingle_set(t) for t in texts[a:b]]
                 tokens = [prefix(s, order, similarity).view(np.int64) for s in sets]
-                yield [batch.column("digest").slice(a, b - a), batch.column("doc_id").slice(a, b - a), [len(s) for s in sets], tokens]
+                bits = [parities(s) for s in sets]
+                yield [batch.column("digest").slice(a, b - a), batch.column("doc_id").slice(a, b - a), [len(s) for s in sets], tokens, bits]
 
         return apply
 
     marked = docs.select("doc_id", "text", _digest())
-    return by_batch(marked, ["digest", "doc_id", "text"], out, "digest binary, doc_id long, n long, tokens array<long>", make)
+    ddl = "digest binary, doc_id long, n long, tokens array<long>, bits array<long>"
+    return by_batch(marked, ["digest", "doc_id", "text"], out, ddl, make)
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
@@ -386,16 +406,21 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     then all pairs that these links have not joined.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r")
-    found = _prefixes(docs, similarity).groupBy("digest").agg(least, F.min("n").alias("n"), F.min("tokens").alias("tokens"))
-    found = cut(found.select("digest", "r.doc_id", "n", "tokens", F.xxhash64("digest").alias("h")))
+    same = [F.min(c).alias(c) for c in ("n", "tokens", "bits")]
+    found = _prefixes(docs, similarity).groupBy("digest").agg(least, *same)
+    found = cut(found.select("digest", "r.doc_id", "n", "tokens", "bits", F.xxhash64("digest").alias("h")))
     reps = found.select("digest", "doc_id", "h")
     rows = found.select("h", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = cut(shared_tokens(rows.select("token", "h", "n", F.col("pos").cast("long").alias("pos")), similarity))
     met = shared.select("h", F.explode(F.array("first", "previous")).alias("o")).where("h <> o")
-    near = cut(met.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct())
+    near = met.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+    for k in ("a", "b"):
+        near = near.join(found.select(F.col("h").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
+    differ = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(PARITIES))
+    near = cut(near.where(differ <= _apart(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"))
     edges = similar(docs, reps, near, similarity)
     joined = components(edges).select(F.xxhash64("node").alias("h"), F.xxhash64("root").alias("c"))
-    rest = shared.join(joined, "h", "left").withColumn("c", F.coalesce("c", "h"))
+    rest = shared.join(found.select("h", "bits").join(joined, "h", "left"), "h").withColumn("c", F.coalesce("c", "h"))
     rest = cut(pairs_between(rest, similarity).join(near, ["a", "b"], "left_anti"))
     edges = edges.unionByName(similar(docs, reps, rest, similarity))
     rooted = components(edges).withColumnRenamed("node", "digest")
