@@ -50,7 +50,7 @@ PATTERNS = (
 )
 _FIND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS))
 #: No entity begins without one of these.
-_HINT = re.compile(r"[\d@]|(?i:passw|token|secret|api_?key)|" + "|".join(rf"{t}\.? " for t in TITLES))
+_HINT = re.compile(r"[\d@]|AKIA|(?i:passw|token|secret|api_?key)|" + "|".join(rf"{t}\.? " for t in TITLES))
 _INNER = {name: re.compile(pattern) for name, pattern in PATTERNS}
 
 #: Scripts as (first, last) of letters without case, and pairs of alphabets with it.
