@@ -193,7 +193,7 @@ class Surrogates:
                 new.append(own[self.permutation.apply(own.index(name), len(own), b"|".join(n.encode() for n in own))])
             else:
                 new.append(self._unlisted(name, "given" + ("m" if names is MALE else "f")))
-        new.append(self._unlisted(last or first, "family"))
+        new.append(self.like("family", last or first))  # all in one domain, so one-to-one
         return " ".join(new)
 
     def _unlisted(self, name: str, kind: str) -> str:

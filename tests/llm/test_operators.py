@@ -340,6 +340,14 @@ def test_key_of_letters_only():
     assert [e["type"] for e in found] == ["aws_key"] and "ABCDEFGHIJKLMNOP" not in new
 
 
+def test_family_names_that_are_listed(monkeypatch):
+    """All family names of two letters have different surrogates, with a listed one among them."""
+    monkeypatch.setattr(pii, "MALE", (*pii.MALE, "Ab"))
+    s, letters = pii.Surrogates(b"k"), "abcdefghijklmnopqrstuvwxyz"
+    names = [a.upper() + b for a in letters for b in letters]
+    assert len({s.of("person", n, "Mr") for n in names}) == len(names)
+
+
 def test_digests(spark, tmp_path):
     """op1's digests of a small table, against the library."""
     found = [t for t in texts(50)]
