@@ -260,10 +260,12 @@ class CountTransducer:
         self.words[piece] = total
         return total
 
-    def pieces(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
-        """The pre-tokens of the texts in order, some at a time, and the text that each is of.
+    def pieces(self, texts: list[str]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """The pre-tokens of the texts in order, some at a time: the different ones as UTF-8, the
+        place of each pre-token among them, and the text that each is of.
 
-        A string of a special token is a piece of its own.
+        A string of a special token is a piece of its own. Words are cut and made distinct in
+        Arrow, so that Python sees each one once.
         """
         parts: list[tuple[int, str]] = []
         for i, text in enumerate(texts):
@@ -283,20 +285,23 @@ class CountTransducer:
             whole = [k for k in range(b - a) if parts[a + k][1] in self.specials]
             for k in whole:  # one letter after another has no boundary inside
                 kinds[firsts[k] : ends[k]] = LETTER
-            begins = marks(kinds)
-            owner = np.searchsorted(ends, begins)
-            stops = np.minimum(np.append(begins[1:], len(codes)), ends[owner])
-            words = [joined[x:y] for x, y in zip(begins.tolist(), stops.tolist())]
-            yield words, np.array([i for i, _ in parts[a:b]])[owner]
+            # the separators are cut out as words too, and left out of the places
+            cuts = np.sort(np.concatenate([marks(kinds), ends[:-1]]))
+            words = ~np.isin(cuts, ends[:-1], assume_unique=True)
+            data = joined.encode("utf-8", "surrogatepass")
+            at = np.append(cuts, len(codes))
+            if len(data) != len(codes):
+                at = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])[at]
+            coded = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+            owners = np.array([i for i, _ in parts[a:b]])[np.searchsorted(ends, cuts[words])]
+            yield coded.dictionary, coded.indices.to_numpy()[words], owners
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text; a string of a special token counts as one."""
         totals = np.zeros(len(texts), np.int64)
-        for words, owners in self.pieces(texts):
-            found = list(map(self.words.get, words))
-            if None in found:
-                found = [self.count(w) if n is None else n for w, n in zip(words, found, strict=True)]
-            totals += np.bincount(owners, found, len(texts)).astype(np.int64)
+        for words, places, owners in self.pieces(texts):
+            found = np.array([self.count(w.decode("utf-8", "surrogatepass")) for w in words.to_pylist()])
+            totals += np.bincount(owners, found[places] if len(places) else None, len(texts)).astype(np.int64)
         return totals.tolist()
 
 

@@ -18,7 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, batched, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ class Encoder:
 
     #: Words in each of the two generations that a worker remembers.
     MOST_WORDS = 300_000
+    #: New words that are put to the library in one text.
+    TOGETHER = 500
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,10 +53,13 @@ class Encoder:
         self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = {2: "H", 4: "I"}[np.dtype(self.type).itemsize]
         self.splitter = token_counts.transducer(path)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)  # bytes that an id stands for
+        for i, piece in self.splitter.bytes_of.items():
+            self.sizes[i] = len(piece)
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Put words into the young generation, by the old one or by the library."""
         if len(self.words) > self.MOST_WORDS:
             self.older, self.words = self.words, {}
@@ -65,23 +70,38 @@ class Encoder:
                 new.append(w)
             else:
                 young[w] = ids
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        asked = [w.decode("utf-8", "surrogatepass") for w in new]
+        plain = [t[0] == " " and t[1:].isalpha() for t in asked]
+        # blanks with letters after them are cut apart again by the library, so many are asked for in one text
+        many, width = [w for w, p in zip(new, plain, strict=True) if p], np.dtype(self.type).itemsize
+        texts = ["".join(group) for group in batched((t for t, p in zip(asked, plain, strict=True) if p), self.TOGETHER)]
+        ids = np.array([i for e in self.library.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], self.type)
+        data, stops = ids.tobytes(), np.cumsum(self.sizes[ids])
+        to = (np.searchsorted(stops, np.cumsum(list(map(len, many)))) + 1) * width
+        young.update(zip(many, (data[a:b] for a, b in pairwise([0, *to.tolist()])), strict=True))
+        rest = [(w, t) for w, t, p in zip(new, asked, plain, strict=True) if not p]
+        for (w, _), e in zip(rest, self.library.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
             young[w] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
         """All ids one after the other, and how many each text has."""
-        parts, totals = [], np.zeros(len(texts), np.int64)
-        width = np.dtype(self.type).itemsize
-        for words, owners in self.splitter.pieces(texts):
+        parts, totals = [np.empty(0, self.type)], np.zeros(len(texts), np.int64)
+        for distinct, places, owners in self.splitter.pieces(texts):
+            words = distinct.to_pylist()
             found = list(map(self.words.get, words))
             if None in found:
-                self._learn(list({w for w, ids in zip(words, found, strict=True) if ids is None}))
+                self._learn([w for w, ids in zip(words, found, strict=True) if ids is None])
                 # where the generation has just turned, words of this block may be in the old one
                 young, old = self.words, self.older
                 found = [ids if ids is not None else young.get(w) or old[w] for w, ids in zip(words, found, strict=True)]
-            totals += np.bincount(owners, list(map(len, found)), len(texts)).astype(np.int64) // width
-            parts += found
-        return np.frombuffer(b"".join(parts), self.type), totals.tolist()
+            flat = np.frombuffer(b"".join(found), self.type)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.type).itemsize
+            counts = sizes[places]
+            # each word's ids lie together in flat: where they begin, less what has been put out before
+            shift = (np.cumsum(sizes) - sizes)[places] - (np.cumsum(counts) - counts)
+            parts.append(flat[np.arange(counts.sum()) + np.repeat(shift, counts)])
+            totals += np.bincount(owners, counts, len(texts)).astype(np.int64)
+        return np.concatenate(parts), totals.tolist()
 
 
 @lru_cache(2)
