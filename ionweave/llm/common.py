@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,12 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return [name for k in range(len(taken) + n) if (name := f"_own{k}") not in taken][:n]
+
+
 def by_batch(
     df: DataFrame,
     columns: list[str],
@@ -89,6 +97,23 @@ def by_batch(
     return df.select(*columns).mapInArrow(run, ddl)
 
 
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def alone(operator: str, forget: Callable[[], None]) -> None:
+    """Say which operator a worker's task is of, and how to forget what it keeps for later tasks.
+
+    A worker serves one operator after another; what the others have kept is forgotten first.
+    """
+    others = [_forget.pop(o) for o in list(_forget) if o != operator]
+    for f in others:
+        f()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _forget[operator] = forget
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]
@@ -143,8 +168,6 @@ def row_of(chunk: int, part) -> pa.RecordBatch:
 
 def summed(parts: DataFrame, kind: str, tasks: int) -> DataFrame:
     """Add up the rows of ``row_of``, a chunk in one place; a task keeps one array a chunk."""
-    import numpy as np
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
@@ -158,3 +181,61 @@ def summed(parts: DataFrame, kind: str, tasks: int) -> DataFrame:
             yield row_of(chunk, part)
 
     return parts.repartition(tasks, "chunk").mapInArrow(add, "chunk int, sums binary")
+
+
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2**64, and those of its inverse."""
+    return tuple(
+        np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, x, np.uint64))]) for x in (_BASE, pow(_BASE, -1, 1 << 64))
+    )
+
+
+def run_hashes(values: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of places ``inside`` begin, and a 64-bit hash of the values of each; equal runs have equal hashes.
+
+    A run's hash is a polynomial in its values, from differences of sums over all, so no run is looked at by itself.
+    """
+    steps = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    begins, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    powers, back = _powers(1 << max(20, len(values).bit_length()))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[: len(values)])])
+    found = (sums[ends] - sums[begins]) * back[begins]
+    found = (found ^ (found >> np.uint64(32))) * _SPREAD
+    return begins, found ^ (found >> np.uint64(29))
+
+
+def word_hashes(texts: list, codes: Callable, inside: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and how many each text has.
+
+    ``codes`` makes numbers of a text; ``inside`` says which are part of a word, ``lower`` what
+    they count as. Texts are joined, a line feed between them, and looked at some MB at a time.
+    """
+    found, sizes = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for a, b in blocks([len(t) + 1 for t in texts], 1 << 20):
+        each = [codes(t) for t in texts[a:b]]
+        ends = np.cumsum([len(x) + 1 for x in each])
+        joined = np.full(ends[-1], ord("\n"), each[0].dtype)
+        kept = np.ones(len(joined), bool)
+        kept[ends - 1] = False
+        joined[kept] = np.concatenate(each)
+        begins, hashes = run_hashes(lower[joined], inside[joined])
+        sizes[a:b] = np.bincount(np.searchsorted(ends, begins, "right"), minlength=b - a)
+        found.append(hashes)
+    return np.concatenate(found), sizes
+
+
+def points_of(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@lru_cache(1)
+def word_points() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point, whether it is part of a word (``\\\\w``), and its small letter."""
+    every = list(map(chr, range(0x110000)))
+    small = [c.lower() for c in every]
+    return np.array([c.isalnum() or c == "_" for c in every]), np.array([ord(s if len(s) == 1 else c) for c, s in zip(every, small)], np.uint32)

@@ -35,10 +35,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's losses under the models of good documents and of all, and their difference."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    marked = docs.join(good, F.col("doc_id") == F.col("good_id"), "left").withColumn("target", F.col("good_id").isNotNull())
-    return lm_score.score(docs, lm_score.train(marked))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
