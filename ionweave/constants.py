@@ -22,7 +22,7 @@ CASES = ("all", "b", "y", "all_log", "b_log", "y_log")
 STATS = ("mean", "std", "q75", "q50", "q25", "min", "max", "mse", "dot")
 _IONS = ("", "_b", "_y")
 FEATURES = (
-    [f"p2p_gt_{t}" for t in CHANGE_THRESHOLDS]
+    [f"p2p_gt_{int(100 * t)}" for t in CHANGE_THRESHOLDS]  # in hundredths: a name with a point would be a path
     + [f"sa_{c}" for c in CASES[:3]]
     + [f"pearson_{c}" for c in CASES]
     + [f"cos_{c}" for c in CASES]

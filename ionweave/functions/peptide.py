@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionweave import constants as K
@@ -74,30 +74,60 @@ def precursor_mass(mz: Column, charge: Column) -> Column:
     return (mz - K.PROTON) * charge
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def prefixes(masses: Column) -> Column:
+    """The running sums of residue masses, 0 first."""
+    return F.aggregate(masses, F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+
+def fragment_sums(prefix: Column, p: Column) -> tuple[Column, Column]:
+    """Masses of the y and b fragments of the cleavage that leaves ``p`` residues, from the running sums."""
+    return F.element_at(prefix, -1) - F.element_at(prefix, F.size(prefix) - p) + F.lit(K.WATER), F.element_at(prefix, p + 1)
+
+
+def fragments_at(p: Column, y: Column, b: Column, charge: Column) -> Column:
+    """The slots of one cleavage as an array of (slot, mz), one for each ion and fragment charge that exists."""
+    made = [
+        F.when(charge >= z, F.struct(((p - 1) * 6 + (ion + z - 1)).alias("slot"), ((m + z * K.PROTON) / z).alias("mz")))
+        for ion, m in ((0, y), (3, b))
+        for z in (1, 2, 3)
+    ]
+    return F.array_compact(F.array(*made))
+
+
+def cleavages(prefix: Column) -> Column:
+    """The places 1, 2, ... at which a peptide is cut, MAX_LENGTH - 1 at most."""
+    n = F.size(prefix) - 1
+    return F.when(n > 1, F.sequence(F.lit(1), F.least(n, F.lit(K.MAX_LENGTH)) - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def ladder(peptide: Column, charge: Column) -> Column:
     """The fragment ladder as an array of (slot, mz), only slots that exist.
 
     slot = 6 * (position - 1) + (3 for b, 0 for y) + (fragment charge - 1).
     """
-    masses = residue_masses(peptide)
-    n = F.size(masses)
-    prefix = F.aggregate(
-        masses, F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
-    )
-    whole = F.element_at(prefix, -1)
-    places = F.when(n > 1, F.sequence(F.lit(1), F.least(n, F.lit(K.MAX_LENGTH)) - 1)).otherwise(F.array().cast("array<int>"))
-
-    def slots(p: Column) -> Column:
-        b = F.element_at(prefix, p + 1)
-        y = whole - F.element_at(prefix, n - p + 1) + F.lit(K.WATER)
-        made = []
-        for ion, m in ((0, y), (3, b)):
-            for z in (1, 2, 3):
-                slot = (p - 1) * 6 + (ion + z - 1)
-                made.append(F.when(charge >= z, F.struct(slot.alias("slot"), ((m + z * K.PROTON) / z).alias("mz"))))
-        return F.filter(F.array(*made), lambda s: s.isNotNull())
-
-    return F.flatten(F.transform(places, slots))
+
+    def of(prefix: Column) -> Column:
+        return F.flatten(F.transform(cleavages(prefix), lambda p: fragments_at(p, *fragment_sums(prefix, p), charge)))
+
+    return let(prefixes(residue_masses(peptide)), of)
+
+
+def ladder_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, ``slot, mz``: a row for each slot of the ladder of each row (``peptide, charge``).
+
+    The running sums are a column below the explosion, so they are made once a peptide, and what
+    stands above it is arithmetic in generated code.
+    """
+    sums = rows.select(*keep, F.col("charge").alias("_z"), prefixes(residue_masses(F.col("peptide"))).alias("_prefix"))
+    cut = sums.select(*keep, "_z", "_prefix", F.explode(cleavages(F.col("_prefix"))).alias("_p"))
+    y, b = fragment_sums(F.col("_prefix"), F.col("_p"))
+    cut = cut.select(*keep, "_z", "_p", y.alias("_y"), b.alias("_b"))
+    return cut.select(*keep, F.inline(fragments_at(F.col("_p"), F.col("_y"), F.col("_b"), F.col("_z"))))
 
 
 def float_list(c: Column) -> Column:

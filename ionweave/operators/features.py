@@ -7,8 +7,9 @@ row holds its whole spectrum.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ionweave import constants as K
 
@@ -48,7 +49,7 @@ def _ratio(a: float, b: float) -> float:
 
 
 def _pearson(x: np.ndarray, y: np.ndarray) -> float:
-    if len(x) < 3 or x.std() == 0 or y.std() == 0:
+    if len(x) < 3 or any(v.std() <= 1e-12 * np.abs(v).max() for v in (x, y)):  # constant but for rounding
         return 0.0
     return float(np.corrcoef(x, y)[0, 1])
 
@@ -113,13 +114,18 @@ def vector(tmz, tint, emz, eint, changes, floor: float = 0.02, ppm: float = K.PP
 
 
 def features(psms: DataFrame, ppm: float = K.PPM) -> DataFrame:
-    """``scan, peptide`` and the features of each PSM (``scan, peptide, mz, intensities, mzs, ints, y_changes``)."""
+    """``psms`` with the feature columns of each (``mz, intensities, mzs, ints, y_changes``), in one Arrow pass.
+
+    A row without a predicted spectrum has features of zeros and the like, as an empty one would.
+    """
+    names = ("mz", "intensities", "mzs", "ints", "y_changes")
 
     def run(batches):
         for batch in batches:
-            rows = [vector(r.mz, r.intensities, r.mzs, r.ints, r.y_changes, ppm=ppm) for r in batch.itertuples()]
+            columns = [[v if v is not None else [] for v in batch.column(c).to_pylist()] for c in names]
+            empty = np.full(K.SLOTS, -1.0)
+            rows = [vector(m if len(m) else empty, i if len(i) else empty, *rest, ppm=ppm) for m, i, *rest in zip(*columns, strict=True)]
             x = np.array(rows, float).reshape(len(rows), len(K.FEATURES))
-            yield pd.concat([batch[["scan", "peptide"]].reset_index(drop=True), pd.DataFrame(x, columns=K.FEATURES)], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, x.T)], names=[*batch.schema.names, *K.FEATURES])
 
-    ddl = "scan string, peptide string, " + ", ".join(f"`{f}` double" for f in K.FEATURES)
-    return psms.select("scan", "peptide", "mz", "intensities", "mzs", "ints", "y_changes").mapInPandas(run, ddl)
+    return psms.mapInArrow(run, T.StructType([*psms.schema.fields, *(T.StructField(f, T.DoubleType()) for f in K.FEATURES)]))

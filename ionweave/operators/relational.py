@@ -13,15 +13,16 @@ def nearest_peaks(slots: DataFrame, peaks: DataFrame, keys: list[str], ppm: floa
     """For each slot (``scan, *keys, slot, tmz, tint``) the nearest peak (``scan, pos, mz, intensity``).
 
     Of equally near peaks the first by ``pos`` counts; a slot whose nearest peak is over ``ppm``
-    away, or that has none, gets zeros. The band is a residual of the equi-join on ``scan``;
-    the nearest is a grouped minimum, which is combined before its shuffle.
+    away, or that has none, gets zeros. The band is a residual of the outer equi-join on
+    ``scan``; the nearest is a grouped minimum, which is combined before its shuffle. Slots are
+    read once.
     """
     away = F.abs(F.col("tmz") - F.col("mz"))
-    near = slots.join(peaks, "scan").where(1e6 * away <= ppm * F.col("tmz"))
-    best = near.groupBy("scan", *keys, "slot").agg(F.min(F.struct(away.alias("away"), "pos", "mz", "intensity")).alias("p"))
-    joined = slots.join(best, ["scan", *keys, "slot"], "left")
+    met = slots.join(peaks, (slots["scan"] == peaks["scan"]) & (1e6 * away <= ppm * F.col("tmz")), "left").drop(peaks["scan"])
+    nearest = F.min(F.when(F.col("mz").isNotNull(), F.struct(away.alias("away"), "pos", "mz", "intensity"))).alias("p")
+    best = met.groupBy("scan", *keys, "slot", "tmz", "tint").agg(nearest)
     found = [F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).alias(n) for c, n in (("mz", "emz"), ("intensity", "eint"))]
-    return joined.select("scan", *keys, "slot", "tmz", "tint", *found)
+    return best.select("scan", *keys, "slot", "tmz", "tint", *found)
 
 
 def counting_features(common: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,11 +74,9 @@ def spectral_angle(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def _correlation(x: Column, y: Column) -> Column:
-    """Pearson's r from sums; 0 for fewer than three values or a constant side."""
-    n = F.count("*").cast("double")
-    cov = F.sum(x * y) - F.sum(x) * F.sum(y) / n
-    vx, vy = F.sum(x * x) - F.sum(x) ** 2 / n, F.sum(y * y) - F.sum(y) ** 2 / n
-    return F.when((n > 2) & (vx > 1e-12) & (vy > 1e-12), F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))))).otherwise(0.0)
+    """Pearson's r from central moments; 0 for fewer than three values or a side that is constant but for rounding."""
+    varies = [F.stddev_pop(c) > 1e-12 * F.max(F.abs(c)) for c in (x, y)]
+    return F.when((F.count("*") > 2) & varies[0] & varies[1], F.corr(x, y)).otherwise(0.0)
 
 
 def _log(c: str) -> Column:
@@ -112,26 +111,38 @@ def cosine(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def residual_stats(pairs: DataFrame, key: str) -> DataFrame:
-    """Nine statistics of |obs - mean(pred)| and of the pair, by case."""
-    cases = ion_cases(pairs, key)
-    means = cases.groupBy(key, "case").agg(F.avg("pred").alias("m"))
-    r = F.abs(F.col("obs") - F.col("m"))
-    q = F.percentile(r, F.array(*map(F.lit, (0.75, 0.5, 0.25))))
-    agg = cases.join(means, [key, "case"]).groupBy(key, "case").agg(
-        F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), q.alias("q"), F.min(r).alias("min"), F.max(r).alias("max"),
+    """Nine statistics of |obs - mean(pred)| and of the pair, by case.
+
+    A case has at most a value for each slot, so its values are gathered once and looked at in the row.
+    """
+    gathered = ion_cases(pairs, key).groupBy(key, "case").agg(
+        F.collect_list(F.struct("obs", "pred")).alias("v"), F.avg("pred").alias("m"),
         F.avg((F.col("obs") - F.col("pred")) ** 2).alias("mse"), F.sum(F.col("obs") * F.col("pred")).alias("dot"),
     )
-    return agg.select(key, "case", "mean", "std", *(F.col("q")[i].alias(n) for i, n in enumerate(("q75", "q50", "q25"))), "min", "max", "mse", "dot")
+    made = gathered.withColumn("r", F.array_sort(F.transform("v", lambda v: F.abs(v["obs"] - F.col("m"))))).withColumn("n", F.size("r"))
+    mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.col("n")
+    made = made.withColumn("mean", mean)
+    std = F.sqrt(F.aggregate("r", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.col("n"))
+
+    def quantile(q: float) -> Column:
+        at = q * (F.col("n") - 1)
+        low = F.get("r", F.floor(at).cast("int"))
+        return low + (at - F.floor(at)) * (F.get("r", F.ceil(at).cast("int")) - low)
+
+    quantiles = [quantile(q).alias(n) for q, n in ((0.75, "q75"), (0.5, "q50"), (0.25, "q25"))]
+    return made.select(key, "case", "mean", std.alias("std"), *quantiles, F.get("r", F.lit(0)).alias("min"), F.element_at("r", -1).alias("max"), "mse", "dot")
 
 
 def histogram(peaks: DataFrame, drop_last: bool = True, most: int = K.MAX_BIN) -> DataFrame:
-    """Summed intensity by scan and bin; the highest occupied bin of a scan goes if ``drop_last``."""
+    """Summed intensity by scan and bin; the highest occupied bin of a scan goes if ``drop_last``.
+
+    The highest bin is found among the scan's bins, which are few, after the peaks are summed.
+    """
     from ionweave.functions.spectrum import bin_of
 
     sums = peaks.select("scan", bin_of(F.col("mz"), most=most).alias("bin"), "intensity").groupBy("scan", "bin").agg(F.sum("intensity").alias("intensity"))
     if drop_last:
-        top = peaks.groupBy("scan").agg(F.max(bin_of(F.col("mz"), most=most)).alias("top"))
-        sums = sums.join(top, "scan").where("bin < top").drop("top")
+        sums = sums.withColumn("top", F.max("bin").over(W.partitionBy("scan"))).where("bin < top").drop("top")
     return sums.where(F.col("bin") < most)
 
 
@@ -160,7 +171,7 @@ def top_k(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
 def best_by(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
     """The row with the highest score of each group, the least ``tie`` of equals; a grouped maximum."""
     rest = [c for c in rows.columns if c not in (group, score, tie)]
-    best = rows.groupBy(group).agg(F.max(F.struct(score, (-F.col(tie)).alias("_tie"), tie, *rest)).alias("r"))
+    best = rows.groupBy(group).agg(F.min(F.struct((-F.col(score)).alias("_least"), tie, score, *rest)).alias("r"))
     return best.select(group, f"r.{score}", f"r.{tie}", *(f"r.{c}" for c in rest))
 
 
@@ -188,10 +199,21 @@ def mass_range_join(chosen: DataFrame, lookup: DataFrame, ppm_mass: str, width:
     return found.drop("slice")
 
 
-def lookup_table(spark, most: int = 3) -> DataFrame:
-    """All sorted multisets of up to ``most`` residues (I for L) with their masses: ``candidate, mass``."""
-    from itertools import combinations_with_replacement
+def lookup_table(spark, most: int = 9, heaviest: float = 2 * max(K.RESIDUES.values()) + 0.1) -> DataFrame:
+    """All sorted multisets of up to ``most`` residues (I for L) with their masses: ``candidate, mass``.
 
-    names = [r for r in K.RESIDUES if r != "L"]
-    rows = [("".join(c), sum(K.RESIDUES[r] for r in c)) for n in range(1, most + 1) for c in combinations_with_replacement(names, n)]
-    return spark.createDataFrame(rows, "candidate string, mass double")
+    Those heavier than any span that a search replaces, two residues, are of no use and left out.
+    Each size is made from the one before by a residue that is not before its last one.
+    """
+    names = [(r, K.CODES[r], m) for r, m in K.RESIDUES.items() if r != "L"]
+    sizes = [spark.createDataFrame(names, "candidate string, last int, mass double")]
+    one = F.inline(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(m).alias("m")) for r, c, m in names)))
+    for _ in range(most - 1):
+        longer = sizes[-1].select("*", one).where((F.col("c") >= F.col("last")) & (F.col("mass") + F.col("m") <= heaviest))
+        sizes.append(longer.select(F.concat("candidate", "r").alias("candidate"), F.col("c").alias("last"), (F.col("mass") + F.col("m")).alias("mass")))
+        if heaviest < (len(sizes) + 1) * min(K.RESIDUES.values()):
+            break
+    whole = sizes[0]
+    for more in sizes[1:]:
+        whole = whole.unionByName(more)
+    return whole.select("candidate", "mass")

@@ -30,14 +30,25 @@ class Settings:
     temperature: float = 10.0
     least_score: float = -2.0
     most_score: float = -1.0
+    transform: str | None = None
+    precursor_range: bool = False
+    differences: bool = False
 
     @classmethod
     def of(cls, values: dict):
         return cls(**{f.name: values[f.name] for f in fields(cls) if f.name in values})
 
+    @property
+    def channels(self) -> dict:
+        return {"transform": self.transform, "precursor_range": self.precursor_range, "differences": self.differences}
+
 
 class Engine:
-    """Holds the models: a network over bins, a scorer, and what predicts spectra."""
+    """Holds the models: a network over bins, a scorer, and what predicts spectra.
+
+    ``predict`` adds ``mz, intensities`` to rows with ``peptide, charge``. No step joins rows by
+    their scan: columns go along, so repeated and null scans are rows like any other.
+    """
 
     def __init__(self, spark: SparkSession, network: model.Network | None = None, scorer: model.Scorer | None = None, predict: Callable[[DataFrame], DataFrame] | None = None, settings: Settings | None = None):
         self.spark, self.network, self.scorer = spark, network, scorer
@@ -46,120 +57,198 @@ class Engine:
 
     # --- parts ---------------------------------------------------------------------
 
-    def prepared(self, psms: DataFrame, style: str) -> DataFrame:
-        """Valid PSMs with predictions; ``peptide`` is the normalised one."""
-        good = flag(psms, style).where("is_valid").withColumn("peptide", F.col("peptide_norm")).drop("peptide_norm")
-        return files.with_predictions(good, self.predict(good.select("peptide", "charge")))
+    def prepared(self, psms: DataFrame, style: str, valid_only: bool = True) -> DataFrame:
+        """PSMs with predictions; ``peptide`` is the normalised one, ``peptide_given`` what it was.
+
+        Those that are not valid are left out, or stay with ``is_valid`` false and no prediction.
+        """
+        rows = flag(psms, style).withColumnRenamed("peptide", "peptide_given").withColumnRenamed("peptide_norm", "peptide")
+        if valid_only:
+            return self.predict(rows.where("is_valid"))
+        kept = F.when(F.col("is_valid"), F.col("peptide"))
+        made = self.predict(rows.withColumn("peptide", kept))
+        return made.withColumns({c: F.when(F.col("is_valid"), F.col(c)) for c in ("mz", "intensities")})
+
+    def profiles(self, prepared: DataFrame, peptide: str = "peptide", mz: str = "mz", names: tuple[str, str] = ("y_bins", "b_bins")) -> DataFrame:
+        """``prepared`` with the occupied bins of y and b ions."""
+        slots = F.filter(F.transform(mz, lambda m, i: F.struct(i.alias("slot"), m.alias("mz"))), lambda s: s["mz"] > 0)
+        rows = prepared.withColumns({"_l": slots, "_m": P.mass(F.col(peptide))})
+        return rows.withColumns({n: S.occupied_bins(F.col("_l"), i, F.col("_m")) for n, i in zip(names, ("y", "b"), strict=True)}).drop("_l", "_m")
 
     def bin_reclassification(self, prepared: DataFrame) -> DataFrame:
-        """Sparse bin probabilities of prepared PSMs."""
-        slots = F.filter(F.transform(F.arrays_zip("mz", "intensities"), lambda s, i: F.struct(i.alias("slot"), s["mz"].alias("mz"), s["intensities"].alias("p"))), lambda s: (s["mz"] > 0) & (s["p"] > 0))
-        rows = prepared.withColumns({"_l": slots, "_m": P.mass(F.col("peptide"))})
-        bins = {f"{i}_bins": S.occupied_bins(F.col("_l"), i, F.col("_m")) for i in ("y", "b")}
+        """``prepared`` with the sparse bin probabilities of each row."""
         if self.network is None:
             raise ValueError("bin reclassification needs a network")
-        return model.reclassify(rows.withColumns(bins).select("scan", "y_bins", "b_bins", "mzs", "ints"), self.network, self.settings.bin_threshold)
+        return model.reclassify(self.profiles(prepared), self.network, self.settings.bin_threshold, **self.settings.channels)
+
+    def with_truth(self, psms: DataFrame, style: str = "mgf") -> DataFrame:
+        """Prepared rows of PSMs (with ``peptide_true``) with the bins of their own and of the true peptide: what a network learns from."""
+        rows = self.profiles(self.prepared(psms, style))
+        kept = [c for c in rows.columns if c not in ("peptide", "mz", "intensities")]
+        own = F.struct("peptide", "mz", "intensities").alias("_own")
+        turned = self.predict(rows.select(*kept, own, P.normalize(F.col("peptide_true"), style).alias("peptide")))
+        return self.profiles(turned, names=("y_true", "b_true")).drop("peptide", "mz", "intensities").select("*", "_own.*").drop("_own").where("mz IS NOT NULL")
 
     def features(self, prepared: DataFrame) -> DataFrame:
-        """The feature vector; without a network the counts of changes are 0."""
+        """``prepared`` with the feature columns; without a network the counts of changes are 0."""
         if self.network is None:
             rows = prepared.withColumn("y_changes", F.array().cast("array<float>"))
         else:
-            rows = prepared.join(self.bin_reclassification(prepared).select("scan", "y_changes"), "scan")
+            rows = self.bin_reclassification(prepared)
         return features.features(rows, self.settings.match_ppm)
 
     def spectral_angles(self, psms: DataFrame, style: str = "mgf") -> DataFrame:
         return self.features(self.prepared(psms, style)).select("scan", "peptide", "sa_all")
 
     def rescoring(self, psms: DataFrame, style: str = "mgf") -> DataFrame:
-        """``scan, score`` of every PSM; one that is not valid has -Infinity."""
+        """``psms`` with ``score``, a row for each; one that is not valid, or has no prediction, has -Infinity."""
         if self.scorer is None:
             raise ValueError("rescoring needs a scorer")
-        scored = self.scorer.predict(self.features(self.prepared(psms, style))).select("scan", F.col("score").alias("_s"))
-        return psms.join(scored, "scan", "left").withColumn("score", F.coalesce("_s", F.lit(float("-inf")))).drop("_s")
+        scored = self.scorer.predict(self.features(self.prepared(psms, style, valid_only=False)))
+        score = F.when(F.col("is_valid") & F.col("mz").isNotNull(), F.col("score")).otherwise(float("-inf")).alias("score")
+        return scored.drop("peptide").withColumnRenamed("peptide_given", "peptide").select(*psms.columns, score)
 
     # --- entry points --------------------------------------------------------------
 
     def rescoring_from_mgf(self, path: str, out: str | None = None) -> DataFrame:
-        done = self.rescoring(files.read_mgf(self.spark, path)).select("score", "scan")
+        done = self.rescoring(require_rows(files.read_mgf(self.spark, path))).select("score", "scan")
         if out:
             files.write_csv(done, out)
         return done
 
     def rescoring_from_csv(self, path: str, out: str | None = None, **columns) -> DataFrame:
-        done = self.rescoring(files.read_csv(self.spark, path, **columns), "csv")
+        """The file's own columns and ``score``; in the written file also ``index``, which grows from row to row."""
+        done = self.rescoring(require_rows(files.read_csv(self.spark, path, original=True, **columns)), "csv").select("original.*", "score")
         if out:
-            files.write_csv(done.drop("mzs", "ints"), out)
+            files.write_csv(done.select(F.monotonically_increasing_id().alias("index"), "*"), out)
         return done
 
     def bin_reclassification_from_mgf(self, path: str, out: str | None = None) -> DataFrame:
-        done = self.bin_reclassification(self.prepared(files.read_mgf(self.spark, path), "mgf"))
-        if out:
-            files.write_parquet(done, out)
-        return done
+        return self._reclassified(files.read_mgf(self.spark, path), out)
 
     def bin_reclassification_from_arrays(self, path: str, out: str | None = None, **columns) -> DataFrame:
-        done = self.bin_reclassification(self.prepared(files.read_arrays(self.spark, path, **columns), "mgf"))
+        return self._reclassified(files.read_arrays(self.spark, path, **columns), out)
+
+    def _reclassified(self, psms: DataFrame, out: str | None) -> DataFrame:
+        done = self.bin_reclassification(self.prepared(require_rows(psms), "mgf"))
+        done = done.select("scan", "y_probs", "y_mz", "b_probs", "b_mz", "y_changes", "y_mz_inputs", "b_mz_inputs")
         if out:
             files.write_parquet(done, out)
         return done
 
-    def search(self, psms: DataFrame, lookup: DataFrame, style: str = "mgf", out: str | None = None) -> DataFrame:
-        """``scan, peptide, score, peptide_init, score_init`` after the evolutionary search."""
-        s, base = self.settings, flag(psms, style).where("is_valid").drop("peptide").withColumnRenamed("peptide_norm", "peptide")
-        first = self.rescoring(base.select(*psms.columns), style).select("scan", "score")
-        initial = base.join(first, "scan").select("scan", "peptide", (P.precursor_mass(F.col("precursor_mz"), F.col("charge"))).alias("precursor"), "score").checkpoint()
-        spectra = base.drop("peptide", "original_score")
+    def search(self, psms: DataFrame, lookup: DataFrame, style: str = "mgf", out: str | None = None, snapshots: str | None = None, lineage: str | None = None) -> DataFrame:
+        """``scan, peptide, score, peptide_init, score_init`` after the evolutionary search.
+
+        A scan stands for one spectrum here: of rows with the same scan the one with the least
+        peptide is searched for, and null scans are left out. ``snapshots`` is a folder for the
+        best peptides and the populations of every generation, ``lineage`` one for whose children they are.
+        """
+        s = self.settings
+        rows = require_rows(psms.where("scan IS NOT NULL"))
+        first = self.rescoring(rows, style).where("score > '-Infinity'")
+        one = first.groupBy("scan").agg(F.min_by(F.struct(*first.columns), F.struct("peptide", "precursor_mz", "mzs")).alias("r")).select("r.*")
+        base = flag(one, style).drop("peptide").withColumnRenamed("peptide_norm", "peptide").checkpoint()
+        initial = base.select("scan", "peptide", P.precursor_mass(F.col("precursor_mz"), F.col("charge")).alias("precursor"), "score")
+        spectra = base.select("scan", "charge", "precursor_mz", "mzs", "ints")
+
+        def prepared(wanted: DataFrame) -> DataFrame:
+            return self.predict(wanted.join(spectra, "scan"))
 
         def score(wanted: DataFrame) -> DataFrame:
-            rows = wanted.join(spectra, "scan").withColumn("id", F.concat_ws("|", "scan", "peptide")).withColumnRenamed("scan", "own")
-            prepared = files.with_predictions(rows, self.predict(rows.select("peptide", "charge"))).withColumnRenamed("id", "scan")
-            got = self.scorer.predict(self.features(prepared)).select(F.col("scan").alias("id"), "score")
-            return got.select(F.regexp_extract("id", r"^(.*)\|", 1).alias("scan"), F.regexp_extract("id", r"\|([^|]*)$", 1).alias("peptide"), "score")
+            return self.scorer.predict(self.features(prepared(wanted.select("scan", "peptide")))).select("scan", "peptide", "score")
 
         def bins(drawn: DataFrame) -> DataFrame:
-            rows = drawn.select("scan", "peptide").join(spectra, "scan").withColumnRenamed("scan", "own").withColumn("scan", F.concat_ws("|", "own", "peptide"))
-            prepared = files.with_predictions(rows, self.predict(rows.select("peptide", "charge")))
-            sparse = self.bin_reclassification(prepared)
-            return graph_bins(sparse, prepared.select("scan", "own", "peptide"), s.input_weight)
+            return graph_bins(self.bin_reclassification(prepared(drawn.select("scan", "peptide"))), s.input_weight)
+
+        def snapshot(scored: DataFrame, generation: int) -> None:
+            best = evolve.with_initial(relational.best_by(scored.select("scan", "peptide", "score"), "scan", "score", "peptide"), initial.select("scan", "peptide", "score"))
+            files.write_parquet(best, f"{snapshots}/best/generation={generation}")
+            files.write_parquet(scored, f"{snapshots}/population/generation={generation}")
+
+        def trace(children: DataFrame, generation: int) -> None:
+            files.write_parquet(children, f"{lineage}/generation={generation}")
 
-        found = evolve.run(initial, lookup, score, bins, s.generations, s.population, (s.least_score, s.most_score))
+        found = evolve.run(
+            initial, lookup, score, bins, s.generations, s.population, (s.least_score, s.most_score),
+            elite=s.elite, temperature=s.temperature, ppm=s.mutation_ppm, snapshot=snapshot if snapshots else None, lineage=trace if lineage else None,
+        )
         old = initial.select("scan", F.col("peptide").alias("peptide_init"), F.col("score").alias("score_init"))
         done = found.join(old, "scan")
         if out:
             files.write_csv(done, out)
         return done
 
-    def search_from_mgf(self, path: str, lookup: str | None = None, out: str | None = None) -> DataFrame:
-        table = files.read_lookup(self.spark, lookup) if lookup else relational.lookup_table(self.spark)
-        return self.search(files.read_mgf(self.spark, path), table, out=out)
-
-    def search_from_csv(self, path: str, lookup: str | None = None, out: str | None = None, **columns) -> DataFrame:
-        table = files.read_lookup(self.spark, lookup) if lookup else relational.lookup_table(self.spark)
-        return self.search(files.read_csv(self.spark, path, **columns), table, "search", out)
-
-    def train_scorer(self, paths: list[str], target: str, kind: str = "forest", **columns) -> model.Scorer:
-        """Fit a scorer on the features of CSV files with a target column."""
-        made = None
-        for path in paths:
-            psms = files.read_csv(self.spark, path, more=(target,), **columns)
-            rows = self.features(self.prepared(psms, "csv")).join(psms.select("scan", F.col(target).cast("double").alias("target")), "scan")
-            made = rows if made is None else made.unionByName(rows)
+    def search_from_mgf(self, path: str, lookup: str | None = None, out: str | None = None, **folders) -> DataFrame:
+        return self.search(files.read_mgf(self.spark, path), self._lookup(lookup), out=out, **folders)
+
+    def search_from_csv(self, path: str, lookup: str | None = None, out: str | None = None, snapshots: str | None = None, lineage: str | None = None, **columns) -> DataFrame:
+        """Large files need no chunks: the file is read and searched in partitions."""
+        return self.search(files.read_csv(self.spark, path, **columns), self._lookup(lookup), "search", out, snapshots, lineage)
+
+    def _lookup(self, path: str | None) -> DataFrame:
+        return files.read_lookup(self.spark, path) if path else relational.lookup_table(self.spark)
+
+    def feature_table(self, path: str, target: str, out: str | None = None, **columns) -> DataFrame:
+        """Features and ``target`` of a CSV file with a target column; from ``out``, if it has been written there before."""
+        if out and files.exists(self.spark, out):
+            return files.read_features(self.spark, out)
+        psms = require_rows(files.read_csv(self.spark, path, more=(target,), **columns))
+        made = self.features(self.prepared(psms, "csv")).select(*(F.col(f"`{f}`") for f in K.FEATURES), F.col(target).cast("double").alias("target"))
+        if not out:
+            return made
+        files.write_parquet(made, out)
+        return files.read_features(self.spark, out)
+
+    def train_scorer(self, paths: list[str], target: str, kind: str = "forest", features_out: str | None = None, **columns) -> model.Scorer:
+        """Fit a scorer on the features of CSV files with a target column; ``features_out`` is a folder to keep the features in."""
+        places = [f"{features_out}/{k}" if features_out else None for k in range(len(paths))]
+        return self.train_scorer_from_features([self.feature_table(p, target, o, **columns) for p, o in zip(paths, places, strict=True)], kind)
+
+    def train_scorer_from_features(self, tables: list[DataFrame], kind: str = "forest") -> model.Scorer:
+        made = tables[0]
+        for more in tables[1:]:
+            made = made.unionByName(more)
         self.scorer = model.Scorer.train(made, K.FEATURES, "target", kind)
         return self.scorer
 
+    def evaluate_scorer(self, features_: DataFrame) -> DataFrame:
+        """``r2, mse`` of the scorer's predicted distances on features with a ``target``."""
+        predicted = self.scorer.predict(features_).withColumn("predicted", -F.col("score"))
+        return model.metrics(predicted, "target", "predicted")
+
+    def train_bin_reclassifier(self, train: DataFrame, valid: DataFrame, style: str = "mgf", network: model.Network | None = None, **options) -> model.Network:
+        """Fit the network on PSMs with a true peptide (``peptide_true``) and keep the best on ``valid``; see ``model.train_network``."""
+        extra = 2 * self.settings.differences + self.settings.precursor_range
+        start = network or self.network or model.Network.random(channels=4 + extra)
+        made = [self.with_truth(x, style).checkpoint() for x in (train, valid)]
+        self.network = model.train_network(*made, start, **options, **self.settings.channels)
+        return self.network
+
 
-def graph_bins(sparse: DataFrame, keys: DataFrame, weight: float) -> DataFrame:
-    """``scan, peptide, bins, probs, target``: y and reflected b probabilities merged by mean, inputs by maximum."""
-    target = S.bin_of(P.mass(F.col("peptide")) + 1, most=K.MAX_TARGET)
-    rows = sparse.join(keys.withColumn("target", target), "scan")
+def require_rows(psms: DataFrame) -> DataFrame:
+    """``psms``, if it has a row."""
+    if psms.isEmpty():
+        raise ValueError("there are no spectra to work on")
+    return psms
+
+
+def graph_bins(sparse: DataFrame, weight: float) -> DataFrame:
+    """``scan, peptide, bins, probs, target`` from reclassified rows (one for each scan and peptide).
+
+    y and reflected b probabilities are merged by mean, inputs by maximum. A row's bins are few,
+    so they are grouped inside the row and nothing is shuffled.
+    """
+    rows = sparse.withColumn("target", S.bin_of(P.mass(F.col("peptide")) + 1, most=K.MAX_TARGET))
     pair = lambda b, p: F.transform(F.arrays_zip(F.col(b).alias("b"), F.col(p).alias("p")), lambda x: F.struct(x["b"].alias("bin"), x["p"].cast("double").alias("p")))
     flip = lambda a: F.transform(a, lambda x: F.struct((F.col("target") - x["bin"] + 1).alias("bin"), x["p"].alias("p")))
-    given = lambda c: F.transform(c, lambda x: F.struct(x.alias("bin"), F.lit(weight).alias("p")))
-    own = ["own", "peptide", "target"]
-    shown = rows.select(*own, F.explode(F.concat(pair("y_mz", "y_probs"), flip(pair("b_mz", "b_probs")))).alias("n"))
-    mean = shown.groupBy(*own, F.col("n.bin").alias("bin")).agg(F.avg("n.p").alias("p"))
-    inputs = rows.select(*own, F.inline(F.concat(given("y_mz_inputs"), flip(given("b_mz_inputs")))))
-    top = mean.unionByName(inputs).groupBy(*own, "bin").agg(F.max("p").alias("p"))
-    nodes = top.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("bin", "p"))).alias("n"))  # at most a node for each bin
-    return nodes.select(F.col("own").alias("scan"), "peptide", "target", F.col("n.bin").alias("bins"), F.col("n.p").alias("probs"))
+    shown = F.concat(pair("y_mz", "y_probs"), flip(pair("b_mz", "b_probs"))).alias("_shown")
+    given = F.concat(F.col("y_mz_inputs"), F.transform("b_mz_inputs", lambda b: F.col("target") - b + 1)).alias("_given")
+    rows = rows.select("scan", "peptide", "target", shown, given)
+    bins = F.array_sort(F.array_distinct(F.concat(F.transform("_shown", lambda s: s["bin"]), F.col("_given"))))
+
+    def probability(b):
+        mine = F.filter("_shown", lambda s: s["bin"] == b)
+        mean = F.try_divide(F.aggregate(mine, F.lit(0.0), lambda a, s: a + s["p"]), F.size(mine))
+        return F.greatest(mean, F.when(F.array_contains("_given", b), F.lit(weight)))
+
+    return rows.select("scan", "peptide", "target", bins.alias("bins"), F.transform(bins, probability).alias("probs"))

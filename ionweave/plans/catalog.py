@@ -111,13 +111,16 @@ _OCC = f"""ions AS (SELECT psm, 'b' AS ion, tmz AS mz FROM slots WHERE slot % 6
 @query(sql("SELECT DISTINCT psm, ion, CAST(least(floor(mz), 2001) AS INTEGER) AS bin FROM ions WHERE floor(mz) > 0 AND floor(mz) < 2000", _OCC))
 def occupancy_profile(spark, d):
     p = psms(spark, d).withColumns({"l": P.ladder(F.col("peptide"), F.col("charge")), "m": P.mass(F.col("peptide"))}).where(F.size(P.tokens(F.col("peptide"))) > 0)
-    parts = [p.select("psm", F.lit(i).alias("ion"), F.explode(S.occupied_bins(F.col("l"), i, F.col("m"))).alias("bin")) for i in ("b", "y")]
-    return parts[0].unionByName(parts[1])
 
+    def marked(ion: str):
+        return F.transform(S.occupied_bins(F.col("l"), ion, F.col("m")), lambda b: F.struct(F.lit(ion).alias("ion"), b.alias("bin")))
 
-_J1 = f"""near AS (SELECT scan, psm, slot, mz, intensity, row_number() OVER (PARTITION BY psm, slot ORDER BY abs(tmz - mz), pos) AS r
- FROM slots JOIN peaks USING (scan) WHERE 1e6 * abs(tmz - mz) <= {VIEW_PPM} * tmz),
-common AS (SELECT s.scan, s.psm, s.slot, s.tmz, s.tint, coalesce(n.mz, 0) AS emz, coalesce(n.intensity, 0) AS eint FROM slots s LEFT JOIN near n ON s.psm = n.psm AND s.slot = n.slot AND n.r = 1)"""
+    return p.select("psm", F.inline(F.concat(marked("b"), marked("y"))))
+
+
+_J1 = f"""common AS (SELECT scan, psm, slot, tmz, tint, coalesce(best.mz, 0) AS emz, coalesce(best.intensity, 0) AS eint FROM (
+ SELECT s.scan, s.psm, s.slot, s.tmz, s.tint, min({{'away': abs(tmz - mz), 'pos': pos, 'mz': mz, 'intensity': intensity}}) FILTER (mz IS NOT NULL) AS best
+ FROM slots s LEFT JOIN peaks p ON s.scan = p.scan AND 1e6 * abs(tmz - mz) <= {VIEW_PPM} * tmz GROUP BY ALL))"""
 
 
 @query(sql("SELECT psm, slot, round(tmz, 6) AS tmz, tint, round(emz, 6) AS emz, eint FROM common", _J1))
@@ -155,7 +158,8 @@ def spectral_angle(spark, d):
 
 
 def _corr(x: str, y: str) -> str:
-    return f"CASE WHEN count(*) > 2 AND var_pop({x}) > 1e-14 AND var_pop({y}) > 1e-14 THEN round(corr({x}, {y}), 6) ELSE 0 END"
+    varies = " AND ".join(f"stddev_pop({c}) > 1e-12::DOUBLE * max(abs({c}))" for c in (x, y))
+    return f"CASE WHEN count(*) > 2 AND {varies} THEN round(corr({x}, {y}), 6) ELSE 0 END"
 
 
 @query(sql(f"""SELECT vec_id, "case", {_corr('raw_obs', 'raw_pred')} AS pearson, {_corr('log2(raw_obs + 1e-7)', 'log2(raw_pred + 1e-7)')} AS pearson_log FROM cases GROUP BY vec_id, "case" """))
@@ -232,10 +236,22 @@ def graph_reachability(spark, d):
     return graph.reachable(_nodes(spark, d), _STEPS)
 
 
-@query()
+_NAMED = ", ".join(f"({step}, '{names[0]}')" for step, names in K.residue_bins().items())
+_PATHS = _EDGES + f""", weighted AS (SELECT scan, bin, max(p) AS p FROM (SELECT scan, CAST(least(floor(mz), 2001) AS INTEGER) AS bin, intensity / 100 AS p FROM peaks) GROUP BY scan, bin),
+reach AS (SELECT scan, max(bin) AS bin FROM nodes GROUP BY scan UNION SELECT e.scan, e.u FROM reach r JOIN edges e ON e.scan = r.scan AND e.v = r.bin),
+ends AS (SELECT scan, min(bin) AS source, max(bin) AS target, CAST(count(*) AS INTEGER) AS n_nodes FROM reach GROUP BY scan),
+kept AS (SELECT r.scan, r.bin, CASE WHEN r.bin IN (source, target) THEN 1e-3::DOUBLE ELSE p END AS p FROM reach r JOIN weighted USING (scan, bin) JOIN ends USING (scan)),
+steps(step, residue) AS (VALUES {_NAMED}),
+links AS (SELECT e.scan, u, v, residue, (a.p + b.p) / 2 / sum((a.p + b.p) / 2) OVER (PARTITION BY e.scan, u) AS w
+ FROM edges e JOIN kept a ON a.scan = e.scan AND a.bin = u JOIN kept b ON b.scan = e.scan AND b.bin = v JOIN steps USING (step)),
+paths AS (SELECT scan, source AS bin, '' AS peptide, 0::DOUBLE AS score FROM ends UNION ALL
+ SELECT p.scan, v, residue || peptide, score + w FROM paths p JOIN links l ON l.scan = p.scan AND l.u = p.bin)"""
+
+
+@query(sql("SELECT scan, peptide, n_nodes, round(score, 6) AS score FROM paths JOIN ends USING (scan) WHERE bin = target QUALIFY row_number() OVER (PARTITION BY scan ORDER BY score DESC, peptide) = 1", _PATHS))
 def longest_path(spark, d):
     weighted = peaks(spark, d).select("scan", S.bin_of(F.col("mz")).alias("bin"), (F.col("intensity") / 100).alias("p"))
-    return graph.longest_paths(weighted.groupBy("scan", "bin").agg(F.max("p").alias("p")), _STEPS, source=None)
+    return rounded(graph.longest_paths(weighted.groupBy("scan", "bin").agg(F.max("p").alias("p")), _STEPS, source=None), "score")
 
 
 @query()
@@ -281,16 +297,15 @@ def cache_misses(spark, d):
     return _scores(spark, d).join(known, "candidate", "left_anti")
 
 
-_NAMES = [r for r in K.RESIDUES if r != "L"]
-_LOOKUP = """names AS (SELECT residue AS r, mass AS m, code AS c FROM residues WHERE residue <> 'L'),
-lookup AS (SELECT r AS candidate, m AS mass FROM names UNION ALL SELECT a.r || b.r, a.m + b.m FROM names a JOIN names b ON a.c <= b.c
- UNION ALL SELECT a.r || b.r || c.r, a.m + b.m + c.m FROM names a JOIN names b ON a.c <= b.c JOIN names c ON b.c <= c.c),
+_LOOKUP = f"""names AS (SELECT residue AS r, mass AS m, code AS c FROM residues WHERE residue <> 'L'),
+lookup AS (SELECT r AS candidate, c AS last, m AS mass FROM names UNION ALL SELECT candidate || r, c, mass + m FROM lookup JOIN names ON c >= last AND mass + m <= {2 * max(K.RESIDUES.values()) + 0.1!r}),
 firsts AS (SELECT psm, any_value(r1) || any_value(r2) AS own, sum(mass) AS m FROM (SELECT psm, mass, min(code) OVER (PARTITION BY psm) AS lo, max(code) OVER (PARTITION BY psm) AS hi FROM toks JOIN residues USING (residue) WHERE i <= 2 AND n >= 2)
  JOIN (SELECT code AS lo, residue AS r1 FROM residues) USING (lo) JOIN (SELECT code AS hi, residue AS r2 FROM residues) USING (hi) GROUP BY psm)"""
 
 
 @query(sql("SELECT psm, own, candidate, round(mass, 6) AS mass FROM firsts, lookup WHERE mass BETWEEN m - 0.02::DOUBLE AND m + 0.02::DOUBLE AND candidate <> own", _LOOKUP))
 def mass_range_join(spark, d):
+    """Replacements for one span of each peptide: its first two residues stand for the span that a mutation draws."""
     two = F.slice(P.codes(F.col("peptide")), 1, 2)
     chosen = psms(spark, d).where(F.size(two) == 2).select("psm", P.spell(F.array_sort(two)).alias("own"), P.total(P.residue_masses(P.spell(two))).alias("m"))
     found = R.mass_range_join(chosen.select("psm", "own", (F.col("m") - 0.02).alias("low"), (F.col("m") + 0.02).alias("high")), R.lookup_table(spark), "m")
@@ -328,7 +343,7 @@ def float_list_parse(spark, d):
     return made.select("vec_id", F.round(P.total(F.col("x")), 3).alias("total"), F.size("x").alias("n"))
 
 
-@query()
+@query(sql("SELECT psm, scan, charge, peptide, raw FROM psms ORDER BY md5(psm || '|13')[1:13], psm LIMIT 200"))
 def random_subset(spark, d):
     return evolve.random_subset(psms(spark, d), "psm", 200)
 
@@ -339,17 +354,56 @@ def mutation_population(spark, d):
     return evolve.initial_population(p, R.lookup_table(spark), size=64)
 
 
+_POPULATION = "population AS (SELECT o_custkey AS scan, CAST(o_orderkey AS VARCHAR) AS peptide, o_orderkey % 7 + 1 AS n, o_totalprice AS score FROM orders)"
+_SELECTION = _POPULATION + """, ranked AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY scan ORDER BY score DESC, peptide ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  n * exp((score - max(score) OVER (PARTITION BY scan)) / 10000) AS w FROM population),
+spans AS (SELECT *, sum(w) OVER (PARTITION BY scan ORDER BY score DESC, peptide ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY scan) AS high FROM ranked),
+spanned AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY scan ORDER BY score DESC, peptide), 0) AS low FROM spans),
+draws AS (SELECT scan, ('0x' || md5(scan || '|' || i || '|1')[1:13])::BIGINT::DOUBLE / 4503599627370496 AS u FROM (SELECT DISTINCT scan FROM population), range(1, 46) r(i))"""
+
+
+@query(sql("""SELECT scan, peptide, 'elite' AS kind, CAST(least(n, greatest(0, 19 - before)) AS BIGINT) AS n FROM ranked WHERE before < 19
+ UNION ALL SELECT s.scan, peptide, 'drawn', count(*) FROM spanned s JOIN draws d ON d.scan = s.scan AND u >= low AND u < high GROUP BY s.scan, peptide""", _SELECTION))
+def selection(spark, d):
+    """The elites of a population and the parents that are drawn, with their numbers."""
+    named = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("scan"), named.cast("string").alias("peptide"), (named % 7 + 1).alias("n"), F.col("o_totalprice").alias("score"))
+    elites, drawn = evolve.select(rows, size=64, elite=0.3, temperature=10000.0)
+    kinds = [x.select("scan", "peptide", F.lit(k).alias("kind"), F.col("n").cast("long").alias("n")) for x, k in ((elites, "elite"), (drawn, "drawn"))]
+    return kinds[0].unionByName(kinds[1])
+
+
+@query()
+def evolution_search(spark, d):
+    """The whole search over the view's peptides: their own ladders are the graphs, and a peptide scores by how far its mass is from the precursor's."""
+    p = psms(spark, d).where(F.size(P.tokens(F.col("peptide"))).between(2, K.MAX_LENGTH))
+    initial = p.select(F.col("psm").cast("string").alias("scan"), "peptide", (P.mass(F.col("peptide")) + 0.01).alias("precursor"), F.lit(-1.5).alias("score"))
+
+    def score(wanted):
+        away = F.abs(P.mass(F.col("peptide")) - F.col("precursor"))
+        return wanted.join(initial.select("scan", "precursor"), "scan").select("scan", "peptide", (-away - 1).alias("score"))
+
+    def bins(drawn):
+        target = S.bin_of(P.mass(F.col("peptide")) + 1, most=K.MAX_TARGET)
+        own = drawn.select("scan", "peptide").withColumn("bins", S.occupied_bins(P.ladder(F.col("peptide"), F.lit(1)), "y", P.mass(F.col("peptide"))))
+        return own.select("scan", "peptide", "bins", F.transform("bins", lambda b: F.lit(1.0)).alias("probs"), target.alias("target"))
+
+    return evolve.run(initial, R.lookup_table(spark), score, bins)
+
+
 @query()
 def scorer_train(spark, d):
     features = R.counting_features(R.nearest_peaks(slots(spark, d), peaks(spark, d), ["psm"], VIEW_PPM), ["psm"])
     names = [c for c in features.columns if c != "psm"]
     rows = features.withColumn("target", F.ln(F.lit(1.0) + F.col("num_exp")))
-    return model.Scorer.train(rows, names, "target", kind="forest", trees=10, depth=5).predict(rows).select("psm", "score")
+    return model.Scorer.train(rows, names, "target", kind="forest").predict(rows).select("psm", "score")
 
 
 @query()
 def binreclass_infer(spark, d):
     p = psms(spark, d).withColumns({"l": P.ladder(F.col("peptide"), F.col("charge")), "m": P.mass(F.col("peptide"))})
-    p = p.select(F.col("psm").alias("scan"), S.occupied_bins(F.col("l"), "y", F.col("m")).alias("y_bins"), S.occupied_bins(F.col("l"), "b", F.col("m")).alias("b_bins"), F.col("l"))
-    rows = p.withColumn("mzs", F.transform("l", lambda s: s["mz"])).withColumn("ints", F.transform("l", lambda s: F.lit(1.0)))
-    return model.reclassify(rows.drop("l").repartition(8), model.Network.random(channels=4, width=4, convs=1))
+    mz = F.transform("l", lambda s: s["mz"])
+    one = F.transform("l", lambda s: F.lit(1.0))
+    rows = p.select(F.col("psm").alias("scan"), S.occupied_bins(F.col("l"), "y", F.col("m")).alias("y_bins"), S.occupied_bins(F.col("l"), "b", F.col("m")).alias("b_bins"), mz.alias("mz"), one.alias("intensities"), mz.alias("mzs"), one.alias("ints"), (F.col("m") / F.col("charge")).alias("precursor_mz"))
+    done = model.reclassify(rows.repartition(spark.sparkContext.defaultParallelism), model.Network.random(channels=4))
+    return done.select("scan", "y_probs", "y_mz", "b_probs", "b_mz", "y_changes", "y_mz_inputs", "b_mz_inputs")

@@ -46,7 +46,7 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ladder slots of every peptide; slots of even number are predicted with intensity 1."""
-    ladder = psms(spark, sf_dir).select("scan", "psm", F.inline(P.ladder(F.col("peptide"), F.col("charge"))))
+    ladder = P.ladder_rows(psms(spark, sf_dir), ["scan", "psm"])
     return ladder.select("scan", "psm", "slot", F.col("mz").alias("tmz"), F.when(F.col("slot") % 2 == 0, 1.0).otherwise(0.0).alias("tint"))
 
 

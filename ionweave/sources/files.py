@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ionweave import constants as K
 from ionweave.functions import peptide as P
+from ionweave.functions.spectrum import prediction_floor
 
 
 def parse_mgf(blocks: DataFrame) -> DataFrame:
@@ -31,14 +32,22 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     return parse_mgf(spark.read.option("lineSep", "END IONS").text(path))
 
 
-def read_csv(spark: SparkSession, path: str, peptide: str, charge: str, mzs: str, ints: str, precursor_mz: str, scan: str | None = None, score: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """PSMs of a CSV file with column names of its own; spectra are strings like ``[1.0, 2.0]``."""
+def read_csv(spark: SparkSession, path: str, peptide: str, charge: str, mzs: str, ints: str, precursor_mz: str, scan: str | None = None, score: str | None = None, more: tuple[str, ...] = (), truth: str | None = None, distance: str | None = None, original: bool = False) -> DataFrame:
+    """PSMs of a CSV file with column names of its own; spectra are strings like ``[1.0, 2.0]``.
+
+    ``truth`` and ``distance`` name a column with the true peptide and one with its distance,
+    which become ``peptide_true, distance``; with ``original`` the file's columns stay, as a
+    struct of that name. A file without a column for ``scan`` gets a hash of the row.
+    """
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     named = F.col(scan).cast("string") if scan else F.xxhash64(*raw.columns).cast("string")
+    extra = [P.normalize(F.col(truth), "search").alias("peptide_true")] if truth else []
+    extra += [F.col(distance).try_cast("double").alias("distance")] if distance else []
+    extra += [F.struct(*raw.columns).alias("original")] if original else []
     return raw.select(
         named.alias("scan"), F.col(charge).try_cast("int").alias("charge"), F.col(precursor_mz).try_cast("double").alias("precursor_mz"),
         F.col(peptide).alias("peptide"), (F.col(score).try_cast("double") if score else F.lit(None).cast("double")).alias("original_score"),
-        P.float_list(F.col(mzs)).alias("mzs"), P.float_list(F.col(ints)).alias("ints"), *more,
+        P.float_list(F.col(mzs)).alias("mzs"), P.float_list(F.col(ints)).alias("ints"), *more, *extra,
     )
 
 
@@ -54,34 +63,52 @@ def read_arrays(spark: SparkSession, path: str, peptide_int="peptide_int", charg
     return rows.select(*out, *([P.spell(F.col(truth)).alias("peptide_true")] if truth else []))
 
 
-def read_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """A mass table without header: candidate, mass."""
-    return spark.read.schema("candidate string, mass double").csv(path)
+def read_lookup(spark: SparkSession, path: str, cysteine: bool = True) -> DataFrame:
+    """A mass table without header (candidate, mass): residues in the common spelling and sorted by code, rows by mass."""
+    raw = spark.read.schema("candidate string, mass double").csv(path)
+    named = P.normalize(F.replace("candidate", F.lit("M(ox)"), F.lit("M[UNIMOD:35]")), "search", cysteine)
+    return raw.select(P.spell(F.array_sort(P.codes(named))).alias("candidate"), "mass").where("candidate IS NOT NULL").orderBy("mass", "candidate")
 
 
 def read_features(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def uniform_predictions(keys: DataFrame) -> DataFrame:
-    """A stand-in for predicted spectra (``peptide, charge``): ladder m/z, intensity 1 each; 174 slots, -1 where there is none."""
-    ladder = P.ladder(F.col("peptide"), F.col("charge"))
-    found = F.map_from_entries("_l")
-    mz = F.transform(F.sequence(F.lit(0), F.lit(K.SLOTS - 1)), lambda i: F.coalesce(F.element_at(found, i), F.lit(-1.0)))
-    made = keys.select("peptide", "charge").distinct().withColumn("_l", ladder).withColumn("mz", mz)
-    return made.withColumn("intensities", F.transform("mz", lambda x: F.when(x > 0, 1.0).otherwise(-1.0))).drop("_l")
+def uniform_predictions(rows: DataFrame) -> DataFrame:
+    """A stand-in for predicted spectra: ``rows`` (``peptide, charge``) with ladder ``mz`` and ``intensities`` of 1; 174 slots, -1 where there is none."""
+    def slots(ladder):
+        found = F.map_from_entries(ladder)
+        return F.transform(F.sequence(F.lit(0), F.lit(K.SLOTS - 1)), lambda i: F.coalesce(F.element_at(found, i), F.lit(-1.0)))
+
+    made = rows.withColumn("mz", P.let(P.ladder(F.col("peptide"), F.col("charge")), slots))
+    return made.withColumn("intensities", F.transform("mz", lambda x: F.when(x > 0, 1.0).otherwise(-1.0)))
+
+
+def table_predictions(predictions: DataFrame, energy: float | None = None):
+    """What adds the predicted spectra of a table (``peptide, charge, mz, intensities`` and maybe ``ce``) to rows.
 
+    They are found by peptide, charge and, where the table has it, collision energy: the rows'
+    own ``ce``, or ``energy``; 1 and below is a share of 100. Rows without a prediction stay, with nulls.
+    """
+    keys = ["peptide", "charge"] + ["ce"] * ("ce" in predictions.columns)
+    percent = lambda c: F.round(F.when(c <= 1, c * 100).otherwise(c)).cast("int")
+    keyed = predictions.withColumn("ce", percent(F.col("ce"))) if "ce" in keys else predictions
+    keyed = keyed.dropDuplicates(keys).select(*(F.col(k).alias(f"_{k}") for k in keys), "mz", F.transform("intensities", prediction_floor).alias("intensities"))
 
-def with_predictions(psms: DataFrame, predictions: DataFrame) -> DataFrame:
-    """PSMs with their predicted spectra, by peptide and charge; the keys are made distinct before."""
-    from ionweave.functions.spectrum import prediction_floor
+    def add(rows: DataFrame) -> DataFrame:
+        own = {k: F.col(k) for k in keys}
+        if "ce" in keys:
+            own["ce"] = percent(F.col("ce") if "ce" in rows.columns else F.lit(energy))
+        match = [own[k] == F.col(f"_{k}") for k in keys]
+        return rows.join(keyed, match, "left").drop(*(f"_{k}" for k in keys))
 
-    keyed = predictions.dropDuplicates(["peptide", "charge"]).withColumn("intensities", F.transform("intensities", prediction_floor_of(prediction_floor)))
-    return psms.join(keyed.select("peptide", "charge", "mz", "intensities"), ["peptide", "charge"])
+    return add
 
 
-def prediction_floor_of(f):
-    return lambda x: f(x)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, by any path that Spark can read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:

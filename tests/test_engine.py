@@ -150,13 +150,35 @@ def test_graph_path_and_fallback():
 
 
 def test_mutants_keep_the_mass(spark):
-    lookup = relational.lookup_table(spark, 2).collect()
+    lookup = relational.lookup_table(spark).collect()
     m = evolve.Mutator([r.candidate for r in lookup], [r.mass for r in lookup])
     peptide = "GFVIDDGIITK"
-    mass = sum(K.RESIDUES[t] for t in peptide)
-    for k in range(200):
-        new = m.mutate(peptide, 1176.6, np.random.default_rng(k))
-        assert abs(sum(K.RESIDUES[t] for t in evolve.TOKEN.findall(new)) - mass) <= 1176.6 * 20e-6 + 1e-9
+    total = lambda p: sum(K.RESIDUES[t] for t in evolve.TOKEN.findall(p))
+    budget = 1176.6 * 20e-6
+    for k in range(50):
+        rng = np.random.default_rng(k)
+        new, left = m.mutate(peptide, (-budget, budget), rng)
+        assert abs(total(new) - total(peptide)) <= budget + 1e-9 and new[-1] == "K"
+        assert left[1] - left[0] == pytest.approx(2 * budget) and left[0] == pytest.approx(-budget - (total(new) - total(peptide)), abs=1e-9)
+        # handed on, the budget bounds what all mutants together have added
+        many = m.mutants(peptide, 1176.6, 30, np.random.default_rng(k))
+        assert abs(sum(total(x) - total(peptide) for x in many)) <= budget + 1e-9
+    assert {tuple(map(tuple, m.deal(list("AB"), 2, np.random.default_rng(k)))) for k in range(60)} == {
+        (("A",), ("B",)), (("B",), ("A",)), (("A", "B"), ()), (("B", "A"), ()), ((), ("A", "B")), ((), ("B", "A")),
+    }
+    whole = evolve.Mutator(["A"], [71.0], permute=1.0, everything=True)
+    assert len({whole.mutate("ACDEK".replace("C", "C[UNIMOD:4]"), (0, 0), np.random.default_rng(k))[0] for k in range(40)}) > 20
+
+
+def test_lookup_table(spark):
+    """All multisets of residues up to the weight of the two heaviest, by brute force."""
+    from itertools import combinations_with_replacement
+
+    names = [r for r in K.RESIDUES if r != "L"]
+    most = 2 * max(K.RESIDUES.values()) + 0.1
+    want = {"".join(c) for n in range(1, 7) for c in combinations_with_replacement(names, n) if sum(K.RESIDUES[r] for r in c) <= most}
+    got = {r.candidate: r.mass for r in relational.lookup_table(spark).collect()}
+    assert set(got) == want and got["AG"] == pytest.approx(K.RESIDUES["A"] + K.RESIDUES["G"])
 
 
 def test_population_and_selection(spark):
@@ -178,13 +200,191 @@ def test_search_without_candidates_returns_the_start(spark):
     assert [tuple(r) for r in got.collect()] == [("a", "GFVIDDGIITK", -5.0)]
 
 
-def test_network_round_trip(tmp_path):
-    net = model.Network.random(width=2, convs=1)
+def slow_layer(w, name, x, widths):
+    """A gapped layer place by place: x is a list of channels."""
+    n = x.shape[1]
+    out = np.zeros((len(w[f"{name}.{widths[0]}.w"]), n))
+    for g in widths:
+        rows = n // g + 1
+        at = lambda c, i, j: x[c, i * g + j] if 0 <= i < rows and 0 <= j < g and i * g + j < n else 0.0
+        for o in range(len(out)):
+            for p in range(n):
+                i, j = divmod(p, g)
+                out[o, p] += w[f"{name}.{g}.b"][o]
+                for c in range(len(x)):
+                    for a in range(3):
+                        for b in range(3):
+                            out[o, p] += w[f"{name}.{g}.w"][o, c, a, b] * at(c, i + a - 1, j + b - 1)
+    return out
+
+
+def small_network(seed=0, channels=4):
+    rng = np.random.default_rng(seed)
+    net = model.Network.random(channels=channels, width=3, convs=1, seed=seed)
+    some = net.widths[:2]
+    w = {k: rng.normal(0, 0.3, v.shape) for k, v in net.weights.items() if "." not in k[3:] or k.split(".")[1] in ("scale", "shift", *map(str, some)) or k.startswith("mix")}
+    return model.Network(w, some, 1)
+
+
+def test_network_against_loops(tmp_path):
+    net = small_network()
+    x = np.random.default_rng(1).normal(size=(2, 4, 90))
+    got = net.forward(x)
+    for one, want in zip(x, got):
+        h = np.maximum(slow_layer(net.weights, "start", one, net.widths), 0) * net.weights["start.scale"][:, None] + net.weights["start.shift"][:, None]
+        h = h + np.maximum(slow_layer(net.weights, "mid0", h, net.widths), 0) * net.weights["mid0.scale"][:, None] + net.weights["mid0.shift"][:, None]
+        end = slow_layer(net.weights, "end", h, net.widths)  # no ReLU
+        for k, (inner, outer) in enumerate(((one[2], end[0]), (one[3], end[1]))):
+            two = [net.weights["mix1.w"][k, o, 0] * inner + net.weights["mix1.w"][k, o, 1] * outer + net.weights["mix1.b"][2 * k + o] for o in (0, 1)]
+            assert np.allclose(want[k], net.weights["mix2.w"][k] @ np.array(two) + net.weights["mix2.b"][k])
     net.save(tmp_path / "n.npz")
-    again = model.Network.load(str(tmp_path / "n.npz"))
-    x = np.zeros((4, 60), np.float32)
-    x[:, 10] = 1
-    assert np.allclose(net.forward(x), again.forward(x)) and net.forward(x).shape == (2, 60)
+    assert np.allclose(model.Network.load(str(tmp_path / "n.npz")).forward(x), got)
+
+
+def test_gradients():
+    net, rng = small_network(3), np.random.default_rng(2)
+    x, y, weight = rng.normal(size=(2, 4, 60)), (rng.random((2, 2, 60)) < 0.2).astype(float), np.array([[[3.0], [2.0]]])
+    loss, found = net.gradients(x, y, weight)
+    assert loss == pytest.approx(model.focal(net.forward(x), y, weight)[0]) and set(found) == set(net.weights)
+    for name, w in net.weights.items():
+        for at in list(np.ndindex(w.shape))[:: max(1, w.size // 4)]:
+            both = []
+            for step in (1e-5, -1e-5):
+                w[at] += step
+                both.append(model.focal(net.forward(x), y, weight)[0])
+                w[at] -= step
+            assert np.reshape(found[name], w.shape)[at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=1e-3, abs=1e-4), name
+
+
+def test_channels():
+    """Hand-made rows: occupied bins, predicted as they are, measured without the precursor and relative to the highest."""
+    x = model.channels([19, 147], [1], [147.1, -1.0, 200.9, 900.0], [0.5, -1.0, 0.25, 0.1], [0.5, 100.2, 100.7, 300.0, 450.0, 1500.0], [5.0, 10.0, 10.0, 99.0, 20.0, 1.0], 300.0)
+    assert x.shape == (4, K.MAX_BIN)
+    assert np.flatnonzero(x[0]).tolist() == [19, 147] and np.flatnonzero(x[1]).tolist() == [1]
+    assert {int(i): float(x[2][i]) for i in np.flatnonzero(x[2])} == {147: 0.5, 200: 0.25}  # the highest occupied bin, 900, is left out
+    assert {int(i): pytest.approx(float(x[3][i])) for i in np.flatnonzero(x[3])} == {0: 0.25, 100: 1.0, 450: 1.0}
+    more = model.channels([19, 147], [1], [147.1, 900.0], [0.49, 0.1], [147.5, 990.0], [1.0, 1.0], 300.0, transform="sqrt", precursor_range=True, differences=True)
+    assert len(more) == 7 and more[2].sum() == 147 and more[5][147] == pytest.approx(0.7) and more[3][147] == pytest.approx(0.3)
+    assert more[4][147] == pytest.approx(0.3 / (0.85 + 1e-5))
+    assert model.channels([], [], None, None, [], [], 300.0).sum() == 0
+    assert model.scaled_log(np.array([0.0, 1.0])).tolist() == [0.0, 1.0]
+
+
+def spectra(spark, rows):
+    """PSMs of ``(scan, peptide)`` with their own ladders as peaks."""
+    made = spark.createDataFrame([(s, p, 2) for s, p in rows], "scan string, peptide string, charge int").withColumn("l", P.ladder(F.col("peptide"), F.col("charge")))
+    mzs = F.transform("l", lambda s: s["mz"])
+    return made.select("scan", "charge", (P.mass(F.col("peptide")) / 2 + K.PROTON).alias("precursor_mz"), "peptide", F.lit(None).cast("double").alias("original_score"), mzs.alias("mzs"), F.transform(mzs, lambda m: F.lit(1.0)).alias("ints"))
+
+
+class LengthScorer:
+    """A stand-in for a trained scorer."""
+
+    def predict(self, rows):
+        return rows.withColumn("score", -F.col("num_exp") / 100)
+
+
+def test_rescoring_keeps_every_row(spark):
+    """Repeated and null scans are rows like others; what is not valid has -Infinity."""
+    rows = spectra(spark, [("1", "GFVIDDGIITK"), ("1", "GFVIDDGIITK"), ("1", "YVGDSYDSSAK"), (None, "AGAGAGK"), ("2", "A" * 31), ("3", "AXB")])
+    for network in (None, model.Network.random(width=2, convs=1)):
+        got = Engine(spark, network=network, scorer=LengthScorer()).rescoring(rows).collect()
+        assert [x.name for x in rows.schema] + ["score"] == list(got[0].asDict())
+        scores = sorted((r.scan or "", r.peptide[:2], r.score) for r in got)
+        assert [s[:2] for s in scores] == [("", "AG"), ("1", "GF"), ("1", "GF"), ("1", "YV"), ("2", "AA"), ("3", "AX")]
+        assert scores[1] == scores[2] and [s[2] == float("-inf") for s in scores] == [False] * 4 + [True] * 2
+
+
+def test_predictions_by_table(spark):
+    rows = spark.createDataFrame([("AGK", 2, 0.29), ("AGK", 3, 30.0), ("K", 2, 29.0)], "peptide string, charge int, ce double")
+    table = spark.createDataFrame([("AGK", 2, 29.0, [1.0], [5e-5]), ("AGK", 2, 30.0, [2.0], [1.0]), ("AGK", 2, 29.0, [1.0], [5e-5])], "peptide string, charge int, ce double, mz array<double>, intensities array<double>")
+    got = sorted((r.peptide, r.charge, r.mz, r.intensities) for r in files.table_predictions(table)(rows).collect())
+    assert got == [("AGK", 2, [1.0], [0.0]), ("AGK", 3, None, None), ("K", 2, None, None)]
+    assert files.table_predictions(table, energy=0.3)(rows.drop("ce")).where("mz[0] = 2.0").count() == 1
+
+
+def test_csv_keeps_its_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,seq,z,m,i,p,note,true\nx,GFVIDDGIITK,2,"[147.1, 200.5]","[1.0, 2.0]",589.3,keep me,GFVIDDGIITK\nx,,2,"[]","[]",1.0,empty,\n')
+    names = {"peptide": "seq", "charge": "z", "mzs": "m", "ints": "i", "precursor_mz": "p", "scan": "id"}
+    done = Engine(spark, scorer=LengthScorer()).rescoring_from_csv(str(tmp_path / "a.csv"), str(tmp_path / "out"), **names)
+    assert done.columns == ["id", "seq", "z", "m", "i", "p", "note", "true", "score"] and done.count() == 2
+    back = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert {(r.note, r.score == "-Infinity") for r in back} == {("keep me", False), ("empty", True)} and "index" in back[0].asDict()
+    read = files.read_csv(spark, str(tmp_path / "a.csv"), truth="true", **names)
+    assert {r.peptide_true for r in read.collect()} == {"GFVIDDGIITK", None}
+    (tmp_path / "l.csv").write_text("GAC,231.1\nM(ox),147.0\nXX,1.0\n")
+    assert [tuple(r) for r in files.read_lookup(spark, str(tmp_path / "l.csv")).collect()] == [("M[UNIMOD:35]", 147.0), ("AC[UNIMOD:4]G", 231.1)]
+    with pytest.raises(ValueError):
+        (tmp_path / "none.csv").write_text("id,seq,z,m,i,p\n")
+        Engine(spark, scorer=LengthScorer()).rescoring_from_csv(str(tmp_path / "none.csv"), **names)
+
+
+def test_search(spark, tmp_path):
+    """Two generations: 65 rows a scan in each, nothing is scored twice, the best comes back with what it was."""
+    rows = spectra(spark, [("a", "GFVIDDGIITK"), ("b", "YVGDSYDSSAK"), ("c", "AGK")])
+    initial = rows.select("scan", "peptide", P.mass(F.col("peptide")).alias("precursor"), F.when(F.col("scan") == "c", -9.0).otherwise(-1.5).alias("score"))
+    asked, sizes, children = [], [], []
+
+    def score(wanted):
+        asked.extend((r.scan, r.peptide) for r in wanted.collect())
+        return wanted.withColumn("score", F.when(F.col("peptide").startswith("GF"), -0.5).otherwise(-3.0))
+
+    def bins(drawn):
+        own = drawn.select("scan", "peptide").withColumn("bins", S.occupied_bins(P.ladder(F.col("peptide"), F.lit(1)), "y", P.mass(F.col("peptide"))))
+        return own.select("scan", "peptide", "bins", F.transform("bins", lambda b: F.lit(1.0)).alias("probs"), S.bin_of(P.mass(F.col("peptide")) + 1, most=K.MAX_TARGET).alias("target"))
+
+    def snapshot(scored, generation):
+        sizes.append({r.scan: r.n for r in scored.groupBy("scan").agg(F.sum("n").alias("n")).collect()})
+
+    got = evolve.run(initial, relational.lookup_table(spark), score, bins, generations=3, snapshot=snapshot, lineage=lambda c, g: children.append(c.agg(F.sum("n")).first()[0]))
+    found = {r.scan: (r.peptide, r.score) for r in got.collect()}
+    assert sizes == [{"a": 65, "b": 65}] * 3 and len(asked) == len(set(asked)) and children == [90, 90]
+    assert found["a"][0].startswith("GF") and found["a"][1] == -0.5 and found["b"][1] == -3.0 and found["c"] == ("AGK", -9.0)
+
+
+def test_search_of_the_engine(spark, tmp_path):
+    from ionweave.plans.api import Settings
+
+    engine = Engine(spark, model.Network.random(width=2, convs=1), LengthScorer(), settings=Settings(population=6, least_score=-9.0, most_score=0.0))
+    rows = spectra(spark, [("a", "GFVIDDGIITK"), ("a", "YVGDSYDSSAK"), ("b", "AGAGK"), (None, "AGK")])
+    got = engine.search(rows, relational.lookup_table(spark), snapshots=str(tmp_path / "s"), lineage=str(tmp_path / "l")).collect()
+    assert sorted((r.scan, r.peptide_init) for r in got) == [("a", "GFVIDDGIITK"), ("b", "AGAGK")] and all(r.score >= r.score_init for r in got)
+    assert spark.read.parquet(str(tmp_path / "s/best")).count() == 4 and spark.read.parquet(str(tmp_path / "l")).count() > 0
+
+
+def test_training(spark, tmp_path):
+    engine = Engine(spark)
+    names = ["GFVIDDGIITK", "YVGDSYDSSAK", "AGAGAGK", "MFPEK"]
+    rows = spectra(spark, [(str(i), p) for i, p in enumerate(names)]).withColumn("peptide_true", F.reverse("peptide"))
+    start = model.Network.random(width=2, convs=1)
+    truth = engine.with_truth(rows).checkpoint()
+    before = truth.count(), model.class_weights(truth)
+    net = engine.train_bin_reclassifier(rows, rows, network=start, epochs=3, steps=2, rate=3e-3, save=str(tmp_path / "best.npz"))
+    assert before[0] == 4 and before[1]["y"] > 50 and (tmp_path / "best.npz").exists()
+    dense = [model.reclassify_with_truth(truth, n).collect() for n in (start, net)]
+
+    def loss(found):
+        return sum(model.focal(np.log(np.array(r[f"{i}_outputs"]) / (1 - np.array(r[f"{i}_outputs"]))), np.array(r[f"{i}_targets"]), before[1][i])[0] for r in found for i in "yb")
+
+    assert loss(dense[1]) < loss(dense[0])
+    r = dense[1][0]
+    assert r.y_changed == [float(a != b) for a, b in zip(r.y_inputs, r.y_targets)] and sum(r.b_targets) > 0
+    lines = ["seq,z,m,i,p,d"] + [f'{p},2,"[147.1, {200 + i}.5]","[1.0, 2.0]",589.3,{i % 5}' for i, p in enumerate(names * 30)]
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    columns = {"peptide": "seq", "charge": "z", "mzs": "m", "ints": "i", "precursor_mz": "p"}
+    table = engine.feature_table(str(tmp_path / "t.csv"), "d", str(tmp_path / "f"), **columns)
+    assert table.columns == [*K.FEATURES, "target"] and table.count() == 120
+    assert engine.feature_table("not read again", "d", str(tmp_path / "f"), **columns).count() == 120
+    engine.scorer = model.Scorer.train(table, K.FEATURES, "target", kind="boosted", trees=2, depth=2)
+    assert 0 <= engine.evaluate_scorer(table).first().mse < 5
+
+
+def test_sql_functions(spark):
+    from ionweave.functions.register import register
+
+    register(spark)
+    assert spark.sql("SELECT peptide_mass('GFVIDDGIITK') AS m").first().m == pytest.approx(1176.639041, abs=1e-6)
+    assert spark.sql("SELECT * FROM fragments('AGK', 2)").count() == 8
 
 
 def test_queries_have_oracles_of_the_same_names():

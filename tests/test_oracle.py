@@ -19,7 +19,7 @@ def plain(rows):
     return sorted((tuple(map(cell, r)) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE_SQL) - {"expand_by_count"}))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_same_rows(spark, name):
     db = duckdb.connect()
     for t in ("part", "events", "documents", "embeddings", "orders", "customer", "lineitem"):
