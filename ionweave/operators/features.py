@@ -6,6 +6,8 @@ row holds its whole spectrum.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 
 from ionweave import constants as K
 
+_TOKENS = re.compile(K.TOKEN).findall
 _SLOT = np.arange(K.SLOTS) % 6
 MASKS = {"all": np.ones(K.SLOTS, bool), "b": _SLOT > 2, "y": _SLOT <= 2}
 
@@ -39,6 +42,45 @@ def match(tmz: np.ndarray, emz: np.ndarray, eint: np.ndarray, ppm: float = K.PPM
     return np.where(ok, emz[chosen], 0.0), np.where(ok, eint[chosen], 0.0)
 
 
+def slots_of(peptide: str | None, charge: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of a peptide's ladder and their m/z, from one running sum."""
+    masses = [K.RESIDUES.get(t, np.nan) for t in _TOKENS(peptide or "")]
+    n, z = min(len(masses), K.MAX_LENGTH) - 1, np.arange(1, min(charge or 0, 3) + 1)
+    if n < 1 or not len(z):
+        return np.empty(0, np.int32), np.empty(0)
+    sums = np.concatenate([[0.0], np.cumsum(masses)])
+    fragments = np.stack([sums[-1] - sums[-2 : -n - 2 : -1] + K.WATER, sums[1 : n + 1]], axis=1)
+    mz = (fragments[:, :, None] + z * K.PROTON) / z
+    slot = 6 * np.arange(n)[:, None, None] + np.array([0, 3])[:, None] + (z - 1)
+    return slot.reshape(-1).astype(np.int32), mz.reshape(-1)
+
+
+def matched_slots(psms: DataFrame, keep: list[str], ppm: float = K.PPM) -> DataFrame:
+    """``keep, slot, tmz, tint, emz, eint``: each slot of each PSM's ladder with the nearest of its peaks, or zeros.
+
+    ``psms`` has ``peptide, charge, mzs, ints`` and ``tints``, a predicted intensity for each of
+    the 174 slots. A row holds its whole spectrum, so nothing is shuffled: one Arrow pass makes the ladders and
+    matches them. ``relational.nearest_peaks`` does the same where peaks are rows.
+    """
+    fields = [T.StructField("slot", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("tmz", "tint", "emz", "eint"))]
+
+    def run(batches):
+        for batch in batches:
+            found, counts = [], []
+            names = ("peptide", "charge", "mzs", "ints", "tints")
+            for peptide, charge, *arrays in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                mzs, ints, tints = (np.asarray(a if a is not None else [], float) for a in arrays)
+                slot, tmz = slots_of(peptide, charge)
+                found.append((slot, tmz, tints[slot] if len(tints) else np.zeros(len(slot)), *match(tmz, mzs, ints, ppm)))
+                counts.append(len(slot))
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)] or [pa.array([], pa.int32()), *[pa.array([], pa.float64())] * 4]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keep), *columns], names=[*keep, "slot", "tmz", "tint", "emz", "eint"])
+
+    schema = T.StructType([*(psms.schema[k] for k in keep), *fields])
+    return psms.select(*dict.fromkeys([*keep, "peptide", "charge", "mzs", "ints", "tints"])).mapInArrow(run, schema)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x)
     return x / (n or 1.0)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ionweave import constants as K
+from ionweave.functions.peptide import let
 
 
 def nearest_peaks(slots: DataFrame, peaks: DataFrame, keys: list[str], ppm: float = K.PPM) -> DataFrame:
@@ -18,7 +19,8 @@ def nearest_peaks(slots: DataFrame, peaks: DataFrame, keys: list[str], ppm: floa
     read once.
     """
     away = F.abs(F.col("tmz") - F.col("mz"))
-    met = slots.join(peaks, (slots["scan"] == peaks["scan"]) & (1e6 * away <= ppm * F.col("tmz")), "left").drop(peaks["scan"])
+    own = peaks.withColumnRenamed("scan", "_scan")
+    met = slots.join(own, (F.col("scan") == F.col("_scan")) & (1e6 * away <= ppm * F.col("tmz")), "left")
     nearest = F.min(F.when(F.col("mz").isNotNull(), F.struct(away.alias("away"), "pos", "mz", "intensity"))).alias("p")
     best = met.groupBy("scan", *keys, "slot", "tmz", "tint").agg(nearest)
     found = [F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).alias(n) for c, n in (("mz", "emz"), ("intensity", "eint"))]
@@ -49,8 +51,8 @@ def ion_cases(pairs: DataFrame, key: str) -> DataFrame:
 
     ``obs`` and ``pred`` are divided by their norms over all slots; only slots with a prediction stay.
     """
-    square = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda a: F.transform(a, lambda x: x / F.when(square(a) == 0, 1.0).otherwise(square(a)))
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda a: let(norm(a), lambda n: F.transform(a, lambda x: x / F.when(n == 0, 1.0).otherwise(n)))
     zipped = F.arrays_zip(
         F.col("observed").alias("raw_obs"), F.col("predicted").alias("raw_pred"), F.col("uo").alias("obs"), F.col("up").alias("pred")
     )
@@ -199,21 +201,22 @@ def mass_range_join(chosen: DataFrame, lookup: DataFrame, ppm_mass: str, width:
     return found.drop("slice")
 
 
-def lookup_table(spark, most: int = 9, heaviest: float = 2 * max(K.RESIDUES.values()) + 0.1) -> DataFrame:
+def lookup_table(spark, most: int = 9, heaviest: float = 2 * max(K.RESIDUES.values()) + 0.1, limit: int = 2_000_000) -> DataFrame:
     """All sorted multisets of up to ``most`` residues (I for L) with their masses: ``candidate, mass``.
 
-    Those heavier than any span that a search replaces, two residues, are of no use and left out.
-    Each size is made from the one before by a residue that is not before its last one.
+    Those heavier than any span that a search replaces, two residues, are of no use and left out;
+    some thousands are left. A table of more than ``limit`` rows has to come from a file.
     """
-    names = [(r, K.CODES[r], m) for r, m in K.RESIDUES.items() if r != "L"]
-    sizes = [spark.createDataFrame(names, "candidate string, last int, mass double")]
-    one = F.inline(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(m).alias("m")) for r, c, m in names)))
-    for _ in range(most - 1):
-        longer = sizes[-1].select("*", one).where((F.col("c") >= F.col("last")) & (F.col("mass") + F.col("m") <= heaviest))
-        sizes.append(longer.select(F.concat("candidate", "r").alias("candidate"), F.col("c").alias("last"), (F.col("mass") + F.col("m")).alias("mass")))
-        if heaviest < (len(sizes) + 1) * min(K.RESIDUES.values()):
-            break
-    whole = sizes[0]
-    for more in sizes[1:]:
-        whole = whole.unionByName(more)
-    return whole.select("candidate", "mass")
+    names = [(r, m) for r, m in K.RESIDUES.items() if r != "L"]
+    rows: list[tuple[str, float]] = []
+    waiting = [("", 0.0, 0, 0)]
+    while waiting:
+        name, mass, first, n = waiting.pop()
+        for k, (r, m) in enumerate(names[first:], first):
+            if mass + m <= heaviest:
+                rows.append((name + r, mass + m))
+                if n + 1 < most:
+                    waiting.append((name + r, mass + m, k, n + 1))
+        if len(rows) > limit:
+            raise ValueError(f"the mass table has more than {limit} rows: read it from a file")
+    return spark.createDataFrame(rows, "candidate string, mass double")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ionweave import constants as K
 from ionweave.functions import peptide as P
 from ionweave.functions import spectrum as S
-from ionweave.operators import evolve, graph, model
+from ionweave.operators import evolve, features, graph, model
 from ionweave.operators import relational as R
 from ionweave.plans.rescoring import valid
-from ionweave.plans.views import peaks, psms, slots, sql, table, vector_pairs, word_peptides
+from ionweave.plans.views import peaks, psms, slots, spectra, sql, table, vector_pairs, word_peptides
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -44,7 +44,7 @@ def peptide_normalize(spark, d):
     return psms(spark, d).select("psm", "raw", "peptide")
 
 
-_WORDS = """words AS (SELECT DISTINCT unnest(regexp_extract_all(upper(regexp_replace(text, '[^A-Za-z ]', '', 'g')), '[ADEFGHIKMNPQRSTVWY]{2,30}')) AS peptide FROM documents),
+_WORDS = """words AS (SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[ADEFGHIKMNPQRSTVWY]{2,30}')) AS peptide FROM documents),
 coded AS (SELECT peptide, i, code, mass FROM (SELECT peptide, unnest(t) AS residue, unnest(range(1, len(t) + 1)) AS i FROM (SELECT peptide, string_split(peptide, '') AS t FROM words)) JOIN residues USING (residue))"""
 
 
@@ -125,6 +125,13 @@ _J1 = f"""common AS (SELECT scan, psm, slot, tmz, tint, coalesce(best.mz, 0) AS
 
 @query(sql("SELECT psm, slot, round(tmz, 6) AS tmz, tint, round(emz, 6) AS emz, eint FROM common", _J1))
 def nearest_peak_join(spark, d):
+    """A PSM holds its spectrum, so slots and peaks are matched inside the row."""
+    return rounded(features.matched_slots(spectra(spark, d), ["psm"], VIEW_PPM), "tmz", "emz")
+
+
+@query(sql("SELECT psm, slot, round(tmz, 6) AS tmz, tint, round(emz, 6) AS emz, eint FROM common", _J1))
+def nearest_peak_relational(spark, d):
+    """The same where peaks are rows of a table."""
     return rounded(R.nearest_peaks(slots(spark, d), peaks(spark, d), ["psm"], VIEW_PPM).drop("scan"), "tmz", "emz")
 
 
@@ -145,7 +152,7 @@ def _counting_sql() -> str:
 
 @query(sql(_counting_sql(), _J1))
 def counting_features(spark, d):
-    found = R.counting_features(R.nearest_peaks(slots(spark, d), peaks(spark, d), ["psm"], VIEW_PPM), ["psm"])
+    found = R.counting_features(features.matched_slots(spectra(spark, d), ["psm"], VIEW_PPM), ["psm"])
     return rounded(found, *(c for c in found.columns if c.startswith("rel")))
 
 
@@ -393,9 +400,9 @@ def evolution_search(spark, d):
 
 @query()
 def scorer_train(spark, d):
-    features = R.counting_features(R.nearest_peaks(slots(spark, d), peaks(spark, d), ["psm"], VIEW_PPM), ["psm"])
-    names = [c for c in features.columns if c != "psm"]
-    rows = features.withColumn("target", F.ln(F.lit(1.0) + F.col("num_exp")))
+    counted = R.counting_features(features.matched_slots(spectra(spark, d), ["psm"], VIEW_PPM), ["psm"])
+    names = [c for c in counted.columns if c != "psm"]
+    rows = counted.withColumn("target", F.ln(F.lit(1.0) + F.col("num_exp")))
     return model.Scorer.train(rows, names, "target", kind="forest").predict(rows).select("psm", "score")
 
 

@@ -24,15 +24,18 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def psms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A peptide for each part: the letters of its name and type that are residues."""
     letters = F.regexp_replace(F.upper(F.concat("p_name", "p_type")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
-    return table(spark, sf_dir, "part").select(
+    # each row becomes some dozens further on, so they are dealt out while they are small
+    dealt = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return dealt.select(
         F.col("p_partkey").alias("psm"), (F.col("p_partkey") % 150).alias("scan"), (F.col("p_size") % 3 + 1).cast("int").alias("charge"),
         P.normalize(letters).alias("peptide"), F.regexp_replace(F.upper(F.concat("p_name", "p_type")), "[^A-Z]", "").alias("raw"),
     )
 
 
 def word_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The different runs of 2 to 30 residue letters in all documents."""
-    runs = F.regexp_extract_all(F.upper(F.regexp_replace("text", "[^A-Za-z ]", "")), F.lit("([ADEFGHIKMNPQRSTVWY]{2,30})"), F.lit(1))
+    """The different runs of 2 to 30 residue letters in all documents: longer runs are cut up, as no peptide is longer."""
+    upper = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    runs = F.regexp_extract_all(upper, F.lit("([ADEFGHIKMNPQRSTVWY]{2,30})"), F.lit(1))
     return table(spark, sf_dir, "documents").select(F.explode(runs).alias("peptide")).distinct()
 
 
@@ -44,6 +47,14 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumnRenamed("x", "predicted").join(after, "vec_id")
 
 
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every peptide with the peaks of its scan, in order, and predicted intensities: 1 for slots of even number."""
+    p = peaks(spark, sf_dir).groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("pos", "mz", "intensity"))).alias("p"))
+    arrays = p.select("scan", F.col("p.mz").alias("mzs"), F.col("p.intensity").alias("ints"))
+    tints = F.transform(F.sequence(F.lit(0), F.lit(K.SLOTS - 1)), lambda i: F.when(i % 2 == 0, 1.0).otherwise(0.0))
+    return psms(spark, sf_dir).join(arrays, "scan", "left").withColumn("tints", tints)
+
+
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ladder slots of every peptide; slots of even number are predicted with intensity 1."""
     ladder = P.ladder_rows(psms(spark, sf_dir), ["scan", "psm"])

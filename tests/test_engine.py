@@ -391,3 +391,34 @@ def test_queries_have_oracles_of_the_same_names():
     from ionweave.plans import catalog
 
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES) and len(catalog.QUERIES) >= 35
+
+
+def test_stream(spark, mgf, tmp_path):
+    from ionweave.streaming.mgf import stream_mgf
+
+    found = stream_mgf(spark, str(mgf).rsplit("/", 1)[0])
+    query = found.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r.scan, r.is_valid) for r in spark.table("arrived").collect()} == {("1", True), ("2", False)}
+
+
+def test_settings(tmp_path):
+    from ionweave import cli
+    from ionweave.plans.api import Settings
+
+    (tmp_path / "c.yaml").write_text("# settings\npopulation: 32  # rows\ntransform: sqrt\nunknown: 1\nleast_score: -3.5\n")
+    made = Settings.of(cli.read_config(str(tmp_path / "c.yaml")))
+    assert (made.population, made.transform, made.least_score, made.generations) == (32, "sqrt", -3.5, 2)
+    (tmp_path / "c.json").write_text('{"elite": 0.5}')
+    assert Settings.of(cli.read_config(str(tmp_path / "c.json"))).elite == 0.5
+
+
+def test_matched_slots(spark):
+    """The Arrow pass gives what the joins give, for odd peptides and spectra too."""
+    rows = [(1, "GFVIDDGIITK", 3, [147.1128, 165.0], [1.0, 2.0]), (2, "K", 2, [100.0], [1.0]), (3, "", 2, [], []), (4, None, 2, None, None), (5, "AG", None, [1.0], [1.0]), (6, "A" * 40, 2, [72.0], [1.0]), (7, "M[UNIMOD:35]C[UNIMOD:4]K", 1, [], [])]
+    psms = spark.createDataFrame(rows, "scan int, peptide string, charge int, mzs array<double>, ints array<double>").withColumn("tints", F.array_repeat(F.lit(1.0), K.SLOTS))
+    slots = P.ladder_rows(psms, ["scan"]).select("scan", "slot", F.col("mz").alias("tmz"), F.lit(1.0).alias("tint"))
+    peaks = psms.select("scan", F.posexplode(F.arrays_zip("mzs", "ints")).alias("pos", "p")).select("scan", "pos", F.col("p.mzs").alias("mz"), F.col("p.ints").alias("intensity"))
+    want = sorted((r.scan, r.slot, round(r.tmz, 6), r.tint, r.emz, r.eint) for r in relational.nearest_peaks(slots, peaks, [], 5000.0).collect())
+    got = sorted((r.scan, r.slot, round(r.tmz, 6), r.tint, r.emz, r.eint) for r in features.matched_slots(psms, ["scan"], 5000.0).collect())
+    assert got == want and len({r[0] for r in got}) == 3 and any(r[5] for r in got)
