@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ionweave.llm.common import ASCII_SPACE, WHITE_SPACE, blocks, by_batch, char_set, code_points, texts_of
+from ionweave.llm.common import ASCII_SPACE, WHITE_SPACE, alone, blocks, by_batch, char_set, texts_of
 from ionweave.llm.token_counts import byte_letters
 
 
@@ -47,10 +47,12 @@ class Bpe:
         pattern = "|".join(sorted(split["pattern"]["Regex"].split("|"), key=lambda p: p != r"[\p{L}]+"))
         self.find = re.compile(self._spelled(pattern, char_set("L"), char_set("N"), WHITE_SPACE)).findall
         self.find_ascii = re.compile(self._spelled(pattern, "A-Za-z", "0-9", ASCII_SPACE)).findall
-        new = [c for a, b in code_points("L") for c in range(a, b + 1) if unicodedata.category(chr(c)) == "Cn"]
-        edges = [c for c in new if c - 1 not in new], [c for c in new if c + 1 not in new]
-        new = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(*edges, strict=True))
-        self.newer = re.compile(f"[{new}]" if new else r"(?!)").search  # letters that Python doesn't know
+        none = np.array([unicodedata.category(c) == "Cn" for c in map(chr, range(0x110000))])
+        steps = np.diff(none.astype(np.int8), prepend=0, append=0)
+        ranges = zip(np.flatnonzero(steps == 1).tolist(), (np.flatnonzero(steps == -1) - 1).tolist())
+        # code points that Python doesn't know: the library, whose tables are newer, may
+        self.newer = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]").search
+        self.path, self.library = path, None
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -95,18 +97,25 @@ class Bpe:
                 heapq.heappush(queue, (m[0], k, m[1]))
         return [i for i in ids if i >= 0]
 
+    def _normalized(self, text: str) -> str:
+        """The library's normal form of a text."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path).normalizer
+        return self.library.normalize_str(text) if self.library else text
+
     def _plain(self, text: str) -> bytes:
         if text.isascii():
             words = self.find_ascii(text.lower() if self.small else text)
         else:
             if self.newer(text):
-                from tokenizers import normalizers
-
-                text = normalizers.Lowercase().normalize_str(text) if self.small else text
-            if self.nfc:
-                text = unicodedata.normalize("NFC", text)
-            if self.small:  # letter by letter: no rule for a sigma at a word's end
-                text = text.replace("Σ", "σ").lower()
+                text = self._normalized(text)
+            else:
+                if self.nfc:
+                    text = unicodedata.normalize("NFC", text)
+                if self.small:  # letter by letter: no rule for a sigma at a word's end
+                    text = text.replace("Σ", "σ").lower()
             words = self.find(text)
         known = self.words
         if len(known) >= self.MOST_WORDS:
@@ -126,6 +135,12 @@ class Bpe:
         parts.append(self._plain(text[at:] if at else text))
         return np.frombuffer(b"".join(parts), np.int32)
 
+    def encode_all(self, texts: list[str]) -> pa.ListArray:
+        """The token ids of each text."""
+        ids = list(map(self.encode, texts))
+        offsets = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The vocabulary strings of each list of token ids, a blank between them."""
         flat = ids.flatten()
@@ -149,21 +164,38 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def make():
+        alone("bpe", tokenizer.cache_clear)
         bpe = tokenizer(vocabulary)
 
         def apply(batch):
             texts = texts_of(batch)
             for a, b in blocks([2 * len(t) + 50 for t in texts]):
-                ids = list(map(bpe.encode, texts[a:b]))
-                offsets = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-                yield [batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), flat)]
+                yield [batch.column("doc_id").slice(a, b - a), bpe.encode_all(texts[a:b])]
 
         return apply
 
     return by_batch(docs, ["doc_id", "text"], out, "doc_id long, ids array<int>", make)
 
 
+def code(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``decode`` of ``encode`` in one pass, so that ids don't travel between two workers: ``doc_id, ids, decoded``."""
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+
+    def make():
+        alone("bpe", tokenizer.cache_clear)
+        bpe = tokenizer(vocabulary)
+
+        def apply(batch):
+            texts = texts_of(batch)
+            for a, b in blocks([5 * len(t) + 50 for t in texts]):
+                ids = bpe.encode_all(texts[a:b])
+                yield [batch.column("doc_id").slice(a, b - a), ids, bpe.decode(ids)]
+
+        return apply
+
+    return by_batch(docs, ["doc_id", "text"], out, "doc_id long, ids array<int>, decoded string", make)
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, ids, decoded``: the rows of ``encode`` with the text that their ids stand for.
 
@@ -172,6 +204,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def make():
+        alone("bpe", tokenizer.cache_clear)
         bpe = tokenizer(vocabulary)
 
         def apply(batch):

@@ -62,8 +62,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fresh_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new folder under the shared folder, which is removed when the driver ends."""
+    folder = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{folder}/data"
 
 
 def unused(df: DataFrame, n: int) -> list[str]:
@@ -183,10 +188,12 @@ def summed(parts: DataFrame, kind: str, tasks: int) -> DataFrame:
     return parts.repartition(tasks, "chunk").mapInArrow(add, "chunk int, sums binary")
 
 
+#: Places that are looked at together.
+LOOK = 1 << 19
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number modulo 2**64, and those of its inverse."""
     return tuple(
@@ -201,7 +208,7 @@ def run_hashes(values: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.n
     """
     steps = np.diff(inside.astype(np.int8), prepend=0, append=0)
     begins, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-    powers, back = _powers(1 << max(20, len(values).bit_length()))
+    powers, back = _powers(1 << max(LOOK.bit_length(), len(values).bit_length()))
     sums = np.concatenate([[np.uint64(0)], np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[: len(values)])])
     found = (sums[ends] - sums[begins]) * back[begins]
     found = (found ^ (found >> np.uint64(32))) * _SPREAD
@@ -215,16 +222,22 @@ def word_hashes(texts: list, codes: Callable, inside: np.ndarray, lower: np.ndar
     they count as. Texts are joined, a line feed between them, and looked at some MB at a time.
     """
     found, sizes = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
-    for a, b in blocks([len(t) + 1 for t in texts], 1 << 20):
+    for a, b in blocks([len(t) + 1 for t in texts], LOOK):
         each = [codes(t) for t in texts[a:b]]
         ends = np.cumsum([len(x) + 1 for x in each])
         joined = np.full(ends[-1], ord("\n"), each[0].dtype)
         kept = np.ones(len(joined), bool)
         kept[ends - 1] = False
         joined[kept] = np.concatenate(each)
-        begins, hashes = run_hashes(lower[joined], inside[joined])
-        sizes[a:b] = np.bincount(np.searchsorted(ends, begins, "right"), minlength=b - a)
-        found.append(hashes)
+        within, at = inside[joined], 0
+        while at < len(joined):  # a long text in pieces, cut between words
+            to = min(at + LOOK, len(joined))
+            outside = np.flatnonzero(~within[at:to])
+            to = at + int(outside[-1]) + 1 if len(outside) else to + int(np.argmin(within[to:])) + 1
+            begins, hashes = run_hashes(lower[joined[at:to]], within[at:to])
+            sizes[a:b] += np.bincount(np.searchsorted(ends, begins + at, "right"), minlength=b - a)
+            found.append(hashes)
+            at = to
     return np.concatenate(found), sizes
 
 
