@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import blocks, by_batch, texts_of
+from ionweave.llm.common import alone, blocks, by_batch, texts_of
 
 BUCKETS, DIM, NONZERO, WINDOW, ROWS_EACH = 1 << 14, 64, 4, 2, 64
 #: Most labelled rows that the network is fitted on, the first by a hash of their id.
@@ -62,26 +62,29 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """(BUCKETS, DIM + 1): each bucket's vector, and how often it occurs, over all of ``docs``."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("quality_model", _known.clear)
         places, signs = index_vectors()
         sums = np.zeros((BUCKETS + 1) * DIM)
         counts = np.zeros(BUCKETS + 1, np.int64)
         waiting: list[int] = []
 
         def flush() -> None:
-            x = np.array(waiting, np.int64)
+            every = np.array(waiting, np.int64)
             waiting.clear()
-            counts[:] += np.bincount(x, minlength=BUCKETS + 1)
-            for away in range(1, WINDOW + 1):
-                for word, around in ((x[:-away], x[away:]), (x[away:], x[:-away])):
-                    for k in range(NONZERO):
-                        sums[:] += np.bincount(word * DIM + places[around, k], signs[around, k], len(sums))
+            counts[:] += np.bincount(every, minlength=BUCKETS + 1)
+            for a in range(0, len(every), 1 << 19):  # a very long text in pieces, each with the words around it
+                x = every[max(0, a - WINDOW) : a + (1 << 19)]
+                for away in range(1, WINDOW + 1):
+                    first = x[max(0, min(a, WINDOW) - away) :]  # pairs whose later word is in this piece
+                    for word, around in ((first[:-away], first[away:]), (first[away:], first[:-away])):
+                        for k in range(NONZERO):
+                            sums[:] += np.bincount(word * DIM + places[around, k], signs[around, k], len(sums))
 
         for batch in batches:
             for text in texts_of(batch):
-                for a in range(0, len(text), 1 << 22) if len(text) > 1 << 22 else (0,):
-                    waiting += buckets(text[a : a + (1 << 22)])
-                    if len(waiting) > 1 << 19:
-                        flush()
+                waiting += buckets(text)
+                if len(waiting) > 1 << 19:
+                    flush()
                 waiting += [BUCKETS] * WINDOW
         if len(waiting):
             flush()
@@ -214,6 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABEL_ROWS) -> tuple[n
     out = pa.schema([("doc_id", pa.int64()), ("quality", pa.float64()), ("x", pa.binary())])
 
     def make():
+        alone("quality_model", _known.clear)
+
         def apply(batch):
             texts = texts_of(batch)
             for a, b in blocks([len(t) + 2000 for t in texts]):
@@ -240,6 +245,7 @@ def score(docs: DataFrame, table: np.ndarray, network: Network) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def make():
+        alone("quality_model", _known.clear)
         vectors, net = shared.value
 
         def apply(batch):
@@ -253,10 +259,14 @@ def score(docs: DataFrame, table: np.ndarray, network: Network) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, table: np.ndarray, network: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``.
+
+    Null and empty texts are scored like others; null ids, repeated rows and empty tables pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((table, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("quality_model", _known.clear)
         vectors, net = shared.value
         for batch in batches:
             yield batch.filter(pa.array(net.score(pool(texts_of(batch), vectors)) >= threshold))
