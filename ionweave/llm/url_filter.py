@@ -1,8 +1,8 @@
 """URL verdicts: host and path rules, then a list behind a blocked Bloom filter.
 
-Listed URLs are compared in canonical form. A blocked Bloom filter of them has a fixed number
-of 256-bit blocks, so that it can be broadcast whatever the length of the list: one hash picks
-the block, another sets eight bits in it, two in each 64-bit word. Pages that the filter
+Listed URLs are compared in canonical form. A blocked Bloom filter of them has a 256-bit block
+for each few of them, up to a bound, so that it can be broadcast whatever the length of the
+list: one hash picks the block, another sets eight bits in it, two in each 64-bit word. Pages that the filter
 passes, and only those, go to an exact hash join with the list, which removes false positives.
 Everything is a DataFrame expression.
 """
@@ -17,8 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Query parameters that don't change what a URL shows.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
-#: Blocks of 256 bits in the filter: 32,768 rows of five numbers, 1 MiB of bits.
-N_BLOCKS = 1 << 15
+#: Listed URLs for each block of 256 bits, and the most blocks: 262,144 rows of five numbers, 10 MiB. A longer list fills them more; the join decides all the same.
+EACH, MOST_BLOCKS = 16, 1 << 18
 
 
 def host(url: Column) -> Column:
@@ -65,22 +65,28 @@ def _bits(url: Column, n_blocks: int) -> list[Column]:
     return [block, *words]
 
 
-def bloom_filter(listed: DataFrame, n_blocks: int = N_BLOCKS) -> DataFrame:
+def block_count(listed: DataFrame) -> int:
+    """How many blocks a list gets: a power of two, 1,024 at least."""
+    return min(MOST_BLOCKS, 1 << max(10, (listed.count() // EACH).bit_length()))
+
+
+def bloom_filter(listed: DataFrame, n_blocks: int) -> DataFrame:
     """The filter of ``listed`` (column ``url``, canonical): at most ``n_blocks`` rows."""
     return (
         listed.select(*_bits(F.col("url"), n_blocks)).groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"f{i}") for i in range(4)))
     )
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES, n_blocks: int = N_BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, n_blocks: int | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, listed`` for every page (``page_id, url``).
 
     ``listed`` has a column ``url`` of URLs in any spelling; nulls in it are passed over. A page
     whose url is null or has no ``://`` has an empty host and path, fits no rule, is not listed
     and is allowed. Repeated rows give repeated rows, other columns are ignored, and an empty
-    table of either kind is fine.
+    table of either kind is fine. ``n_blocks`` is the filter's size; else the list is counted.
     """
     known = listed.where(F.col("url").contains("://")).select(canonical(F.col("url")).alias("url")).distinct()
+    n_blocks = n_blocks or block_count(known)
     seen = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "url")
     fit = rule_of(F.col("host"), F.col("path"), rules)
     seen = seen.withColumn("fit", fit).withColumn(
@@ -102,7 +108,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, n_blocks: int = N_BL
     hit = F.col("listed_url").isNotNull()
     doubtful = (
         tried.where("possible")
-        .join(exact.hint("shuffle_hash"), F.col("asked") == F.col("listed_url"), "left")
+        .join(exact.hint("merge"), F.col("asked") == F.col("listed_url"), "left")
         .select(*columns, F.when(hit, "block").otherwise("allow").alias("verdict"), hit.alias("listed"))
     )
     return clear.unionByName(doubtful)
