@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ionweave.llm.common import WHITE_SPACE, blocks, by_batch, code_points, texts_of
+from ionweave.llm.common import WHITE_SPACE, alone, blocks, by_batch, code_points, texts_of
 
 # --- the splitter ---------------------------------------------------------------------
 
@@ -323,6 +323,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def make():
+        alone("token_counts", transducer.cache_clear)
         counter = transducer(vocabulary)
 
         def apply(batch):

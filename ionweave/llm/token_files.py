@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ionweave.llm import token_counts
-from ionweave.llm.common import blocks, texts_of
+from ionweave.llm.common import alone, blocks, texts_of
 
 #: Ids of a sequence, and sequences of a record batch.
 SEQUENCE, ROWS = 2048, 64
@@ -201,7 +201,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: in
     """Write the documents' ids under ``folder`` and return ``uri, shard, base, n_tokens`` of each shard.
 
     ``docs`` has ``doc_id, text``; a null or empty text gives the end id alone, a null doc_id
-    sorts first, repeated rows are all written, other columns are ignored, and an empty table
+    sorts first, rows of the same id are in the order of a hash of their texts, repeated rows are all written, other columns are ignored, and an empty table
     gives no shards. ``folder`` is a URI that driver and executors share. Rows are dealt out
     and sorted by doc_id before they are encoded, so only texts are shuffled, once. ``base`` is
     the number of ids in the shards before; the driver sums one number a shard for it.
@@ -210,6 +210,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        alone("token_files", encoder.cache_clear)
         coder, number, shard = encoder(vocabulary), TaskContext.get().partitionId(), None
         for batch in batches:
             texts = texts_of(batch)
@@ -225,7 +226,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: in
             shard.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "n_tokens": pa.array([shard.written], pa.int64())})
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one id, or without any, lie in the order of a hash of their texts, and may take many shards
+    order = ["doc_id", "h"]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(shards, *order).sortWithinPartitions(*order).drop("h")
     made = sorted(dealt.mapInArrow(run, "shard int, n_tokens long").collect())
     bases = accumulate([m.n_tokens for m in made], initial=0)
     rows_ = [(f"{folder}/shard-{m.shard:06d}", m.shard, base, m.n_tokens) for m, base in zip(made, bases)]
@@ -238,7 +241,8 @@ def read(shards: DataFrame, rows: int = ROWS) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files of ``write``.
 
     ``start`` counts the ids of all documents before it, ``ids_crc32`` is the unsigned crc32 of
-    its ids as little-endian unsigned 32-bit integers.
+    its ids as little-endian unsigned 32-bit integers. Null ids stay null, repeated rows are all
+    read, and no shards give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
