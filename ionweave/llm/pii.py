@@ -5,13 +5,19 @@ A surrogate comes from a keyed permutation of all values that share the entity's
 that the same entity has the same surrogate in every document (coreference), different
 entities have different ones (distinctness), and none stays as it is, without any table that
 grows with the corpus. Characters keep their class: digits stay digits, letters stay letters of
-their script and case, marks stay in place; names with a title keep its gender.
+their script and case, marks stay in place.
+
+Persons are found by a title, or by a listed given name, before a name; where one has been found,
+its names are replaced in the rest of the text too. Listed given names become others of their gender. In
+other names vowels become vowels and consonants become consonants, and a given name keeps its last
+letter, which in many languages tells the gender.
 
 The permutation is a Feistel network over 0..N-1, N the number of values of the format, with
 cycle walking; a rotation between the network and its inverse leaves no value fixed. Values
-with a rule (card checksums, octets of an address, names of a list) are numbered by it.
+with a rule (card checksums, octets of an address, names of a list) are numbered by it. Whoever
+has the key can undo it, so the key comes from the caller, or is drawn anew for each run.
 
-``collisions`` checks distinctness over all entities of the corpus.
+Before a corpus is rewritten, distinctness is checked over all its entities (``checked_key``).
 """
 
 from __future__ import annotations
@@ -19,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,28 +37,39 @@ from pyspark.sql import functions as F
 
 from ionweave.llm.common import blocks, by_batch, small_batches, texts_of
 
-#: Given names by gender, titles by gender.
-MALE = ("Adam", "Carlos", "David", "Erik", "Hans", "Jean", "John", "Luis", "Marc", "Paul", "Peter", "Thomas")
-FEMALE = ("Anna", "Carmen", "Claire", "Elena", "Emma", "Julia", "Laura", "Lucia", "Maria", "Marie", "Sarah", "Sofia")
-TITLES = {"Mr": MALE, "Herr": MALE, "Monsieur": MALE, "Señor": MALE, "Mrs": FEMALE, "Ms": FEMALE, "Frau": FEMALE, "Madame": FEMALE, "Señora": FEMALE}
+#: Given names by gender, and titles.
+MALE = (
+    "Adam", "Ahmed", "Alexander", "Andreas", "Antoine", "Antonio", "Carlos", "Daniel", "David", "Diego", "Erik", "Hans", "Ivan", "James", "Jean", "John", "José", "Juan",
+    "Jürgen", "Luis", "Marc", "Michael", "Miguel", "Mohammed", "Nicolas", "Omar", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Robert", "Sergei", "Stefan", "Thomas", "William",
+)
+FEMALE = (
+    "Aisha", "Ana", "Anna", "Camille", "Carmen", "Catherine", "Claire", "Elena", "Elizabeth", "Emma", "Fatima", "Hannah", "Ingrid", "Isabel", "Jennifer", "Julia", "Katharina", "Laura",
+    "Lucia", "Maria", "Marie", "Mary", "Mei", "Natalia", "Nina", "Olga", "Petra", "Rosa", "Sabine", "Sara", "Sarah", "Sofia", "Susan", "Teresa", "Ursula", "Yuki",
+)
+TITLES = ("Dr", "Prof", "Mr", "Mrs", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 #: Domains that are reserved for examples stay as they are.
 RESERVED = ("example.com", "example.net", "example.org")
 
+#: A capital letter and more of a word.
+_NAME = r"[^\W\d_a-zß-öø-ÿ][\w'-]+"
 #: Type and pattern of each entity; the first that matches at a place wins. Group 1, where there is one, is what is replaced.
 PATTERNS = (
     ("email", r"[^\W_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"),
     ("secret", r"""(?i:password|passwd|token|secret|api_?key)["']?\s*[=:]\s*["']?([A-Za-z0-9_+/-]{8,})"""),
     ("aws_key", r"\bAKIA([A-Z0-9]{16})\b"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)"),
+    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{4}(?![\w-])"),
-    ("person", rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ([^\W\d_a-z][\w'-]+(?: [^\W\d_a-z][\w'-]+)?)"),
+    ("person", rf"\b(?=[A-ZÀ-ÖØ-Þ])(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({_NAME}(?: {_NAME})?)"),
+    ("person_2", rf"\b(?=[A-ZÀ-ÖØ-Þ])((?:{'|'.join(sorted((*MALE, *FEMALE), key=len, reverse=True))}) {_NAME})"),
 )
 _FIND = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS))
-#: No entity begins without one of these.
-_HINT = re.compile(r"[\d@]|AKIA|(?i:passw|token|secret|api_?key)|" + "|".join(rf"{t}\.? " for t in TITLES))
+#: No entity but a person's name begins without one of these, and no name without a word that is listed.
+_HINT = re.compile(r"[\d@]|AKIA|(?i:passw|token|secret|api_?key)").search
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]\w+").findall
+_LISTED = frozenset((*TITLES, *MALE, *FEMALE))
 _INNER = {name: re.compile(pattern) for name, pattern in PATTERNS}
 
 #: Scripts as (first, last) of letters without case, and pairs of alphabets with it.
@@ -107,7 +126,19 @@ class Permutation:
         return self._mix((self._mix(x, n, tweak, False) + turn) % n, n, tweak, True)
 
 
-def _number(text: str) -> tuple[int, int]:
+@lru_cache(4096)
+def sound(c: str) -> str:
+    """The letters of ``alphabet`` that are vowels if ``c`` is one, and consonants if not."""
+    letters = alphabet(c)
+    own = _vowel(c)
+    return "".join(x for x in letters if _vowel(x) == own)
+
+
+def _vowel(c: str) -> bool:
+    return unicodedata.normalize("NFD", c.lower())[0] in "aeiouyαεηιουωаеиоуыэюяæø"
+
+
+def _number(text: str, alphabet=alphabet) -> tuple[int, int]:
     """The number of a text among those of its format, and how many there are."""
     x, n = 0, 1
     for c in text:
@@ -116,7 +147,7 @@ def _number(text: str) -> tuple[int, int]:
     return x, n
 
 
-def _spell(x: int, like: str) -> str:
+def _spell(x: int, like: str, alphabet=alphabet) -> str:
     out = []
     for c in reversed(like):
         letters = alphabet(c)
@@ -147,25 +178,32 @@ class Surrogates:
         x, n = _number(text)
         return _spell(self.permutation.apply(x, n, f"{kind}|{_shape(text)}".encode()), text)
 
-    def _of(self, kind: str, text: str, title: str = "") -> str:
-        """The surrogate of an entity; ``title`` is a person's."""
-        return getattr(self, f"_{kind}", lambda t, _: self.like(kind, t))(text, title)
+    def name_like(self, kind: str, name: str, last: bool) -> str:
+        """A name with vowels and consonants where the other has them; with ``last`` its last letter stays."""
+        inner, end = (name[:-1], name[-1]) if last and len(name) > 2 else (name, "")
+        x, n = _number(inner, sound)
+        shape = "".join(sound(c)[0] for c in inner)
+        return _spell(self.permutation.apply(x, n, f"{kind}|{shape}|{end}".encode()), inner, sound) + end
+
+    def _of(self, kind: str, text: str) -> str:
+        """The surrogate of an entity."""
+        return getattr(self, f"_{kind}", lambda t: self.like(kind, t))(text)
 
-    def _email(self, text: str, _: str) -> str:
+    def _email(self, text: str) -> str:
         name, _, domain = text.rpartition("@")
         kept = next((r for r in RESERVED if domain == r or domain.endswith(f".{r}")), domain.rpartition(".")[2])
         rest = domain[: len(domain) - len(kept)]
         new = self.like(f"email|{kept}", f"{name}@{rest}")
         return new + kept
 
-    def _ip(self, text: str, _: str) -> str:
+    def _ip(self, text: str) -> str:
         x = 0
         for part in text.split("."):
             x = x << 8 | int(part)
         x = self.permutation.apply(x, 1 << 32, b"ip")
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
-    def _card(self, text: str, _: str) -> str:
+    def _card(self, text: str) -> str:
         digits = re.sub(r"\D", "", text)
         # numbers with a right checksum are mapped among themselves, the others among themselves
         while True:
@@ -182,45 +220,59 @@ class Surrogates:
         found = iter(new)
         return "".join(next(found) if c.isdigit() else c for c in text)
 
-    def _person(self, text: str, title: str) -> str:
-        names = TITLES[title]
+    def _person(self, text: str) -> str:
         first, _, last = text.partition(" ")
-        given = [first] if last else []
-        new = []
-        for name in given:
-            if name in MALE or name in FEMALE:
-                own = MALE if name in MALE else FEMALE
-                new.append(own[self.permutation.apply(own.index(name), len(own), b"|".join(n.encode() for n in own))])
-            else:
-                new.append(self._unlisted(name, "given" + ("m" if names is MALE else "f")))
-        new.append(self.like("family", last or first))  # all in one domain, so one-to-one
-        return " ".join(new)
-
-    def _unlisted(self, name: str, kind: str) -> str:
-        """Walks on past names of the lists, which have images of their own."""
-        new = self.like(kind, name)
-        while new in MALE or new in FEMALE:
-            new = self.like(kind, new)
+        return f"{self._given(first)} {self._family(last)}" if last else self._family(first)
+
+    def _given(self, name: str) -> str:
+        for own in (MALE, FEMALE):
+            if name in own:
+                return own[self.permutation.apply(own.index(name), len(own), b"|".join(n.encode() for n in own))]
+        new = self.name_like("given", name, True)
+        while new in MALE or new in FEMALE:  # walks on past names of the lists, which have images of their own
+            new = self.name_like("given", new, True)
         return new
 
+    def _family(self, name: str) -> str:
+        return self.name_like("family", name, False)  # all in one domain, so one-to-one
+
+
+def entities(text: str) -> list[tuple[str, int, int]]:
+    """Type, begin and end of each entity of a text, in order.
 
-def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
-    """Type, begin, end and title of each entity of a text, in order."""
-    if not _HINT.search(text):
-        return
+    Single names of persons that are found elsewhere in the text are ``given`` or ``family``.
+    """
+    if not _HINT(text) and _LISTED.isdisjoint(_CAPITAL(text)):
+        return []
+    found, names = [], {}
     for m in _FIND.finditer(text):
         kind = m.lastgroup if m.lastgroup in _INNER else next(k for k in _INNER if m[k] is not None)
         inner = _INNER[kind].match(text, m.start())
         a, b = (inner.span(1) if inner.re.groups else inner.span()) if inner else m.span()
-        title = text[m.start() : a].strip(" .") if kind == "person" else ""
-        yield kind, a, b, title
+        if kind.startswith("person"):
+            first, _, last = text[a:b].partition(" ")
+            names.setdefault(last or first, "family")
+            if last:
+                names.setdefault(first, "given")
+            found.append(("person", a, b))
+        else:
+            found.append((kind, a, b))
+    if not names:
+        return found
+    again = re.compile(rf"(?<![\w'-])(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?![\w'-])")
+    more, begins = [], [a for _, a, _ in found]
+    for m in again.finditer(text):
+        k = bisect_right(begins, m.start()) - 1
+        if k < 0 or found[k][2] <= m.start():
+            more.append((names[m[0]], m.start(), m.end()))
+    return sorted(found + more, key=lambda e: e[1])
 
 
 def rewrite(text: str, surrogates: Surrogates) -> tuple[str, list[dict]]:
     """The text with surrogates, and the entities: type, begin and end in the old text, surrogate."""
     out, at, found = [], 0, []
-    for kind, a, b, title in entities(text):
-        new = surrogates.of(kind, text[a:b], title)
+    for kind, a, b in entities(text):
+        new = surrogates.of(kind, text[a:b])
         out += [text[at:a], new]
         at = b
         found.append({"type": kind, "begin": a, "end": b, "surrogate": new})
@@ -228,10 +280,23 @@ def rewrite(text: str, surrogates: Surrogates) -> tuple[str, list[dict]]:
 
 
 SPAN = pa.struct([("type", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())])
-DEFAULT_KEY = b"ionweave"
 
 
-def replace(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def checked_key(docs: DataFrame, key: bytes | None = None, most: int = 8, of=Surrogates) -> bytes:
+    """A key under which no two entities of ``docs`` share a surrogate.
+
+    It is ``key``, or a new one for this run, and a number that is raised until ``collisions`` finds
+    none; they are as good as impossible, and the check proves it for the corpus at hand.
+    """
+    key = secrets.token_bytes(32) if key is None else key
+    for n in range(most):
+        tried = hmac.digest(key, b"round %d" % n, "sha256")
+        if collisions(docs, tried, of).isEmpty():
+            return tried
+    raise ValueError(f"{most} keys have left entities with the same surrogate")
+
+
+def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, entities`` for every row of ``docs`` (``doc_id, text``), with surrogates in the text.
 
     A null text stays null and has no entities; texts without entities stay as they are; a null
@@ -257,29 +322,33 @@ def replace(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     return by_batch(docs, ["doc_id", "text"], out, ddl, make)
 
 
-def collisions(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """Surrogates that stand for more than one entity, with how many: no rows if all is well.
+def collisions(docs: DataFrame, key: bytes, of=Surrogates) -> DataFrame:
+    """Surrogates that stand for more than one entity, with two of them: no rows if all is well.
 
-    Entities are made distinct before they are counted, so frequent ones cost no more.
+    Least and greatest are compared in place of sets, combined before the shuffle, so frequent
+    entities cost no more.
     """
     out = pa.schema([("type", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())])
 
     def make():
-        surrogates = Surrogates(key)
+        surrogates = of(key)
 
         def apply(batch):
-            rows = {(k, t[a:b], surrogates.of(k, t[a:b], w)) for t in texts_of(batch) for k, a, b, w in entities(t)}
+            rows = {(k, t[a:b], surrogates.of(k, t[a:b])) for t in texts_of(batch) for k, a, b in entities(t)}
             yield [list(c) for c in zip(*sorted(rows), strict=True)] if rows else [[], [], []]
 
         return apply
 
     found = by_batch(docs, ["text"], out, "type string, entity string, surrogate string", make)
-    grouped = found.distinct().groupBy("type", "surrogate").agg(F.count_distinct("entity").alias("entities"))
-    return grouped.where("entities > 1")
+    grouped = found.groupBy("type", "surrogate").agg(F.min("entity").alias("least"), F.max("entity").alias("greatest"))
+    return grouped.where("least <> greatest")
 
 
-def replace_in(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """The rows of ``docs`` with all their columns; texts, and ``n_chars`` where it is there, are new."""
+def replace_in(docs: DataFrame, key: bytes) -> DataFrame:
+    """The rows of ``docs`` with all their columns; texts, and ``n_chars`` where it is there, are new.
+
+    Null texts stay null; null ids, repeated rows and empty tables pass through.
+    """
     small_batches(docs.sparkSession)
     counted = "n_chars" in docs.columns
 

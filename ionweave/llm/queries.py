@@ -16,7 +16,7 @@ TOKEN_LIMIT = 1024
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the text that they decode to."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    coded = bpe.code(table(spark, sf_dir, "documents"), vocabulary)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -57,7 +57,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates, and how many entities were replaced."""
-    replaced = pii.replace(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    replaced = pii.replace(docs, pii.checked_key(docs))  # a key of this run: nobody can undo it later
     return replaced.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
 
 

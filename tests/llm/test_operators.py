@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ionweave.llm import bpe, decontaminate, lm_score, pii, quality_model, quality_rules, queries, simhash, token_counts, token_files, url_filter
+from ionweave.llm import bpe, common, decontaminate, lm_score, pii, quality_model, quality_rules, queries, simhash, token_counts, token_files, url_filter
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["'", "s", "'ll", "'re", "d", " ", "  ", "\n", "\u3000", "\x1c", "é", "e\u0301", "漢", "9", "½", "!", "<|endoftext|>", "<|startoftext|>", "the", "Σ", "İ", "😀", "\x00"]
@@ -257,23 +257,83 @@ def test_quality_model(spark, edges, empty):
     assert all(r.score == pytest.approx(0.5) for r in quality_model.score(edges, none, prior).collect())
 
 
-def test_lm_score(spark, edges, empty):
-    docs = spark.createDataFrame([(i, "the quiet river " * 20, True) for i in range(5)] + [(9, "$$## %% " * 20, False)], "doc_id long, text string, target boolean")
-    model = lm_score.train(docs)
-    got = {r.doc_id: r.score for r in lm_score.score(docs, model).collect()}
-    assert got[0] < 0 < got[9]
-    count = lm_score.counts(docs, model[0])
-    table = lm_score.symbols_table(model[0])
-    want = np.zeros(lm_score.CELLS, int)
-    for r in docs.collect():
-        x = [0] * 3 + [int(table[ord(c)]) for c in r.text]
-        for k in range(len(r.text)):
-            want[((x[k] * 40 + x[k + 1]) * 40 + x[k + 2]) * 40 + x[k + 3]] += 1
-    assert (count[1] == want).all() and count[0].sum() == 5 * len("the quiet river " * 20)
-    p = np.exp(-lm_score.losses(count[1]).astype(float)).reshape(-1, lm_score.SYMBOLS).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)
-    assert {r.n_tokens for r in lm_score.score(edges, model).where("doc_id < 3").collect()} == {0}
-    assert lm_score.score(empty, model).count() == 0 and lm_score.score(edges, lm_score.train(empty.select("text", F.lit(True).alias("target")))).count() == len(EDGES)
+def brute_losses(docs, chosen):
+    """Losses of all documents, from dictionaries of counts."""
+    texts = {i: (t or "").encode().lower().split() for i, t in docs}
+    grams = {}
+    for i, w in texts.items():
+        x = [b"<>", b"<>", *w, b"<e>"] if w else []
+        grams[i] = [[tuple(x[k - n + 1 : k + 1]) for k in range(2, len(x))] for n in (1, 2, 3)]
+        grams[i] = list(zip(*grams[i])) if w else []
+    out = {}
+    full = [i for i in texts if texts[i]]
+    groups = [[i for i in full if i in chosen], full]
+    sizes = [sum(len(grams[i]) for i in g) for g in groups]
+    for i, w in texts.items():
+        both = []
+        for m, group in enumerate(groups):
+            rest = [j for j in group if j != i]
+            counts = {}
+            for j in rest:
+                for token in grams[j]:
+                    for g in token:
+                        counts[g] = counts.get(g, 0) + 1
+            total, prior = sum(len(grams[j]) for j in rest), lm_score.PRIOR * (max(1.0, sizes[1] / max(1, sizes[0])) if m else 1)
+            loss = 0.0
+            for one, two, three in grams[i]:
+                p = (counts.get(one, 0) + 1) / (total + lm_score.NOMINAL)
+                for g in (two, three):
+                    history = len(rest) if set(g[:-1]) == {b"<>"} else counts.get(g[:-1], 0)
+                    p = (counts.get(g, 0) + prior * p) / (history + prior)
+                loss -= np.log(p)
+            both.append(loss / max(1, len(grams[i])))
+        out[i] = len(w), *both
+    return out
+
+
+def test_lm_score_against_brute_force(spark, edges, empty, monkeypatch):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(["The", "the", "quiet", "river", "stone", "é", "7"]) for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    docs += [(50, None), (51, ""), (52, " \n "), (53, docs[3][1]), (54, "only here " + "once more " * 20)]
+    chosen = {i for i in range(0, 40, 3)} | {50, 54, 99}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("g", F.lit("clash")).repartition(5)
+    good = spark.createDataFrame([(i,) for i in [*chosen, 3, None]], "doc_id long")
+    want = brute_losses(docs, chosen)
+    for sizes in ((4 << 20, 8 << 20), (300, 200)):  # one group, and many groups and ranges
+        monkeypatch.setattr(lm_score, "GROUP_BYTES", sizes[0])
+        monkeypatch.setattr(lm_score, "RANGE_BYTES", sizes[1])
+        got = {r.doc_id: (r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.score(frame, good).collect()}
+        assert set(got) == set(want)
+        for i, row in got.items():
+            assert row[0] == want[i][0] and row[1:] == pytest.approx(want[i][1:], rel=1e-6), i
+    assert got[53][2] < min(v[2] for i, v in got.items() if i not in (3, 53) and v[0] > 20 and i != 54)  # a document that occurs twice
+    assert {(r.doc_id, r.n_tokens) for r in lm_score.score(edges, good).where("doc_id < 3 OR doc_id IS NULL").collect()} == {(1, 0), (2, 0), (None, 2)}
+    assert lm_score.score(edges, good).count() == len(EDGES) and lm_score.score(empty, good).count() == 0
+    assert lm_score.score(edges, good.limit(0)).count() == len(EDGES)
+
+
+def test_packing():
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 70, 5000):
+        hashes = np.unique(rng.integers(0, 1 << 64, 4000, dtype=np.uint64))
+        places, cuts = lm_score.ranges(hashes, n)
+        for p, a, b in zip(places.tolist(), cuts, cuts[1:]):
+            assert p == int(hashes[a]) * n >> 64 or n > 1 << 31
+            back = lm_score.unpack_hashes(lm_score.pack_hashes(hashes[a:b], p, n))
+            assert len(back) == b - a and (np.diff(back.astype(np.int64)) > 0).all() and back.max() < 1 << lm_score.BITS
+    one, other = (rng.choice([0, 1, 14, 15, 254, 255, 65534, 65535, 65536, 10**9], 500) for _ in range(2))
+    assert (lm_score.unpack_pairs(lm_score.pack_pairs(one, other), 500) == [one, other]).all()
+
+
+def test_word_hashes():
+    """As if each word was looked at by itself."""
+    long = ["ab " * 300_000 + "tail", "y" * 700_000, "z y" * 400_000]
+    for found in ([], ["", "a b", "b  a\nB", "é É", "x" * 3000, "漢字 don't"], texts(60), long):
+        hashes, sizes = common.word_hashes(found, common.points_of, *common.word_points())
+        words = [w.lower() for t in found for w in re.findall(r"\w+", t)]
+        assert sizes.tolist() == [len(re.findall(r"\w+", t)) for t in found]
+        same = {}
+        assert all(same.setdefault(w, h) == h for w, h in zip(words, hashes.tolist())) and len(set(same.values())) == len(same)
 
 
 def lcs(a, b):
@@ -289,7 +349,7 @@ def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
         a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 25))] for _ in range(2))
-        assert decontaminate.common_subsequence(a, b) == lcs(a, b)
+        assert decontaminate.common_subsequence(decontaminate.places_of(a), len(a), b) == lcs(a, b)
 
 
 def test_decontamination(spark, edges, empty):
@@ -311,6 +371,53 @@ def test_decontamination(spark, edges, empty):
     assert decontaminate.clean(edges, bench.limit(0)).count() == len(EDGES)
 
 
+def leaks_by_force(docs, items):
+    """All items whose words lie in order in a stretch of a text, or half of them with the answer's."""
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    found = set()
+    for i, t in docs:
+        text = words(t)
+        for k, item in items:
+            own = words(item)
+            for a in range(0, len(text), max(1, len(own) // 4)):
+                if own and lcs(own, text[a : a + 2 * len(own)]) >= 0.8 * len(own):
+                    found.add((i, k))
+                    break
+    return found
+
+
+def test_leaks_of_long_items(spark):
+    """Items of 20 to 600 words, also where a very long text is cut in parts, all found, and nothing else."""
+    rng = random.Random(21)
+    known = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(known) for _ in range(n)]
+    items = [(k, " ".join(prose(n))) for k, n in enumerate([20, 45, 70, 86, 100, 150, 300, 600])]
+    docs = [(k, " ".join([*prose(80), *item.split(), *prose(80)])) for k, item in items]
+    for k, item in items:  # a word in ten is another one
+        docs.append((100 + k, " ".join([*prose(40), *(w if j % 10 else f"other{j}" for j, w in enumerate(item.split())), *prose(40)])))
+    docs += [(200 + j, " ".join(prose(400))) for j in range(20)]
+    want = leaks_by_force(docs, items)
+    assert want == {(k, k) for k, _ in items} | {(100 + k, k) for k, _ in items}
+    edge = 1 << 14
+    docs += [(300 + k, " ".join([*prose(edge - len(item.split()) // 2), *item.split(), *prose(3000)])) for k, item in items[4:]]
+    want |= {(300 + k, k) for k, _ in items[4:]}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want), sorted(want - got)
+    assert {(i, k) for i, k in want if i < 100 or i >= 300} <= got  # verbatim ones, all
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
+    rng = random.Random(22)
+    items = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))) for k in range(20)]
+    docs = [(k, f"before it {item} after it") for k, item in items]
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench).collect()} == {(k, k) for k, _ in items}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97])
 def test_permutation(n):
     p = pii.Permutation(b"key")
@@ -328,11 +435,60 @@ def test_surrogates(spark, edges, empty):
     assert found[0]["surrogate"].split()[0] in pii.MALE and re.fullmatch("[А-Яа-яё ]+", found[7]["surrogate"])
     cards = {s.of("card", f"{i:016d}") for i in range(3000)}
     assert len(cards) == 3000
-    assert [(r.doc_id, r.text) for r in pii.replace(edges).where("doc_id = 1").collect()] == [(1, None)]
-    assert sorted(repr(r.text) for r in pii.replace(edges).collect()) == sorted(repr(t) for _, t in EDGES)
+    assert [(r.doc_id, r.text) for r in pii.replace(edges, b"k").where("doc_id = 1").collect()] == [(1, None)]
+    assert sorted(repr(r.text) for r in pii.replace(edges, b"k").collect()) == sorted(repr(t) for _, t in EDGES)
     many = spark.createDataFrame([(i, f"{text} u{i}@x.org 10.0.{i % 9}.1") for i in range(200)], "doc_id long, text string")
-    assert pii.collisions(many).count() == 0 and pii.replace(empty).count() == 0
-    assert pii.replace_in(edges).columns == edges.columns
+    assert pii.collisions(many, b"k").count() == 0 and pii.replace(empty, b"k").count() == 0
+    assert pii.replace_in(edges, b"k").columns == edges.columns
+    other = pii.checked_key(many, b"k")
+    assert other == pii.checked_key(many, b"k") != pii.checked_key(many) and len(other) == 32
+
+
+def test_collisions_are_seen(spark):
+    """Keys under which entities collide are passed over."""
+
+    class Bad(pii.Surrogates):
+        def _of(self, kind, text):
+            return "9.9.9.9"
+
+    docs = spark.createDataFrame([(1, "10.0.0.1 and 10.0.0.2")], "doc_id long, text string")
+    assert [(r.type, r.surrogate) for r in pii.collisions(docs, b"k", Bad).collect()] == [("ip", "9.9.9.9")]
+    with pytest.raises(ValueError):
+        pii.checked_key(docs, b"k", most=2, of=Bad)
+
+
+def test_names():
+    s = pii.Surrogates(b"k")
+    new, found = pii.rewrite("John Smith wrote to Anna Lopez", s)
+    a, b = new.split(" wrote to ")
+    assert a.split()[0] in pii.MALE and b.split()[0] in pii.FEMALE and "Smith" not in new and "Lopez" not in new
+    new, _ = pii.rewrite("Dr. Maria Silva called (555) 123-4567", s)
+    assert "Silva" not in new and re.fullmatch(r"Dr\. \w+ \w+ called \(\d{3}\) \d{3}-\d{4}", new) and "123-4567" not in new
+    new, found = pii.rewrite("Mr. Kim Novak came; later Novak left, Kim stayed", s)
+    given, family = found[0]["surrogate"].split()
+    assert new == f"Mr. {given} {family} came; later {family} left, {given} stayed" and [e["type"] for e in found] == ["person", "family", "given"]
+    assert pii.rewrite("Mrs. Zelda Petrova", s)[1][0]["surrogate"].split()[0].endswith("a")
+    vowels = lambda x: ["aeiouy".find(c) >= 0 for c in x.lower()]
+    assert vowels(s.of("family", "Petrova")) == vowels("Petrova")
+    clean = "The Mary of Paul went home. Of Of The The."
+    assert pii.rewrite(clean, s) == (clean, [])
+    names = {f"{g} {f}" for g in ("Anna", "Zoe", "Bob", "Rob", "Olga") for f in ("Li", "Wu", "Ba")}
+    assert len({s.of("person", n) for n in names}) == len(names)
+
+
+def test_pii_query(spark, tmp_path):
+    """The registered query: no entity is left, formats stay, the same entity has the same surrogate in every document."""
+    docs = [(i, f"call +1 (017) 555-77{i % 9}3 or u{i % 7}@mail.org, card 4111111111111111") for i in range(40)] + [(40, None), (41, ""), (None, "plain")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_entities) for r in queries.op7_pii(spark, str(tmp_path)).collect()}
+    assert got[40] == (None, 0) and got[41] == ("", 0) and got[None] == ("plain", 0)
+    pairs = {}
+    for i, text in docs[:40]:
+        kinds = [re.findall(p, x) for x in (text, got[i][0]) for p in (r"\+[\d() -]+\d", r"\w+@[\w.]+", r"\d{16}")]
+        assert got[i][1] == 3 and list(map(len, kinds)) == [1] * 6
+        for old, new in zip(kinds[:3], kinds[3:]):
+            assert old != new and pairs.setdefault(old[0], new[0]) == new[0]
+    assert len(set(pairs.values())) == len(pairs) == 9 + 7 + 1
 
 
 def test_key_of_letters_only():
@@ -345,7 +501,7 @@ def test_family_names_that_are_listed(monkeypatch):
     monkeypatch.setattr(pii, "MALE", (*pii.MALE, "Ab"))
     s, letters = pii.Surrogates(b"k"), "abcdefghijklmnopqrstuvwxyz"
     names = [a.upper() + b for a in letters for b in letters]
-    assert len({s.of("person", n, "Mr") for n in names}) == len(names)
+    assert len({s.of("person", n) for n in names}) == len(names)
 
 
 def test_digests(spark, tmp_path):
@@ -359,6 +515,162 @@ def test_digests(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def write(spark, folder, **tables):
+    for name, (rows_, schema) in tables.items():
+        spark.createDataFrame(rows_, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_new_letters():
+    """Code points that the library knows and Python does not."""
+    library, own = Tokenizer.from_file(WORD), bpe.Bpe(WORD)
+    for c in (0xA7CE, 0xA7D2, 0xA7D4, 0x16EA0, 0x16EB8, 0x1E6C0, 0x10FFFF, 0x378):
+        t = f"a{chr(c)}B É{chr(c)} e\u0301"
+        assert own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_quality_query(spark, tmp_path):
+    """Labels of held-out rows are never learnt from; every row has a score."""
+    rng = random.Random(31)
+    good = lambda: " ".join(rng.choice(["the", "of", "and", "river", "stone"]) for _ in range(30))
+    bad = lambda: " ".join(rng.choice(["buy", "now"]) + "$$$" for _ in range(30))
+    docs = [(i, good() if i % 2 else bad()) for i in range(200)] + [(None, good()), (900, ""), (901, None)]
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in docs if i is not None}
+    found = []
+    for flip in (False, True):
+        labels = [(i, (i % 2) ^ (flip and out[i]), 0) for i in range(200)] + [(None, 1, 0)]
+        write(spark, tmp_path / str(flip), documents=(docs, "doc_id long, text string"), labels=(labels, "doc_id long, quality int, toxic int"))
+        found.append({r.doc_id: r for r in queries.op2_quality(spark, str(tmp_path / str(flip))).collect()})
+    assert set(found[0]) == {i for i, _ in docs} and all(found[0][i].held_out == out.get(i, False) for i in found[0])
+    assert all(found[0][i].score == pytest.approx(found[1][i].score, abs=1e-9) for i in found[0])
+    assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in found[0].values())
+    assert all(found[0][i].predicted == i % 2 for i in range(200) if out[i])  # held-out accuracy
+
+
+def test_long_texts_in_word_vectors(spark, monkeypatch):
+    """A text of over half a million words counts as it would in one piece."""
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50, (1 << 19) + 1000)
+    text = " ".join(f"w{i}" for i in ids.tolist())
+    got = quality_model.word_vectors(spark.createDataFrame([(text,)], "text string"))
+    x = np.array(quality_model.buckets(text))
+    places, signs = quality_model.index_vectors()
+    want = np.zeros((quality_model.BUCKETS, quality_model.DIM))
+    for away in (1, 2):
+        for word, around in ((x[:-away], x[away:]), (x[away:], x[:-away])):
+            for k in range(quality_model.NONZERO):
+                np.add.at(want, (word, places[around, k]), signs[around, k])
+    assert (got[:, :-1] == want).all() and got[:, -1].sum() == len(x)
+
+
+def brute_kept(text):
+    base = brute_rules(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    chars = sum(map(len, words))
+    if base[5]:
+        return False
+    for n, most in quality_rules.NGRAM_LIMITS.items():
+        windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(n)}
+        if sum(len(words[i]) for i in hit) > most * chars:
+            return False
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", line))) if line in seen else 0
+            seen.add(line)
+    return again <= 0.2 * chars and base[2] <= 0.1 * base[0]
+
+
+def test_kept(spark, tmp_path):
+    rng = random.Random(33)
+    docs = [(i, " ".join(rng.choice(["a", "bb", "c#", f"w{rng.randrange(99)}", f"x{rng.randrange(999)}"]) + rng.choice(["", "", "\n"]) for _ in range(rng.randint(5, 80)))) for i in range(150)]
+    docs += [(200 + i, f"{t}\n{t[: len(t) // 3]}") for i, t in docs[:40]]
+    write(spark, tmp_path, documents=(docs, "doc_id long, text string"))
+    got = {r.doc_id: r.kept for r in queries.op6_quality_rules(spark, str(tmp_path)).collect()}
+    want = {i: brute_kept(t) for i, t in docs}
+    assert got == want and set(want.values()) == {True, False}
+
+
+def test_counts_and_token_files_queries(spark, tmp_path):
+    """op4 and op9 as registered, with null and repeated ids."""
+    library = Tokenizer.from_file(BYTE)
+    docs = [(i % 30, f"{t} row {i}") for i, t in enumerate(texts(80))] + [(None, f"none {i}") for i in range(40)] + [(77, "word " * 1100), (78, None), (79, "same"), (79, "same")]
+    write(spark, tmp_path, documents=(docs, "doc_id long, text string"))
+    size = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    got = rows(queries.op4_token_counts(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_tokens", "over_limit"))
+    assert got == sorted(((i, len((t or "").encode()), size(t), size(t) > 1024) for i, t in docs), key=repr)
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    runs = []
+    for n in (1, 4):  # the order does not depend on the shards
+        frame = spark.read.parquet(f"{tmp_path}/documents.parquet").repartition(n + 2)
+        made = token_files.write(frame, f"file://{tmp_path}/files-{n}", BYTE, 2, n, sequence=16, rows=4)
+        runs.append(sorted(map(tuple, token_files.read(made, rows=4).collect()), key=lambda r: r[1]))
+    assert runs[0] == runs[1] and [r[1] for r in runs[0]] == np.cumsum([0, *(r[2] for r in runs[0][:-1])]).tolist()
+    assert sorted(((r[0], r[2], r[3]) for r in runs[0]), key=repr) == sorted(((i, size(t) + 1, crc(t)) for i, t in docs), key=repr)
+    asked = queries.op9_token_files(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, asked), key=lambda r: r[1]) == runs[0]
+
+
+def test_component_ids(spark, tmp_path):
+    """op8 as registered, against all pairs of fingerprints."""
+    rng = random.Random(34)
+    base = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    long = [" ".join(f"w{rng.randrange(900)}" for _ in range(150)) for _ in range(6)]
+    docs = list(enumerate([*base, *long, *(f"{t} end" for t in long), *(t.upper() for t in long), "", None, "   "]))
+    rng.shuffle(docs)
+    write(spark, tmp_path, documents=(docs, "doc_id long, text string"))
+    values = [fingerprint(t) for _, t in docs]
+    top = roots(values, lambda a, b: (a ^ b).bit_count() <= 2)
+    least = {}
+    for (i, _), r in zip(docs, top):
+        least[r] = min(i, least.get(r, i))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op8_simhash(spark, str(tmp_path)).collect()}
+    assert got == {i: (f"{v:016x}", least[r]) for (i, _), v, r in zip(docs, values, top)}
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on rows with nulls, repeats and clashing columns, against brute force on its own input."""
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    known = [f"word{i}" for i in range(400)]
+    good = lambda n: " ".join(rng.choice(known) for _ in range(n))
+    docs = [(i, good(60)) for i in range(60)]
+    docs += [(100 + i, t + " end") for i, t in docs[:10]] + [(200 + i, t) for i, t in docs[:5]] + [(300 + i, "buy$$$ now### " * 20) for i in range(60)]
+    items = [(k, good(40)) for k in range(5)]
+    docs += [(400 + k, f"{good(30)} {t} {good(30)}") for k, t in items] + [(500, f"{good(40)} mail ann@site.org {good(9)}"), (None, good(50)), (501, None), (502, ""), docs[7], docs[7]]
+    labels = [(i, int(i < 300), 0) for i in range(0, 360)]
+    write(
+        spark, tmp_path, labels=(labels, "doc_id long, quality int, toxic int"), benchmark=(items, "item_id long, text string"),
+        documents=([(i, t, "x", "y", None if t is None else len(t), 1) for i, t in docs], "doc_id long, text string, _own string, _digest string, n_chars long, _id int"),
+    )
+    d, folder = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    columns = d.columns
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "near_duplicates", "decontamination", "personal_data", "token_ids"]
+    kept = stages["quality"](spark, d, folder).checkpoint()
+    found = {r.doc_id for r in kept.collect()}
+    assert kept.columns == columns and not found & {300 + i for i in range(60)} and found >= {i for i, _ in docs[:75]}
+    plain = [(r.doc_id, r.text or "") for r in kept.collect() if r.doc_id is not None]
+    one = stages["near_duplicates"](spark, kept, folder).checkpoint()
+    want = near_copies_by_force(list({(i, t) for i, t in plain if t}))
+    assert one.columns == columns and {r.doc_id for r in one.collect() if r.text and r.doc_id is not None} == want
+    assert one.groupBy("doc_id").count().where("count > 1").count() == 0
+    clean = stages["decontamination"](spark, one, folder).checkpoint()
+    leaked = {i for i, _ in leaks_by_force([(r.doc_id, r.text) for r in one.collect() if r.text], items)}
+    assert {r.doc_id for r in one.collect()} - {r.doc_id for r in clean.collect()} == leaked == {400 + k for k in range(5)}
+    private = stages["personal_data"](spark, clean, folder).checkpoint()
+    before, after = ({r.doc_id: r.text for r in x.collect()} for x in (clean, private))
+    assert private.columns == columns and {i for i in before if before[i] != after[i]} == {500} and "ann@site.org" not in after[500]
+    library = Tokenizer.from_file(WORD)
+    last = {r.doc_id: r for r in stages["token_ids"](spark, private, folder).collect()}
+    for i, t in after.items():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert last[i].ids == ids and last[i].n_tokens == len(ids) and last[i].decoded == library.decode(ids, skip_special_tokens=False)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.limit(0), folder).count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
