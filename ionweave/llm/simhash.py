@@ -6,8 +6,9 @@ some segment differs in fewer, so that one fingerprint's table entry lies in a s
 ball around the other's segment. Of two segments that differ in one bit one has a 0 there and
 the other a 1, so it is enough to enumerate the flips from 0 to 1.
 
-``links`` is exact. ``near_groups`` is exact too: it finds texts whose shingles are similar by the
-rarest of their shingles, without fingerprints.
+``links`` is exact. ``near_groups`` uses them on fingerprints of five-word shingles, and verifies each
+link by the shingles themselves; texts that are similar enough but further apart in their
+fingerprints it finds by the rarest of their shingles, so that it is exact too.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import blocks, by_batch, cut, row_of, small_batches, summed, texts_of
+from ionweave.llm.common import blocks, by_batch, cut, row_of, small_batches, summed, texts_of, unused
 
 SEED = 42
 #: Features of a text whose bits are counted at a time.
@@ -171,6 +172,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 ORDER_CELLS, ORDER_CHUNK = 1 << 20, 1 << 16
 #: Longs of a text's parities: in each bit, whether an odd number of its shingles fall there.
 PARITIES = 8
+#: Bits of the filter of the texts whose shingles are asked for, 4 MiB.
+FILTER_BITS = 1 << 25
 #: Candidate pairs of an output batch.
 PAIRS = 1 << 16
 
@@ -231,11 +234,12 @@ def _columns(x: np.ndarray, names: list[str]) -> pa.RecordBatch:
 
 
 def shared_tokens(rows: DataFrame, similarity: float) -> DataFrame:
-    """The rows (``token, h, n, pos``) whose token another row has, with the ``first`` and the ``previous`` handle of it.
+    """The rows (``token, h, place``) whose token another row has, with the ``first`` and the ``previous`` handle of it.
 
-    Where the sizes of the two sets are too different, the row's own handle stands there.
+    ``place`` has the size of the row's set and the token's position. Where the sizes of the two
+    sets are too different, the row's own handle stands there.
     """
-    names = ["token", "h", "n", "pos", "first", "previous"]
+    names = ["token", "h", "place", "first", "previous"]
 
     def run(batches):
         held = None  # the last row, not yet put out; the first of its token; whether it is not the first
@@ -262,17 +266,17 @@ def shared_tokens(rows: DataFrame, similarity: float) -> DataFrame:
             yield put(*(np.array([v]) for v in (held[0], held[1], held[3], held[2])))
 
     def put(x, first, previous, same):
-        own = x[:, 1]
-        others = [np.where(same & _close(x[:, 2], y[:, 2], similarity), y[:, 1], own) for y in (first, previous)]
+        own, n = x[:, 1], x[:, 2] >> 32
+        others = [np.where(same & _close(n, y[:, 2] >> 32, similarity), y[:, 1], own) for y in (first, previous)]
         return _columns(np.column_stack([x, *others]), names)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "token").sortWithinPartitions("token", "h")
+    dealt = rows.select("token", "h", "place").repartition(n, "token").sortWithinPartitions("token", "h")
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``a < b`` of handles of ``rows`` (``token, c, h, n, pos, bits``) with a token in common and different ``c``.
+    """All pairs ``a < b`` of handles of ``rows`` (``token, c, h, place, bit``) with a token in common and different ``c``.
 
     Left out are pairs whose sizes, parities or places of the token show that they are less similar; the
     first token that a pair has in common shows that of no pair that is similar enough.
@@ -289,11 +293,11 @@ def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
             i, j = i[alive], j[alive]
             if not len(i):
                 break
-            n, m = x[i, 3], x[j, 3]
+            n, m = x[i, 3] >> 32, x[j, 3] >> 32
             least = similarity / (1 + similarity) * (n + m) - 1e-9
-            ok = _close(n, m, similarity) & (np.minimum(n - x[i, 4], m - x[j, 4]) >= least)
+            ok = _close(n, m, similarity) & (np.minimum(n - (x[i, 3] & 0xFFFFFFFF), m - (x[j, 3] & 0xFFFFFFFF)) >= least)
             p, q = i[ok], j[ok]
-            differ = np.bitwise_count((x[p, 5:] ^ x[q, 5:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count((x[p, 4] ^ x[q, 4]).view(np.uint64)).astype(np.int64)
             ok = differ <= _apart(n[ok], m[ok], similarity)
             found.append(np.sort(np.column_stack([x[p[ok], 2], x[q[ok], 2]]), axis=1))
             total += len(found[-1])
@@ -321,8 +325,7 @@ def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
                 yield _columns(pairs, ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = [F.col("bits")[k].alias(f"b{k}") for k in range(PARITIES)]
-    dealt = rows.select("token", "c", "h", "n", "pos", *bits).repartition(n, "token").sortWithinPartitions("token", "c")
+    dealt = rows.select("token", "c", "h", "place", "bit").repartition(n, "token").sortWithinPartitions("token", "c")
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
@@ -331,10 +334,10 @@ def _digest():
 
 
 def _prefixes(docs: DataFrame, similarity: float) -> DataFrame:
-    """``digest, doc_id, n, tokens, bits``: how many different shingles a text has, its prefix and its parities."""
+    """``digest, doc_id, n, tokens, bits, fp``: how many different shingles a text has, its prefix, parities and fingerprint."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_order(docs))  # of fixed size
     longs = pa.list_(pa.int64())
-    out = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", longs), ("bits", longs)])
+    out = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", longs), ("bits", longs), ("fp", pa.int64())])
 
     def make():
         order = shared.value
@@ -342,41 +345,55 @@ def _prefixes(docs: DataFrame, similarity: float) -> DataFrame:
         def apply(batch):
             texts = texts_of(batch)
             for a, b in blocks([2 * len(t) + 50 for t in texts]):
-                sets = [shingle_set(t) for t in texts[a:b]]
+                hashes = [shingle_hashes(t, SHINGLE) for t in texts[a:b]]
+                fps = np.array(list(map(majority, hashes)), np.uint64).view(np.int64)
+                sets = list(map(np.unique, hashes))
                 tokens = [prefix(s, order, similarity).view(np.int64) for s in sets]
                 bits = [parities(s) for s in sets]
-                yield [batch.column("digest").slice(a, b - a), batch.column("doc_id").slice(a, b - a), [len(s) for s in sets], tokens, bits]
+                yield [batch.column("digest").slice(a, b - a), batch.column("doc_id").slice(a, b - a), [len(s) for s in sets], tokens, bits, pa.array(fps)]
 
         return apply
 
     marked = docs.select("doc_id", "text", _digest())
-    ddl = "digest binary, doc_id long, n long, tokens array<long>, bits array<long>"
+    ddl = "digest binary, doc_id long, n long, tokens array<long>, bits array<long>, fp long"
     return by_batch(marked, ["digest", "doc_id", "text"], out, ddl, make)
 
 
-def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """``digest, shingles``: the different shingles of a text."""
-    out = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
+def _filter_of(handles: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits with one bit for each handle (column ``h``)."""
+    spot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
+    words = handles.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(one).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
+    found = np.zeros(FILTER_BITS // 64, np.int64)
+    found[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return found
+
+
+def _shingle_sets(docs: DataFrame, handles: DataFrame) -> DataFrame:
+    """``h, digest, shingles``: the different shingles of each text with one of the handles, and of few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(handles))  # of fixed size
+    out = pa.schema([("h", pa.int64()), ("digest", pa.binary()), ("shingles", pa.binary())])
 
     def make():
         def apply(batch):
-            texts_ = texts_of(batch)
-            for a, b in blocks([2 * len(t) + 50 for t in texts_]):
-                yield [batch.column("digest").slice(a, b - a), [shingle_set(t).tobytes() for t in texts_[a:b]]]
+            h = batch.column("h").to_numpy()
+            spot = h & (FILTER_BITS - 1)
+            batch = batch.filter(pa.array(shared.value[spot >> 6] >> (spot & 63) & 1 == 1))
+            texts = texts_of(batch)
+            for a, b in blocks([2 * len(t) + 50 for t in texts]):
+                own = batch.slice(a, b - a)
+                yield [own.column("h"), own.column("digest"), [shingle_set(t).tobytes() for t in texts[a:b]]]
 
         return apply
 
-    return by_batch(texts, ["digest", "text"], out, "digest binary, shingles binary", make)
+    marked = docs.select("text", _digest()).withColumn("h", F.xxhash64("digest"))
+    made = by_batch(marked, ["h", "digest", "text"], out, "h long, digest binary, shingles binary", make)
+    return made.repartition("h").dropDuplicates(["h", "digest"])  # dealt by h, as the joins need it
 
 
-def similar(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def similar(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: the digests of those ``pairs`` of handles whose shingles are so similar."""
-    handles = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    asked = reps.join(handles, "h", "left_semi").select(F.col("digest").alias("own"), F.col("doc_id").alias("id"))
-    match = (F.col("digest") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    texts = docs.select("doc_id", "text", _digest()).join(asked, match).select("digest", "text")
-    sets = _shingle_sets(texts).groupBy("digest").agg(F.min("shingles").alias("shingles"))
-    sets = cut(sets.select("digest", "shingles", F.xxhash64("digest").alias("h")))
+    sets = _shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("h")))
     left = sets.select(F.col("h").alias("a"), F.col("digest").alias("x"), F.col("shingles").alias("s"))
     right = sets.select(F.col("h").alias("b"), F.col("digest").alias("y"), F.col("shingles").alias("t"))
 
@@ -394,6 +411,22 @@ def similar(docs: DataFrame, reps: DataFrame, pairs: DataFrame, similarity: floa
     return cut(pairs.join(left, "a").join(right, "b").select("x", "y", "s", "t").mapInArrow(compare, "a binary, b binary"))
 
 
+def possible(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` of handles that are not ruled out by their sizes and parities in ``found``."""
+    for k in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("h").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
+    differ = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(PARITIES))
+    return cut(pairs.where(differ <= _apart(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"))
+
+
+def fingerprint_pairs(found: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of handles of ``found`` (``h, fp``) whose fingerprints are linked: a row for each text and for each link of fingerprints."""
+    nodes = found.groupBy("fp").agg(F.min("h").alias("least"))
+    same = found.join(nodes, "fp").select(F.col("least").alias("a"), F.col("h").alias("b")).where("a <> b")
+    at = [nodes.select(F.col("fp").alias(k), F.col("least").alias(f"h_{k}")) for k in ("a", "b")]
+    return same.unionByName(links(nodes.select("fp")).join(at[0], "a").join(at[1], "b").select(F.col("h_a").alias("a"), F.col("h_b").alias("b")))
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``digest, doc_id, keep``: one row for each different text, with the least id that has it.
 
@@ -401,28 +434,30 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     five-word shingles have a Jaccard similarity of at least ``similarity``. Exact copies are
     one text. A null text counts as empty; an id that is null comes after all others.
 
-    The links are exact. Texts that have a shingle of their prefixes in common are candidates: first
-    each with the first and the previous one, so that a large group is joined by few pairs, and
-    then all pairs that these links have not joined.
+    Fingerprints are linked first (``links``); then texts that have a shingle of their prefixes in
+    common are candidates, each with the first and the previous one. All these are verified, and
+    join a large group by few pairs. At last all pairs with a common shingle of their prefixes
+    are looked at that these links have not joined, so that none is missed.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r")
-    same = [F.min(c).alias(c) for c in ("n", "tokens", "bits")]
+    same = [F.min(c).alias(c) for c in ("n", "tokens", "bits", "fp")]
     found = _prefixes(docs, similarity).groupBy("digest").agg(least, *same)
-    found = cut(found.select("digest", "r.doc_id", "n", "tokens", "bits", F.xxhash64("digest").alias("h")))
+    found = cut(found.select("digest", "r.doc_id", "n", "tokens", "bits", "fp", F.xxhash64("digest").alias("h")))
     reps = found.select("digest", "doc_id", "h")
-    rows = found.select("h", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = cut(shared_tokens(rows.select("token", "h", "n", F.col("pos").cast("long").alias("pos")), similarity))
-    met = shared.select("h", F.explode(F.array("first", "previous")).alias("o")).where("h <> o")
-    near = met.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
-    for k in ("a", "b"):
-        near = near.join(found.select(F.col("h").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
-    differ = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(PARITIES))
-    near = cut(near.where(differ <= _apart(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"))
-    edges = similar(docs, reps, near, similarity)
+    place = F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place")
+    rows = found.select("h", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "h", place)
+    shared = cut(shared_tokens(rows, similarity))
+    met = shared.select("h", F.explode(F.array("first", "previous")).alias("o")).where("h <> o").select(F.col("h").alias("a"), F.col("o").alias("b"))
+    near = met.unionByName(fingerprint_pairs(found.select("h", "fp")))
+    near = possible(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), found, similarity)
+    edges = similar(docs, near, similarity)
     joined = components(edges).select(F.xxhash64("node").alias("h"), F.xxhash64("root").alias("c"))
-    rest = shared.join(found.select("h", "bits").join(joined, "h", "left"), "h").withColumn("c", F.coalesce("c", "h"))
-    rest = cut(pairs_between(rest, similarity).join(near, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(similar(docs, reps, rest, similarity))
+    fold = F.col("bits")[0]
+    for k in range(1, PARITIES):
+        fold = fold.bitwiseXOR(F.col("bits")[k])
+    own = found.select("h", fold.alias("bit")).join(joined, "h", "left").withColumn("c", F.coalesce("c", "h"))
+    rest = pairs_between(shared.select("token", "h", "place").join(own, "h"), similarity).join(near, ["a", "b"], "left_anti")
+    edges = edges.unionByName(similar(docs, possible(rest, found, similarity), similarity))
     rooted = components(edges).withColumnRenamed("node", "digest")
     named = reps.select("digest", "doc_id").join(rooted, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("r"))
@@ -435,12 +470,13 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
     The row with the least doc_id stays; of rows with its id and text, any one.
     """
-    kept = near_groups(docs, similarity).where("keep").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"))
-    marked = docs.withColumn("_own", _digest())
-    match = (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    own, digest, id_ = unused(docs, 3)
+    kept = near_groups(docs, similarity).where("keep").select(F.col("digest").alias(digest), F.col("doc_id").alias(id_))
+    marked = docs.withColumn(own, _digest())
+    match = (F.col(own) == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(id_))
     left = marked.join(kept, match, "left_semi")
     ids = docs.select("doc_id", _digest())
     total, distinct = ids.agg(F.count("*"), F.count_distinct(F.xxhash64("doc_id", F.col("digest")))).first()
     if total != distinct:
-        left = left.dropDuplicates(["doc_id", "_own"])
-    return left.drop("_own")
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)
