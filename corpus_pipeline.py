@@ -33,13 +33,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put surrogates in place of personal data and secrets."""
-    return pii.replace_in(docs)
+    return pii.replace_in(docs, pii.checked_key(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, decoded, n_tokens``: each document's token ids and the text they stand for."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    coded = bpe.code(docs, vocabulary)
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
