@@ -172,6 +172,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 ORDER_CELLS, ORDER_CHUNK = 1 << 20, 1 << 16
 #: Longs of a text's parities: in each bit, whether an odd number of its shingles fall there.
 PARITIES = 8
+#: Longs that travel with every token: parities of two places of the above together.
+FOLDED = PARITIES // 2
 #: Bits of the filter of the texts whose shingles are asked for, 4 MiB.
 FILTER_BITS = 1 << 25
 #: Candidate pairs of an output batch.
@@ -276,7 +278,7 @@ def shared_tokens(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``a < b`` of handles of ``rows`` (``token, c, h, place, bit``) with a token in common and different ``c``.
+    """All pairs ``a < b`` of handles of ``rows`` (``token, c, h, place`` and FOLDED longs of parities, ``b0`` and so on) with a token in common and different ``c``.
 
     Left out are pairs whose sizes, parities or places of the token show that they are less similar; the
     first token that a pair has in common shows that of no pair that is similar enough.
@@ -297,7 +299,7 @@ def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
             least = similarity / (1 + similarity) * (n + m) - 1e-9
             ok = _close(n, m, similarity) & (np.minimum(n - (x[i, 3] & 0xFFFFFFFF), m - (x[j, 3] & 0xFFFFFFFF)) >= least)
             p, q = i[ok], j[ok]
-            differ = np.bitwise_count((x[p, 4] ^ x[q, 4]).view(np.uint64)).astype(np.int64)
+            differ = np.bitwise_count((x[p, 4:] ^ x[q, 4:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
             ok = differ <= _apart(n[ok], m[ok], similarity)
             found.append(np.sort(np.column_stack([x[p[ok], 2], x[q[ok], 2]]), axis=1))
             total += len(found[-1])
@@ -325,7 +327,7 @@ def pairs_between(rows: DataFrame, similarity: float) -> DataFrame:
                 yield _columns(pairs, ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("token", "c", "h", "place", "bit").repartition(n, "token").sortWithinPartitions("token", "c")
+    dealt = rows.select("token", "c", "h", "place", *(f"b{k}" for k in range(FOLDED))).repartition(n, "token").sortWithinPartitions("token", "c")
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
@@ -452,10 +454,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     near = possible(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), found, similarity)
     edges = similar(docs, near, similarity)
     joined = components(edges).select(F.xxhash64("node").alias("h"), F.xxhash64("root").alias("c"))
-    fold = F.col("bits")[0]
-    for k in range(1, PARITIES):
-        fold = fold.bitwiseXOR(F.col("bits")[k])
-    own = found.select("h", fold.alias("bit")).join(joined, "h", "left").withColumn("c", F.coalesce("c", "h"))
+    folded = [F.col("bits")[k].bitwiseXOR(F.col("bits")[k + FOLDED]).alias(f"b{k}") for k in range(FOLDED)]
+    own = found.select("h", *folded).join(joined, "h", "left").withColumn("c", F.coalesce("c", "h"))
     rest = pairs_between(shared.select("token", "h", "place").join(own, "h"), similarity).join(near, ["a", "b"], "left_anti")
     edges = edges.unionByName(similar(docs, possible(rest, found, similarity), similarity))
     rooted = components(edges).withColumnRenamed("node", "digest")
