@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionweave.llm import bpe, decontaminate, lm_score, pii, quality_model, quality_rules, simhash, token_counts, token_files, url_filter
+from ionweave.llm import bpe, conversation_repair, decontaminate, lm_score, pii, quality_model, quality_rules, simhash, token_counts, token_files, top_k, url_filter, vector_codes
 from ionweave.llm.common import fresh_folder, held_out, table
+from ionweave.llm.twins import OP11_SQL, OP12_SQL, OP13_SQL
 
 #: A document with more tokens than this doesn't fit a training window.
 TOKEN_LIMIT = 1024
@@ -123,6 +124,33 @@ SELECT page_id, host, path, rule,
 FROM named LEFT JOIN listed ON canon = listed_url
 """
 
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, the cheapest edits and the digest of the repaired turns of every damaged conversation."""
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(conversation_repair.repair(damaged))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code and error, the errors of its label, and the digest of the codebooks."""
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    folder = fresh_folder(spark, "coded")
+    coded.write.parquet(folder)  # it is read twice
+    digest = F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256")
+    found = vector_codes.with_label_errors(spark.read.schema(coded.schema).parquet(folder))
+    return found.select("vec_id", "code", "error", "label_error", digest)
+
+
+#: Queries of op13, by their ids, and how many vectors each gets.
+QUERY_EVERY, QUERY_K = 50, 5
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with the highest inner products with every fiftieth one."""
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k.top_k(rows, rows.where(F.col("vec_id") % QUERY_EVERY == 0), QUERY_K)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -134,5 +162,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_top_k": op13_top_k,
 }
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_top_k": OP13_SQL}
