@@ -121,9 +121,10 @@ def ladder_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, ``slot, mz``: a row for each slot of the ladder of each row (``peptide, charge``).
 
     The running sums are a column below the explosion, so they are made once a peptide, and what
-    stands above it is arithmetic in generated code.
+    stands above it is arithmetic in generated code. A peptide with an unknown residue has no slots.
     """
-    sums = rows.select(*keep, F.col("charge").alias("_z"), prefixes(residue_masses(F.col("peptide"))).alias("_prefix"))
+    masses = residue_masses(F.col("peptide"))
+    sums = rows.where(F.forall(masses, lambda m: m.isNotNull())).select(*keep, F.col("charge").alias("_z"), prefixes(masses).alias("_prefix"))
     cut = sums.select(*keep, "_z", "_prefix", F.explode(cleavages(F.col("_prefix"))).alias("_p"))
     y, b = fragment_sums(F.col("_prefix"), F.col("_p"))
     cut = cut.select(*keep, "_z", "_p", y.alias("_y"), b.alias("_b"))
@@ -131,9 +132,9 @@ def ladder_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def float_list(c: Column) -> Column:
-    """``"[1.0, 2.0]"`` as an array of doubles; an empty list gives an empty array."""
+    """``"[1.0, 2.0]"`` as an array of doubles; an empty list gives an empty array, what is not a number null."""
     bare = F.regexp_replace(c, r"[\[\] ]", "")
-    return F.when(bare == "", F.array().cast("array<double>")).otherwise(F.split(bare, ",").cast("array<double>"))
+    return F.when(bare == "", F.array().cast("array<double>")).otherwise(F.transform(F.split(bare, ","), lambda x: x.try_cast("double")))
 
 
 def residue_distance(a: Column, b: Column) -> Column:

@@ -12,14 +12,18 @@ _MASSES = "map(" + ", ".join(f"'{r}', {m!r}D" for r, m in K.RESIDUES.items()) +
 
 
 class Fragments:
-    """A table function: ``slot, mz`` of a peptide's ladder."""
+    """A table function: ``slot, mz`` of a peptide's ladder; no rows if it has an unknown residue."""
 
     def eval(self, peptide: str, charge: int):
+        import itertools
         import re
 
-        masses = [K.RESIDUES[t] for t in re.findall(K.TOKEN, peptide or "")]
-        for p in range(1, min(len(masses), K.MAX_LENGTH)):
-            for ion, m in ((0, sum(masses[-p:]) + K.WATER), (3, sum(masses[:p]))):
+        found = re.findall(K.TOKEN, peptide or "")
+        if not all(t in K.RESIDUES for t in found):
+            return
+        sums = list(itertools.accumulate((K.RESIDUES[t] for t in found), initial=0.0))
+        for p in range(1, min(len(found), K.MAX_LENGTH)):
+            for ion, m in ((0, sums[-1] - sums[-1 - p] + K.WATER), (3, sums[p])):
                 for z in range(1, min(charge or 0, 3) + 1):
                     yield (p - 1) * 6 + ion + z - 1, (m + z * K.PROTON) / z
 

@@ -43,10 +43,10 @@ def match(tmz: np.ndarray, emz: np.ndarray, eint: np.ndarray, ppm: float = K.PPM
 
 
 def slots_of(peptide: str | None, charge: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of a peptide's ladder and their m/z, from one running sum."""
+    """The slots of a peptide's ladder and their m/z, from one running sum; none if it has an unknown residue."""
     masses = [K.RESIDUES.get(t, np.nan) for t in _TOKENS(peptide or "")]
     n, z = min(len(masses), K.MAX_LENGTH) - 1, np.arange(1, min(charge or 0, 3) + 1)
-    if n < 1 or not len(z):
+    if n < 1 or not len(z) or np.isnan(masses).any():
         return np.empty(0, np.int32), np.empty(0)
     sums = np.concatenate([[0.0], np.cumsum(masses)])
     fragments = np.stack([sums[-1] - sums[-2 : -n - 2 : -1] + K.WATER, sums[1 : n + 1]], axis=1)

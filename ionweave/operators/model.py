@@ -1,4 +1,4 @@
-"""Models: the convolution network over bins in numpy, and scorers with Spark ML."""
+"""Models: the convolution network over bins in numpy, and scorers of trees."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ionweave import constants as K
+from ionweave.operators import trees
 
 
 def metrics(rows: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
@@ -21,40 +22,30 @@ def metrics(rows: DataFrame, truth: str, predicted: str, by: list[str] | None =
 
 
 class Scorer:
-    """A tree ensemble over feature columns; the score is the negated prediction.
+    """A tree ensemble over feature columns; the score is the negated prediction. See ``trees`` for how it is grown."""
 
-    Forest depth is limited to 30 by Spark, and there is no least size of a split, only of a leaf.
-    """
-
-    def __init__(self, model):
-        self.model = model
+    def __init__(self, ensemble: trees.Ensemble):
+        self.ensemble = ensemble
 
     @classmethod
-    def train(cls, rows: DataFrame, features: list[str], target: str, kind: str = "forest", trees: int = 180, depth: int = 30, seed: int = 13):
-        from pyspark.ml import Pipeline
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-        assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-        common = {"featuresCol": "features", "labelCol": target, "seed": seed}
+    def train(cls, rows: DataFrame, features: list[str], target: str, kind: str = "forest", count: int | None = None, depth: int | None = None, seed: int = 13):
+        """A boosted ensemble (``kind="boosted"``, 400 trees to depth 10) or a forest (180 trees of any depth)."""
         if kind == "boosted":
-            trees_ = GBTRegressor(maxIter=400 if trees == 180 else trees, maxDepth=min(depth, 10), stepSize=0.1, subsamplingRate=0.9, featureSubsetStrategy="0.2", **common)
-        else:
-            some = str(min(90, len(features)))
-            trees_ = RandomForestRegressor(numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=80, featureSubsetStrategy=some, **common)
-        return cls(Pipeline(stages=[assemble, trees_]).fit(rows))
+            growth = trees.Growth(depth=depth or 10, rate=0.1, lambda_=1.0, share=0.9, features=round(0.2 * len(features)), seed=seed)
+            return cls(trees.boost(rows, features, target, count or 400, growth))
+        growth = trees.Growth(depth=depth, least_split=100, least_leaf=80, share=None, features=90, by_node=True, boosted=False, seed=seed)
+        return cls(trees.forest(rows, features, target, count or 180, growth))
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        return self.model.transform(rows).withColumn("score", -F.col("prediction")).drop("features", "prediction")
+        return self.ensemble.predict(rows, "prediction").withColumn("score", -F.col("prediction")).drop("prediction")
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        session = SparkSession.getActiveSession()
+        session.createDataFrame([(self.ensemble.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, path: str):
-        from pyspark.ml import PipelineModel
-
-        return cls(PipelineModel.load(path))
+        return cls(trees.Ensemble.from_json(SparkSession.getActiveSession().read.text(path, wholetext=True).first()[0]))
 
 
 def binned(mz: np.ndarray, weight: np.ndarray, n: int = K.MAX_BIN, drop_last: bool = True) -> np.ndarray:

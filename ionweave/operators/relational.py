@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,21 +12,52 @@ from ionweave import constants as K
 from ionweave.functions.peptide import let
 
 
+def log_slices(slots: DataFrame, peaks: DataFrame, ppm: float) -> tuple[DataFrame, DataFrame]:
+    """Both with a column ``_slice`` such that a slot and each peak within ``ppm`` of it share one.
+
+    A band of some ppm is equally wide everywhere in log m/z. Slices are as wide as a band, so that
+    a slot asks for two of them at most and a peak lies in one.
+    """
+    part = ppm * 1e-6
+    if not 0 <= part < 1:
+        raise ValueError("a tolerance must be 0 ppm at least and under 1,000,000")
+    width, slack = max(math.log1p(part) - math.log1p(-part), 1e-9), 1e-12
+    place = lambda log: F.floor(log / width)
+    at = F.when(F.col("tmz") > 0, F.ln("tmz"))
+    asked = F.sequence(place(at + (math.log1p(-part) - slack)), place(at + (math.log1p(part) + slack)))
+    nowhere = F.array(F.lit(None).cast("long"))  # stays, and meets no peak
+    asked = slots.withColumn("_slice", F.explode(F.coalesce(asked, nowhere)))
+    return asked, peaks.where("mz > 0 AND mz < DOUBLE('Infinity')").withColumn("_slice", place(F.ln("mz")))
+
+
+def band_join(slots: DataFrame, peaks: DataFrame, ppm: float) -> DataFrame:
+    """Each slot with every peak (``_scan, pos, mz, intensity``) of its scan within ``ppm``, or with none, once a slice.
+
+    An equi-join by scan and slice: a scan's peaks are spread over its slices, so that however many
+    a scan has, no task pairs its slots with all of them.
+    """
+    asked, held = log_slices(slots, peaks, ppm)
+    held = held.select(F.col("scan").alias("_scan"), "pos", "mz", "intensity", F.col("_slice").alias("_held"))
+    same = (F.col("scan") == F.col("_scan")) & (F.col("_slice") == F.col("_held"))
+    return asked.join(held, same & (1e6 * F.abs(F.col("tmz") - F.col("mz")) <= ppm * F.col("tmz")), "left").drop("_held")
+
+
 def nearest_peaks(slots: DataFrame, peaks: DataFrame, keys: list[str], ppm: float = K.PPM) -> DataFrame:
     """For each slot (``scan, *keys, slot, tmz, tint``) the nearest peak (``scan, pos, mz, intensity``).
 
     Of equally near peaks the first by ``pos`` counts; a slot whose nearest peak is over ``ppm``
-    away, or that has none, gets zeros. The band is a residual of the outer equi-join on
-    ``scan``; the nearest is a grouped minimum, which is combined before its shuffle. Slots are
-    read once.
+    away, or that has none, gets zeros. Slots and peaks meet in ``band_join``; the nearest is a
+    grouped minimum, which is combined before its shuffle. Repeated slots are counted first and
+    come back as often; slots with a null scan or m/z have no peak.
     """
-    away = F.abs(F.col("tmz") - F.col("mz"))
-    own = peaks.withColumnRenamed("scan", "_scan")
-    met = slots.join(own, (F.col("scan") == F.col("_scan")) & (1e6 * away <= ppm * F.col("tmz")), "left")
-    nearest = F.min(F.when(F.col("mz").isNotNull(), F.struct(away.alias("away"), "pos", "mz", "intensity"))).alias("p")
-    best = met.groupBy("scan", *keys, "slot", "tmz", "tint").agg(nearest)
+    own = ["scan", *keys, "slot", "tmz", "tint"]
+    met = band_join(slots.groupBy(*own).agg(F.count("*").alias("_n")), peaks, ppm)
+    away = F.abs(F.col("tmz") - F.col("mz")).alias("away")
+    nearest = F.min(F.when(F.col("mz").isNotNull(), F.struct(away, "pos", "mz", "intensity"))).alias("p")
+    best = met.groupBy(*own, "_n").agg(nearest)
+    best = best.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     found = [F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).alias(n) for c, n in (("mz", "emz"), ("intensity", "eint"))]
-    return best.select("scan", *keys, "slot", "tmz", "tint", *found)
+    return best.select(*own, *found)
 
 
 def counting_features(common: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,9 +204,12 @@ def top_k(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
 
 
 def best_by(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """The row with the highest score of each group, the least ``tie`` of equals; a grouped maximum."""
+    """The row with the highest score of each group, the least ``tie`` of equals; a grouped maximum.
+
+    A row without a score is the best only of a group that has no scores.
+    """
     rest = [c for c in rows.columns if c not in (group, score, tie)]
-    best = rows.groupBy(group).agg(F.min(F.struct((-F.col(score)).alias("_least"), tie, score, *rest)).alias("r"))
+    best = rows.groupBy(group).agg(F.min(F.struct(F.isnull(score).alias("_none"), (-F.col(score)).alias("_least"), tie, score, *rest)).alias("r"))
     return best.select(group, f"r.{score}", f"r.{tie}", *(f"r.{c}" for c in rest))
 
 
@@ -187,7 +223,7 @@ def expand(rows: DataFrame, count: str) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
 
 
-def mass_range_join(chosen: DataFrame, lookup: DataFrame, ppm_mass: str, width: float = 0.05) -> DataFrame:
+def mass_range_join(chosen: DataFrame, lookup: DataFrame, width: float = 0.05) -> DataFrame:
     """Candidates (``candidate, mass``) within ``low..high`` of each row, without the row's own residues.
 
     Masses are cut into slices of ``width``; a row asks for its own slices only, so the range

@@ -117,10 +117,16 @@ class Engine:
         return done
 
     def rescoring_from_csv(self, path: str, out: str | None = None, **columns) -> DataFrame:
-        """The file's own columns and ``score``; in the written file also ``index``, which grows from row to row."""
-        done = self.rescoring(require_rows(files.read_csv(self.spark, path, original=True, **columns)), "csv").select("original.*", "score")
+        """The file's own columns and ``score``; in the written file also ``index``, which grows from row to row.
+
+        Where the file has a column of such a name, the new one is ``new_score`` or ``new_index``.
+        """
+        scored = self.rescoring(require_rows(files.read_csv(self.spark, path, original=True, **columns)), "csv")
+        own = {c.lower() for c in scored.schema["original"].dataType.names}
+        free = lambda name: name if name not in own else free(f"new_{name}")
+        done = scored.select("original.*", F.col("score").alias(free("score")))
         if out:
-            files.write_csv(done.select(F.monotonically_increasing_id().alias("index"), "*"), out)
+            files.write_csv(done.select(F.monotonically_increasing_id().alias(free("index")), "*"), out)
         return done
 
     def bin_reclassification_from_mgf(self, path: str, out: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ionweave import constants as K
 from ionweave.functions import peptide as P
 from ionweave.functions import spectrum as S
-from ionweave.operators import evolve, features, graph, model
+from ionweave.operators import evolve, features, graph, model, trees
 from ionweave.operators import relational as R
 from ionweave.plans.rescoring import valid
 from ionweave.plans.views import peaks, psms, slots, spectra, sql, table, vector_pairs, word_peptides
@@ -306,16 +306,17 @@ def cache_misses(spark, d):
 
 _LOOKUP = f"""names AS (SELECT residue AS r, mass AS m, code AS c FROM residues WHERE residue <> 'L'),
 lookup AS (SELECT r AS candidate, c AS last, m AS mass FROM names UNION ALL SELECT candidate || r, c, mass + m FROM lookup JOIN names ON c >= last AND mass + m <= {2 * max(K.RESIDUES.values()) + 0.1!r}),
-firsts AS (SELECT psm, any_value(r1) || any_value(r2) AS own, sum(mass) AS m FROM (SELECT psm, mass, min(code) OVER (PARTITION BY psm) AS lo, max(code) OVER (PARTITION BY psm) AS hi FROM toks JOIN residues USING (residue) WHERE i <= 2 AND n >= 2)
+spans AS (SELECT psm, any_value(r1) || any_value(r2) AS own, sum(mass) AS m FROM (SELECT psm, mass, min(code) OVER (PARTITION BY psm) AS lo, max(code) OVER (PARTITION BY psm) AS hi FROM toks JOIN residues USING (residue) WHERE n >= 2 AND i - 1 - psm * 7919 % (n - 1) IN (0, 1))
  JOIN (SELECT code AS lo, residue AS r1 FROM residues) USING (lo) JOIN (SELECT code AS hi, residue AS r2 FROM residues) USING (hi) GROUP BY psm)"""
 
 
-@query(sql("SELECT psm, own, candidate, round(mass, 6) AS mass FROM firsts, lookup WHERE mass BETWEEN m - 0.02::DOUBLE AND m + 0.02::DOUBLE AND candidate <> own", _LOOKUP))
+@query(sql("SELECT psm, own, candidate, round(mass, 6) AS mass FROM spans, lookup WHERE mass BETWEEN m - 0.02::DOUBLE AND m + 0.02::DOUBLE AND candidate <> own", _LOOKUP))
 def mass_range_join(spark, d):
-    """Replacements for one span of each peptide: its first two residues stand for the span that a mutation draws."""
-    two = F.slice(P.codes(F.col("peptide")), 1, 2)
-    chosen = psms(spark, d).where(F.size(two) == 2).select("psm", P.spell(F.array_sort(two)).alias("own"), P.total(P.residue_masses(P.spell(two))).alias("m"))
-    found = R.mass_range_join(chosen.select("psm", "own", (F.col("m") - 0.02).alias("low"), (F.col("m") + 0.02).alias("high")), R.lookup_table(spark), "m")
+    """Replacements for one span of each peptide: two residues at a place that its number draws, as a mutation does."""
+    codes = P.codes(F.col("peptide"))
+    two = F.slice(codes, (F.col("psm") * 7919 % (F.size(codes) - 1) + 1).cast("int"), 2)
+    chosen = psms(spark, d).where(F.size(codes) >= 2).select("psm", P.spell(F.array_sort(two)).alias("own"), P.total(P.residue_masses(P.spell(two))).alias("m"))
+    found = R.mass_range_join(chosen.select("psm", "own", (F.col("m") - 0.02).alias("low"), (F.col("m") + 0.02).alias("high")), R.lookup_table(spark))
     return rounded(found.select("psm", "own", "candidate", "mass"), "mass")
 
 
@@ -398,6 +399,25 @@ def evolution_search(spark, d):
     return evolve.run(initial, R.lookup_table(spark), score, bins)
 
 
+_SPLITS = """cells AS (
+    SELECT l_linenumber AS node, feature, bin, -sum(l_extendedprice / 1e5) AS g, count(*)::DOUBLE AS h
+    FROM (SELECT l_linenumber, l_extendedprice, unnest([0, 1, 2]) AS feature, unnest([CAST(l_quantity AS INTEGER), CAST(round(l_discount * 100) AS INTEGER), CAST(round(l_tax * 100) AS INTEGER)]) AS bin FROM lineitem)
+    GROUP BY ALL),
+run AS (SELECT node, feature, bin, sum(g) OVER c AS gl, sum(h) OVER c AS hl, sum(g) OVER p AS g, sum(h) OVER p AS h FROM cells
+    WINDOW p AS (PARTITION BY node, feature), c AS (PARTITION BY node, feature ORDER BY bin)),
+gains AS (SELECT *, round(0.5 * (gl * gl / hl + (g - gl) * (g - gl) / nullif(h - hl, 0) - g * g / h), 7) AS gain FROM run WHERE h >= 100 AND hl >= 80 AND h - hl >= 80)"""
+
+
+@query(f"WITH {_SPLITS} SELECT node, feature, bin, round(gain, 4) AS gain, hl, h FROM gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) = 1")
+def tree_split(spark, d):
+    """The best split of each node of a forest's level, here a line number, over three features in bins."""
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.round(c).cast("int").alias("bin")) for k, c in enumerate((F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100)))))
+    rows = table(spark, d, "lineitem").select(F.lit(0).alias("tree"), F.col("l_linenumber").alias("node"), (F.col("l_extendedprice") / 1e5).alias("y"), cells.alias("c"))
+    sums = rows.groupBy("tree", "node", "c.feature", "c.bin").agg((-F.sum("y")).alias("g"), F.count("*").cast("double").alias("h"))
+    best = trees.best_splits(sums, trees.Growth(least_split=100, least_leaf=80, boosted=False)).where("gain IS NOT NULL")
+    return best.select("node", "feature", "bin", F.round("gain", 4).alias("gain"), "hl", "h")
+
+
 @query()
 def scorer_train(spark, d):
     counted = R.counting_features(features.matched_slots(spectra(spark, d), ["psm"], VIEW_PPM), ["psm"])

@@ -16,9 +16,10 @@ def valid(n_residues: Column, charge: Column, style: str = "mgf") -> Column:
 
 
 def flag(psms: DataFrame, style: str = "mgf") -> DataFrame:
-    """Add ``peptide_norm, seq_len, is_valid`` in one pass; nothing is filtered."""
+    """Add ``peptide_norm, seq_len, is_valid`` in one pass; nothing is filtered. A spectrum with a peak that could not be read is not valid."""
     norm = P.normalize(F.col("peptide"), style)
     ints = P.codes(F.col("peptide_norm"))
     made = psms.withColumn("peptide_norm", norm).withColumn("seq_len", F.when(ints.isNotNull(), F.size(ints)))
-    known = F.col("precursor_mz").isNotNull() & F.col("mzs").isNotNull() & F.col("ints").isNotNull()
+    whole = lambda c: F.coalesce(F.forall(c, lambda x: x.isNotNull()), F.lit(False))
+    known = F.col("precursor_mz").isNotNull() & whole("mzs") & whole("ints")
     return made.withColumn("is_valid", valid(F.col("seq_len"), F.col("charge"), style) & known)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,10 @@ from ionweave.functions.spectrum import prediction_floor
 
 
 def parse_mgf(blocks: DataFrame) -> DataFrame:
-    """Spectra from text blocks that end before ``END IONS`` (column ``value``)."""
+    """Spectra from text blocks that end before ``END IONS`` (column ``value``).
+
+    A peak that is not two numbers becomes null, and its spectrum is not valid then.
+    """
     text = F.regexp_replace("value", r"\r", "")
     field = lambda key: F.nullif(F.regexp_extract(text, rf"(?m)^{key}=(.*?)\s*$", 1), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*[0-9.]+([eE][-+]?\d+)?\s+[0-9.]"))
@@ -22,8 +29,8 @@ def parse_mgf(blocks: DataFrame) -> DataFrame:
         F.split(field("PEPMASS"), r"\s+")[0].try_cast("double").alias("precursor_mz"),
         field("SEQ").alias("peptide"),
         field("SCORE").try_cast("double").alias("original_score"),
-        F.transform(pairs, lambda p: p[0].cast("double")).alias("mzs"),
-        F.transform(pairs, lambda p: p[1].cast("double")).alias("ints"),
+        F.transform(pairs, lambda p: p[0].try_cast("double")).alias("mzs"),
+        F.transform(pairs, lambda p: p[1].try_cast("double")).alias("ints"),
     )
 
 
@@ -105,6 +112,25 @@ def table_predictions(predictions: DataFrame, energy: float | None = None):
     return add
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the one that driver and executors share, ``spark.checkpoint.dir``; it goes when the driver ends.
+
+    Only where that is unset, in a local session, one is made under the temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    folder = f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return folder
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder, by any path that Spark can read."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

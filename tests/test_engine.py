@@ -7,6 +7,7 @@ from ionweave.functions import peptide as P
 from ionweave.functions import spectrum as S
 from ionweave.operators import evolve, features, graph, model, relational
 from ionweave.plans.api import Engine
+from ionweave.plans.rescoring import flag
 from ionweave.sources import files
 
 MGF = """BEGIN IONS
@@ -375,7 +376,7 @@ def test_training(spark, tmp_path):
     table = engine.feature_table(str(tmp_path / "t.csv"), "d", str(tmp_path / "f"), **columns)
     assert table.columns == [*K.FEATURES, "target"] and table.count() == 120
     assert engine.feature_table("not read again", "d", str(tmp_path / "f"), **columns).count() == 120
-    engine.scorer = model.Scorer.train(table, K.FEATURES, "target", kind="boosted", trees=2, depth=2)
+    engine.scorer = model.Scorer.train(table, K.FEATURES, "target", kind="boosted", count=2, depth=2)
     assert 0 <= engine.evaluate_scorer(table).first().mse < 5
 
 
@@ -422,3 +423,67 @@ def test_matched_slots(spark):
     want = sorted((r.scan, r.slot, round(r.tmz, 6), r.tint, r.emz, r.eint) for r in relational.nearest_peaks(slots, peaks, [], 5000.0).collect())
     got = sorted((r.scan, r.slot, round(r.tmz, 6), r.tint, r.emz, r.eint) for r in features.matched_slots(psms, ["scan"], 5000.0).collect())
     assert got == want and len({r[0] for r in got}) == 3 and any(r[5] for r in got)
+
+
+def test_band_join_of_a_large_scan(spark):
+    """50,000 peaks and 6,000 slots in one scan: only pairs in reach of each other meet, and each slot gets its nearest."""
+    rng = np.random.default_rng(1)
+    mz, ints = np.round(rng.uniform(100, 2000, 50_000), 3), rng.random(50_000)
+    tmz = np.concatenate([np.round(rng.uniform(90, 2100, 5_994), 3), mz[:3], [0.0, -1.0, np.nan]])
+    peaks = spark.createDataFrame([(7, k, float(m), float(i)) for k, (m, i) in enumerate(zip(mz, ints))] + [(8, 0, 500.0, 1.0), (7, 50_001, 0.0, 1.0), (7, 50_002, None, 1.0), (None, 1, 500.0, 1.0)], "scan int, pos int, mz double, intensity double").repartition(8)
+    slots = spark.createDataFrame([(7, k, float(t), 1.0) for k, t in enumerate(tmz)] + [(None, 1, 500.0, 1.0), (8, 2, 500.0, 0.5), (8, 2, 500.0, 0.5)], "scan int, slot int, tmz double, tint double").repartition(8)
+    met = relational.band_join(slots, peaks, 50.0)
+    assert met.count() < 40 * len(tmz)
+    asked, held = relational.log_slices(slots, peaks, 50.0)
+    assert asked.groupBy("scan", "slot").count().agg(F.max("count")).first()[0] <= 4 and held.count() == 50_002  # slot 2 of scan 8 is there twice
+    got = {(r.scan, r.slot): (r.emz, r.eint) for r in relational.nearest_peaks(slots, peaks, [], 50.0).collect()}
+    want_mz, want_int = features.match(tmz, mz, ints, 50.0)
+    assert all(got[7, k] == (want_mz[k], want_int[k]) for k in range(len(tmz))) and (want_mz > 0).sum() > 4_000
+    assert got[None, 1] == (0.0, 0.0) and got[8, 2] == (500.0, 1.0)
+    assert relational.nearest_peaks(slots, peaks, [], 50.0).where("scan = 8").count() == 2
+    with pytest.raises(ValueError):
+        relational.nearest_peaks(slots, peaks, [], 1e6)
+
+
+def test_scores_that_are_null(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, "b", None), (1, "c", 2.0), (1, "d", 2.0), (2, "e", None), (2, "f", None), (None, "g", -1.0)], "scan int, peptide string, score double")
+    got = sorted((r.scan or 0, r.peptide, r.score) for r in relational.best_by(rows, "scan", "score", "peptide").collect())
+    assert got == [(0, "g", -1.0), (1, "c", 2.0), (2, "e", None)]
+
+
+def test_malformed_spectra(spark, tmp_path):
+    """A number that is none makes its spectrum not valid; the others are read."""
+    good = "BEGIN IONS\nSCANS=1\nPEPMASS=589.3\nCHARGE=2+\nSEQ=GFVIDDGIITK\n147.1 5.0\nEND IONS\n"
+    (tmp_path / "x.mgf").write_text(good + good.replace("SCANS=1", "SCANS=2").replace("147.1 5.0", "1.2.3 7\n200 1,5") + good.replace("SCANS=1", "SCANS=3"))
+    read = files.read_mgf(spark, str(tmp_path / "x.mgf"))
+    assert {r.scan: r.is_valid for r in flag(read).collect()} == {"1": True, "2": False, "3": True}
+    df = spark.createDataFrame([("[1.0, x]",), ("[]",), (None,), ("[1.5,2]",)], "s string")
+    assert [r.v for r in df.select(P.float_list(F.col("s")).alias("v")).collect()] == [[1.0, None], [], None, [1.5, 2.0]]
+
+
+def test_unknown_residues_have_no_slots(spark):
+    from ionweave.functions.register import register
+
+    register(spark)
+    assert spark.sql("SELECT * FROM fragments('PEBTIDE', 2)").count() == 0 == spark.sql("SELECT * FROM fragments(NULL, 2)").count()
+    rows = spark.createDataFrame([("PEBTIDE", 2), ("AGK", 1)], "peptide string, charge int")
+    assert P.ladder_rows(rows, ["peptide"]).count() == 4 and len(features.slots_of("PEBTIDE", 2)[0]) == 0
+    want = sorted((r.slot, round(r.mz, 6)) for r in P.ladder_rows(rows, ["peptide"]).collect())
+    assert sorted((r.slot, round(r.mz, 6)) for r in spark.sql("SELECT * FROM fragments('AGK', 1)").collect()) == want
+
+
+def test_scans_of_any_kind(spark):
+    nodes = spark.createDataFrame([(s, b, 0.5) for s in ("F1:7", None) for b in (19, 76, 147, 300)], "scan string, bin int, p double")
+    steps = list(K.residue_bins())
+    paths = graph.longest_paths(nodes, steps).collect()
+    assert {r.scan for r in paths} == {"F1:7", None} and len({r.peptide for r in paths}) == 1
+    assert {r.scan for r in graph.walks(nodes, steps).collect()} <= {"F1:7", None}
+
+
+def test_names_that_clash(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,seq,z,m,i,p,Score,index\nx,GFVIDDGIITK,2,"[147.1]","[1.0]",589.3,9,8\n')
+    names = {"peptide": "seq", "charge": "z", "mzs": "m", "ints": "i", "precursor_mz": "p", "scan": "id"}
+    done = Engine(spark, scorer=LengthScorer()).rescoring_from_csv(str(tmp_path / "a.csv"), str(tmp_path / "out"), **names)
+    assert done.columns[-2:] == ["index", "new_score"]
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.columns == ["new_index", "id", "seq", "z", "m", "i", "p", "Score", "index", "new_score"] and back.first()["index"] == "8"
