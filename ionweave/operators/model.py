@@ -315,13 +315,16 @@ def class_weights(rows: DataFrame) -> dict[str, float]:
     return {k: sums["n"] * K.MAX_BIN / sums[k] if sums[k] else 1.0 for k in ("y", "b")}
 
 
-def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: int = 30, steps: int = 10, rate: float = 4e-5, patience: int = 2, save: str | None = None, seed: int = 13, **options) -> Network:
+def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: int = 30, steps: int = 10, rate: float = 4e-5, patience: int = 2, save: str | None = None, seed: int = 13, normalise: bool = False, dropout: float = 0.0, **options) -> Network:
     """The network with the least loss on ``valid`` while it learns from ``rows`` (both with INPUTS, ``y_true, b_true``).
 
     An epoch goes through the rows in ``steps`` parts, chosen by a hash of the row and the
     epoch. Every task adds up the gradients of its spectra; they are summed by weight, and the
     driver, which holds the weights alone, makes one Adam step. The rate falls to a tenth when
     ``patience`` epochs have brought nothing; the best weights are saved as they are found.
+
+    With ``normalise`` layers are normalised by the statistics of each part (``normalised``), and the
+    network that is returned has the running ones folded in; ``dropout`` works with it only.
     """
     session = rows.sparkSession
     weight = np.array([list(class_weights(rows).values())], np.float32)[:, :, None]
@@ -357,22 +360,43 @@ def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: i
         return float(loss), int(n), got
 
     work = Network({k: v.astype(np.float32).copy() for k, v in network.weights.items()}, network.widths, network.layers)
+    if dropout and not normalise:
+        raise ValueError("dropout needs normalise")
+    held = None
+    if normalise:
+        from ionweave.operators.normalised import Batch, State
+
+        held = State.of(work)
+        work = held.network()
+
+    def inputs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        truth = [batch.column(c).to_pylist() for c in ("y_true", "b_true")]
+        return _inputs(batch, range(len(batch)), **options), np.array([[targets(t[i]) for t in truth] for i in range(len(batch))])
+
     best, least, waited, step = work, np.inf, 0, 0
     moment, second = ({k: np.zeros(v.shape) for k, v in work.weights.items()} for _ in range(2))
     for epoch in range(epochs):
         for k in range(steps):
             part = rows.where(F.pmod(F.xxhash64("mzs", "ints", "precursor_mz", F.lit(seed), F.lit(epoch)), F.lit(steps)) == k)
-            _, n, found = gather(part, work, True)
+            if held:
+                numbered = part.select(*INPUTS, "y_true", "b_true", F.shiftrightunsigned(F.xxhash64(*INPUTS), 24).alias("row"))
+                whole = Batch(numbered, inputs, held, weight, dropout, (seed, epoch, k), BATCH)
+                _, n, found = whole.gradients()
+            else:
+                _, n, found = gather(part, work, True)
             if not n:
                 continue
             step += 1
             new = {}
-            for name, w in work.weights.items():
+            for name, w in (held or work).weights.items():
                 g = found[name].reshape(w.shape) / (n * 2 * K.MAX_BIN)
                 moment[name] += 0.1 * (g - moment[name])
                 second[name] += 0.001 * (g * g - second[name])
                 new[name] = (w - rate * (moment[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            work = Network(new, work.widths, work.layers)
+            if held:
+                held.weights = {k: v.astype(np.float64) for k, v in new.items()}
+                held.learn(whole.found)
+            work = held.network() if held else Network(new, work.widths, work.layers)
         loss, n, _ = gather(valid, work, False)
         if n and loss / n < least:
             best, least, waited = work, loss / n, 0

@@ -487,3 +487,80 @@ def test_names_that_clash(spark, tmp_path):
     assert done.columns[-2:] == ["index", "new_score"]
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.columns == ["new_index", "id", "seq", "z", "m", "i", "p", "Score", "index", "new_score"] and back.first()["index"] == "8"
+
+
+def normalised_loss(state, x, y, weight, mask):
+    """The loss of a whole batch at once, layer by layer."""
+    net = model.Network(state.weights, state.widths, state.layers)
+
+    def layer(name, k, h):
+        a = np.maximum(net._sums(name, h) * mask(k), 0)
+        unit = (a - a.mean(axis=(0, 2))[:, None]) / np.sqrt(a.var(axis=(0, 2)) + 1e-5)[:, None]
+        return unit * state.weights[f"{name}.scale"][:, None] + state.weights[f"{name}.shift"][:, None]
+
+    h = layer("start", 0, x)
+    for k in range(state.layers):
+        h = h + layer(f"mid{k}", k + 1, h)
+    return model.focal(net._mixed(x, net._sums("end", h))[2], y, weight)[0]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_normalised_gradients(spark, dropout):
+    """Any number of partitions gives the gradients of the whole batch, which are those of small steps."""
+    from ionweave.operators import normalised
+
+    rng, weight = np.random.default_rng(2), np.array([[[3.0], [2.0]]])
+    x, y = rng.normal(size=(5, 4, 60)), (rng.random((5, 2, 60)) < 0.2).astype(float)
+    state = normalised.State.of(small_network(3))
+    rows = spark.createDataFrame([(k, x[k].ravel().tolist(), y[k].ravel().tolist()) for k in range(5)], "row long, vx array<double>, vy array<double>")
+
+    def inputs(batch):
+        take = lambda c, n: np.array(batch.column(c).to_pylist(), float).reshape(batch.num_rows, n, 60)
+        return take("vx", 4), take("vy", 2)
+
+    got = []
+    for parts in (1, 3):
+        batch = normalised.Batch(rows.repartition(parts, "row"), inputs, state, weight, dropout, (1, 2), 2)
+        got.append((*batch.gradients(), batch.found))
+    (loss, n, found, stats), (loss3, n3, found3, _) = got
+    assert n == n3 == 5 and loss == pytest.approx(loss3, rel=1e-6) and set(found) == set(found3) == set(state.weights)
+    assert all(np.allclose(found[k], found3[k], rtol=1e-3, atol=1e-5) for k in found)
+    own = normalised.Pass(state, stats, dropout, (1, 2))
+    mask = lambda k: own.mask(np.arange(5), k, (len(state.weights[f"{state.names[k]}.scale"]), 60))
+    assert loss == pytest.approx(normalised_loss(state, x, y, weight, mask), rel=1e-5)
+    for name in state.weights:
+        w = state.weights[name]
+        for at in list(np.ndindex(w.shape))[:: max(1, w.size // 3)]:
+            both = []
+            for step in (1e-5, -1e-5):
+                w[at] += step
+                both.append(normalised_loss(state, x, y, weight, mask))
+                w[at] -= step
+            assert found[name][at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=2e-2, abs=2e-3), name
+
+
+def test_running_statistics(spark):
+    from ionweave.operators import normalised
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(3, 2, (4, 3, 50)), rng.normal(-1, 1, (2, 3, 50))
+    n, mean, squares = normalised.merged(normalised.part(a), normalised.part(b))
+    both = np.concatenate([a, b])
+    assert n == 300 and np.allclose(mean, both.mean(axis=(0, 2))) and np.allclose(squares / n, both.var(axis=(0, 2)))
+    state = normalised.State.of(small_network(3))
+    width = len(state.weights["start.scale"])
+    state.running = {k: (np.full(width, 2.0), np.full(width, 4.0)) for k in state.names}
+    sums = rng.normal(size=(1, width, 30))
+    want = (np.maximum(sums, 0) - 2) / np.sqrt(4 + 1e-5) * state.weights["start.scale"][:, None] + state.weights["start.shift"][:, None]
+    assert np.allclose(state.network()._layer("start", sums), want, atol=1e-5)
+
+
+def test_normalised_training(spark):
+    engine, names = Engine(spark), ["GFVIDDGIITK", "YVGDSYDSSAK", "AGAGAGK", "MFPEK"]
+    rows = spectra(spark, [(str(i), p) for i, p in enumerate(names)]).withColumn("peptide_true", F.reverse("peptide"))
+    start = model.Network.random(width=2, convs=1)
+    net = engine.train_bin_reclassifier(rows, rows, network=start, epochs=2, steps=1, rate=3e-3, normalise=True, dropout=0.1)
+    assert set(net.weights) == set(start.weights) and not np.allclose(net.weights["start.scale"], start.weights["start.scale"])
+    assert all(np.isfinite(v).all() for v in net.weights.values())
+    with pytest.raises(ValueError):
+        engine.train_bin_reclassifier(rows, rows, network=start, epochs=1, dropout=0.1)
