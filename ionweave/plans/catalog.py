@@ -29,6 +29,11 @@ def query(oracle: str | None = None):
     return add
 
 
+def draw_sql(*parts: str) -> str:
+    """A number from 0 up to 1 of ``graph.drawn``."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Sums may differ in their last digits; ``+ 0.0`` makes -0 to 0."""
     return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})
@@ -261,10 +266,21 @@ def longest_path(spark, d):
     return rounded(graph.longest_paths(weighted.groupBy("scan", "bin").agg(F.max("p").alias("p")), _STEPS, source=None), "score")
 
 
-@query()
+_CHOICES = ", ".join(f"({step}, {k}, {len(names)}, '{r}')" for step, names in K.residue_bins().items() for k, r in enumerate(names))
+_WALKS = _PATHS[: _PATHS.index("paths AS")] + f"""choices(step, k, many, residue) AS (VALUES {_CHOICES}),
+ways AS (SELECT scan, u, v, w, coalesce(sum(w) OVER (PARTITION BY scan, u ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+ sum(w) OVER (PARTITION BY scan, u ORDER BY v) AS upto, sum(w) OVER (PARTITION BY scan, u) AS total FROM links),
+walks AS (SELECT scan, CAST(path AS INTEGER) AS path, source AS bin, 0 AS step, '' AS peptide, 0::DOUBLE AS score FROM ends, range(5) r(path)
+ UNION ALL SELECT w.scan, w.path, l.v, w.step + 1, c.residue || w.peptide, w.score + l.w
+ FROM walks w JOIN ways l ON l.scan = w.scan AND l.u = w.bin JOIN choices c ON c.step = l.v - l.u
+ WHERE {draw_sql("w.scan", "w.path", "w.step", "'walk'")} * total >= below AND {draw_sql("w.scan", "w.path", "w.step", "'walk'")} * total < upto
+  AND c.k = CAST(floor({draw_sql("w.scan", "w.path", "w.step", "'residue'")} * c.many) AS INTEGER))"""
+
+
+@query(sql("SELECT scan, path, peptide, round(score, 6) AS score FROM walks JOIN ends USING (scan) WHERE bin = target", _WALKS))
 def graph_walk(spark, d):
     weighted = peaks(spark, d).select("scan", S.bin_of(F.col("mz")).alias("bin"), (F.col("intensity") / 100).alias("p"))
-    return graph.walks(weighted.groupBy("scan", "bin").agg(F.max("p").alias("p")), _STEPS, paths=5, source=None)
+    return rounded(graph.walks(weighted.groupBy("scan", "bin").agg(F.max("p").alias("p")), _STEPS, paths=5, source=None), "score")
 
 
 def _scores(spark, d):
@@ -356,7 +372,46 @@ def random_subset(spark, d):
     return evolve.random_subset(psms(spark, d), "psm", 200)
 
 
-@query()
+def _mutant_sql(size: int = 64, ppm: float = 20.0, precursor: float = 1500.0) -> str:
+    """The mutants of every peptide, one after the other: ``made(scan, number, peptide)``; a draw's key is scan, peptide, number and purpose."""
+    at = lambda *of: draw_sql("scan", "peptide", "number", *of)
+    order = lambda n, *of: f"list_transform(list_sort(list_transform(range({n}), lambda i: {{'u': {at(*of, 'i')}, 'i': i}})), lambda x: x.i)"
+    names = ", ".join(f"'{r}'" for r in K.RESIDUES)
+    return f"""base AS MATERIALIZED (SELECT CAST(psm AS VARCHAR) AS scan, peptide, list(residue ORDER BY i) AS t, list(mass ORDER BY i) AS m, list(code ORDER BY i) AS c, CAST(count(*) AS INTEGER) AS len
+ FROM toks JOIN residues USING (residue) JOIN (SELECT psm, peptide FROM psms) USING (psm) GROUP BY ALL),
+names AS (SELECT residue AS r, mass AS m, code AS c FROM residues WHERE residue <> 'L'),
+lookup AS (SELECT r AS candidate, [r] AS parts, c AS last, m AS mass FROM names
+ UNION ALL SELECT candidate || r, list_append(parts, r), c, mass + m FROM lookup JOIN names ON c >= last AND mass + m <= {2 * max(K.RESIDUES.values()) + 0.1!r}),
+spots AS (SELECT scan, peptide, number, t, m, c, len, {at("'kind'")} <= 0.4::DOUBLE AS swapped FROM base, range({size}) r(number)),
+tries AS MATERIALIZED (SELECT *, [{names}][least(c[place + 1], c[place + many])] || CASE WHEN many = 2 THEN [{names}][greatest(c[place + 1], c[place + 2])] ELSE '' END AS own,
+  CASE WHEN many = 2 THEN 0::DOUBLE + m[place + 1] + m[place + 2] ELSE m[place + 1] END AS weight
+ FROM (SELECT *, CAST(least(wanted, len - 1 - place) AS INTEGER) AS many FROM (SELECT *,
+   1 + CAST(floor({at("a", "'many'")} * (greatest(2, least(3, len - 1)) - 1)) AS INTEGER) AS wanted,
+   CAST(floor({at("a", "'place'")} * (len - 1)) AS INTEGER) AS place, {at("a", "'pick'")} AS pick FROM spots, range(5) q(a) WHERE NOT swapped AND len > 1))),
+sliced AS MATERIALIZED (SELECT candidate, parts, mass, CAST(floor(mass * 10) AS INTEGER) AS slice FROM lookup),
+steps AS (SELECT scan, CAST(-1 AS BIGINT) AS number, (-{precursor!r}::DOUBLE * {ppm!r}::DOUBLE) * 1e-6::DOUBLE AS lo, ({precursor!r}::DOUBLE * {ppm!r}::DOUBLE) * 1e-6::DOUBLE AS hi,
+  NULL::BIGINT AS a, NULL::INTEGER AS place, NULL::INTEGER AS many, NULL::VARCHAR[] AS parts FROM base
+ UNION ALL SELECT scan, number, lo - coalesce(off, 0), hi - coalesce(off, 0), a, place, many, parts FROM (
+  SELECT *, row_number() OVER (PARTITION BY scan ORDER BY a NULLS LAST, abs(spot - floor(pick * found))) AS first FROM (
+   SELECT x.scan, x.number, x.lo, x.hi, CASE WHEN k.candidate IS NULL THEN NULL ELSE x.a END AS a, x.place, x.many, x.pick, k.parts, k.mass - x.weight AS off,
+    row_number() OVER (PARTITION BY x.scan, x.a ORDER BY k.mass NULLS LAST, k.candidate) - 1 AS spot, count(k.candidate) OVER (PARTITION BY x.scan, x.a) AS found
+   FROM (SELECT p.scan, p.number + 1 AS number, p.lo, p.hi, y.a, y.place, y.many, y.pick, y.weight, y.own,
+      unnest(CASE WHEN floor((y.weight + p.lo) * 10) = floor((y.weight + p.hi) * 10) THEN [CAST(floor((y.weight + p.lo) * 10) AS INTEGER)]
+       ELSE [CAST(floor((y.weight + p.lo) * 10) AS INTEGER), CAST(floor((y.weight + p.hi) * 10) AS INTEGER)] END) AS slice
+     FROM steps p LEFT JOIN tries y ON y.scan = p.scan AND y.number = p.number + 1 WHERE p.number < {size - 1}) x
+   LEFT JOIN sliced k ON k.slice = x.slice AND k.mass >= x.weight + x.lo AND k.mass <= x.weight + x.hi AND k.candidate <> x.own)
+ ) WHERE first = 1),
+dealt AS (SELECT s.scan, s.peptide, number, s.t, s.len, s.a, s.place, s.many, list_transform({order("len(parts)", "a", "'mix'")}, lambda i: parts[i + 1]) AS mixed,
+  1 + CAST(floor({at("a", "'groups'")} * least(many, len(parts))) AS INTEGER) AS n, {order("len(parts) - 1", "a", "'cut'")}[1] + 1 AS cut, {order("2", "a", "'places'")}[1] AS front,
+  CAST(floor({at("'swap'")} * (len - 2)) AS INTEGER) AS i
+ FROM (SELECT s.scan, s.peptide, p.number, s.t, s.len, p.a, p.place, p.many, p.parts FROM steps p JOIN base s ON s.scan = p.scan WHERE p.number >= 0) s),
+made AS (SELECT scan, CASE WHEN len(new) >= 30 THEN peptide ELSE array_to_string(new, '') END AS peptide FROM (SELECT *, CASE
+  WHEN a IS NOT NULL THEN list_concat(t[:place], CASE WHEN n = 2 AND front = 1 THEN list_concat(mixed[cut + 1:], mixed[:cut]) ELSE mixed END, t[place + many + 1:])
+  WHEN len < 3 THEN t ELSE list_concat(t[:i], [t[i + 2], t[i + 1]], t[i + 3:]) END AS new FROM dealt)
+ UNION ALL SELECT scan, peptide FROM base)"""
+
+
+@query(sql("SELECT scan, peptide, count(*) AS n FROM made GROUP BY scan, peptide", _mutant_sql()))
 def mutation_population(spark, d):
     p = psms(spark, d).select(F.col("psm").cast("string").alias("scan"), "peptide", F.lit(1500.0).alias("precursor"))
     return evolve.initial_population(p, R.lookup_table(spark), size=64)

@@ -146,7 +146,7 @@ def test_graph_path_and_fallback():
     path, score = graph.best_path(kept, edges)
     assert path == [19, 76, 147] and score == pytest.approx(1.5) and graph.spell(path) == "AG"
     assert list(graph.transitions(bins, np.ones(4), steps)[0]) == [400]
-    assert all(w in ([19, 147], path) for w in graph.random_walks(kept, edges, 9, np.random.default_rng(0)))
+    assert all(w in ([19, 147], path) for w in graph.random_walks(kept, edges, 9, lambda walk, step: graph.drawn(walk, step)))
     assert K.residue_bins()[128] == ["K", "Q"] and K.residue_bins()[147] == ["F", "M[UNIMOD:35]"]
 
 
@@ -157,18 +157,20 @@ def test_mutants_keep_the_mass(spark):
     total = lambda p: sum(K.RESIDUES[t] for t in evolve.TOKEN.findall(p))
     budget = 1176.6 * 20e-6
     for k in range(50):
-        rng = np.random.default_rng(k)
-        new, left = m.mutate(peptide, (-budget, budget), rng)
+        new, left = m.mutate(peptide, (-budget, budget), graph.Draws(k))
         assert abs(total(new) - total(peptide)) <= budget + 1e-9 and new[-1] == "K"
         assert left[1] - left[0] == pytest.approx(2 * budget) and left[0] == pytest.approx(-budget - (total(new) - total(peptide)), abs=1e-9)
         # handed on, the budget bounds what all mutants together have added
-        many = m.mutants(peptide, 1176.6, 30, np.random.default_rng(k))
+        many = m.mutants(peptide, 1176.6, 30, k)
         assert abs(sum(total(x) - total(peptide) for x in many)) <= budget + 1e-9
-    assert {tuple(map(tuple, m.deal(list("AB"), 2, np.random.default_rng(k)))) for k in range(60)} == {
+    assert {tuple(map(tuple, m.deal(list("AB"), 2, graph.Draws(k)))) for k in range(60)} == {
         (("A",), ("B",)), (("B",), ("A",)), (("A", "B"), ()), (("B", "A"), ()), ((), ("A", "B")), ((), ("B", "A")),
     }
+    for k in range(40):  # nothing outside the two places is replaced
+        new, _ = m.substitute(evolve.TOKEN.findall(peptide), (-0.05, 0.05), graph.Draws(k), 2, 5)
+        assert "".join(new).startswith("GF") and "".join(new).endswith("GIITK") or sorted("".join(new)) == sorted(peptide)
     whole = evolve.Mutator(["A"], [71.0], permute=1.0, everything=True)
-    assert len({whole.mutate("ACDEK".replace("C", "C[UNIMOD:4]"), (0, 0), np.random.default_rng(k))[0] for k in range(40)}) > 20
+    assert len({whole.mutate("ACDEK".replace("C", "C[UNIMOD:4]"), (0, 0), graph.Draws(k))[0] for k in range(40)}) > 20
 
 
 def test_lookup_table(spark):
