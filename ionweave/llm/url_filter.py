@@ -3,7 +3,8 @@
 Listed URLs are compared in canonical form. A blocked Bloom filter of them has a 256-bit block
 for each few of them, up to a bound, so that it can be broadcast whatever the length of the
 list: one hash picks the block, another sets eight bits in it, two in each 64-bit word. Pages that the filter
-passes, and only those, go to an exact hash join with the list, which removes false positives.
+passes, and only those, go to an exact hash join with the list, which removes false positives: both
+are shuffled by URL, the list is the side that is hashed, and hot URLs of pages are split at run time.
 Everything is a DataFrame expression.
 """
 
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionweave.llm.common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -86,6 +89,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, n_blocks: int | None
     table of either kind is fine. ``n_blocks`` is the filter's size; else the list is counted.
     """
     known = listed.where(F.col("url").contains("://")).select(canonical(F.col("url")).alias("url")).distinct()
+    known = cut(known)  # it is counted, makes the filter and is joined
     n_blocks = n_blocks or block_count(known)
     seen = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "url")
     fit = rule_of(F.col("host"), F.col("path"), rules)
@@ -108,7 +112,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, n_blocks: int | None
     hit = F.col("listed_url").isNotNull()
     doubtful = (
         tried.where("possible")
-        .join(exact.hint("merge"), F.col("asked") == F.col("listed_url"), "left")
+        .join(exact.hint("shuffle_hash"), F.col("asked") == F.col("listed_url"), "left")
         .select(*columns, F.when(hit, "block").otherwise("allow").alias("verdict"), hit.alias("listed"))
     )
     return clear.unionByName(doubtful)

@@ -117,6 +117,8 @@ def test_url_filter(spark):
         ("a.example.net", "/en/x", "example.net/en/", "allow"), ("x.net", "", None, "allow"), ("www.example.com", "/de/", "example.com/de/", "block"), ("m.org", "/fr/1", "org/fr/", "allow"),
         ("spam.example.com", "/p/", None, "block"), ("", "", None, "allow"), ("", "", None, "allow"), ("spam.example.com", "/other", None, "allow"), ("spam.example.com", "/p/", None, "block"), ("b:", "//c/d", None, "allow"),
     ]
+    plan = url_filter.judge(pages, listed)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert rows(url_filter.judge(pages.limit(0), listed)) == [] and url_filter.judge(pages, listed.limit(0)).count() == len(urls)
 
 
