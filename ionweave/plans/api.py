@@ -33,11 +33,17 @@ class Settings:
     transform: str | None = None
     precursor_range: bool = False
     differences: bool = False
+    #: Whether the score that a PSM came with is one more feature.
+    original_score: bool = False
 
     @classmethod
     def of(cls, values: dict):
         return cls(**{f.name: values[f.name] for f in fields(cls) if f.name in values})
 
+    @property
+    def features(self) -> list[str]:
+        return [*K.FEATURES, *["original_score"] * self.original_score]
+
     @property
     def channels(self) -> dict:
         return {"transform": self.transform, "precursor_range": self.precursor_range, "differences": self.differences}
@@ -155,7 +161,7 @@ class Engine:
         one = first.groupBy("scan").agg(F.min_by(F.struct(*first.columns), F.struct("peptide", "precursor_mz", "mzs")).alias("r")).select("r.*")
         base = flag(one, style).drop("peptide").withColumnRenamed("peptide_norm", "peptide").checkpoint()
         initial = base.select("scan", "peptide", P.precursor_mass(F.col("precursor_mz"), F.col("charge")).alias("precursor"), "score")
-        spectra = base.select("scan", "charge", "precursor_mz", "mzs", "ints")
+        spectra = base.select("scan", "charge", "precursor_mz", "mzs", "ints", *["original_score"] * s.original_score)
 
         def prepared(wanted: DataFrame) -> DataFrame:
             return self.predict(wanted.join(spectra, "scan"))
@@ -199,7 +205,7 @@ class Engine:
         if out and files.exists(self.spark, out):
             return files.read_features(self.spark, out)
         psms = require_rows(files.read_csv(self.spark, path, more=(target,), **columns))
-        made = self.features(self.prepared(psms, "csv")).select(*(F.col(f"`{f}`") for f in K.FEATURES), F.col(target).cast("double").alias("target"))
+        made = self.features(self.prepared(psms, "csv")).select(*(F.col(f"`{f}`") for f in self.settings.features), F.col(target).cast("double").alias("target"))
         if not out:
             return made
         files.write_parquet(made, out)
@@ -210,11 +216,11 @@ class Engine:
         places = [f"{features_out}/{k}" if features_out else None for k in range(len(paths))]
         return self.train_scorer_from_features([self.feature_table(p, target, o, **columns) for p, o in zip(paths, places, strict=True)], kind)
 
-    def train_scorer_from_features(self, tables: list[DataFrame], kind: str = "forest") -> model.Scorer:
+    def train_scorer_from_features(self, tables: list[DataFrame], kind: str = "forest", **options) -> model.Scorer:
         made = tables[0]
         for more in tables[1:]:
             made = made.unionByName(more)
-        self.scorer = model.Scorer.train(made, K.FEATURES, "target", kind)
+        self.scorer = model.Scorer.train(made, self.settings.features, "target", kind, **options)
         return self.scorer
 
     def evaluate_scorer(self, features_: DataFrame) -> DataFrame:

@@ -566,3 +566,36 @@ def test_normalised_training(spark):
     assert all(np.isfinite(v).all() for v in net.weights.values())
     with pytest.raises(ValueError):
         engine.train_bin_reclassifier(rows, rows, network=start, epochs=1, dropout=0.1)
+
+
+def test_table_functions_in_sql(spark):
+    """LATERAL joins give the rows of the operators."""
+    from ionweave.functions.register import register
+
+    register(spark)
+    rows = [(1, "GFVIDDGIITK", 2, [147.1128, 165.0], [1.0, 2.0]), (2, "PEBTIDE", 2, [100.0], [1.0]), (3, None, 2, None, None), (4, "AGK", 1, [147.1128], [3.0])]
+    psms = spark.createDataFrame(rows, "scan int, peptide string, charge int, mzs array<double>, ints array<double>")
+    psms.createOrReplaceTempView("some_psms")
+    got = spark.sql("SELECT scan, n.slot, round(n.tmz, 6), n.emz, n.eint FROM some_psms, LATERAL nearest_peaks(peptide, charge, mzs, ints, 5000D) n")
+    want = features.matched_slots(psms.withColumn("tints", F.array_repeat(F.lit(1.0), K.SLOTS)), ["scan"], 5000.0).selectExpr("scan", "slot", "round(tmz, 6)", "emz", "eint")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and {r.scan for r in got.collect()} == {1, 4}
+    nodes = spark.createDataFrame([("F1:7", b, 0.5) for b in (19, 76, 90, 147, 300)] + [("x", 5, 1.0)], "scan string, bin int, p double")
+    nodes.createOrReplaceTempView("some_nodes")
+    walked = spark.sql("SELECT scan, w.* FROM (SELECT scan, collect_list(bin) AS bins, collect_list(p) AS p FROM some_nodes GROUP BY scan) s, LATERAL graph_walks(s.scan, s.bins, s.p, 5) w")
+    same = graph.walks(nodes, list(K.residue_bins()), 5, None)
+    assert sorted((r.scan, r.path, r.peptide, round(r.score, 9)) for r in walked.collect()) == sorted((r.scan, r.path, r.peptide, round(r.score, 9)) for r in same.collect())
+
+
+def test_original_score_is_a_feature(spark, tmp_path):
+    from ionweave.plans.api import Settings
+
+    lines = ["seq,z,m,i,p,s,d"] + [f'AGAG{"G" * (i % 3)}K,2,"[147.1, {200 + i}.5]","[1.0, 2.0]",589.3,{i % 7}.5,{i % 7}' for i in range(60)]
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    columns = {"peptide": "seq", "charge": "z", "mzs": "m", "ints": "i", "precursor_mz": "p", "score": "s"}
+    engine = Engine(spark, settings=Settings(original_score=True))
+    table = engine.feature_table(str(tmp_path / "t.csv"), "d", str(tmp_path / "f"), **columns)
+    assert table.columns == [*K.FEATURES, "original_score", "target"]
+    engine.train_scorer_from_features([table], "boosted", count=4, depth=3)
+    assert engine.scorer.ensemble.names[-1] == "original_score"
+    done = engine.rescoring_from_csv(str(tmp_path / "t.csv"), **columns)
+    assert done.count() == 60 and done.where("score > '-Infinity'").count() == 60
