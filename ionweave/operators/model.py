@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ionweave import constants as K
+from ionweave.functions.spectrum import bin_count
 from ionweave.operators import trees
 
 
@@ -49,7 +50,7 @@ class Scorer:
 
 
 def binned(mz: np.ndarray, weight: np.ndarray, n: int = K.MAX_BIN, drop_last: bool = True) -> np.ndarray:
-    """Summed weights by bin of 1 m/z; the highest occupied bin is left out if ``drop_last``."""
+    """Summed weights by bin (``mz`` in widths of a bin); the highest occupied bin is left out if ``drop_last``."""
     keep = mz >= 0
     at = np.minimum(mz[keep].astype(np.int64), n + 1)
     sums = np.bincount(at, weight[keep], minlength=1)
@@ -65,15 +66,18 @@ def scaled_log(x: np.ndarray, eps: float = 0.05) -> np.ndarray:
 TRANSFORMS = {None: lambda x: x, "sqrt": np.sqrt, "log": scaled_log}
 
 
-def channels(y_bins, b_bins, mz, intensities, mzs, ints, precursor_mz, transform: str | None = None, precursor_range: bool = False, differences: bool = False) -> np.ndarray:
+def channels(y_bins, b_bins, mz, intensities, mzs, ints, precursor_mz, more_bins=(), transform: str | None = None, precursor_range: bool = False, differences: bool = False, resolution: float = 1.0) -> np.ndarray:
     """The network's input, (channels, bins): occupied y and b bins, predicted and measured intensities.
 
+    ``more_bins`` are the occupied bins of ions of further charges, a channel each, after those of y and b.
     Predicted intensities are summed by bin as they are; measured ones without peaks at the
     precursor's m/z and relative to the highest. ``precursor_range`` adds a channel that is 1
     from the first to the last occupied bin, ``differences`` two of how the intensities differ.
     """
-    profiles = np.zeros((2, K.MAX_BIN))
-    for row, bins in zip(profiles, (y_bins, b_bins), strict=True):
+    occupied = (y_bins, b_bins, *(more_bins or ()))
+    n = bin_count(resolution)
+    profiles = np.zeros((len(occupied), n))
+    for row, bins in zip(profiles, occupied, strict=True):
         row[np.asarray(bins, int)] = 1
     mz, intensities, mzs, ints = (np.asarray(x if x is not None else [], float) for x in (mz, intensities, mzs, ints))
     possible = (mz > -1) & (intensities > -1)
@@ -81,11 +85,11 @@ def channels(y_bins, b_bins, mz, intensities, mzs, ints, precursor_mz, transform
     mzs, ints = mzs[far], ints[far]
     top = ints.max(initial=0.0)
     shape = TRANSFORMS[transform]
-    theory, measured = shape(binned(mz[possible], intensities[possible])), shape(binned(mzs, ints / (top or 1.0)))
+    theory, measured = shape(binned(mz[possible] / resolution, intensities[possible], n)), shape(binned(mzs / resolution, ints / (top or 1.0), n))
     out = [*profiles]
     if precursor_range:
         at = np.flatnonzero(profiles.any(axis=0))
-        out.append(((np.arange(K.MAX_BIN) >= at[0]) & (np.arange(K.MAX_BIN) <= at[-1])).astype(float) if len(at) else np.zeros(K.MAX_BIN))
+        out.append(((np.arange(n) >= at[0]) & (np.arange(n) <= at[-1])).astype(float) if len(at) else np.zeros(n))
     if differences:
         away = np.abs(theory - measured)
         out += [away, away / ((theory + measured) / 2 + 1e-5)]
@@ -128,9 +132,9 @@ class Network:
     layers: int
 
     @classmethod
-    def random(cls, channels: int = 4, width: int = 24, convs: int = 14, seed: int = 0):
+    def random(cls, channels: int = 4, width: int = 24, convs: int = 14, seed: int = 0, resolution: float = 1.0):
         rng = np.random.default_rng(seed)
-        widths = tuple(K.residue_bins())
+        widths = tuple(K.residue_bins(resolution))
         w = {}
         for name, (i, o) in {"start": (channels, width), **{f"mid{k}": (width, width) for k in range(convs)}, "end": (width, 2)}.items():
             for g in widths:
@@ -177,7 +181,7 @@ class Network:
             h = h + self._layer(f"mid{k}", self._sums(f"mid{k}", h))
         return self._mixed(x, self._sums("end", h))[2]
 
-    def gradients(self, x: np.ndarray, truth: np.ndarray, weight: np.ndarray, gamma: float = 2.0) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, x: np.ndarray, truth: np.ndarray, weight: np.ndarray, gamma: float | None = 2.0) -> tuple[float, dict[str, np.ndarray]]:
         """The summed focal loss of a batch and its gradient by every weight."""
         w, out = self.weights, {}
         inputs, sums = [x], [self._sums("start", x)]
@@ -213,11 +217,16 @@ class Network:
         return total
 
 
-def focal(logits: np.ndarray, truth: np.ndarray, weight: np.ndarray | float = 1.0, gamma: float = 2.0) -> tuple[float, np.ndarray]:
-    """The sum of (1 - pt) ** gamma times the weighted cross-entropy, and its gradient by the logits."""
+def focal(logits: np.ndarray, truth: np.ndarray, weight: np.ndarray | float = 1.0, gamma: float | None = 2.0) -> tuple[float, np.ndarray]:
+    """The sum of (1 - pt) ** gamma times the weighted cross-entropy, and its gradient by the logits.
+
+    Without a gamma the plain cross-entropy, in which occupied cells alone are weighted.
+    """
     p = 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
     pt = np.clip(np.where(truth > 0, p, 1 - p), 1e-12, 1)
     scale = np.broadcast_to(weight, logits.shape) * np.ones_like(logits)
+    if gamma is None:
+        scale, gamma = np.where(truth > 0, scale, 1.0), 0.0
     loss = (1 - pt) ** gamma * scale * -np.log(pt)
     by_pt = scale * (gamma * (1 - pt) ** max(gamma - 1, 0) * np.log(pt) - (1 - pt) ** gamma / pt)
     return float(loss.sum()), by_pt * np.where(truth > 0, 1, -1) * p * (1 - p)
@@ -250,8 +259,13 @@ def _with_columns(rows: DataFrame, new: str, make) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields]))
 
 
+def _names(columns: list[str]) -> list[str]:
+    """INPUTS, and the bins of further charges where there are any."""
+    return [*INPUTS, *(c for c in ("more_bins",) if c in columns)]
+
+
 def _inputs(batch: pa.RecordBatch, at: list[int], **options) -> np.ndarray:
-    columns = [batch.column(c).to_pylist() for c in INPUTS]
+    columns = [batch.column(c).to_pylist() for c in _names(batch.schema.names)]
     return np.array([channels(*(c[i] for c in columns), **options) for i in at], np.float32)
 
 
@@ -294,7 +308,7 @@ def reclassify_with_truth(rows: DataFrame, network: Network, **options) -> DataF
                 for i, own, p in zip(at, x[:, :2], 1 / (1 + np.exp(-shared.value.forward(x))), strict=True):
                     row = []
                     for k in (0, 1):
-                        target = targets(truth[k][i])
+                        target = targets(truth[k][i], x.shape[2])
                         row += [p[k], own[k], target, np.where(own[k] > 0, 1 - p[k], p[k]), (own[k] != target).astype(np.float32)]
                     yield row
 
@@ -303,19 +317,19 @@ def reclassify_with_truth(rows: DataFrame, network: Network, **options) -> DataF
     return _with_columns(rows, ", ".join(f"{n} array<float>" for n in names), make)
 
 
-def targets(bins) -> np.ndarray:
-    out = np.zeros(K.MAX_BIN, np.float32)
+def targets(bins, n: int = K.MAX_BIN) -> np.ndarray:
+    out = np.zeros(n, np.float32)
     out[np.asarray(bins, int)] = 1
     return out
 
 
-def class_weights(rows: DataFrame) -> dict[str, float]:
+def class_weights(rows: DataFrame, bins: int = K.MAX_BIN) -> dict[str, float]:
     """Cells over occupied cells of each true channel (``y_true, b_true``), which weigh the loss; one pass, two numbers."""
     sums = rows.agg(F.count("*").alias("n"), F.sum(F.size("y_true")).alias("y"), F.sum(F.size("b_true")).alias("b")).first()
-    return {k: sums["n"] * K.MAX_BIN / sums[k] if sums[k] else 1.0 for k in ("y", "b")}
+    return {k: sums["n"] * bins / sums[k] if sums[k] else 1.0 for k in ("y", "b")}
 
 
-def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: int = 30, steps: int = 10, rate: float = 4e-5, patience: int = 2, save: str | None = None, seed: int = 13, normalise: bool = False, dropout: float = 0.0, **options) -> Network:
+def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: int = 30, steps: int = 10, rate: float = 4e-5, patience: int = 2, save: str | None = None, seed: int = 13, normalise: bool = False, dropout: float = 0.0, gamma: float | None = 2.0, **options) -> Network:
     """The network with the least loss on ``valid`` while it learns from ``rows`` (both with INPUTS, ``y_true, b_true``).
 
     An epoch goes through the rows in ``steps`` parts, chosen by a hash of the row and the
@@ -325,9 +339,10 @@ def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: i
 
     With ``normalise`` layers are normalised by the statistics of each part (``normalised``), and the
     network that is returned has the running ones folded in; ``dropout`` works with it only.
+    The loss is the focal one with ``gamma``, or, if that is None, the weighted cross-entropy (see ``focal``).
     """
-    session = rows.sparkSession
-    weight = np.array([list(class_weights(rows).values())], np.float32)[:, :, None]
+    session, bins = rows.sparkSession, bin_count(options.get("resolution", 1.0))
+    weight = np.array([list(class_weights(rows, bins).values())], np.float32)[:, :, None]
 
     def gather(part: DataFrame, net: Network, learn: bool) -> tuple[float, int, dict]:
         shared = session.sparkContext.broadcast(net)
@@ -338,12 +353,12 @@ def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: i
                 truth = [batch.column(c).to_pylist() for c in ("y_true", "b_true")]
                 for a in range(0, len(batch), BATCH):
                     at = list(range(a, min(a + BATCH, len(batch))))
-                    x, y = _inputs(batch, at, **options), np.array([[targets(t[i]) for t in truth] for i in at])
+                    x, y = _inputs(batch, at, **options), np.array([[targets(t[i], bins) for t in truth] for i in at])
                     if learn:
-                        more, found = shared.value.gradients(x, y, weight)
+                        more, found = shared.value.gradients(x, y, weight, gamma)
                         sums = {k: sums.get(k, 0) + v for k, v in found.items()}
                     else:
-                        more = focal(shared.value.forward(x), y, weight)[0]
+                        more = focal(shared.value.forward(x), y, weight, gamma)[0]
                     loss, n = loss + more, n + len(at)
             sums[""] = np.array([loss, n])
             arrays = [pa.array(list(sums)), pa.array([np.asarray(v, np.float64).tobytes() for v in sums.values()], pa.binary())]
@@ -353,7 +368,7 @@ def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: i
             total = sum(np.frombuffer(v, np.float64) for v in table.column("sums").to_pylist())
             return pa.table({"name": [key[0].as_py()], "sums": pa.array([total.tobytes()], pa.binary())})
 
-        parts = part.select(*INPUTS, "y_true", "b_true").mapInArrow(run, "name string, sums binary")
+        parts = part.select(*_names(part.columns), "y_true", "b_true").mapInArrow(run, "name string, sums binary")
         got = {r.name: np.frombuffer(r.sums, np.float64) for r in parts.groupBy("name").applyInArrow(add, "name string, sums binary").collect()}
         shared.unpersist()
         loss, n = got.pop("", np.zeros(2))
@@ -371,7 +386,7 @@ def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: i
 
     def inputs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         truth = [batch.column(c).to_pylist() for c in ("y_true", "b_true")]
-        return _inputs(batch, range(len(batch)), **options), np.array([[targets(t[i]) for t in truth] for i in range(len(batch))])
+        return _inputs(batch, range(len(batch)), **options), np.array([[targets(t[i], bins) for t in truth] for i in range(len(batch))])
 
     best, least, waited, step = work, np.inf, 0, 0
     moment, second = ({k: np.zeros(v.shape) for k, v in work.weights.items()} for _ in range(2))
@@ -379,8 +394,8 @@ def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: i
         for k in range(steps):
             part = rows.where(F.pmod(F.xxhash64("mzs", "ints", "precursor_mz", F.lit(seed), F.lit(epoch)), F.lit(steps)) == k)
             if held:
-                numbered = part.select(*INPUTS, "y_true", "b_true", F.shiftrightunsigned(F.xxhash64(*INPUTS), 24).alias("row"))
-                whole = Batch(numbered, inputs, held, weight, dropout, (seed, epoch, k), BATCH)
+                numbered = part.select(*_names(part.columns), "y_true", "b_true", F.shiftrightunsigned(F.xxhash64(*INPUTS), 24).alias("row"))
+                whole = Batch(numbered, inputs, held, weight, dropout, (seed, epoch, k), BATCH, gamma)
                 _, n, found = whole.gradients()
             else:
                 _, n, found = gather(part, work, True)
@@ -389,7 +404,7 @@ def train_network(rows: DataFrame, valid: DataFrame, network: Network, epochs: i
             step += 1
             new = {}
             for name, w in (held or work).weights.items():
-                g = found[name].reshape(w.shape) / (n * 2 * K.MAX_BIN)
+                g = found[name].reshape(w.shape) / (n * 2 * bins)
                 moment[name] += 0.1 * (g - moment[name])
                 second[name] += 0.001 * (g * g - second[name])
                 new[name] = (w - rate * (moment[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)

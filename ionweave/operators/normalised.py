@@ -143,8 +143,8 @@ def _out(rows: list[dict], sums: dict) -> Iterator[pa.RecordBatch]:
 class Batch:
     """A batch's passes. ``start`` makes the rows' inputs: (batch, channels, bins) and what is true, (batch, 2, bins)."""
 
-    def __init__(self, rows: DataFrame, inputs: Callable, state: State, weight: np.ndarray, dropout: float, seed: tuple[int, ...], group: int = 8):
-        self.rows, self.inputs, self.state, self.weight, self.dropout, self.seed, self.group = rows, inputs, state, weight, dropout, seed, group
+    def __init__(self, rows: DataFrame, inputs: Callable, state: State, weight: np.ndarray, dropout: float, seed: tuple[int, ...], group: int = 8, gamma: float | None = 2.0):
+        self.rows, self.inputs, self.state, self.weight, self.dropout, self.seed, self.group, self.gamma = rows, inputs, state, weight, dropout, seed, group, gamma
         self.spark, self.held, self.found = rows.sparkSession, [], {}
 
     def _pass(self, df: DataFrame, work: Callable, first: bool = False) -> dict[str, np.ndarray]:
@@ -201,7 +201,7 @@ class Batch:
 
     def gradients(self) -> tuple[float, int, dict[str, np.ndarray]]:
         """The loss, the number of rows, and the gradients by every weight; ``found`` holds the statistics of each layer."""
-        state, weight, layers = self.state, self.weight, self.state.layers
+        state, weight, gamma, layers = self.state, self.weight, self.gamma, self.state.layers
         names = state.names
 
         def forward(layer: int) -> Callable:
@@ -216,7 +216,7 @@ class Batch:
         def head(own, add, number, x, truth, stack, d):
             h, out = own.hidden(number, stack), {}
             pairs, first, logits = own.net._mixed(x, own.net._sums("end", h))
-            loss, d = focal(logits, truth, weight)
+            loss, d = focal(logits, truth, weight, gamma)
             out["mix2.w"], out["mix2.b"] = np.einsum("bkn,bkin->ki", d, first), d.sum(axis=(0, 2))
             d1 = own.state.weights["mix2.w"][None, :, :, None] * d[:, :, None]
             out["mix1.w"], out["mix1.b"] = np.einsum("bkon,bkin->koi", d1, pairs), d1.sum(axis=(0, 3)).reshape(-1)

@@ -80,7 +80,7 @@ def counting_features(common: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ion_cases(pairs: DataFrame, key: str) -> DataFrame:
-    """``key, case, raw_obs, raw_pred, obs, pred`` for each slot of pairs of arrays (``observed, predicted``).
+    """``key, slot, case, raw_obs, raw_pred, obs, pred`` for each slot of pairs of arrays (``observed, predicted``).
 
     ``obs`` and ``pred`` are divided by their norms over all slots; only slots with a prediction stay.
     """
@@ -92,15 +92,19 @@ def ion_cases(pairs: DataFrame, key: str) -> DataFrame:
     made = pairs.withColumns({"uo": unit(F.col("observed")), "up": unit(F.col("predicted"))}).select(key, F.posexplode(zipped).alias("slot", "v"))
     low = F.col("slot") % 6 <= 2
     named = F.array_compact(F.array(F.lit("all"), F.when(~low, "b"), F.when(low, "y")))
-    return made.where("v.pred > 0").select(key, F.explode(named).alias("case"), "v.*")
+    return made.where("v.pred > 0").select(key, "slot", F.explode(named).alias("case"), "v.*")
 
 
-def spectral_angle(pairs: DataFrame, key: str) -> DataFrame:
-    """1 - 2 * acos(dot) / pi by ion type; norms are over all slots with a prediction."""
+def spectral_angle(pairs: DataFrame, key: str, charge: int = 0) -> DataFrame:
+    """1 - 2 * acos(dot) / pi by ion type; norms are over all slots with a prediction.
+
+    With a fragment ``charge`` (1 to 3) only its slots count in the products; 0 means all.
+    """
+    chosen = F.lit(True) if not charge else F.col("slot") % 3 == charge - 1
     sums = ion_cases(pairs, key).groupBy(key).agg(
         F.sum(F.when(F.col("case") == "all", F.col("raw_obs") ** 2)).alias("o2"),
         F.sum(F.when(F.col("case") == "all", F.col("raw_pred") ** 2)).alias("p2"),
-        *(F.sum(F.when(F.col("case") == c, F.col("raw_obs") * F.col("raw_pred")).otherwise(0.0)).alias(f"op_{c}") for c in ("all", "b", "y")),
+        *(F.sum(F.when(chosen & (F.col("case") == c), F.col("raw_obs") * F.col("raw_pred")).otherwise(0.0)).alias(f"op_{c}") for c in ("all", "b", "y")),
     )
     norm = F.sqrt("o2") * F.sqrt("p2")
     return sums.select(

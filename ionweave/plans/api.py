@@ -33,6 +33,9 @@ class Settings:
     transform: str | None = None
     precursor_range: bool = False
     differences: bool = False
+    #: Charges of the ions whose bins the network sees, and how wide a bin is.
+    charges: tuple[int, ...] = (1,)
+    resolution: float = 1.0
     #: Whether the score that a PSM came with is one more feature.
     original_score: bool = False
 
@@ -46,7 +49,7 @@ class Settings:
 
     @property
     def channels(self) -> dict:
-        return {"transform": self.transform, "precursor_range": self.precursor_range, "differences": self.differences}
+        return {"transform": self.transform, "precursor_range": self.precursor_range, "differences": self.differences, "resolution": self.resolution}
 
 
 class Engine:
@@ -75,11 +78,16 @@ class Engine:
         made = self.predict(rows.withColumn("peptide", kept))
         return made.withColumns({c: F.when(F.col("is_valid"), F.col(c)) for c in ("mz", "intensities")})
 
-    def profiles(self, prepared: DataFrame, peptide: str = "peptide", mz: str = "mz", names: tuple[str, str] = ("y_bins", "b_bins")) -> DataFrame:
-        """``prepared`` with the occupied bins of y and b ions."""
+    def profiles(self, prepared: DataFrame, peptide: str = "peptide", mz: str = "mz", names: tuple[str, str] = ("y_bins", "b_bins"), more: bool = True) -> DataFrame:
+        """``prepared`` with the occupied bins of y and b ions; with ``more``, those of further charges in ``more_bins``."""
         slots = F.filter(F.transform(mz, lambda m, i: F.struct(i.alias("slot"), m.alias("mz"))), lambda s: s["mz"] > 0)
         rows = prepared.withColumns({"_l": slots, "_m": P.mass(F.col(peptide))})
-        return rows.withColumns({n: S.occupied_bins(F.col("_l"), i, F.col("_m")) for n, i in zip(names, ("y", "b"), strict=True)}).drop("_l", "_m")
+        first, *others = self.settings.charges
+        bins = lambda ion, z: S.occupied_bins(F.col("_l"), ion, F.col("_m"), z, self.settings.resolution)
+        found = {n: bins(i, first) for n, i in zip(names, ("y", "b"), strict=True)}
+        if others and more:
+            found["more_bins"] = F.array(*(bins(i, z) for z in others for i in ("y", "b")))
+        return rows.withColumns(found).drop("_l", "_m")
 
     def bin_reclassification(self, prepared: DataFrame) -> DataFrame:
         """``prepared`` with the sparse bin probabilities of each row."""
@@ -93,7 +101,7 @@ class Engine:
         kept = [c for c in rows.columns if c not in ("peptide", "mz", "intensities")]
         own = F.struct("peptide", "mz", "intensities").alias("_own")
         turned = self.predict(rows.select(*kept, own, P.normalize(F.col("peptide_true"), style).alias("peptide")))
-        return self.profiles(turned, names=("y_true", "b_true")).drop("peptide", "mz", "intensities").select("*", "_own.*").drop("_own").where("mz IS NOT NULL")
+        return self.profiles(turned, names=("y_true", "b_true"), more=False).drop("peptide", "mz", "intensities").select("*", "_own.*").drop("_own").where("mz IS NOT NULL")
 
     def features(self, prepared: DataFrame) -> DataFrame:
         """``prepared`` with the feature columns; without a network the counts of changes are 0."""
@@ -156,6 +164,8 @@ class Engine:
         best peptides and the populations of every generation, ``lineage`` one for whose children they are.
         """
         s = self.settings
+        if s.resolution != 1 or s.charges[0] != 1:
+            raise ValueError("graphs have bins of 1 m/z of singly charged ions")
         rows = require_rows(psms.where("scan IS NOT NULL"))
         first = self.rescoring(rows, style).where("score > '-Infinity'")
         one = first.groupBy("scan").agg(F.min_by(F.struct(*first.columns), F.struct("peptide", "precursor_mz", "mzs")).alias("r")).select("r.*")
@@ -193,9 +203,12 @@ class Engine:
     def search_from_mgf(self, path: str, lookup: str | None = None, out: str | None = None, **folders) -> DataFrame:
         return self.search(files.read_mgf(self.spark, path), self._lookup(lookup), out=out, **folders)
 
-    def search_from_csv(self, path: str, lookup: str | None = None, out: str | None = None, snapshots: str | None = None, lineage: str | None = None, **columns) -> DataFrame:
-        """Large files need no chunks: the file is read and searched in partitions."""
-        return self.search(files.read_csv(self.spark, path, **columns), self._lookup(lookup), "search", out, snapshots, lineage)
+    def search_from_csv(self, path: str, lookup: str | None = None, out: str | None = None, snapshots: str | None = None, lineage: str | None = None, random_subset: int | None = None, **columns) -> DataFrame:
+        """Large files need no chunks: the file is read and searched in partitions. ``random_subset`` is how many of its rows to take."""
+        psms = files.read_csv(self.spark, path, **columns)
+        if random_subset is not None:
+            psms = evolve.random_subset(psms, "scan", random_subset)
+        return self.search(psms, self._lookup(lookup), "search", out, snapshots, lineage)
 
     def _lookup(self, path: str | None) -> DataFrame:
         return files.read_lookup(self.spark, path) if path else relational.lookup_table(self.spark)
@@ -216,6 +229,14 @@ class Engine:
         places = [f"{features_out}/{k}" if features_out else None for k in range(len(paths))]
         return self.train_scorer_from_features([self.feature_table(p, target, o, **columns) for p, o in zip(paths, places, strict=True)], kind)
 
+    def train_and_test_scorer(self, train: list[str], test: list[str], target: str, kind: str = "forest", **columns) -> tuple[model.Scorer, DataFrame]:
+        """A scorer that is fitted on the CSV files ``train``, and its ``path, r2, mse`` on each of ``test``."""
+        scorer, found = self.train_scorer(train, target, kind, **columns), None
+        for path in test:
+            own = self.evaluate_scorer(self.feature_table(path, target, **columns)).select(F.lit(path).alias("path"), "r2", "mse")
+            found = own if found is None else found.unionByName(own)
+        return scorer, found if found is not None else self.spark.createDataFrame([], "path string, r2 double, mse double")
+
     def train_scorer_from_features(self, tables: list[DataFrame], kind: str = "forest", **options) -> model.Scorer:
         made = tables[0]
         for more in tables[1:]:
@@ -230,8 +251,8 @@ class Engine:
 
     def train_bin_reclassifier(self, train: DataFrame, valid: DataFrame, style: str = "mgf", network: model.Network | None = None, **options) -> model.Network:
         """Fit the network on PSMs with a true peptide (``peptide_true``) and keep the best on ``valid``; see ``model.train_network``."""
-        extra = 2 * self.settings.differences + self.settings.precursor_range
-        start = network or self.network or model.Network.random(channels=4 + extra)
+        extra = 2 * self.settings.differences + self.settings.precursor_range + 2 * (len(self.settings.charges) - 1)
+        start = network or self.network or model.Network.random(channels=4 + extra, resolution=self.settings.resolution)
         made = [self.with_truth(x, style).checkpoint() for x in (train, valid)]
         self.network = model.train_network(*made, start, **options, **self.settings.channels)
         return self.network

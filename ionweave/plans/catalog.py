@@ -12,6 +12,7 @@ from ionweave.operators import evolve, features, graph, model, trees
 from ionweave.operators import relational as R
 from ionweave.plans.rescoring import valid
 from ionweave.plans.views import peaks, psms, slots, spectra, sql, table, vector_pairs, word_peptides
+from ionweave.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -123,6 +124,21 @@ def occupancy_profile(spark, d):
     return p.select("psm", F.inline(F.concat(marked("b"), marked("y"))))
 
 
+_FINE = f"""ions AS (SELECT psm, CASE WHEN slot % 6 < 3 THEN 'y' ELSE 'b' END AS ion, CAST(slot % 3 + 1 AS INTEGER) AS charge, tmz AS mz FROM slots
+ UNION ALL SELECT psm, ion, z, mz / z FROM (SELECT psm, unnest(['b', 'b', 'y', 'y']) AS ion, unnest([1.0::DOUBLE, m - 17, 19.0::DOUBLE, m + 1]) AS mz FROM (SELECT DISTINCT psm, whole + {K.WATER!r} AS m FROM sums)), (VALUES (1), (2), (3)) c(z))"""
+
+
+@query(sql("SELECT DISTINCT psm, ion, charge, CAST(least(floor(mz / 0.5::DOUBLE), 4001) AS INTEGER) AS bin FROM ions WHERE floor(mz / 0.5::DOUBLE) > 0 AND floor(mz / 0.5::DOUBLE) < 4000", _FINE))
+def occupancy_fine(spark, d):
+    """Profiles of three fragment charges in bins of half an m/z."""
+    p = psms(spark, d).withColumns({"l": P.ladder(F.col("peptide"), F.col("charge")), "m": P.mass(F.col("peptide"))}).where(F.size(P.tokens(F.col("peptide"))) > 0)
+
+    def marked(ion: str, z: int):
+        return F.transform(S.occupied_bins(F.col("l"), ion, F.col("m"), z, 0.5), lambda b: F.struct(F.lit(ion).alias("ion"), F.lit(z).alias("charge"), b.alias("bin")))
+
+    return p.select("psm", F.inline(F.concat(*(marked(i, z) for i in "by" for z in (1, 2, 3)))))
+
+
 _J1 = f"""common AS (SELECT scan, psm, slot, tmz, tint, coalesce(best.mz, 0) AS emz, coalesce(best.intensity, 0) AS eint FROM (
  SELECT s.scan, s.psm, s.slot, s.tmz, s.tint, min({{'away': abs(tmz - mz), 'pos': pos, 'mz': mz, 'intensity': intensity}}) FILTER (mz IS NOT NULL) AS best
  FROM slots s LEFT JOIN peaks p ON s.scan = p.scan AND 1e6 * abs(tmz - mz) <= {VIEW_PPM} * tmz GROUP BY ALL))"""
@@ -161,6 +177,18 @@ def counting_features(spark, d):
     return rounded(found, *(c for c in found.columns if c.startswith("rel")))
 
 
+def _angles(more: str = "") -> str:
+    one = lambda c: f"""round(1 - 2 * acos(least(coalesce(sum(raw_obs * raw_pred) FILTER ("case" = '{c}'{more}) / nullif(nn, 0), 0), 1)) / pi(), 6) AS sa_{c}"""
+    norms = """(SELECT vec_id, sqrt(sum(raw_obs ** 2)) * sqrt(sum(raw_pred ** 2)) AS nn FROM cases WHERE "case" = 'all' GROUP BY vec_id)"""
+    return f"SELECT vec_id, {', '.join(map(one, ('all', 'b', 'y')))} FROM cases JOIN {norms} USING (vec_id) GROUP BY vec_id, nn"
+
+
+@query(sql(_angles(" AND slot % 3 = 0")))
+def spectral_angle_charge(spark, d):
+    """Spectral angles over the slots of singly charged fragments."""
+    return rounded(R.spectral_angle(vector_pairs(spark, d), "vec_id", charge=1), "sa_all", "sa_b", "sa_y")
+
+
 @query(sql("""SELECT vec_id, round(1 - 2 * acos(least(coalesce(sum(raw_obs * raw_pred) FILTER ("case" = 'all') / nullif(nn, 0), 0), 1)) / pi(), 6) AS sa_all,
  round(1 - 2 * acos(least(coalesce(sum(raw_obs * raw_pred) FILTER ("case" = 'b') / nullif(nn, 0), 0), 1)) / pi(), 6) AS sa_b,
  round(1 - 2 * acos(least(coalesce(sum(raw_obs * raw_pred) FILTER ("case" = 'y') / nullif(nn, 0), 0), 1)) / pi(), 6) AS sa_y
@@ -200,6 +228,44 @@ def residual_stats(spark, d):
     return rounded(R.residual_stats(vector_pairs(spark, d), "vec_id"), *K.STATS)
 
 
+
+_TINT = "((slot * 37 + psm * 11) % 13)::DOUBLE / 13.0::DOUBLE"
+
+
+def _feature_sql() -> str:
+    """All features of each PSM of the view from its slots: similarities by case, raw and in logarithms, then counts."""
+    per_case = f"""SELECT psm, "case", {_corr('o', 'p')} AS pearson, {_corr('ra', 'rb')} AS spearman,
+ CASE WHEN is_log AND min(a) <= 0 THEN 0 ELSE round(coalesce(sum(ca * cb) / nullif(sqrt(sum(ca * ca)) * sqrt(sum(cb * cb)), 0), 0), 6) END AS cos,
+ round(avg(r), 6) AS mean, round(stddev_pop(r), 6) AS std, round(quantile_cont(r, 0.75), 6) AS q75, round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.25), 6) AS q25,
+ round(min(r), 6) AS min, round(max(r), 6) AS max, round(avg((x - y) ** 2), 6) AS mse, round(sum(x * y), 6) AS dot FROM ranked GROUP BY psm, "case", is_log"""
+    pivoted = ", ".join(f"""coalesce(max({s}) FILTER ("case" = '{c}'), 0) + 0.0::DOUBLE AS {s}_{c}""" for s in ("pearson", "cos", *K.STATS, "spearman") for c in K.CASES)
+    angle = lambda c: f"""round(1 - 2 * acos(least(coalesce(sum(o * p) FILTER ("case" = '{c}') / nullif(sqrt(sum(o * o) FILTER ("case" = 'all')) * sqrt(sum(p * p) FILTER ("case" = 'all')), 0), 0), 1)) / pi(), 6) + 0.0::DOUBLE AS sa_{c}"""
+    changes = ", ".join(f"count(*) FILTER (tint > {t}::DOUBLE)::DOUBLE AS p2p_gt_{int(100 * t)}" for t in K.CHANGE_THRESHOLDS)
+    more = f"""pred AS (SELECT scan, psm, slot, tmz, {_TINT} AS tint FROM slots),
+{_J1.replace("FROM slots s", "FROM pred s")},
+unit AS (SELECT *, eint / coalesce(nullif(sqrt(sum(eint ** 2) OVER (PARTITION BY psm)), 0), 1) AS a, tint / coalesce(nullif(sqrt(sum(tint ** 2) OVER (PARTITION BY psm)), 0), 1) AS b FROM common),
+shown AS (SELECT u.*, c.c AS ion FROM unit u JOIN (VALUES ('all'), ('b'), ('y')) c(c) ON tint > 0 AND (c.c = 'all' OR (c.c = 'b') = (slot % 6 > 2))),
+scaled AS (SELECT psm, ion AS "case", false AS is_log, eint AS o, tint AS p, a, a AS x, b AS y, a AS ca, b AS cb FROM shown UNION ALL
+ SELECT psm, ion || '_log', true, log2(eint + 1e-7), log2(tint + 1e-7), a, log2(a + 1e-7), log2(b + 1e-7), log2(nullif(a, 0)), log2(b) FROM shown),
+ranked AS (SELECT *, abs(x - avg(y) OVER (PARTITION BY psm, "case")) AS r,
+ rank() OVER (PARTITION BY psm, "case" ORDER BY x) + (count(*) OVER (PARTITION BY psm, "case", x) - 1) / 2.0::DOUBLE AS ra,
+ rank() OVER (PARTITION BY psm, "case" ORDER BY y) + (count(*) OVER (PARTITION BY psm, "case", y) - 1) / 2.0::DOUBLE AS rb FROM scaled),
+per_case AS ({per_case}), counts AS ({_counting_sql()}),
+wide AS (SELECT psm, {pivoted} FROM (SELECT DISTINCT psm FROM common) LEFT JOIN per_case USING (psm) GROUP BY psm),
+angles AS (SELECT psm, {', '.join(map(angle, K.CASES[:3]))} FROM (SELECT DISTINCT psm FROM common) LEFT JOIN scaled USING (psm) GROUP BY psm),
+changed AS (SELECT psm, {changes} FROM common GROUP BY psm)"""
+    return sql(f"SELECT psm, {', '.join(K.FEATURES)} FROM wide JOIN angles USING (psm) JOIN counts USING (psm) JOIN changed USING (psm)", more)
+
+
+@query(_feature_sql())
+def feature_vector(spark, d):
+    """All 114 features of each PSM, as rescoring makes them; its predicted intensities stand for probabilities of change too."""
+    given = F.transform("mz", lambda m, i: F.when(m > 0, (i * 37 + F.col("psm") * 11) % 13 / F.lit(13.0)).otherwise(-1.0))
+    rows = files.uniform_predictions(spectra(spark, d)).where(F.exists("mz", lambda m: m > 0)).withColumn("intensities", given)
+    made = features.features(rows.withColumn("y_changes", F.filter("intensities", lambda x: x >= 0)), VIEW_PPM)
+    return rounded(made.select("psm", *K.FEATURES), *K.FEATURES)
+
+
 _CHANGES = "changes AS (SELECT vec_id, slot, p, CASE WHEN slot % 2 = 1 THEN 1 - p ELSE p END AS c FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS slot, 1 / (1 + exp(-10 * unnest(embedding)::DOUBLE)) AS p FROM embeddings))"
 
 

@@ -83,11 +83,18 @@ def read_features(spark: SparkSession, *paths: str) -> DataFrame:
 
 def uniform_predictions(rows: DataFrame) -> DataFrame:
     """A stand-in for predicted spectra: ``rows`` (``peptide, charge``) with ladder ``mz`` and ``intensities`` of 1; 174 slots, -1 where there is none."""
+    z = F.least("charge", F.lit(3))
+
     def slots(ladder):
-        found = F.map_from_entries(ladder)
-        return F.transform(F.sequence(F.lit(0), F.lit(K.SLOTS - 1)), lambda i: F.coalesce(F.element_at(found, i), F.lit(-1.0)))
+        # a ladder has z slots for each ion of each cleavage, so a slot's place in it is known
+        def at(i):
+            place = F.floor(i / 3).cast("int") * z + i % 3
+            return F.coalesce(F.when(i % 3 < z, F.get(ladder, place)["mz"]), F.lit(-1.0))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(K.SLOTS - 1)), at)
 
-    made = rows.withColumn("mz", P.let(P.ladder(F.col("peptide"), F.col("charge")), slots))
+    known = F.forall(P.residue_masses(F.col("peptide")), lambda m: m.isNotNull())  # an unknown residue: no slots
+    made = rows.withColumn("mz", P.let(F.when(known, P.ladder(F.col("peptide"), F.col("charge"))), slots))
     return made.withColumn("intensities", F.transform("mz", lambda x: F.when(x > 0, 1.0).otherwise(-1.0)))
 
 

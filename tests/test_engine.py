@@ -599,3 +599,77 @@ def test_original_score_is_a_feature(spark, tmp_path):
     assert engine.scorer.ensemble.names[-1] == "original_score"
     done = engine.rescoring_from_csv(str(tmp_path / "t.csv"), **columns)
     assert done.count() == 60 and done.where("score > '-Infinity'").count() == 60
+
+
+def test_profiles_of_more_charges_in_finer_bins(spark):
+    """Ions of three charges in bins of half an m/z become channels; a network of that width runs and learns."""
+    from ionweave.plans.api import Settings
+
+    settings = Settings(charges=(1, 2), resolution=0.5)
+    engine = Engine(spark, settings=settings, network=model.Network.random(channels=6, width=2, convs=1, resolution=0.5))
+    rows = spectra(spark, [("1", "GFVIDDGIITK"), ("2", "AGK")])
+    got = engine.profiles(engine.prepared(rows, "mgf")).where("scan = '2'").first()
+    masses = np.array([71.037114, 57.021464, 128.094963])
+    y = masses[::-1].cumsum()[:2] + K.WATER
+    whole = masses.sum() + K.WATER
+    for z, found in ((1, got.y_bins), (2, got.more_bins[0])):
+        want = [19 / z, *((m + z * K.PROTON) / z for m in y), (whole + 1) / z]
+        assert found == sorted({int(m // 0.5) for m in want})
+    x = model.channels(got.y_bins, got.b_bins, got.mz, got.intensities, got.mzs, got.ints, 1.0, got.more_bins, resolution=0.5)
+    assert x.shape == (6, 4000) and np.flatnonzero(x[2]).tolist() == got.more_bins[0]
+    assert np.flatnonzero(model.channels([], [], [147.6], [1.0], [147.6, 900.0], [1.0, 1.0], 1.0, resolution=0.5)[-1]).tolist() == [295]
+    done = engine.bin_reclassification(engine.prepared(rows, "mgf")).collect()
+    assert {r.scan: r.y_mz_inputs for r in done}["2"] == got.y_bins
+    truth = rows.withColumn("peptide_true", F.reverse("peptide"))
+    net = engine.train_bin_reclassifier(truth, truth, epochs=1, steps=1, rate=1e-3)
+    assert not np.allclose(net.weights["mix2.w"], model.Network.random(channels=6, width=2, convs=1, resolution=0.5).weights["mix2.w"])
+    with pytest.raises(ValueError):
+        engine.search(rows, relational.lookup_table(spark))
+
+
+def test_uniform_predictions_fill_their_slots(spark):
+    rows = spark.createDataFrame([("GFVIDDGIITK", z) for z in (1, 2, 3, 5, None, 0)] + [("A", 2), (None, 2), ("A" * 40, 3), ("AXB", 2)], "peptide string, charge int")
+    for r in files.uniform_predictions(rows).collect():
+        slot, mz = features.slots_of(r.peptide, r.charge)
+        want = np.full(K.SLOTS, -1.0)
+        want[slot] = mz
+        assert np.allclose(r.mz, want) and r.intensities == [1.0 if m > 0 else -1.0 for m in want]
+
+
+def test_reachable_needs_no_worker(spark):
+    steps = list(K.residue_bins())
+    rng = np.random.default_rng(5)
+    held = {s: sorted(rng.choice(2000, n, replace=False).tolist()) for s, n in (("F1:7", 300), ("a", 40), (None, 60), ("one", 1))}
+    nodes = spark.createDataFrame([(s, b) for s, bins in held.items() for b in bins] + [("a", held["a"][-1]), ("a", None), ("none", None)], "scan string, bin int")
+    found = graph.reachable(nodes, steps)
+    assert "Pandas" not in found._jdf.queryExecution().toString() and found.dtypes == nodes.dtypes
+    want = {(s, int(b)) for s, bins in held.items() for b in np.array(bins)[graph.back_reachable(np.array(bins), steps)]}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert graph.reachable(nodes.limit(0), steps).count() == 0
+
+
+def test_weighted_cross_entropy():
+    """Without a gamma occupied cells alone are weighted, and the gradient is that of the loss."""
+    rng = np.random.default_rng(1)
+    logits, truth, weight = rng.normal(size=(2, 2, 5)), rng.integers(0, 2, (2, 2, 5)), np.array([[3.0], [7.0]])
+    p = 1 / (1 + np.exp(-logits))
+    want = -(weight * truth * np.log(p) + (1 - truth) * np.log(1 - p))
+    loss, d = model.focal(logits, truth, weight, None)
+    assert loss == pytest.approx(want.sum()) and np.allclose(d, np.where(truth > 0, weight * (p - 1), p))
+
+
+def test_subsets_and_test_files(spark, tmp_path):
+    from ionweave.plans.api import Settings
+
+    for name, n in (("train", 40), ("test", 12)):
+        lines = ["seq,z,m,i,p,d,scan"] + [f'AGAG{"G" * (i % 3)}K,2,"[147.1, {200 + i}.5]","[1.0, 2.0]",{230 + 28.51 * (i % 3)},{i % 7},s{i}' for i in range(n)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines))
+    columns = {"peptide": "seq", "charge": "z", "mzs": "m", "ints": "i", "precursor_mz": "p"}
+    engine = Engine(spark)
+    scorer, found = engine.train_and_test_scorer([str(tmp_path / "train.csv")], [str(tmp_path / "test.csv")], "d", **columns)
+    predicted = scorer.predict(engine.feature_table(str(tmp_path / "test.csv"), "d", **columns)).toPandas()
+    assert found.first().mse == pytest.approx(((predicted["target"] + predicted["score"]) ** 2).mean())
+    few = Engine(spark, scorer=LengthScorer(), network=model.Network.random(width=2, convs=1), settings=Settings(population=4, generations=1, least_score=-9.0, most_score=-5.0))
+    done = few.search_from_csv(str(tmp_path / "test.csv"), random_subset=3, scan="scan", **columns)
+    assert done.count() == 3
