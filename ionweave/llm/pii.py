@@ -72,24 +72,36 @@ _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]\w+").findall
 _LISTED = frozenset((*TITLES, *MALE, *FEMALE))
 _INNER = {name: re.compile(pattern) for name, pattern in PATTERNS}
 
-#: Scripts as (first, last) of letters without case, and pairs of alphabets with it.
-_CASED = ("abcdefghijklmnopqrstuvwxyz", "àâäáåãæçéèêëíìîïñóòôöõøúùûüýÿ", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя")
-_UNCASED = ((0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x905, 0x939), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+#: Alphabets whose letters are taken by preference: letters of one of them become letters of it.
+_COMMON = ("abcdefghijklmnopqrstuvwxyz", "àâäáåãæçéèêëíìîïñóòôöõøúùûüýÿ", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя")
 
 
 @lru_cache(4096)
 def alphabet(c: str) -> str:
-    """All characters that may stand for ``c``: its digits, or letters of its script and case."""
-    if c in "0123456789":
+    """All characters that may stand for ``c``: its digits, or letters of its script and case.
+
+    A letter outside the common alphabets stands for those of its Unicode block of 256 that have its
+    script, by the first word of their names, and its case. Their lower and upper forms are one letter each.
+    """
+    if c.isascii() and c.isdigit():
         return "0123456789"
+    kind = unicodedata.category(c)
+    if kind[0] != "L" and kind != "Nd":
+        return c
     low = c.lower()
-    for letters in _CASED:
+    for letters in _COMMON:
         if low in letters:
-            return letters if c == low else letters.upper() if len(letters.upper()) == len(letters) else c
-    for a, b in _UNCASED:
-        if a <= ord(c) <= b:
-            return "".join(x for x in map(chr, range(a, b + 1)) if unicodedata.category(x)[0] == "L")
-    return c
+            own = letters if c == low else letters.upper()
+            return own if c in own else c
+    return _block(c)
+
+
+def _block(c: str) -> str:
+    """The letters, or digits, of the same script, category and block as ``c``; ``c`` alone if there are no others."""
+    script = lambda x: unicodedata.name(x, "").partition(" ")[0]
+    first = ord(c) & ~0xFF
+    same = (x for x in map(chr, range(first, min(first + 0x100, 0x110000))) if unicodedata.category(x) == unicodedata.category(c))
+    return "".join(x for x in same if script(x) == script(c) and not any(x.lower() in letters for letters in _COMMON))
 
 
 class Permutation:
@@ -182,9 +194,20 @@ class Surrogates:
         """A name with vowels and consonants where the other has them; with ``last`` its last letter stays."""
         inner, end = (name[:-1], name[-1]) if last and len(name) > 2 else (name, "")
         x, n = _number(inner, sound)
+        if n < 2:  # no letter has another that may stand for it
+            return self.word(kind, name)
         shape = "".join(sound(c)[0] for c in inner)
         return _spell(self.permutation.apply(x, n, f"{kind}|{shape}|{end}".encode()), inner, sound) + end
 
+    def word(self, kind: str, text: str) -> str:
+        """A keyed word of ten letters, for what has no other value of its format."""
+        found = int.from_bytes(hmac.digest(self.permutation.key, f"word|{kind}|{text}".encode("utf-8", "surrogatepass"), "sha256"), "big")
+        out = ""
+        for letters in ("bcdfghjklmnprstvz", "aeiou") * 5:
+            found, k = divmod(found, len(letters))
+            out += letters[k]
+        return out.capitalize()
+
     def _of(self, kind: str, text: str) -> str:
         """The surrogate of an entity."""
         return getattr(self, f"_{kind}", lambda t: self.like(kind, t))(text)
@@ -323,7 +346,7 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def collisions(docs: DataFrame, key: bytes, of=Surrogates) -> DataFrame:
-    """Surrogates that stand for more than one entity, with two of them: no rows if all is well.
+    """Surrogates that stand for more than one entity, or for themselves, with two entities: no rows if all is well.
 
     Least and greatest are compared in place of sets, combined before the shuffle, so frequent
     entities cost no more.
@@ -341,7 +364,8 @@ def collisions(docs: DataFrame, key: bytes, of=Surrogates) -> DataFrame:
 
     found = by_batch(docs, ["text"], out, "type string, entity string, surrogate string", make)
     grouped = found.groupBy("type", "surrogate").agg(F.min("entity").alias("least"), F.max("entity").alias("greatest"))
-    return grouped.where("least <> greatest")
+    # an entity that stays as it is counts too, by itself
+    return grouped.where("least <> greatest OR least = surrogate")
 
 
 def replace_in(docs: DataFrame, key: bytes) -> DataFrame:

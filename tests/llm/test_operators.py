@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -680,3 +681,30 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()}
     assert 0 < len(out) < docs.count() and len(corpus_pipeline.STAGES) == 5
+
+
+def test_surrogates_in_every_script(spark):
+    """Letters outside the common alphabets have others of their script, case and block; nothing stays as it is."""
+    surrogates = pii.Surrogates(b"k")
+    for name in ("สมชาย ใจดี", "გიორგი ბერიძე", "Łukasz Żółć", "Ελένη Παπαδοπούλου", "Արամ Խաչատրյան", "Ёлкин Щёголев", "王小明", "İpek Şahin", "김민수"):
+        new = surrogates.of("person", name)
+        for old, made in zip(name.split(" "), new.split(" "), strict=True):
+            assert old != made and len(old) == len(made)
+        for a, b in zip(name, new, strict=True):
+            assert unicodedata.category(a) == unicodedata.category(b) and unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0]
+    for c in "ażŁέგกआ한ё9٣王ſK":  # alphabets are classes
+        assert all(pii.alphabet(x) == pii.alphabet(c) for x in pii.alphabet(c)) and c in pii.alphabet(c)
+    words = {surrogates.name_like("family", x, False) for x in ("ſſ", "ſ'ſ", "K-K")}
+    assert len(words) == 3 and words.isdisjoint({"ſſ", "ſ'ſ", "K-K"})
+    docs = spark.createDataFrame([(1, "Mr გიორგი ბერიძე and Frau Łukasz Żółć met Mr ſſ.")], "doc_id long, text string").repartition(1)
+    text = pii.replace(docs, pii.checked_key(docs, b"k")).first().text
+    assert not any(w in text for w in ("გიორგი", "ბერიძე", "Łukasz", "Żółć"))
+
+
+def test_entities_that_stay_are_seen(spark):
+    class Same(pii.Surrogates):
+        def _ip(self, text):
+            return text
+
+    docs = spark.createDataFrame([(1, "from 10.1.2.3 on")], "doc_id long, text string")
+    assert [r.type for r in pii.collisions(docs, b"k", Same).collect()] == ["ip"]
