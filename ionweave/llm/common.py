@@ -61,6 +61,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle and checkpoint files of finished steps.
+
+    It removes them when the driver's garbage is collected, which a driver with little to do puts off
+    while a long job fills the disks of all executors; call this where a step's files are no longer needed.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def fresh_folder(spark: SparkSession, kind: str) -> str:
     """A new folder under the shared folder, which is removed when the driver ends."""
     folder = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import blocks, by_batch, cut, row_of, small_batches, summed, texts_of, unused
+from ionweave.llm.common import blocks, by_batch, cut, release, row_of, small_batches, summed, texts_of, unused
 
 SEED = 42
 #: Features of a text whose bits are counted at a time.
@@ -124,19 +124,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until no edge changes. Each step is a grouped
     minimum, which is combined before the shuffle, and an equi-join; each round is cut by a
-    checkpoint. Only a count and a sum come to the driver.
+    checkpoint, and the files of the round before go. Only a count and a sum come to the driver.
     """
-    work, before = edges.select("a", "b").where("a <> b").distinct(), None
-    while True:
+    work, before = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
+    while True:  # a > b in every edge
         both = work.unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours of a node go to the smallest of its neighbours and itself
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()  # a > b
+        least = both.groupBy(F.col("a").alias("b")).agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = work.join(least, "b").select("a", F.col("m").alias("b"))
         # small star: smaller neighbours of a node, and it, go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         work = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        del both, least, large, low, small
+        release(work.sparkSession)
         now = work.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -452,14 +453,21 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = shared.select("h", F.explode(F.array("first", "previous")).alias("o")).where("h <> o").select(F.col("h").alias("a"), F.col("o").alias("b"))
     near = met.unionByName(fingerprint_pairs(found.select("h", "fp")))
     near = possible(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), found, similarity)
-    edges = similar(docs, near, similarity)
-    joined = components(edges).select(F.xxhash64("node").alias("h"), F.xxhash64("root").alias("c"))
+    release(docs.sparkSession)
+    rooted = cut(components(similar(docs, near, similarity)))
+    release(docs.sparkSession)
+    joined = rooted.select(F.xxhash64("node").alias("h"), F.xxhash64("root").alias("c"))
     folded = [F.col("bits")[k].bitwiseXOR(F.col("bits")[k + FOLDED]).alias(f"b{k}") for k in range(FOLDED)]
     own = found.select("h", *folded).join(joined, "h", "left").withColumn("c", F.coalesce("c", "h"))
     rest = pairs_between(shared.select("token", "h", "place").join(own, "h"), similarity).join(near, ["a", "b"], "left_anti")
-    edges = edges.unionByName(similar(docs, possible(rest, found, similarity), similarity))
-    rooted = components(edges).withColumnRenamed("node", "digest")
-    named = reps.select("digest", "doc_id").join(rooted, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    rest = possible(rest, found, similarity)
+    release(docs.sparkSession)
+    edges = similar(docs, rest, similarity)
+    for k in ("a", "b"):  # between the components so far
+        edges = edges.withColumnRenamed(k, "node").join(rooted, "node", "left").withColumn(k, F.coalesce("root", "node")).drop("node", "root")
+    more = components(edges).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    named = reps.select("digest", "doc_id").join(rooted.withColumnRenamed("node", "digest"), "digest", "left")
+    named = named.withColumn("root", F.coalesce("root", "digest")).join(more, "root", "left").withColumn("root", F.coalesce("last", "root"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("r"))
     joined = named.join(first, "root")
     return joined.select("digest", "doc_id", (F.col("digest") == F.col("r.digest")).alias("keep"))
