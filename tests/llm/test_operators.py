@@ -708,3 +708,42 @@ def test_entities_that_stay_are_seen(spark):
 
     docs = spark.createDataFrame([(1, "from 10.1.2.3 on")], "doc_id long, text string")
     assert [r.type for r in pii.collisions(docs, b"k", Same).collect()] == ["ip"]
+
+
+def paraphrase(rng, item: str, share: float, known: list[str]) -> str:
+    """An item with a share of the words before its last sentence replaced or dropped; a half of the words that are kept moves by a clause."""
+    *body, answer = [p for p in re.split(r"(?<=[.?!])\s+", item) if p]
+    words = " ".join(body).split()
+    kept = []
+    for w in words:
+        kind = rng.random()
+        if kind >= share:
+            kept.append(w)
+        elif kind >= share / 3:  # two thirds get another word, one third goes
+            kept.append(rng.choice(known))
+    if share >= 0.2 and len(kept) > 12:  # a clause of six words goes to the front
+        at = rng.randrange(len(kept) - 6)
+        kept = [*kept[at : at + 6], *kept[:at], *kept[at + 6 :]]
+    return " ".join([*kept, answer])
+
+
+def test_recall_of_paraphrases(spark):
+    """Planted paraphrases at three strengths among clean texts of the same words: recall of each, and no other leak."""
+    rng = random.Random(31)
+    known = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+    weights = [1 / (k + 3) for k in range(len(known))]
+    prose = lambda n: rng.choices(known, weights, k=n)
+    items = [(k, " ".join(prose(rng.randint(24, 50))) + ". " + " ".join(prose(6)) + ".") for k in range(40)]
+    docs, want = [], {}
+    for s, share in enumerate((0.1, 0.2, 0.3)):
+        for k, item in items:
+            docs.append((1000 * s + k, " ".join([*prose(60), paraphrase(rng, item, share, known), *prose(60)])))
+            want[1000 * s + k] = k
+    docs += [(5000 + j, " ".join(prose(300))) for j in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench).collect()}
+    right = {(d, k) for d, k in want.items()} & got
+    recall = [sum(1 for d, _ in right if d // 1000 == s) / len(items) for s in range(3)]
+    print("recall", recall, "others", len(got - right))
+    assert min(recall) >= 0.9 and got == right, (recall, sorted(got - right))
