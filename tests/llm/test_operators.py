@@ -747,3 +747,24 @@ def test_recall_of_paraphrases(spark):
     recall = [sum(1 for d, _ in right if d // 1000 == s) / len(items) for s in range(3)]
     print("recall", recall, "others", len(got - right))
     assert min(recall) >= 0.9 and got == right, (recall, sorted(got - right))
+
+
+def test_lm_score_and_leaks_as_registered(spark, tmp_path):
+    """op3 and op5 over tables in files, against brute force."""
+    rng = random.Random(41)
+    known = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(1500)]
+    prose = lambda n: [rng.choice(known) for _ in range(n)]
+    items = [(k, " ".join(prose(n))) for k, n in enumerate([18, 30, 44, 59, 90])]
+    docs = [(j, " ".join(prose(rng.randint(0, 120)))) for j in range(20)] + [(20, None), (21, ""), (22, items[0][1])]
+    docs += [(30 + k, " ".join([*prose(50), item, *prose(50)])) for k, item in items]
+    labels = [(i, int(i % 3 == 0)) for i, _ in docs]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.doc_id, r.item_id) for r in queries.op5_decontamination(spark, str(tmp_path)).collect()}
+    assert got == leaks_by_force(docs, items) == {(22, 0)} | {(30 + k, k) for k, _ in items}
+    want = brute_losses(docs, {i for i, good in labels if good})
+    found = {r.doc_id: (r.n_tokens, r.target_loss, r.background_loss) for r in queries.op3_lm_score(spark, str(tmp_path)).collect()}
+    assert set(found) == set(want)
+    for i, row in found.items():
+        assert row == pytest.approx(want[i], rel=1e-6), i
