@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of words in three lengths. Their TF-IDF vectors over hashed words are
-projected on the leading right singular vectors of a passage sample, found by a distributed
-randomised SVD; document frequencies are counted over all documents. Every window of every
+projected on the leading right singular vectors of the passages of all different texts and
+items, found by a distributed randomised SVD (Nyström's form); document frequencies are counted
+over all documents. Every window of every
 document is compared with the passages of items of about its length by cosine; an item that is
 longer than the longest window has several passages. Windows above a low threshold are
 candidates; the longest common subsequence of the whole item's words decides, together with
@@ -28,14 +29,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionweave.llm.common import alone, by_batch, cut, fresh_folder, points_of, row_of, summed, texts_of, word_hashes, word_points
+from ionweave.llm.common import alone, by_batch, cut, fresh_folder, points_of, release, row_of, small_batches, summed, texts_of, word_hashes, word_points
 
 FEATURES, RANK, OVERSAMPLE, POWER, SEED = 1 << 13, 96, 8, 1, 11
 #: Leading directions that are left out: they hold the words that all passages share.
 SKIP = 16
-#: Different texts and items, the first by a hash, whose passages the projection is fitted on.
-SAMPLE_DOCS, SAMPLE_ITEMS = 1500, 5000
 WINDOWS = (16, 32, 64)
+#: Words of a passage that the projection is fitted on, passages of a row, and about how many a task takes.
+PASSAGE, ROW_PASSAGES, TASK_PASSAGES = WINDOWS[1], 4096, 1 << 18
 #: Cosine of a candidate; share of an item's words in order that is a leak, or that is one if
 #: the answer's share is found as well.
 CANDIDATE, LEAK, LOOSE, ANSWER = 0.6, 0.8, 0.5, 0.8
@@ -55,25 +56,6 @@ def features(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(40)).astype(np.int64) % FEATURES
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many of all documents each feature occurs, and how many documents there are."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(FEATURES + 1, np.int64)
-        for batch in batches:
-            for words in hashed(texts_of(batch)):
-                sums[np.unique(features(words))] += 1
-                sums[FEATURES] += 1
-        for chunk in range(0, FEATURES + 1, CHUNK):
-            yield row_of(chunk, sums[chunk : chunk + CHUNK])
-
-    rows = summed(docs.select("text").mapInArrow(gather, "chunk int, sums binary"), "int64", FEATURES // CHUNK).collect()
-    found = np.zeros(FEATURES + 1, np.int64)
-    for r in rows:
-        found[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.sums, np.int64)
-    return found[:FEATURES], int(found[FEATURES])
-
-
 def _neighbours(parts: list[np.ndarray]) -> np.ndarray:
     """The sum of arrays of rows, of which later ones may be a row shorter than the first."""
     out = parts[0].copy()
@@ -106,49 +88,145 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
 
-def projection(sample: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """(FEATURES, RANK): right singular vectors of the sample's TF-IDF passages after the first SKIP, times idf.
+def cut_up(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows of PASSAGE words of texts with so many words; a text's last row is filled up with FEATURES."""
+    rows = -(-sizes // PASSAGE)
+    out = np.full(int(rows.sum()) * PASSAGE, FEATURES, np.uint16)
+    gaps = rows * PASSAGE - sizes  # after each text
+    out[np.arange(len(ids)) + np.repeat(np.cumsum(gaps) - gaps, sizes)] = ids
+    return out.reshape(-1, PASSAGE)
+
+
+def norms_of(ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The lengths of the passages' vectors, which have a feature's count times its weight."""
+    ranked = np.sort(ids, axis=1)
+    first = np.ones(ranked.shape, bool)
+    first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    begins = np.flatnonzero(first)
+    values = np.diff(begins, append=ids.size) * np.append(weight, 0)[ranked.ravel()[begins]]
+    return np.sqrt(np.bincount(begins // PASSAGE, values * values, minlength=len(ids))).astype(np.float32)
+
+
+def passages(texts: DataFrame) -> DataFrame:
+    """The passages of ``texts`` (``text, copies``), some in a row, and document frequencies.
+
+    ``texts int, passages int, ids binary`` are the texts that begin in a row, its passages and
+    their features, two bytes a word; ``chunk int, sums binary`` are the rows of a task's
+    document frequencies, each text counted ``copies`` times, and after them the documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("texts", pa.int32()), ("passages", pa.int32()), ("ids", pa.binary()), ("chunk", pa.int32()), ("sums", pa.binary())])
+        frequency = np.zeros(FEATURES + 1, np.int64)
+        for batch in batches:
+            hashes, sizes = word_hashes(texts_of(batch), points_of, *word_points())
+            ids, copies = features(hashes), batch.column("copies").to_numpy()
+            for words, times in zip(np.split(ids, np.cumsum(sizes)[:-1]), copies.tolist(), strict=True):
+                frequency[np.unique(words)] += times
+            frequency[FEATURES] += copies.sum()
+            rows, new = cut_up(ids, sizes), len(sizes) - batch.column("text").null_count
+            for a in range(0, max(1, len(rows)), ROW_PASSAGES):
+                part = rows[a : a + ROW_PASSAGES]
+                yield pa.RecordBatch.from_pylist([{"texts": new, "passages": len(part), "ids": part.tobytes()}], schema)
+                new = 0
+        for chunk in range(0, FEATURES + 1, CHUNK):
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "sums": frequency[chunk : chunk + CHUNK].tobytes()}], schema)
 
-    Of a sample with few texts fewer are left out, one for each 32: it has no more directions than passages.
+    return texts.select("text", "copies").mapInArrow(run, "texts int, passages int, ids binary, chunk int, sums binary")
+
+
+def document_frequency(fitted: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of all documents each feature occurs, and how many documents there are, of ``passages``."""
+    rows = summed(fitted.where("chunk IS NOT NULL").select("chunk", "sums"), "int64", FEATURES // CHUNK).collect()
+    found = np.zeros(FEATURES + 1, np.int64)
+    for r in rows:
+        found[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.sums, np.int64)
+    return found[:FEATURES], int(found[FEATURES])
+
+
+def passage_rows(basis: np.ndarray, ids: np.ndarray, part: int = 1024) -> np.ndarray:
+    """The sum of the basis's rows over the words of each passage, some passages at a time, so that sums stay in the cache."""
+    rows = np.zeros((len(ids), basis.shape[1]), np.float32)
+    one = np.empty((part, basis.shape[1]), np.float32)
+    for a in range(0, len(ids), part):
+        here = rows[a : a + part]
+        for words in np.ascontiguousarray(ids[a : a + part].T):
+            here += np.take(basis, words, axis=0, out=one[: len(here)], mode="clip")
+    return rows
+
+
+def add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int = 48) -> None:
+    """Add to ``total``, for every word of every passage, the passage's row at the word's feature.
+
+    Features with more than ``most`` words are summed one by one, the others together: the first word of each, the second, and so on.
+    """
+    flat = ids.ravel()
+    order = np.argsort(flat, kind="stable")
+    ranked, of = flat[order], order // PASSAGE
+    begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    counts = np.diff(begins, append=len(flat))
+    by = np.argsort(-counts, kind="stable")
+    begins, counts = begins[by], counts[by]
+    heavy = int(np.count_nonzero(counts > most))
+    for begin, n in zip(begins[:heavy].tolist(), counts[:heavy].tolist()):
+        if ranked[begin] != FEATURES:
+            total[ranked[begin]] += rows[of[begin : begin + n]].sum(axis=0)
+    begins, counts = begins[heavy:], counts[heavy:]
+    sums = rows[of[begins]]
+    for k in range(1, int(counts[0]) if len(counts) else 0):
+        n = int(np.count_nonzero(counts > k))
+        sums[:n] += rows[of[begins[:n] + k]]
+    total[ranked[begins]] += sums
+
+
+def projection(fitted: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """(FEATURES, RANK): right singular vectors of TF-IDF ``passages`` after the first SKIP, times idf.
+
+    Of few texts fewer are left out, one for each 32: they have no more directions than passages.
 
     Each task multiplies its passages with the current basis and back; the partial products of
-    FEATURES x (SKIP + RANK + OVERSAMPLE) are summed, and the driver orthogonalises.
+    FEATURES x (SKIP + RANK + OVERSAMPLE) are summed, and the driver orthogonalises. The last
+    product gives the vectors by Nyström's approximation. There are fewer tasks than partitions
+    where those are small, as each sends a product.
     """
-    session, skip = sample.sparkSession, min(SKIP, sample.count() // 32)
+    session = fitted.sparkSession
+    texts, count = fitted.agg(F.sum("texts"), F.sum(F.col("passages").cast("long"))).first()
+    skip = min(SKIP, (texts or 0) // 32)
     width = skip + RANK + OVERSAMPLE
+    dealt = fitted.where("passages > 0").select("ids").coalesce(max(session.sparkContext.defaultParallelism, (count or 0) // TASK_PASSAGES))
 
     def product(basis: np.ndarray) -> np.ndarray:
-        shared = session.sparkContext.broadcast((basis.astype(np.float32), idf))
+        shared = session.sparkContext.broadcast(np.append(basis * idf[:, None], np.zeros((1, width)), axis=0).astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            basis_, weight = shared.value
-            total = np.zeros((FEATURES, width))
+            total = np.zeros((FEATURES + 1, width))
             for batch in batches:
-                for words in hashed(texts_of(batch)):
-                    ids = features(words)
-                    for a in range(0, len(ids), WINDOWS[1]):
-                        at, n = np.unique(ids[a : a + WINDOWS[1]], return_counts=True)
-                        v = n * weight[at]
-                        size = np.linalg.norm(v)
-                        if size:
-                            v = v / size
-                            total[at] += np.outer(v, v @ basis_[at])
-            total = total.astype(np.float32)  # enough for a subspace, and half to send
+                for row in batch.column("ids"):
+                    ids = np.frombuffer(row.as_buffer(), np.uint16).reshape(-1, PASSAGE)
+                    rows = passage_rows(shared.value, ids)
+                    rows /= np.square(norms_of(ids, idf))[:, None]  # a passage's length counts both ways
+                    add_rows(total, ids, rows)
+            total = (total[:FEATURES] * idf[:, None]).astype(np.float32)  # enough for a subspace, and half to send
             for chunk in range(0, FEATURES, CHUNK):
                 yield row_of(chunk, total[chunk : chunk + CHUNK])
 
         found = np.zeros((FEATURES, width))
-        for r in summed(sample.select("text").mapInArrow(run, "chunk int, sums binary"), "float32", FEATURES // CHUNK).collect():
+        for r in summed(dealt.mapInArrow(run, "chunk int, sums binary"), "float32", FEATURES // CHUNK).collect():
             found[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.sums, np.float32).reshape(-1, width)
         shared.unpersist()
         return found
 
     basis = np.random.default_rng(SEED).normal(size=(FEATURES, width))
-    for _ in range(POWER + 1):
+    for _ in range(POWER):
         basis = np.linalg.qr(product(basis))[0]
-    small = basis.T @ product(basis)
+    last = product(basis)
+    small = basis.T @ last
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return ((basis @ vectors[:, np.argsort(-values)[skip : skip + RANK]]) * idf[:, None]).astype(np.float32)
+    sure = values > max(1e-5 * values[-1], 0)  # others are rounding
+    directions = np.linalg.svd(last @ (vectors[:, sure] / np.sqrt(values[sure])), full_matrices=False)[0][:, skip : skip + RANK]
+    found = np.zeros((FEATURES, RANK))
+    found[:, : directions.shape[1]] = directions
+    return (found * idf[:, None]).astype(np.float32)
 
 
 @dataclass
@@ -245,17 +323,6 @@ def leaks_in(words: np.ndarray, blocks: list[Items], projected: np.ndarray, part
     return sorted((blocks[b].ids[i], *f) for (b, i), f in best.items())
 
 
-def sample_of(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """``text``: the different texts with the ``most`` least hashes.
-
-    Hashes alone are sorted, so that no task has to read more than the sample's texts, and
-    copies count once, however many there are.
-    """
-    hashed = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
-    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("text").alias("text")).select("text")
-
-
 @lru_cache(BLOCKS)
 def block_of(uri: str) -> Items:
     """A block from the shared folder."""
@@ -268,12 +335,17 @@ class Searcher:
     """The fitted index: the projection, and the benchmark's items in blocks in the shared folder."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame):
-        df, n = document_frequency(docs)
-        idf = np.log((n + 1) / (df + 1)) + 0.1
+        small_batches(docs.sparkSession)
         items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-        some = items.orderBy(F.xxhash64("item_id", "text"), "item_id", "text").limit(SAMPLE_ITEMS)
-        projected = projection(cut(sample_of(docs).unionByName(some.select("text")).repartition(8)), idf)
-        self.projected = docs.sparkSession.sparkContext.broadcast(projected)  # of fixed size
+        # the passages of copies count once, however many there are: else they are among the directions that are left out
+        texts = docs.select("text", F.lit(1).alias("copies")).unionByName(items.select("text", F.lit(0).alias("copies")))
+        fitted = cut(passages(texts.groupBy("text").agg(F.sum("copies").alias("copies"))))
+        release(docs.sparkSession)  # the texts as dealt
+        df, n = document_frequency(fitted)
+        idf = np.log((n + 1) / (df + 1)) + 0.1
+        self.projected = docs.sparkSession.sparkContext.broadcast(projection(fitted, idf))  # of fixed size
+        del fitted
+        release(docs.sparkSession)
         self.uris = self._write(items, fresh_folder(docs.sparkSession, "items"))
 
     def _write(self, items: DataFrame, folder: str) -> list[str]:

@@ -411,6 +411,37 @@ def test_leaks_of_long_items(spark):
     assert {(i, k) for i, k in want if i < 100 or i >= 300} <= got  # verbatim ones, all
 
 
+def test_projection_is_fitted_on_all_texts(spark):
+    """Also on texts whose hashes come after those of 1,500 others; against the eigenvectors of all passages in numpy."""
+    rng = random.Random(51)
+    many, few = (["".join(rng.choice(letters) for _ in range(6)) for _ in range(40)] for letters in ("abcdefgh", "ijklmnop"))
+    made = [(k, " ".join(rng.choices(words, k=40))) for k, words in ((0, many), (1, few)) for _ in range((1600, 3000)[k])]
+    ranked = [(r.k, r.text) for r in spark.createDataFrame(made, "k int, text string").orderBy(F.xxhash64("text")).collect()]
+    last = [j for j, (k, _) in enumerate(ranked) if k == 0][1499]
+    docs = [t for j, (k, t) in enumerate(ranked) if k == 0 or j > last]
+    assert len(docs) > 1650
+    items = [" ".join(rng.choices(many, k=20)) for _ in range(5)]
+    frame = spark.createDataFrame(list(enumerate([*docs, *docs[:300]])), "doc_id long, text string")  # copies count once
+    projected = decontaminate.Searcher(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).projected.value
+    ids = [decontaminate.features(w) for w in decontaminate.hashed([*docs, *docs[:300], *items])]
+    own = np.unique(np.concatenate(ids))
+    df = np.array([sum(f in set(w.tolist()) for w in ids[: len(docs) + 300]) for f in own])
+    idf = np.log((len(docs) + 301) / (df + 1)) + 0.1
+    counts = np.array([np.isin(own, w[a : a + 32]) * [(w[a : a + 32] == f).sum() for f in own] for w in ids[: len(docs)] + ids[-5:] for a in range(0, len(w), 32)])
+    vectors = counts * idf
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    values, found = np.linalg.eigh(vectors.T @ vectors)
+    want = found[:, np.argsort(-values)[decontaminate.SKIP :]]
+    got = projected[own] / idf[:, None]
+    assert np.allclose(got @ got.T, want @ want.T, atol=0.02)
+    rows = decontaminate.cut_up(np.concatenate(ids), np.array(list(map(len, ids))))
+    weight = np.zeros(decontaminate.FEATURES)
+    weight[own] = idf
+    assert len(rows) == sum(-(-len(w) // 32) for w in ids) and np.allclose(
+        decontaminate.norms_of(rows, weight), [np.linalg.norm(np.bincount(r, minlength=decontaminate.FEATURES + 1)[:-1] * weight) for r in rows], rtol=1e-5
+    )
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     rng = random.Random(22)
