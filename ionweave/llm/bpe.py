@@ -15,6 +15,8 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -22,10 +24,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ionweave.llm.common import ASCII_SPACE, WHITE_SPACE, alone, blocks, by_batch, char_set, texts_of
+from ionweave.llm.common import ASCII_SPACE, WHITE_SPACE, alone, blocks, by_batch, char_set, points_of, texts_of
 from ionweave.llm.token_counts import byte_letters
 
 
+#: A place in a word takes so many bits of an entry of the queue.
+PLACE_BITS = 32
+PLACE = (1 << PLACE_BITS) - 1
+
+
+class Words(dict):
+    """Of each word that was met, the bytes of its ids; a new one is merged, or taken from the older generation."""
+
+    def __init__(self, merge: Callable[[str], list[int]], older: dict[str, bytes]):
+        self.merge, self.older = merge, older
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = array("i", self.merge(word)).tobytes()
+        self[word] = found
+        return found
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file whose pre-tokenizer keeps a pattern's matches."""
 
@@ -47,25 +68,24 @@ class Bpe:
         pattern = "|".join(sorted(split["pattern"]["Regex"].split("|"), key=lambda p: p != r"[\p{L}]+"))
         self.find = re.compile(self._spelled(pattern, char_set("L"), char_set("N"), WHITE_SPACE)).findall
         self.find_ascii = re.compile(self._spelled(pattern, "A-Za-z", "0-9", ASCII_SPACE)).findall
-        none = np.array([unicodedata.category(c) == "Cn" for c in map(chr, range(0x110000))])
-        steps = np.diff(none.astype(np.int8), prepend=0, append=0)
-        ranges = zip(np.flatnonzero(steps == 1).tolist(), (np.flatnonzero(steps == -1) - 1).tolist())
         # code points that Python doesn't know: the library, whose tables are newer, may
-        self.newer = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]").search
+        self.unknown = np.array([unicodedata.category(c) == "Cn" for c in map(chr, range(0x110000))])
         self.path, self.library = path, None
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(pairs):
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
-        self.letters = byte_letters()
+        # a pair's rank, from 1, above the bits for a place: with a place it is an entry of the queue
+        self.merges: dict[tuple[int, int], int] = {}
+        for rank, (a, b) in enumerate(pairs, 1):
+            self.merges.setdefault((self.vocab[a], self.vocab[b]), rank << PLACE_BITS)
+        self.made = [-1, *(self.vocab[a + b] for a, b in pairs)]
+        letters = byte_letters()
+        self.inner, self.final = ([self.vocab.get(letters[b] + end) for b in range(256)] for end in ("", self.end))
         self.specials = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
         strings = {i: s for s, i in [*self.vocab.items(), *self.specials.items()]}
         self.strings = pa.array([strings.get(i) for i in range(max(strings) + 1)])
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = Words(self.merge, {})
 
     @staticmethod
     def _spelled(pattern: str, letters: str, numbers: str, space: str) -> str:
@@ -73,30 +93,36 @@ class Bpe:
 
     def merge(self, word: str) -> list[int]:
         """The token ids of one word."""
-        symbols = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.end
-        ids = [self.vocab[s] for s in symbols]
+        data = word.encode("utf-8", "surrogatepass")
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.final[data[-1]]
         n = len(ids)
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        get = self.merges.get
-        queue = [(m[0], i, m[1]) for i, p in enumerate(zip(ids, ids[1:])) if (m := get(p))]
+        ids.append(-1)  # stands after the last symbol and, as place -1, before the first; no pair has it
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        get, made, pop, push = self.merges.get, self.made, heapq.heappop, heapq.heappush
+        queue = [m | i for i, p in enumerate(zip(ids, ids[1:])) if (m := get(p))]
         heapq.heapify(queue)
         while queue:
-            rank, i, token = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & PLACE
             j = after[i]
-            if ids[i] < 0 or j < 0 or (m := get((ids[i], ids[j]))) is None or m[0] != rank:
+            if get((ids[i], ids[j])) != entry - i:
                 continue  # stale
-            ids[i], ids[j] = token, -1
+            ids[i] = token = made[entry >> PLACE_BITS]
+            ids[j] = -1
             after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if m := get((token, ids[k])):
-                    heapq.heappush(queue, (m[0], i, m[1]))
+            before[k] = i
+            if m := get((token, ids[k])):
+                push(queue, m | i)
             k = before[i]
-            if k >= 0 and (m := get((ids[k], token))):
-                heapq.heappush(queue, (m[0], k, m[1]))
+            if m := get((ids[k], token)):
+                push(queue, m | k)
         return [i for i in ids if i >= 0]
 
+    def newer(self, text: str) -> bool:
+        """Whether a text has code points that Python does not know."""
+        return bool(self.unknown[points_of(text)].any())
+
     def _normalized(self, text: str) -> str:
         """The library's normal form of a text."""
         if self.library is None:
@@ -117,14 +143,10 @@ class Bpe:
                 if self.small:  # letter by letter: no rule for a sigma at a word's end
                     text = text.replace("Σ", "σ").lower()
             words = self.find(text)
-        known = self.words
-        if len(known) >= self.MOST_WORDS:
-            self.older, self.words = known, {}
-            known = self.words
-        for word in set(words).difference(known):
-            found = self.older.get(word)
-            known[word] = np.array(self.merge(word), np.int32).tobytes() if found is None else found
-        return b"".join(map(known.__getitem__, words))
+        if len(self.words) >= self.MOST_WORDS:
+            self.words.older = {}  # the one before the last
+            self.words = Words(self.merge, self.words)
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str) -> np.ndarray:
         """The token ids of a text."""

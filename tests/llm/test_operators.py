@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -40,6 +41,34 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+def test_unknown_code_points_are_found_fast():
+    """Looking for code points that Python does not know costs less than finding the words; it cost more."""
+    own = bpe.Bpe(WORD)
+    text = "Straße und Käse, naïve señor 漢字; " * 3000
+    assert not own.newer(text) and own.newer(text + "\u0378") and not own.newer("a\ud800b")
+
+    def seconds(f):
+        begin = time.process_time()
+        for _ in range(5):
+            f(text)
+        return time.process_time() - begin
+
+    assert seconds(own.newer) < 0.5 * seconds(own.find)
+
+
+def test_merges_equal_a_plain_search():
+    """The queue's entries hold rank and place in one number: long words, repeats and ties, against merging the first least rank."""
+    own = bpe.Bpe(WORD)
+    rng = random.Random(52)
+    for word in ["a", "aaaaaaa", "abab" * 50, "é" * 9, "漢字", *("".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 40))) for _ in range(200))]:
+        data = word.encode()
+        ids = [own.inner[b] for b in data[:-1]] + [own.final[data[-1]]]
+        while found := [(own.merges[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in own.merges]:
+            rank, i = min(found)
+            ids[i : i + 2] = [own.made[rank >> bpe.PLACE_BITS]]
+        assert own.merge(word) == ids, word
+
+
 def test_bpe_equals_the_library(spark, edges, empty):
     library, own = Tokenizer.from_file(WORD), bpe.Bpe(WORD)
     for t in texts():
