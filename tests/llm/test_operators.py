@@ -7,6 +7,7 @@ import time
 import unicodedata
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -471,6 +472,23 @@ def test_projection_is_fitted_on_all_texts(spark):
     )
 
 
+def test_stage_is_fitted_on_all_texts(spark, tmp_path, monkeypatch):
+    """The pipeline's stage fits on every passage of all different texts and items, beyond 1,500 and 5,000 too."""
+    rng = random.Random(53)
+    known = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    docs = [(k, " ".join(rng.choices(known, k=rng.randint(1, 70)))) for k in range(1700)]
+    items = [(k, " ".join(rng.choices(known, k=20))) for k in range(5100)]
+    fit, seen = decontaminate.projection, []
+    monkeypatch.setattr(decontaminate, "projection", lambda fitted, idf: seen.append(fitted) or fit(fitted, idf))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus_pipeline.decontamination(spark, spark.createDataFrame([*docs, *docs[:100], (9, None)], "doc_id long, text string"), str(tmp_path))
+    texts = {t for _, t in docs + items}
+    (fitted,) = seen
+    words = [np.frombuffer(r.ids, np.uint16) for r in fitted.where("passages > 0").collect()]
+    assert fitted.agg(F.sum("texts"), F.sum("passages")).first() == (len(texts), sum(-(-len(t.split()) // 32) for t in texts))
+    assert sum(int((w < decontaminate.FEATURES).sum()) for w in words) == sum(len(t.split()) for t in texts)
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     rng = random.Random(22)
