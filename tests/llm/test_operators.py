@@ -627,6 +627,27 @@ def test_quality_query(spark, tmp_path):
     assert all(found[0][i].predicted == i % 2 for i in range(200) if out[i])  # held-out accuracy
 
 
+def test_quality_is_fitted_on_all_labels(spark):
+    """Also on labels whose hashes come after those of 20,000 others, in parts, whatever the rows' order."""
+    rng = random.Random(61)
+    ranked = [r.id for r in spark.range(21500).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(ranked[20000:])
+    words = [["buy", "now", "click"], ["river", "stone", "meadow"], ["moss", "fern", "lichen"]]
+    docs = [(i, " ".join(rng.choices(words[2 if i in late else i % 2], k=8))) for i in ranked]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    means = []
+    for label in (0, 1):
+        labels = spark.createDataFrame([(i, label if i in late else i % 2) for i in ranked], "doc_id long, quality int")
+        table, net = quality_model.train(frame, labels)
+        found = {r.doc_id: r.score for r in quality_model.score(frame, table, net).collect()}
+        means.append(np.mean([found[i] for i in late]))
+        assert np.mean([(found[i] > 0.5) == i % 2 for i in ranked[:20000]]) > 0.99
+    assert means[0] < 0.1 and means[1] > 0.9, means
+    few, known = frame.limit(900).cache(), labels.where("doc_id % 3 < 2")
+    nets = [quality_model.train(few.repartition(n, F.rand(n)), known.repartition(n), 100)[1] for n in (2, 7)]
+    assert all(np.array_equal(getattr(nets[0], k), getattr(nets[1], k)) for k in ("w1", "b1", "w2", "b2", "temperature", "mean", "scale"))
+
+
 def test_long_texts_in_word_vectors(spark, monkeypatch):
     """A text of over half a million words counts as it would in one piece."""
     rng = np.random.default_rng(5)
