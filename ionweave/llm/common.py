@@ -198,8 +198,8 @@ def summed(parts: DataFrame, kind: str, tasks: int) -> DataFrame:
     return parts.repartition(tasks, "chunk").mapInArrow(add, "chunk int, sums binary")
 
 
-#: Places that are looked at together.
-LOOK = 1 << 19
+#: Places that are looked at together: few enough for the cache of a core.
+LOOK = 1 << 16
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -216,10 +216,16 @@ def run_hashes(values: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.n
 
     A run's hash is a polynomial in its values, from differences of sums over all, so no run is looked at by itself.
     """
-    steps = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    begins, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    within = np.zeros(len(inside) + 2, bool)
+    within[1:-1] = inside
+    edges = np.flatnonzero(within[1:] != within[:-1])
+    begins, ends = edges[::2], edges[1::2]
     powers, back = _powers(1 << max(LOOK.bit_length(), len(values).bit_length()))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[: len(values)])])
+    sums = np.zeros(len(values) + 1, np.uint64)
+    sums[1:] = values
+    sums[1:] += np.uint64(1)
+    sums[1:] *= powers[: len(values)]
+    np.cumsum(sums[1:], out=sums[1:])
     found = (sums[ends] - sums[begins]) * back[begins]
     found = (found ^ (found >> np.uint64(32))) * _SPREAD
     return begins, found ^ (found >> np.uint64(29))

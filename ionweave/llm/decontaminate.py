@@ -18,7 +18,7 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -44,6 +44,8 @@ CANDIDATE, LEAK, LOOSE, ANSWER = 0.6, 0.8, 0.5, 0.8
 BLOCK_ITEMS, BLOCKS = 5000, 2
 #: Features whose sums travel in a row, so that many tasks share the adding up.
 CHUNK = 512
+#: Words that are searched together: their vectors' sums stay in the cache of a core.
+TOGETHER = 1 << 13
 
 def hashed(texts: list[str]) -> list[np.ndarray]:
     """The hash of each word of each text."""
@@ -53,34 +55,31 @@ def hashed(texts: list[str]) -> list[np.ndarray]:
 
 def features(hashes: np.ndarray) -> np.ndarray:
     """The features of words."""
-    return (hashes >> np.uint64(40)).astype(np.int64) % FEATURES
-
-
-def _neighbours(parts: list[np.ndarray]) -> np.ndarray:
-    """The sum of arrays of rows, of which later ones may be a row shorter than the first."""
-    out = parts[0].copy()
-    for part in parts[1:]:
-        out[: len(part)] += part
-    return out
+    return (hashes >> np.uint64(40) & np.uint64(FEATURES - 1)).astype(np.int64)  # FEATURES is a power of two
 
 
 def quarter_sums(ids: np.ndarray, projected: np.ndarray) -> list[np.ndarray]:
-    """Sums of words' vectors over the quarters of each window length, each length's from the one before."""
-    step = WINDOWS[0] // 4
-    sums = [_neighbours([projected[ids[k::step]] for k in range(step)])]
+    """Sums of words' vectors over the quarters of each window length, each length's from the one before.
+
+    There are as many words as fill quarters of the longest window.
+    """
+    places = np.ascontiguousarray(ids.reshape(-1, WINDOWS[0] // 4).T)
+    sums = [np.take(projected, places[0], axis=0, mode="clip")]
+    one = np.empty_like(sums[0])
+    for at in places[1:]:
+        sums[0] += np.take(projected, at, axis=0, out=one, mode="clip")
     for shorter, longer in zip(WINDOWS, WINDOWS[1:]):
         times = longer // shorter
-        sums.append(_neighbours([sums[-1][k::times] for k in range(times)]))
+        sums.append(sums[-1][::times] + sums[-1][1::times])
+        for k in range(2, times):
+            sums[-1] += sums[-2][k::times]
     return sums
 
 
-def window_sums(quarters: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the windows of a length, a quarter of it apart, and the sums over them."""
-    begins = np.arange(max(1, len(quarters) - 3) if len(quarters) else 0)
-    if len(quarters) < 4:
-        return begins * (length // 4), _neighbours([quarters[k : k + len(begins)] for k in range(4)])
+def window_sums(quarters: np.ndarray) -> np.ndarray:
+    """The sums over the windows of a length that begin at each of its quarters but the last three."""
     halves = quarters[:-1] + quarters[1:]
-    return begins * (length // 4), halves[:-2] + halves[2:]
+    return halves[:-2] + halves[2:]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -88,13 +87,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
 
+def filled_up(ids: np.ndarray, sizes: np.ndarray, room: np.ndarray, kind: type) -> np.ndarray:
+    """Texts with so many words in so much room each; what is left after each text is FEATURES."""
+    out, own = np.full(int(room.sum()), FEATURES, kind), np.zeros(int(room.sum()) + 1, np.int8)
+    ends = np.cumsum(room)
+    np.add.at(own, ends - room, 1)
+    np.add.at(own, ends - room + sizes, -1)
+    out[np.cumsum(own[:-1], dtype=np.int8).view(bool)] = ids
+    return out
+
+
 def cut_up(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Rows of PASSAGE words of texts with so many words; a text's last row is filled up with FEATURES."""
-    rows = -(-sizes // PASSAGE)
-    out = np.full(int(rows.sum()) * PASSAGE, FEATURES, np.uint16)
-    gaps = rows * PASSAGE - sizes  # after each text
-    out[np.arange(len(ids)) + np.repeat(np.cumsum(gaps) - gaps, sizes)] = ids
-    return out.reshape(-1, PASSAGE)
+    return filled_up(ids, sizes, -(-sizes // PASSAGE) * PASSAGE, np.uint16).reshape(-1, PASSAGE)
 
 
 def norms_of(ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -122,7 +127,7 @@ def passages(texts: DataFrame) -> DataFrame:
             hashes, sizes = word_hashes(texts_of(batch), points_of, *word_points())
             ids, copies = features(hashes), batch.column("copies").to_numpy()
             for words, times in zip(np.split(ids, np.cumsum(sizes)[:-1]), copies.tolist(), strict=True):
-                frequency[np.unique(words)] += times
+                frequency[words] += times  # once a feature, however often it is there
             frequency[FEATURES] += copies.sum()
             rows, new = cut_up(ids, sizes), len(sizes) - batch.column("text").null_count
             for a in range(0, max(1, len(rows)), ROW_PASSAGES):
@@ -144,7 +149,7 @@ def document_frequency(fitted: DataFrame) -> tuple[np.ndarray, int]:
     return found[:FEATURES], int(found[FEATURES])
 
 
-def passage_rows(basis: np.ndarray, ids: np.ndarray, part: int = 1024) -> np.ndarray:
+def passage_rows(basis: np.ndarray, ids: np.ndarray, part: int = 512) -> np.ndarray:
     """The sum of the basis's rows over the words of each passage, some passages at a time, so that sums stay in the cache."""
     rows = np.zeros((len(ids), basis.shape[1]), np.float32)
     one = np.empty((part, basis.shape[1]), np.float32)
@@ -155,10 +160,11 @@ def passage_rows(basis: np.ndarray, ids: np.ndarray, part: int = 1024) -> np.nda
     return rows
 
 
-def add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int = 48) -> None:
+def add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int = 48, part: int = 1024) -> None:
     """Add to ``total``, for every word of every passage, the passage's row at the word's feature.
 
     Features with more than ``most`` words are summed one by one, the others together: the first word of each, the second, and so on.
+    Rows are gathered in pieces that stay in the cache.
     """
     flat = ids.ravel()
     order = np.argsort(flat, kind="stable")
@@ -168,15 +174,20 @@ def add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int = 4
     by = np.argsort(-counts, kind="stable")
     begins, counts = begins[by], counts[by]
     heavy = int(np.count_nonzero(counts > most))
+    one = np.empty((part, rows.shape[1]), rows.dtype)
     for begin, n in zip(begins[:heavy].tolist(), counts[:heavy].tolist()):
         if ranked[begin] != FEATURES:
-            total[ranked[begin]] += rows[of[begin : begin + n]].sum(axis=0)
+            for at in range(begin, begin + n, part):
+                these = of[at : min(at + part, begin + n)]
+                total[ranked[begin]] += np.take(rows, these, axis=0, out=one[: len(these)], mode="clip").sum(axis=0)
     begins, counts = begins[heavy:], counts[heavy:]
-    sums = rows[of[begins]]
-    for k in range(1, int(counts[0]) if len(counts) else 0):
-        n = int(np.count_nonzero(counts > k))
-        sums[:n] += rows[of[begins[:n] + k]]
-    total[ranked[begins]] += sums
+    for a in range(0, len(begins), part):
+        first, many = begins[a : a + part], counts[a : a + part]
+        sums = rows[of[first]]
+        for k in range(1, int(many[0])):
+            n = int(np.count_nonzero(many > k))
+            sums[:n] += np.take(rows, of[first[:n] + k], axis=0, out=one[:n], mode="clip")
+        total[ranked[first]] += sums
 
 
 def projection(fitted: DataFrame, idf: np.ndarray) -> np.ndarray:
@@ -229,6 +240,11 @@ def projection(fitted: DataFrame, idf: np.ndarray) -> np.ndarray:
     return (found * idf[:, None]).astype(np.float32)
 
 
+def with_zero(projected: np.ndarray) -> np.ndarray:
+    """With a row of zeros for FEATURES, which stands where a text has no more words."""
+    return np.append(projected, np.zeros_like(projected[:1]), axis=0)
+
+
 @dataclass
 class Items:
     """A block of benchmark items, ready to be searched for."""
@@ -286,41 +302,89 @@ def common_subsequence(masks: dict, n: int, words: list) -> int:
     return n - row.bit_count()
 
 
-def leaks_in(words: np.ndarray, blocks: list[Items], projected: np.ndarray, part: int = 1 << 14) -> list[tuple[int, float, float, float]]:
-    """(item, cosine, share of its words in order, share of its answer) for each item found in a text's hashed words.
+def pieces(sizes: Iterable[int], over: int, part: int = 1 << 14) -> Iterator[list[tuple[int, int, int]]]:
+    """Groups of about TOGETHER words of texts of so many: (text, first word, words) of each piece.
 
-    Long texts are searched in parts, which overlap by more than an item and what is looked at around it.
+    Long texts are searched in parts, which overlap by ``over`` words.
     """
-    ids = features(words)
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    over = 3 * max((items.longest for items in blocks), default=0) + WINDOWS[-1]
-    for a in range(0, len(ids), part):
-        own = ids[a : a + part + over]
-        quarters = dict(zip(WINDOWS, quarter_sums(own, projected), strict=True))
-        for length in WINDOWS:
-            wanted = [(b, spots, vectors) for b, items in enumerate(blocks) for k, spots, vectors in items.by_length if k == length]
-            if not wanted:
-                continue
-            begins, sums = window_sums(quarters[length], length)
-            norms = np.sqrt(np.einsum("ij,ij->i", sums, sums))[:, None]
-            norms[norms == 0] = np.inf
-            for b, spots, vectors in wanted:
-                items, close = blocks[b], sums @ vectors  # cosine times the window's norm
-                for k, j in zip(*(x.tolist() for x in np.nonzero(close >= CANDIDATE * norms))):
-                    item, first = spots[j].tolist()
-                    n, masks = items.sizes[item], items.masks[item]
-                    at = a + int(begins[k]) - first  # where the item would begin
-                    here = [w for w in words[max(a, at - n) : at + length + 2 * n].tolist() if w in masks]
-                    if len(here) < LOOSE * n:
-                        continue
-                    share = common_subsequence(masks, n, here) / n
-                    answer = len(items.answers[item].intersection(here)) / max(1, len(items.answers[item]))
-                    found = (float(close[k, j] / norms[k, 0]), share, answer)
-                    if (share >= LEAK or share >= LOOSE and answer >= ANSWER) and found[1:] > best.get((b, item), (0, 0, 0))[1:]:
-                        best[b, item] = found
-        if len(ids) <= a + part:
-            break
-    return sorted((blocks[b].ids[i], *f) for (b, i), f in best.items())
+    group, total = [], 0
+    for t, n in enumerate(sizes):
+        for a in range(0, n, part):
+            size = min(n - a, part + over)
+            if group and total + size > TOGETHER:
+                yield group
+                group, total = [], 0
+            group.append((t, a, size))
+            total += size
+    if group:
+        yield group
+
+
+def close_windows(ids: np.ndarray, sizes: np.ndarray, blocks: list[Items], projected: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, ...]]:
+    """Window length, block, and of each of its pairs of a window and a passage at CANDIDATE or above: piece, first word in it, passage, cosine.
+
+    ``ids`` has the features of pieces of texts, one after another, ``sizes`` how many each has.
+    """
+    grid = WINDOWS[-1] // 4
+    room = np.maximum(WINDOWS[-1], -(-sizes // grid) * grid)
+    starts = np.cumsum(room) - room
+    for length, quarters in zip(WINDOWS, quarter_sums(filled_up(ids, sizes, room, np.int64), projected), strict=True):
+        wanted = [(b, vectors) for b, items in enumerate(blocks) for k, _, vectors in items.by_length if k == length]
+        if not wanted:
+            continue
+        step = length // 4
+        sums, firsts = window_sums(quarters), starts // step
+        within = np.zeros(len(quarters) + 1, np.int8)  # windows begin before a piece's last three quarters, or with it
+        within[firsts] = 1
+        within[firsts + np.maximum(1, -(-sizes // step) - 3)] -= 1
+        norms = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+        norms[(norms == 0) | (np.cumsum(within[: len(norms)]) == 0)] = np.inf
+        limits = CANDIDATE * norms
+        for b, vectors in wanted:
+            close = vectors.T @ sums.T  # cosine times the window's norm
+            passage, window = np.divmod(np.flatnonzero(close >= limits), len(norms))
+            order = np.lexsort((passage, window))
+            passage, window = passage[order], window[order]
+            piece = np.searchsorted(firsts, window, "right") - 1
+            yield length, b, piece, (window - firsts[piece]) * step, passage, close[passage, window] / norms[window]
+
+
+def leak_at(here: list, n: int, masks: dict, answers: set, best: tuple[float, float]) -> tuple[float, float] | None:
+    """The shares of an item's n words in order and of its answer among words of it, if they show a leak and more than ``best`` does."""
+    if len(here) < LOOSE * n:
+        return None
+    answer = len(answers.intersection(here)) / max(1, len(answers))
+    least = LOOSE if answer >= ANSWER else LEAK
+    there = 0  # the item's places whose word is here: no common subsequence is longer
+    for w in set(here):
+        there |= masks[w]
+    most = min(there.bit_count(), len(here)) / n
+    if most < least or (most, answer) <= best:
+        return None
+    share = common_subsequence(masks, n, here) / n
+    return (share, answer) if share >= least and (share, answer) > best else None
+
+
+def leaks_of(words: list[np.ndarray], blocks: list[Items], projected: np.ndarray) -> list[list[tuple[int, float, float, float]]]:
+    """(item, cosine, share of its words in order, share of its answer) for each item found in each text's hashed words.
+
+    ``projected`` has a row of zeros after its features.
+    """
+    best: list[dict[tuple[int, int], tuple[float, float, float]]] = [{} for _ in words]
+    over = 3 * max((items.longest for items in blocks), default=0) + WINDOWS[-1]  # more than an item and what is looked at around it
+    for group in pieces(map(len, words), over):
+        ids = features(np.concatenate([words[t][a : a + n] for t, a, n in group]))
+        for length, b, *found in close_windows(ids, np.array([n for *_, n in group]), blocks, projected):
+            items, spots = blocks[b], next(spots for k, spots, _ in blocks[b].by_length if k == length)
+            for piece, begin, passage, cosine in zip(*(x.tolist() for x in found), strict=True):
+                item, first = spots[passage].tolist()
+                t, a, _ = group[piece]
+                n, masks = items.sizes[item], items.masks[item]
+                at = a + begin - first  # where the item would begin
+                here = [w for w in words[t][max(a, at - n) : at + length + 2 * n].tolist() if w in masks]
+                if shares := leak_at(here, n, masks, items.answers[item], best[t].get((b, item), (0, 0, 0))[1:]):
+                    best[t][b, item] = (cosine, *shares)
+    return [sorted((blocks[b].ids[i], *f) for (b, i), f in own.items()) for own in best]
 
 
 @lru_cache(BLOCKS)
@@ -343,7 +407,7 @@ class Searcher:
         release(docs.sparkSession)  # the texts as dealt
         df, n = document_frequency(fitted)
         idf = np.log((n + 1) / (df + 1)) + 0.1
-        self.projected = docs.sparkSession.sparkContext.broadcast(projection(fitted, idf))  # of fixed size
+        self.projected = docs.sparkSession.sparkContext.broadcast(with_zero(projection(fitted, idf)))  # of fixed size
         del fitted
         release(docs.sparkSession)
         self.uris = self._write(items, fresh_folder(docs.sparkSession, "items"))
@@ -378,8 +442,8 @@ class Searcher:
             words, found = hashed(texts), [[] for _ in texts]
             for a in range(0, len(uris), BLOCKS):
                 blocks = list(map(block_of, uris[a : a + BLOCKS]))
-                for mine, text in zip(found, words, strict=True):
-                    mine += leaks_in(text, blocks, shared.value)
+                for mine, leaks in zip(found, leaks_of(words, blocks, shared.value), strict=True):
+                    mine += leaks
             return found
 
         return leaks

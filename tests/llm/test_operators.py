@@ -489,6 +489,81 @@ def test_stage_is_fitted_on_all_texts(spark, tmp_path, monkeypatch):
     assert sum(int((w < decontaminate.FEATURES).sum()) for w in words) == sum(len(t.split()) for t in texts)
 
 
+def leaks_by_loops(words, items, projected):
+    """Windows, cosines and shares of one text, each by itself."""
+    best, ids = {}, decontaminate.features(words)
+    for k, item in items:
+        own, answer = decontaminate.hashed([item])[0].tolist(), decontaminate.answer_of(item)
+        n, length = len(own), next(size for size in decontaminate.WINDOWS if size >= 0.75 * len(own))
+        vector = projected[decontaminate.features(np.array(own, np.uint64))].sum(axis=0, dtype=float)
+        for begin in range(0, max(1, (-(-len(ids) // (length // 4)) - 3) * (length // 4)) if len(ids) else 0, length // 4):
+            here = projected[ids[begin : begin + length]].sum(axis=0, dtype=float)
+            cosine = here @ vector / max(1e-9, np.linalg.norm(here) * np.linalg.norm(vector))
+            near = [w for w in words[max(0, begin - n) : begin + length + 2 * n].tolist() if w in own]
+            shares = lcs(own, near) / n, len(answer.intersection(near)) / len(answer)
+            if cosine >= decontaminate.CANDIDATE and (shares[0] >= decontaminate.LEAK or shares[0] >= decontaminate.LOOSE and shares[1] >= decontaminate.ANSWER):
+                best.setdefault(k, []).append((*shares, cosine))
+    return {k: (max(found)[:2], [c for *shares, c in found if tuple(shares) == max(found)[:2]]) for k, found in best.items()}
+
+
+def test_texts_are_searched_together(monkeypatch):
+    """Short texts share their products, and few candidates are compared word by word; each has the leaks that loops over its windows find."""
+    rng = random.Random(61)
+    known = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(600)]
+    weights = [1 / (k + 3) for k in range(len(known))]
+    prose = lambda n: rng.choices(known, weights, k=n)
+    items = [(k, " ".join(prose(n - 5)) + ". " + " ".join(prose(5))) for k, n in enumerate([9, 16, 21, 22, 40, 43, 64, 85])]
+    texts = [" ".join(prose(n)) for n in [0, 1, 3, 4, 15, 16, 17, 48, 49, 63, 64, 65, 80, 129, *(rng.randint(0, 90) for _ in range(300))]]
+    for k, item in items:
+        half = item.split()[len(item.split()) // 2 :]
+        for before, after in ((0, 0), (0, 30), (30, 0), (7, 70), (61, 5)):
+            texts += [" ".join([*prose(before), *item.split(), *prose(after)]), " ".join([*prose(before), *half, *prose(after)])]
+    rng.shuffle(texts)
+    projected = np.random.default_rng(5).normal(size=(decontaminate.FEATURES, decontaminate.RANK)).astype(np.float32)
+    words, padded = decontaminate.hashed(texts), np.append(projected, np.zeros((1, decontaminate.RANK), np.float32), axis=0)
+    blocks = [decontaminate.make_items(part, projected) for part in (items[:5], items[5:])]
+    counted = {"window_sums": 0, "common_subsequence": 0}
+
+    def count(name, f):
+        def g(*args):
+            counted[name] += 1
+            return f(*args)
+
+        monkeypatch.setattr(decontaminate, name, g)
+
+    for name in counted:
+        count(name, getattr(decontaminate, name))
+    got = decontaminate.leaks_of(words, blocks, padded)
+    assert counted["window_sums"] <= 3 * (2 + sum(map(len, words)) // 4096), counted
+    assert counted["common_subsequence"] <= 2 * sum(map(len, got)), counted
+    assert [decontaminate.leaks_of([w], blocks, padded)[0] for w in words] == [[(k, pytest.approx(c, abs=1e-5), *s) for k, c, *s in found] for found in got]
+    assert sum(map(len, got)) >= 5 * len(items)
+    for text, found in zip(words, got, strict=True):
+        want = leaks_by_loops(text, items, projected)
+        assert {k: tuple(shares) for k, _, *shares in found} == {k: shares for k, (shares, _) in want.items()}
+        assert all(min(abs(c - x) for x in want[k][1]) < 1e-4 for k, c, *_ in found)
+
+
+def test_words_of_pieces(monkeypatch):
+    """Hashes do not depend on how much is looked at together; filled-up texts keep their words."""
+    found = [*texts(60), "", "a " * 3000, "z" * 5000, "é b"]
+    want = common.word_hashes(found, common.points_of, *common.word_points())
+    monkeypatch.setattr(common, "LOOK", 1 << 9)
+    got = common.word_hashes(found, common.points_of, *common.word_points())
+    assert all((a == b).all() for a, b in zip(want, got, strict=True))
+    sizes = np.array([0, 0, 1, 31, 32, 33, 0, 64, 5, 0])
+    rows = decontaminate.cut_up(np.arange(sizes.sum()), sizes)
+    assert [r[r < decontaminate.FEATURES].tolist() for r in rows] == [list(range(a, b)) for a, b in ((0, 1), (1, 32), (32, 64), (64, 96), (96, 97), (97, 129), (129, 161), (161, 166))]
+
+
+def test_frequencies_count_texts(spark):
+    """A feature counts once a text, times the text's copies, however often it is there."""
+    rows = [("a a a b", 3), ("b", 2), ("", 4), ("a c c", 1)]
+    df, n = decontaminate.document_frequency(decontaminate.passages(spark.createDataFrame(rows, "text string, copies long").coalesce(1)))
+    a, b, c = (int(decontaminate.features(decontaminate.hashed([w])[0])[0]) for w in "abc")
+    assert (df[a], df[b], df[c], df.sum(), n) == (4, 5, 1, 10, 10)
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     rng = random.Random(22)
