@@ -234,17 +234,14 @@ def run_hashes(values: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.n
 def word_hashes(texts: list, codes: Callable, inside: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and how many each text has.
 
-    ``codes`` makes numbers of a text; ``inside`` says which are part of a word, ``lower`` what
-    they count as. Texts are joined, a line feed between them, and looked at some MB at a time.
+    ``codes`` makes numbers of a text, as many as it is long; ``inside`` says which are part of a word, ``lower`` what
+    they count as. Texts are joined, a line feed between them, and looked at a piece at a time.
     """
     found, sizes = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
+    end = "\n" if texts and isinstance(texts[0], str) else b"\n"
     for a, b in blocks([len(t) + 1 for t in texts], LOOK):
-        each = [codes(t) for t in texts[a:b]]
-        ends = np.cumsum([len(x) + 1 for x in each])
-        joined = np.full(ends[-1], ord("\n"), each[0].dtype)
-        kept = np.ones(len(joined), bool)
-        kept[ends - 1] = False
-        joined[kept] = np.concatenate(each)
+        ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
+        joined = codes(end.join([*texts[a:b], end[:0]])).astype(np.intp)
         within, at = inside[joined], 0
         while at < len(joined):  # a long text in pieces, cut between words
             to = min(at + LOOK, len(joined))

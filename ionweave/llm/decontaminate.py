@@ -160,7 +160,7 @@ def passage_rows(basis: np.ndarray, ids: np.ndarray, part: int = 512) -> np.ndar
     return rows
 
 
-def add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int = 48, part: int = 1024) -> None:
+def add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int = 48, part: int = 512) -> None:
     """Add to ``total``, for every word of every passage, the passage's row at the word's feature.
 
     Features with more than ``most`` words are summed one by one, the others together: the first word of each, the second, and so on.
@@ -174,12 +174,12 @@ def add_rows(total: np.ndarray, ids: np.ndarray, rows: np.ndarray, most: int = 4
     by = np.argsort(-counts, kind="stable")
     begins, counts = begins[by], counts[by]
     heavy = int(np.count_nonzero(counts > most))
-    one = np.empty((part, rows.shape[1]), rows.dtype)
+    one, ones = np.empty((part, rows.shape[1]), rows.dtype), np.ones(part, rows.dtype)
     for begin, n in zip(begins[:heavy].tolist(), counts[:heavy].tolist()):
         if ranked[begin] != FEATURES:
             for at in range(begin, begin + n, part):
                 these = of[at : min(at + part, begin + n)]
-                total[ranked[begin]] += np.take(rows, these, axis=0, out=one[: len(these)], mode="clip").sum(axis=0)
+                total[ranked[begin]] += ones[: len(these)] @ np.take(rows, these, axis=0, out=one[: len(these)], mode="clip")
     begins, counts = begins[heavy:], counts[heavy:]
     for a in range(0, len(begins), part):
         first, many = begins[a : a + part], counts[a : a + part]
@@ -381,7 +381,7 @@ def leaks_of(words: list[np.ndarray], blocks: list[Items], projected: np.ndarray
                 t, a, _ = group[piece]
                 n, masks = items.sizes[item], items.masks[item]
                 at = a + begin - first  # where the item would begin
-                here = [w for w in words[t][max(a, at - n) : at + length + 2 * n].tolist() if w in masks]
+                here = list(filter(masks.__contains__, words[t][max(a, at - n) : at + length + 2 * n].tolist()))
                 if shares := leak_at(here, n, masks, items.answers[item], best[t].get((b, item), (0, 0, 0))[1:]):
                     best[t][b, item] = (cosine, *shares)
     return [sorted((blocks[b].ids[i], *f) for (b, i), f in own.items()) for own in best]
