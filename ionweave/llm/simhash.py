@@ -112,8 +112,8 @@ def links(fps: DataFrame) -> DataFrame:
     table = fps.select(F.col("fp").alias("a"), F.inline(F.array(*entries)))
     asked = fps.select(F.col("fp").alias("b"), F.inline(F.concat(*probes)))
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return (
-        table.join(asked, (table.tag == asked.tag) & (table.key == asked.key) & (F.col("a") != F.col("b")) & (differ <= 2))
+    return (  # Spark sizes a row's entries and probes, some 70, as the row: it would broadcast what fits no driver
+        table.join(asked.hint("merge"), (table.tag == asked.tag) & (table.key == asked.key) & (F.col("a") != F.col("b")) & (differ <= 2))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
@@ -417,7 +417,8 @@ def similar(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 def possible(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` of handles that are not ruled out by their sizes and parities in ``found``."""
     for k in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("h").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")), k)
+        own = found.select(F.col("h").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+        pairs = pairs.join(own.hint("merge"), k)  # Spark sizes an array as one of its elements
     differ = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(PARITIES))
     return cut(pairs.where(differ <= _apart(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"))
 
@@ -459,7 +460,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     joined = rooted.select(F.xxhash64("node").alias("h"), F.xxhash64("root").alias("c"))
     folded = [F.col("bits")[k].bitwiseXOR(F.col("bits")[k + FOLDED]).alias(f"b{k}") for k in range(FOLDED)]
     own = found.select("h", *folded).join(joined, "h", "left").withColumn("c", F.coalesce("c", "h"))
-    rest = pairs_between(shared.select("token", "h", "place").join(own, "h"), similarity).join(near, ["a", "b"], "left_anti")
+    # shared has a row for each token of a text and is sized as if it had one for each text
+    rest = pairs_between(shared.select("token", "h", "place").join(own.hint("merge"), "h"), similarity).join(near, ["a", "b"], "left_anti")
     rest = possible(rest, found, similarity)
     release(docs.sparkSession)
     edges = similar(docs, rest, similarity)

@@ -193,6 +193,14 @@ def test_simhash_links_and_components(spark):
     assert {r.node: r.root for r in simhash.components(chain).collect()} == {i: 1 for i in range(1, 31)} | {50: 50, 60: 50}
 
 
+def test_links_are_not_broadcast(spark):
+    """Spark sizes what an explode makes as the rows before it, and would send all probes through the driver."""
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp")).groupBy("fp").count().select("fp")
+    found = simhash.links(fps)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_classes(spark, edges, empty):
     got = simhash.classes(edges).collect()
     assert sorted((repr(r.doc_id), r.fp & (2**64 - 1)) for r in got) == sorted((repr(i), fingerprint(t)) for i, t in EDGES)
