@@ -53,7 +53,8 @@ class GraphWalks:
         if len(kept) and kept[0] == own[0]:
             found, names = graph.spelled_walks(kept, edges, paths, scan)
             for k, (walk, name) in enumerate(zip(found, names)):
-                yield k, name, graph.path_score(walk, kept, edges)
+                if walk:  # it has come to the highest bin
+                    yield k, name, graph.path_score(walk, kept, edges)
 
 
 def register(spark: SparkSession) -> None:

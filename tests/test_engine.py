@@ -150,6 +150,14 @@ def test_graph_path_and_fallback():
     assert K.residue_bins()[128] == ["K", "Q"] and K.residue_bins()[147] == ["F", "M[UNIMOD:35]"]
 
 
+def test_walks_end_where_no_edge_weighs(spark):
+    """Three steps of W, of which the second has no weight in the second scan."""
+    made = [("a", b, 0.5) for b in (19, 205, 391, 577)] + [("b", b, 0.0) for b in (19, 205, 391, 577)]
+    nodes = spark.createDataFrame(made, "scan string, bin int, p double")
+    got = graph.walks(nodes, list(K.residue_bins()), paths=3, source=None).collect()
+    assert sorted((r.scan, r.path, r.peptide) for r in got) == [("a", k, "WWW") for k in range(3)]
+
+
 def test_mutants_keep_the_mass(spark):
     lookup = relational.lookup_table(spark).collect()
     m = evolve.Mutator([r.candidate for r in lookup], [r.mass for r in lookup])
