@@ -158,6 +158,15 @@ def test_walks_end_where_no_edge_weighs(spark):
     assert sorted((r.scan, r.path, r.peptide) for r in got) == [("a", k, "WWW") for k in range(3)]
 
 
+def test_longest_path_of_equals_is_the_first_peptide(spark):
+    """G and then Y weighs as much as Y and then G; a path without a weight is above all, as in SQL."""
+    made = [("a", b, 0.5) for b in (19, 76, 182, 239)] + [("b", b, 0.0) for b in (19, 205, 391, 577)]
+    nodes = spark.createDataFrame(made, "scan string, bin int, p double")
+    got = {r.scan: r for r in graph.longest_paths(nodes, list(K.residue_bins()), source=None).collect()}
+    assert got["a"].peptide == "GY" and got["a"].score == pytest.approx(1.5)
+    assert got["b"].peptide == "WWW" and np.isnan(got["b"].score)
+
+
 def test_mutants_keep_the_mass(spark):
     lookup = relational.lookup_table(spark).collect()
     m = evolve.Mutator([r.candidate for r in lookup], [r.mass for r in lookup])
