@@ -217,6 +217,66 @@ class Network:
         return total
 
 
+class Prepared:
+    """A network that is ready for many spectra of ``n`` bins.
+
+    A folded axis puts places i + a * g + b side by side (a, b: -1, 0, 1), so all widths of a layer are one
+    convolution along the axis, but for the first and the last place of each row, which have no neighbour on
+    one side. That convolution is a product of spectra, for each frequency a matrix; what it has too much
+    at the rows' ends is taken off again.
+    """
+
+    def __init__(self, network: Network, n: int):
+        self.network, self.n, g = network, n, max(network.widths)
+        self.size = next(k for k in range(n + g + 1, 2 * (n + g + 1)) if _smooth(k))  # nothing comes round
+        places, rows = np.arange(n), np.arange(-1, 2)[:, None]
+        self.ends = []  # width, side, the rows' first or last places, and what the window has beyond them
+        for g in network.widths:
+            for side in (0, 2):
+                own = places[places % g == (0 if side == 0 else g - 1)]
+                seen = own + rows * g + side - 1
+                self.ends.append((g, side, own, np.where((seen < 0) | (seen >= n), n, seen)))
+        self.spectra, self.beyond, self.bias = {}, {}, {}
+        for name in ("start", *(f"mid{k}" for k in range(network.layers)), "end"):
+            own = {g: network.weights[f"{name}.{g}.w"] for g in network.widths}
+            o, i = own[g].shape[:2]
+            kernel = np.zeros((o, i, self.size), np.float32)
+            for g, w in own.items():
+                for a in range(3):
+                    for b in range(3):
+                        kernel[:, :, -((a - 1) * g + b - 1) % self.size] += w[:, :, a, b]
+            self.spectra[name] = np.ascontiguousarray(np.fft.rfft(kernel, axis=2).transpose(2, 0, 1))
+            self.beyond[name] = [w.reshape(o, -1) for w in (own[g][:, :, :, side] for g, side, _, _ in self.ends)]
+            self.bias[name] = sum(network.weights[f"{name}.{g}.b"] for g in network.widths)[:, None]
+
+    def _sums(self, name: str, x: np.ndarray) -> np.ndarray:
+        seen = np.ascontiguousarray(np.fft.rfft(x, self.size, axis=2).transpose(2, 1, 0))
+        made = np.ascontiguousarray((self.spectra[name] @ seen).transpose(2, 1, 0))
+        out = np.fft.irfft(made, self.size, axis=2)[:, :, : self.n] + self.bias[name]
+        framed = np.concatenate([x, np.zeros((*x.shape[:2], 1), x.dtype)], axis=2).transpose(1, 0, 2)
+        for w, (_, _, own, at) in zip(self.beyond[name], self.ends, strict=True):
+            if len(own):
+                near = np.take(framed, at, axis=2).transpose(0, 2, 1, 3).reshape(w.shape[1], -1)
+                out[:, :, own] -= (w @ near).reshape(len(w), len(x), len(own)).transpose(1, 0, 2)
+        return out
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        """The logits of ``Network.forward``."""
+        net = self.network
+        h = net._layer("start", self._sums("start", x))
+        for k in range(net.layers):
+            h = h + net._layer(f"mid{k}", self._sums(f"mid{k}", h))
+        return net._mixed(x, self._sums("end", h))[2]
+
+
+def _smooth(k: int) -> bool:
+    """Whether a transform of this length is a fast one."""
+    for p in (2, 3, 5):
+        while k % p == 0:
+            k //= p
+    return k == 1
+
+
 def focal(logits: np.ndarray, truth: np.ndarray, weight: np.ndarray | float = 1.0, gamma: float | None = 2.0) -> tuple[float, np.ndarray]:
     """The sum of (1 - pt) ** gamma times the weighted cross-entropy, and its gradient by the logits.
 
@@ -238,8 +298,8 @@ def focal_loss(logits: np.ndarray, truth: np.ndarray, weight: float = 1.0) -> fl
 
 
 INPUTS = ("y_bins", "b_bins", "mz", "intensities", "mzs", "ints", "precursor_mz")
-#: Spectra that go through the network together.
-BATCH = 8
+#: Spectra that go through the network together, when it learns and when it is prepared.
+BATCH, MANY = 8, 32
 
 
 def _with_columns(rows: DataFrame, new: str, make) -> DataFrame:
@@ -272,17 +332,19 @@ def _inputs(batch: pa.RecordBatch, at: list[int], **options) -> np.ndarray:
 def reclassify(rows: DataFrame, network: Network, threshold: float = 0.35, least_change: float = 0.3, **options) -> DataFrame:
     """``rows`` (with INPUTS) and sparse probabilities of each, in seven ragged arrays.
 
-    A row without a predicted spectrum (``mz`` is null) gets nulls. ``options`` are those of ``channels``.
+    A row without a predicted spectrum (``mz`` is null) or a precursor's m/z gets nulls. ``options`` are those of ``channels``.
     """
     shared = rows.sparkSession.sparkContext.broadcast(network)
 
     def make():
+        network = Prepared(shared.value, bin_count(options.get("resolution", 1.0)))
+
         def apply(batch):
             found = [(None,) * 7] * len(batch)
-            good = np.flatnonzero(batch.column("mz").is_valid().to_numpy(zero_copy_only=False)).tolist()
-            for a in range(0, len(good), BATCH):
-                x = _inputs(batch.take(good[a : a + BATCH]), range(len(good[a : a + BATCH])), **options)
-                for i, own, p in zip(good[a:], x[:, :2], 1 / (1 + np.exp(-shared.value.forward(x))), strict=False):
+            good = np.flatnonzero(np.all([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("mz", "precursor_mz")], axis=0)).tolist()
+            for a in range(0, len(good), MANY):
+                x = _inputs(batch.take(good[a : a + MANY]), range(len(good[a : a + MANY])), **options)
+                for i, own, p in zip(good[a:], x[:, :2], 1 / (1 + np.exp(-network.forward(x))), strict=False):
                     change = np.where(own > 0, 1 - p, p)
                     y, b = (np.flatnonzero(q > threshold) for q in p)
                     found[i] = p[0][y], y, p[1][b], b, change[0][change[0] > least_change], np.flatnonzero(own[0]), np.flatnonzero(own[1])

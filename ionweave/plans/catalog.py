@@ -549,9 +549,16 @@ def scorer_train(spark, d):
 
 @query()
 def binreclass_infer(spark, d):
-    p = psms(spark, d).withColumns({"l": P.ladder(F.col("peptide"), F.col("charge")), "m": P.mass(F.col("peptide"))})
+    """Probabilities of each peptide's bins by a network of random weights; peptides of equal letters and charge are one spectrum, which goes through it once."""
+    whole = psms(spark, d).select(F.col("psm").alias("scan"), "peptide", "charge")
+    kinds = whole.select("peptide", "charge").distinct()
+    p = kinds.withColumns({"l": P.ladder(F.col("peptide"), F.col("charge")), "m": P.mass(F.col("peptide"))})
     mz = F.transform("l", lambda s: s["mz"])
     one = F.transform("l", lambda s: F.lit(1.0))
-    rows = p.select(F.col("psm").alias("scan"), S.occupied_bins(F.col("l"), "y", F.col("m")).alias("y_bins"), S.occupied_bins(F.col("l"), "b", F.col("m")).alias("b_bins"), mz.alias("mz"), one.alias("intensities"), mz.alias("mzs"), one.alias("ints"), (F.col("m") / F.col("charge")).alias("precursor_mz"))
+    rows = p.select("peptide", "charge", S.occupied_bins(F.col("l"), "y", F.col("m")).alias("y_bins"), S.occupied_bins(F.col("l"), "b", F.col("m")).alias("b_bins"), mz.alias("mz"), one.alias("intensities"), mz.alias("mzs"), one.alias("ints"), (F.col("m") / F.col("charge")).alias("precursor_mz"))
+    made = ("y_probs", "y_mz", "b_probs", "b_mz", "y_changes", "y_mz_inputs", "b_mz_inputs")
     done = model.reclassify(rows.repartition(spark.sparkContext.defaultParallelism), model.Network.random(channels=4))
-    return done.select("scan", "y_probs", "y_mz", "b_probs", "b_mz", "y_changes", "y_mz_inputs", "b_mz_inputs")
+    done = done.select(F.col("peptide").alias("_peptide"), F.col("charge").alias("_charge"), *made)
+    same = F.col("peptide").eqNullSafe(F.col("_peptide")) & F.col("charge").eqNullSafe(F.col("_charge"))
+    # arrays are sized as one of their elements, so that Spark might broadcast them
+    return whole.join(done.hint("merge"), same).select("scan", *made)

@@ -6,6 +6,7 @@ from ionweave import constants as K
 from ionweave.functions import peptide as P
 from ionweave.functions import spectrum as S
 from ionweave.operators import evolve, features, graph, model, relational
+from ionweave.plans import catalog
 from ionweave.plans.api import Engine
 from ionweave.plans.rescoring import flag
 from ionweave.sources import files
@@ -261,6 +262,27 @@ def test_network_against_loops(tmp_path):
     assert np.allclose(model.Network.load(str(tmp_path / "n.npz")).forward(x), got)
 
 
+@pytest.mark.parametrize("n", [60, 400, 2000])
+def test_prepared_network(n):
+    """The network by spectra, for many, against the one that folds the axis for each width."""
+    net = model.Network.random(channels=4, width=3, convs=2, seed=5)
+    rng = np.random.default_rng(6)
+    net.weights.update({k: rng.normal(size=v.shape).astype(np.float32) for k, v in net.weights.items() if k.endswith((".b", "shift"))})
+    x = rng.random((3, 4, n)).astype(np.float32)
+    want = net.forward(x)
+    assert np.abs(model.Prepared(net, n).forward(x) - want).max() < 1e-4 * np.abs(want).max()
+
+
+def test_equal_peptides_are_reclassified_once(spark, tmp_path):
+    rows = [(k, name, "TIN", size) for k, (name, size) in enumerate([("green ring", 1), ("green ring", 4), ("hot bolt", 1), (None, 2), ("green ring", 2), (None, 2)])]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    made = catalog.binreclass_infer(spark, str(tmp_path))
+    got = {r.scan: r for r in made.collect()}
+    assert sorted(got) == list(range(6)) and got[0][1:] == got[1][1:] != got[4][1:] and got[3].y_probs is None and len(got[0].y_mz_inputs) > 5
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("MapInArrow") and "HashAggregate" in plan[plan.index("MapInArrow") :]
+
+
 def test_gradients():
     net, rng = small_network(3), np.random.default_rng(2)
     x, y, weight = rng.normal(size=(2, 4, 60)), (rng.random((2, 2, 60)) < 0.2).astype(float), np.array([[[3.0], [2.0]]])
