@@ -262,8 +262,8 @@ def feature_vector(spark, d):
     """All 114 features of each PSM, as rescoring makes them; its predicted intensities stand for probabilities of change too."""
     given = F.transform("mz", lambda m, i: F.when(m > 0, (i * 37 + F.col("psm") * 11) % 13 / F.lit(13.0)).otherwise(-1.0))
     rows = files.uniform_predictions(spectra(spark, d)).where(F.exists("mz", lambda m: m > 0)).withColumn("intensities", given)
-    made = features.features(rows.withColumn("y_changes", F.filter("intensities", lambda x: x >= 0)), VIEW_PPM)
-    return rounded(made.select("psm", *K.FEATURES), *K.FEATURES)
+    made = features.features(rows.withColumn("y_changes", F.filter("intensities", lambda x: x >= 0)), VIEW_PPM, ["psm"])
+    return rounded(made, *K.FEATURES)
 
 
 _CHANGES = "changes AS (SELECT vec_id, slot, p, CASE WHEN slot % 2 = 1 THEN 1 - p ELSE p END AS c FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS slot, 1 / (1 + exp(-10 * unnest(embedding)::DOUBLE)) AS p FROM embeddings))"

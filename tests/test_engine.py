@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,24 @@ def test_feature_vector(spark, mgf):
     assert 0 <= r["sa_all"] <= 1 and all(np.isfinite(r[f]) for f in K.FEATURES)
 
 
+def test_features_of_many_rows_are_those_of_each():
+    """Ladders and spectra of any length, ties, missing arrays and intensities."""
+    rng, rows = np.random.default_rng(2), []
+    for i in range(200):
+        n = int(rng.integers(0, 30)) * 6
+        mz = np.full(K.SLOTS, -1.0)
+        mz[:n] = np.round(rng.uniform(50, 900, n) / 50) * 50 if i % 7 == 0 else rng.uniform(50, 900, n)
+        predicted = np.where(mz > 0, rng.integers(0, 13, K.SLOTS) / 13, -1.0)
+        peaks = np.round(rng.uniform(50, 900, int(rng.integers(0, 100))), 0 if i % 3 else 3)
+        ints = rng.integers(0, 100, len(peaks)).astype(float)
+        ints[: i % 50 == 1] = np.nan
+        rows.append([None if missing else x.tolist() for x, missing in ((mz, i % 31 == 0), (predicted, i % 31 == 0), (peaks, i % 29 == 0), (ints, i % 29 == 0), (predicted[mz > 0], i % 3 == 0))])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.float64())) for c in zip(*rows)], ["mz", "intensities", "mzs", "ints", "y_changes"])
+    none = [-1.0] * K.SLOTS
+    want = [features.vector(mz or none, own or none, peaks or [], ints or [], changes, ppm=20000.0) for mz, own, peaks, ints, changes in rows]
+    np.testing.assert_allclose(features.vectors(batch, ppm=20000.0), want, rtol=1e-9, atol=1e-9)
+
+
 def test_no_peaks_and_constant_values():
     zero = features.vector(np.full(K.SLOTS, -1.0), np.full(K.SLOTS, -1.0), [], [], None)
     assert len(zero) == 114 and np.isfinite(zero).all()
