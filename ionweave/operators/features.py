@@ -7,6 +7,7 @@ row holds its whole spectrum.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,12 @@ def slots_of(peptide: str | None, charge: int | None) -> tuple[np.ndarray, np.nd
     return slot.reshape(-1).astype(np.int32), mz.reshape(-1)
 
 
+@lru_cache(1 << 14)
+def known_slots(peptide: str | None, charge: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """``slots_of``, remembered; not to be written to."""
+    return slots_of(peptide, charge)
+
+
 def matched_slots(psms: DataFrame, keep: list[str], ppm: float = K.PPM) -> DataFrame:
     """``keep, slot, tmz, tint, emz, eint``: each slot of each PSM's ladder with the nearest of its peaks, or zeros.
 
@@ -69,7 +76,7 @@ def matched_slots(psms: DataFrame, keep: list[str], ppm: float = K.PPM) -> DataF
         for batch in batches:
             for a in range(0, max(1, batch.num_rows), ROWS):
                 part = batch.slice(a, ROWS)
-                made = [slots_of(p, c) for p, c in zip(*(part.column(n).to_pylist() for n in ("peptide", "charge")), strict=True)]
+                made = [known_slots(p, c) for p, c in zip(*(part.column(n).to_pylist() for n in ("peptide", "charge")), strict=True)]
                 slot, tmz = (np.concatenate([np.empty(0, t), *(m[k] for m in made)]) for k, t in ((0, np.int32), (1, float)))
                 row = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
                 tint, known = ragged(part.column("tints"))

@@ -6,12 +6,16 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ionweave import constants as K
 from ionweave.functions import peptide as P
 from ionweave.functions.spectrum import prediction_floor
+from ionweave.operators import features
 
 
 def parse_mgf(blocks: DataFrame) -> DataFrame:
@@ -82,20 +86,26 @@ def read_features(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def uniform_predictions(rows: DataFrame) -> DataFrame:
-    """A stand-in for predicted spectra: ``rows`` (``peptide, charge``) with ladder ``mz`` and ``intensities`` of 1; 174 slots, -1 where there is none."""
-    z = F.least("charge", F.lit(3))
+    """A stand-in for predicted spectra: ``rows`` (``peptide, charge``) with ladder ``mz`` and ``intensities`` of 1; 174 slots, -1 where there is none.
 
-    def slots(ladder):
-        # a ladder has z slots for each ion of each cleavage, so a slot's place in it is known
-        def at(i):
-            place = F.floor(i / 3).cast("int") * z + i % 3
-            return F.coalesce(F.when(i % 3 < z, F.get(ladder, place)["mz"]), F.lit(-1.0))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(K.SLOTS - 1)), at)
-
-    known = F.forall(P.residue_masses(F.col("peptide")), lambda m: m.isNotNull())  # an unknown residue: no slots
-    made = rows.withColumn("mz", P.let(F.when(known, P.ladder(F.col("peptide"), F.col("charge"))), slots))
-    return made.withColumn("intensities", F.transform("mz", lambda x: F.when(x > 0, 1.0).otherwise(-1.0)))
+    One Arrow pass; a peptide with an unknown residue, or none, has no slots.
+    """
+    kept = rows.drop("mz", "intensities")
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, max(1, batch.num_rows), features.ROWS):
+                part = batch.slice(a, features.ROWS)
+                peptides, charges = (part.column(c).to_pylist() for c in ("peptide", "charge"))
+                mz = np.full((part.num_rows, K.SLOTS), -1.0)
+                for own, p, c in zip(mz, peptides, charges, strict=True):
+                    slot, at = features.known_slots(p, c)
+                    own[slot] = at
+                ends = pa.array(np.arange(len(mz) + 1) * K.SLOTS, pa.int32())
+                made = [pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for x in (mz, np.where(mz > 0, 1.0, -1.0))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "mz", "intensities"])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("mz", "intensities"))]))
 
 
 def table_predictions(predictions: DataFrame, energy: float | None = None):
