@@ -11,7 +11,8 @@ value -rate * G / (H + lambda). Boosting has G = prediction - target and H = 1 f
 G = -target and H = 1, lambda and gamma 0, so that a gain is what the squares become less, and values
 are means. Rows count as often as a draw says, which depends on the row's number, the tree and the
 seed alone. Equal gains go to the first feature, the lowest bin, missing values to the left. Null and
-NaN features go to the side where the gain is higher; rows without a target are left out.
+NaN features go to the side where the gain is higher; rows without a target are left out. A forest looks at rows
+of the same bins and target once: their draws add up to Poisson's distribution of their number.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from functools import lru_cache
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +149,28 @@ def uniform(rows: np.ndarray, *keys: int) -> np.ndarray:
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)]))
 
 
+@lru_cache(1 << 12)
+def _poisson_sums(mean: int) -> tuple[int, np.ndarray]:
+    """Poisson's distribution of a mean, summed up, from the first number within 12 deviations of it."""
+    wide = 12 * int(np.ceil(np.sqrt(mean))) + 20
+    least = max(0, mean - wide)
+    k = np.arange(least + 1, mean + wide + 1)
+    first = -mean + least * np.log(mean) - lgamma(least + 1)
+    return least, np.cumsum(np.exp(first + np.concatenate([[0.0], np.cumsum(np.log(mean) - np.log(k))])))
+
+
+def poisson(u: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How often bootstrap samples draw ``times`` rows together: what ``u`` in [0, 1) says by Poisson's distribution of that mean."""
+    out = np.searchsorted(_POISSON, u, "right").astype(float)
+    order = np.argsort(times, kind="stable")
+    values, begins = np.unique(times[order], return_index=True)
+    for n, own in zip(values.tolist(), np.split(order, begins[1:]) if len(order) else []):
+        if n > 1:
+            least, sums = _poisson_sums(n)
+            out[own] = least + np.searchsorted(sums, u[own], "right")
+    return out
+
+
 def drawn(n: int, k: int, *keys: int) -> np.ndarray:
     """Which k of n features a tree or a node may use."""
     order = np.argsort(uniform(np.arange(n), *keys), kind="stable")
@@ -170,8 +195,11 @@ class Growth:
     boosted: bool = True
     seed: int = 13
 
-    def weights(self, rows: np.ndarray, tree: int) -> np.ndarray:
+    def weights(self, rows: np.ndarray, tree: int, times: np.ndarray | None = None) -> np.ndarray:
+        """How often a tree counts each row; one that stands for several, ``times``, as often as all of them together (whole or bootstrap samples)."""
         u = uniform(rows, self.seed, tree)
+        if times is not None:
+            return poisson(u, times) if self.share is None else times.astype(float)
         return np.searchsorted(_POISSON, u, "right").astype(float) if self.share is None else (u < self.share).astype(float)
 
     def allowed(self, n: int, tree: int, node: int) -> np.ndarray:
@@ -191,6 +219,14 @@ def binned_rows(rows: DataFrame, made: Ensemble, target: str, folder: str) -> Da
     return rows.sparkSession.read.parquet(folder)
 
 
+def alike(state: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``binned_rows`` with equal ones as one, and how many ``times`` each is there; a row's number comes from what it holds."""
+    n = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = state.groupBy("bins", "target", "margin").agg(F.count("*").alias("times"))
+    grouped.withColumn("row", F.xxhash64("bins", "target")).repartition(n).write.parquet(folder)  # they are few but looked at often
+    return state.sparkSession.read.parquet(folder)
+
+
 def _unpacked(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
 
@@ -229,10 +265,11 @@ def histograms(state: DataFrame, recent: list[Tree], trees: dict[int, Tree], nod
                 for t in recent_:
                     off += t.predict(bins)
             number = batch.column("row").to_numpy()
+            times = batch.column("times").to_numpy() if "times" in batch.schema.names else None
             for t, own in places.items():
                 slot = np.full(len(grown[t].feature), -1)
                 slot[[n for _, n in own]] = range(len(own))
-                weight = growth.weights(number, t)
+                weight = growth.weights(number, t) if times is None else growth.weights(number, t, times)
                 at = np.where(weight > 0, slot[grown[t].leaves(bins)], -1)
                 inside = np.flatnonzero(at >= 0)
                 begin, long_ = own[0][0] * size, len(own) * size
@@ -329,7 +366,10 @@ def forest(rows: DataFrame, names: list[str], target: str, trees: int = 180, gro
     made = Ensemble(list(names), quantile_cuts(known, names), 0.0, [])
     if known.isEmpty():
         return made
-    state = binned_rows(known, made, target, f"{scratch(rows.sparkSession, 'forest')}/0")
+    folder = scratch(rows.sparkSession, "forest")
+    state = binned_rows(known, made, target, f"{folder}/0")
+    if growth.share is None or growth.share >= 1:  # all rows, or bootstrap samples
+        state = alike(state, f"{folder}/1")
     made.trees = grow(state, [], list(range(trees)), growth, len(names))
     for t in made.trees:  # their mean, as a sum
         t.value = [v / trees for v in t.value]

@@ -543,7 +543,9 @@ def tree_split(spark, d):
 def scorer_train(spark, d):
     counted = R.counting_features(features.matched_slots(spectra(spark, d), ["psm"], VIEW_PPM), ["psm"])
     names = [c for c in counted.columns if c != "psm"]
-    rows = counted.withColumn("target", F.ln(F.lit(1.0) + F.col("num_exp")))
+    folder = f"{files.scratch(spark, 'scorer')}/rows"  # they are read by several jobs
+    counted.withColumn("target", F.ln(F.lit(1.0) + F.col("num_exp"))).write.parquet(folder)
+    rows = spark.read.parquet(folder)
     return model.Scorer.train(rows, names, "target", kind="forest").predict(rows).select("psm", "score")
 
 

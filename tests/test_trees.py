@@ -129,6 +129,22 @@ def test_scorers_of_odd_tables(spark, tmp_path):
     assert {r.score for r in Scorer.train(constant, names, "target", "boosted", count=2).predict(rows).collect()} == {-2.0}
 
 
+def test_equal_rows_are_looked_at_once(spark, tmp_path):
+    """A whole sample's trees are those of the single rows, and a bootstrap's draws have the mean and spread of their sums."""
+    x, y = table(120, 3)
+    x, y = np.repeat(x, 9, axis=0), np.repeat(y.round(1), 9)
+    state, bins, *_ = state_of(spark, x, y, tmp_path)
+    once = trees.alike(state, str(tmp_path / "once"))
+    assert once.count() <= 120 and once.agg(F.sum("times")).first()[0] == 1080
+    growth = trees.Growth(least_split=90, least_leaf=45, boosted=False)
+    many, few = trees.grow(state, [], [1], growth, 5)[0], trees.grow(once, [], [1], growth, 5)[0]
+    assert (many.feature, many.bin, many.left) == (few.feature, few.bin, few.left) and np.allclose(many.value, few.value) and len(many.feature) > 3
+    for n in (1, 2, 48, 1_000_000):
+        w = trees.Growth(share=None).weights(np.arange(100_000), 3, np.full(100_000, n))
+        assert abs(w.mean() / n - 1) < 0.02 and abs(w.var() / n - 1) < 0.03
+    assert (trees.Growth(share=None).weights(np.arange(999), 3, np.ones(999, int)) == trees.Growth(share=None).weights(np.arange(999), 3)).all()
+
+
 def test_draws():
     u = trees.uniform(np.arange(200_000), 5, 7)
     assert abs(u.mean() - 0.5) < 0.005 and abs(np.corrcoef(u[1:], u[:-1])[0, 1]) < 0.01
