@@ -210,6 +210,17 @@ def test_mutants_keep_the_mass(spark):
     assert len({whole.mutate("ACDEK".replace("C", "C[UNIMOD:4]"), (0, 0), graph.Draws(k))[0] for k in range(40)}) > 20
 
 
+def test_draws_are_those_of_their_text():
+    """A draw is an MD5 of the key and the purpose, joined; what has one outcome is not hashed."""
+    draws = graph.Draws("7", None, "ACK")
+    assert draws.at(2, "mix", 0) == draws.of(b"2|mix|0") == graph.drawn("7", None, "ACK", 2, "mix", 0)
+    assert draws.under(5).of(b"kind") == graph.Draws("7", None, "ACK", 5).at("kind") == graph.drawn("7", None, "ACK", 5, "kind")
+    assert draws.order(4, 1, "cut") == sorted(range(4), key=lambda i: graph.drawn("7", None, "ACK", 1, "cut", i))
+    edges = [{1: 0.25, 2: 0.75}, {2: 1.0}, {}]
+    want = lambda k: [19, 76, 133] if graph.drawn("s", k, 0, "walk") < 0.25 else [19, 133]
+    assert graph.spelled_walks(np.array([19, 76, 133]), edges, 20, "s") == ([want(k) for k in range(20)], ["GG" if len(want(k)) == 3 else "N" for k in range(20)])
+
+
 def test_lookup_table(spark):
     """All multisets of residues up to the weight of the two heaviest, by brute force."""
     from itertools import combinations_with_replacement
